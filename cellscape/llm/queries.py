@@ -27,6 +27,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once blocks of lines that an earlier one holds are cut."""
+    from cellscape.llm.line_dedup import line_dedup
+
+    left = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_removed", "n_removed_chars", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the 32k piece model."""
     import public_tokenizers
@@ -35,6 +43,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op6_mixing, op9_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item, with the item and its best passage."""
+    from cellscape.llm.decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op6_mixing, op7_line_dedup, op9_token_counts, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
