@@ -20,6 +20,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; fitted on labelled documents of the folds whose crc32 remainder isn't 0."""
+    from cellscape.llm.language_id import fold
+    from cellscape.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    return score_toxicity(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_toxic")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 1, 2, 3 takes of every document."""
     from cellscape.llm.mixing import mix
@@ -50,6 +60,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op6_mixing, op7_line_dedup, op9_token_counts, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op6_mixing, op7_line_dedup, op9_token_counts, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
