@@ -68,6 +68,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", "n_removed_chars", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion and metadata records of every page's response."""
+    from cellscape.llm.warc import derivatives, responses
+
+    made = derivatives(responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", "block_digest", "source_payload_digest", "content_length")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the 32k piece model."""
     import public_tokenizers
@@ -83,6 +91,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op9_token_counts, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op8_warc_derivatives, op9_token_counts, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
