@@ -26,13 +26,14 @@ from pyspark.sql import types as T
 from cellscape.llm.common import arrow_map
 from cellscape.llm.textarrays import Words, buffers, mix64, slices, span_hashes, word_bounds
 
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS = 1_200
 """At most about so many labelled toxic documents, and twice as many others, are fitted on (by a hash of doc_id)."""
 TABLE_BITS = 20
 TABLE = 1 << TABLE_BITS
-STEPS = 30
+STEPS = 20
 BLOCK = 256
 LAYER = 4
+CHUNK_CHARS = 1 << 20
 MIN_EVIDENCE = 40.0
 _IS_GAP = np.ones(256, dtype=bool)
 _IS_GAP[[*range(97, 123), *range(128, 256)]] = False
@@ -158,69 +159,96 @@ class Model:
     layer: np.ndarray
 
     def marginals(self, w: Words) -> np.ndarray:
-        u = self.weights[features(w)].sum(0) + self.bias if len(w.hashes) else np.zeros(0)
-        return forward_backward(u.astype(np.float64), np.exp(self.log_trans), cut_blocks(w.first))[0]
+        return forward_backward(emission(self.weights, self.bias, features(w)), np.exp(self.log_trans), cut_blocks(w.first))[0]
 
     def scores(self, w: Words, marginal: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(aggregates(w, marginal) @ self.layer, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(aggregates(w.first, marginal) @ self.layer, -50, 50)))
 
 
-def aggregates(w: Words, marginal: np.ndarray) -> np.ndarray:
+def aggregates(first: np.ndarray, marginal: np.ndarray) -> np.ndarray:
     """1, log(1 + expected toxic tokens), the largest marginal, and log(1 + expected tokens besides it) of each document."""
-    n = len(w.first) - 1
+    n = len(first) - 1
     total, most = np.zeros(n), np.zeros(n)
-    some = np.flatnonzero(np.diff(w.first) > 0)
+    some = np.flatnonzero(np.diff(first) > 0)
     if len(some):
-        total[some] = np.add.reduceat(marginal, w.first[some])
-        most[some] = np.maximum.reduceat(marginal, w.first[some])
+        total[some] = np.add.reduceat(marginal, first[some])
+        most[some] = np.maximum.reduceat(marginal, first[some])
     return np.stack([np.ones(n), np.log1p(total), most, np.log1p(total - most)], axis=1)
 
 
-def token_labels(w: Words, f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for tokens of toxic documents that have a word or beginning of strong evidence, else 0."""
-    label = np.zeros(len(w.hashes), dtype=bool)
-    if not len(w.hashes):
-        return label
-    is_toxic = toxic[w.doc]
-    context = mix64(f[5].astype(np.uint64) * np.uint64(TABLE) + f[6].astype(np.uint64))
+@dataclass
+class Chunk:
+    """Some training documents: their words' bounds, features and labels, without the texts."""
+
+    first: np.ndarray
+    places: np.ndarray
+    toxic: np.ndarray
+
+
+def training_chunks(texts: list[str], toxic: np.ndarray) -> list[Chunk]:
+    """Documents in parts of about CHUNK_CHARS, so what is held of a part while it is read stays small."""
+    out, start = [], 0
+    ends = np.cumsum([len(t) for t in texts])
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_CHARS, side="right")))
+        w = letter_words(pa.array(texts[start:stop], pa.string()))
+        out.append(Chunk(w.first, features(w), toxic[start:stop]))
+        start = stop
+    return out
+
+
+def token_labels(chunks: list[Chunk]) -> list[np.ndarray]:
+    """For each chunk 1 for tokens of toxic documents that have a word or beginning of strong evidence, else 0."""
+    is_toxic = [np.repeat(c.toxic, np.diff(c.first)) for c in chunks]
+    labels = [np.zeros(len(t), dtype=bool) for t in is_toxic]
     for kind in range(4):
-        key, at = np.unique(mix64(context + mix64(f[kind].astype(np.uint64) * np.uint64(2) + is_toxic.astype(np.uint64))), return_index=True)
-        a = np.bincount(f[kind][at[is_toxic[at]]], minlength=TABLE).astype(np.float64)
-        b = np.bincount(f[kind][at[~is_toxic[at]]], minlength=TABLE).astype(np.float64)
-        share = a.sum() / (a.sum() + b.sum())
-        n = np.maximum(a + b, 1)
-        rate = a / n
-        ratio = 2 * (a * np.log(np.maximum(rate, 1e-12) / share) + b * np.log(np.maximum(1 - rate, 1e-12) / (1 - share)))
+        keys = [mix64(mix64(c.places[5].astype(np.uint64) * np.uint64(TABLE) + c.places[6].astype(np.uint64)) + mix64(c.places[kind].astype(np.uint64) * np.uint64(2) + t.astype(np.uint64))) for c, t in zip(chunks, is_toxic, strict=True)]
+        at = np.unique(np.concatenate(keys), return_index=True)[1]
+        place, mark = np.concatenate([c.places[kind] for c in chunks])[at], np.concatenate(is_toxic)[at]
+        a, b = (np.bincount(place[m], minlength=TABLE).astype(np.float64) for m in (mark, ~mark))
+        share = a.sum() / max(1.0, a.sum() + b.sum())
+        rate = a / np.maximum(a + b, 1)
+        ratio = 2 * (a * np.log(np.maximum(rate, 1e-12) / max(share, 1e-12)) + b * np.log(np.maximum(1 - rate, 1e-12) / max(1 - share, 1e-12)))
         strong = (rate > share) & (rate >= 0.95) & (ratio >= MIN_EVIDENCE)
-        label |= strong[f[kind]] & is_toxic
-    return label
+        for c, t, y in zip(chunks, is_toxic, labels, strict=True):
+            y |= strong[c.places[kind]] & t
+    return labels
+
+
+def emission(weights: np.ndarray, bias: float, places: np.ndarray) -> np.ndarray:
+    """Log odds of the toxic state for each token."""
+    u = np.full(places.shape[1], bias)
+    for kind in places:
+        u += weights[kind]
+    return u
 
 
 def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Model:
     """Fit on whole texts with document labels. Without a token of evidence the field stays flat and scores the classes' share."""
-    w = letter_words(pa.array(texts, pa.string()))
-    f = features(w)
-    y = token_labels(w, f, toxic)
-    blocks = cut_blocks(w.first)
+    chunks = training_chunks(texts, toxic)
+    labels = token_labels(chunks)
+    seen, work = np.zeros((2, 2)), [cut_blocks(c.first) for c in chunks]
+    for c, y in zip(chunks, labels, strict=True):
+        gone = np.concatenate(([0], y[:-1])).astype(np.int64) if len(y) else np.zeros(0, np.int64)
+        gone[c.first[:-1][np.diff(c.first) > 0]] = 0
+        seen += np.bincount(gone * 2 + y, minlength=4).reshape(2, 2)
     weights, bias, log_trans = np.zeros(TABLE), -4.0, np.zeros((2, 2))
-    gone = np.concatenate(([0], y[:-1])).astype(np.int64) if len(y) else np.zeros(0, np.int64)
-    some = w.first[:-1][np.diff(w.first) > 0]
-    gone[some] = 0
-    seen = np.bincount(gone * 2 + y, minlength=4).reshape(2, 2).astype(np.float64)
     g2, gb2, gt2 = np.full(TABLE, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    for _ in range(steps if y.any() else 0):
-        marginal, pairs, _ = forward_backward(weights[f].sum(0) + bias, np.exp(log_trans), blocks)
-        d = y - marginal
-        g = np.zeros(TABLE)
-        for kind in f:
-            g += np.bincount(kind, weights=d, minlength=TABLE)
-        g -= 0.05 * weights
-        g2, gb2, gt2 = g2 + g * g, gb2 + d.sum() ** 2, gt2 + (seen - pairs) ** 2
+    for _ in range(steps if any(y.any() for y in labels) else 0):
+        g, gb, pairs = -0.05 * weights, 0.0, np.zeros((2, 2))
+        for c, y, blocks in zip(chunks, labels, work, strict=True):
+            marginal, some, _ = forward_backward(emission(weights, bias, c.places), np.exp(log_trans), blocks)
+            d, pairs = y - marginal, pairs + some
+            gb += d.sum()
+            for kind in c.places:
+                g += np.bincount(kind, weights=d, minlength=TABLE)
+        g2, gb2, gt2 = g2 + g * g, gb2 + gb**2, gt2 + (seen - pairs) ** 2
         weights += 0.5 * g / np.sqrt(g2)
-        bias += 0.5 * d.sum() / np.sqrt(gb2)
+        bias += 0.5 * gb / np.sqrt(gb2)
         log_trans = np.clip(log_trans + 0.1 * (seen - pairs) / np.sqrt(gt2), -6, 6)
     model = Model(weights.astype(np.float32), bias, log_trans, np.zeros(LAYER))
-    x = aggregates(w, model.marginals(w))
+    weights = model.weights
+    x = np.concatenate([aggregates(c.first, forward_backward(emission(weights, bias, c.places), np.exp(log_trans), b)[0]) for c, b in zip(chunks, work, strict=True)])
     target, balance = toxic.astype(np.float64), np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum())) * len(toxic)
     layer, ridge = np.zeros(LAYER), np.full(LAYER, 1e-2)
     for _ in range(50):  # Newton steps of a ridge logistic regression
