@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from cellscape.plans.queries import ORACLE_SQL as ORACLE_SQL
+from cellscape.plans.queries import QUERIES as QUERIES
