@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from cellscape.llm.common import arrow_map, staged
 
 TABLES, HASHES, REACH = 10, 8, 1
-TABLE_SUCCESS = 0.22
+TABLE_SUCCESS = 0.3
 WIDTH_SHARE = 1.6
 FIT_ROWS = 2_048
 QUERY_BLOCK = 512
