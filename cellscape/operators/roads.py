@@ -15,11 +15,11 @@ VEHICULAR = ["trunk", "primary", "secondary", "tertiary", "residential", "unclas
 ARTERIAL = ["trunk", "primary", "secondary"]
 
 
-def road_attributes(roads: DataFrame) -> DataFrame:
-    """Drops excluded classes and zero lengths; adds speed, travel minutes (4 decimals) and flags."""
+def road_attributes(roads: DataFrame, digits: int = 4) -> DataFrame:
+    """Drops excluded classes and zero lengths; adds speed, travel minutes (rounded half to even) and flags."""
     speed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in SPEEDS.items() for x in (k, v)]), F.col("highway")), F.lit(DEFAULT_SPEED))
     kept = roads.where(~F.col("highway").isin(EXCLUDED) & (F.col("length_m") > 0)).withColumn("speed_kmh", speed)
-    return kept.withColumns({"minutes": F.bround(F.col("length_m") / 1000 / F.col("speed_kmh") * 60, 4), "is_vehicular": F.col("highway").isin(VEHICULAR), "is_arterial": F.col("highway").isin(ARTERIAL)})
+    return kept.withColumns({"minutes": F.bround(F.col("length_m") / 1000 / F.col("speed_kmh") * 60, digits), "is_vehicular": F.col("highway").isin(VEHICULAR), "is_arterial": F.col("highway").isin(ARTERIAL)})
 
 
 def lines_to_edges(lines: DataFrame, vehicular_only: bool = False) -> DataFrame:

@@ -113,4 +113,5 @@ def dedup_events(events: DataFrame, key: str, group: str, max_m: float = 500.0,
         free = F.col("open").isNull()
         now = F.when(F.col("lead").isNotNull() & (free | (F.col("lead") < F.col("open"))), F.col("lead")).when(free & F.col("lead").isNull(), F.col("id"))
         status = staged(status.join(seen, "id", "left").select("id", F.coalesce("leader", now).alias("leader")), "event-status")
-    return events.select(key).join(status, events[key] == status["id"], "left").select(key, F.coalesce("leader", F.col(key)).alias("leader"))
+    status = status.select(F.col("id").alias("_id"), F.col("leader").alias("_leader"))
+    return events.select(key).join(status, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("_leader", F.col(key)).alias("leader"))

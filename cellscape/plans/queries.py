@@ -285,9 +285,9 @@ def _(spark, d):
 # Roads
 
 
-@query("P26_road_attributes", sql("SELECT u, v, speed_kmh, round(length_m / 1000 / speed_kmh * 60, 2) AS minutes, is_vehicular, is_arterial FROM attributes", "attributes"))
+@query("P26_road_attributes", sql("SELECT u, v, speed_kmh, round(length_m / 1000 / speed_kmh * 60, 8) AS minutes, is_vehicular, is_arterial FROM attributes", "attributes"))
 def _(spark, d):
-    return roads.road_attributes(fx.road(spark, d)).select("u", "v", "speed_kmh", F.round("minutes", 2).alias("minutes"), "is_vehicular", "is_arterial")
+    return roads.road_attributes(fx.road(spark, d), digits=8).select("u", "v", "speed_kmh", "minutes", "is_vehicular", "is_arterial")
 
 
 @query("A17_road_summary", sql("SELECT highway, count(*) AS segments, round(sum(length_m) / 1000, 6) AS km, min(speed_kmh) AS speed_kmh FROM attributes GROUP BY highway", "attributes"))
