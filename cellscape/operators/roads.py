@@ -92,3 +92,16 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "length_m
         inside = ends.join(dist, "node").groupBy("set", "u").agg(F.min(F.col("dist") + F.col("w")).alias("dist")).select("set", F.col("u").alias("node"), "dist")
         dist = dist.unionByName(inside)
     return dist
+
+
+def facility_access(points: DataFrame, walking_kmh: float = 4.0, max_snap_m: float = 3000.0) -> DataFrame:
+    """Network distance and minutes (path plus the snap, walked), null if the snap is too far or nothing is reached."""
+    reached = (F.col("snap_m") <= max_snap_m) & F.col("path_m").isNotNull()
+    minutes = F.col("path_min") + F.col("snap_m") / 1000 / walking_kmh * 60
+    return points.withColumns({"network_m": F.when(reached, F.col("path_m") + F.col("snap_m")), "network_min": F.when(reached, minutes)})
+
+
+def access_flags(points: DataFrame) -> DataFrame:
+    """Within 5 km of health, 3 km of school, 60 minutes of a hospital; null is false."""
+    limits = {"has_health": ("health_m", 5000), "has_school": ("school_m", 3000), "has_hospital": ("hospital_min", 60)}
+    return points.withColumns({k: F.coalesce(F.col(c) <= most, F.lit(False)) for k, (c, most) in limits.items()})

@@ -417,3 +417,37 @@ def _(spark, d):
     back_lon, back_lat = S.from_utm(F.col("e"), F.col("n"))
     moved = fx.centroid(spark, d).select("village_id", lon.alias("lon"), lat.alias("lat"), x.alias("e"), y.alias("n"))
     return moved.select("village_id", ((F.abs(back_lon - F.col("lon")) < 1e-8) & (F.abs(back_lat - F.col("lat")) < 1e-8)).alias("same"))
+
+
+@query("S2_K1_geojson_round_trip", sql("SELECT facility_id, name, x, y FROM facility", "facility"))
+def _(spark, d):
+    import uuid
+
+    from cellscape.components import checkpoint_folder
+    from cellscape.sources import io
+
+    path = f"{checkpoint_folder(spark)}/facilities-{uuid.uuid4().hex}"
+    io.write_geojson_points(fx.facility(spark, d), path, ["facility_id", "name"])
+    return io.read_geojson_points(spark, path, "facility_id: bigint, name: string")
+
+
+@query("K4_long_summary", sql("SELECT category, metric, value, round(100 * value / sum(value) OVER (PARTITION BY metric), 6) AS percentage FROM (SELECT flag AS category, 'area_id' AS metric, sum(area_id)::DOUBLE AS value FROM area GROUP BY 1 UNION ALL SELECT flag, 'mean_slope', sum(mean_slope)::DOUBLE FROM area GROUP BY 1)", "area"))
+def _(spark, d):
+    from cellscape.sources import io
+
+    return io.long_summary(fx.area(spark, d), "flag", ["area_id", "mean_slope"])
+
+
+@query("S8_U1_catalogues", sql("SELECT 'a' AS raw_catalog, event_id, fatalities, NULL AS provider FROM incident WHERE event_id % 2 = 0 UNION ALL SELECT 'b', event_id, NULL, provider FROM incident WHERE event_id % 2 = 1", "incident"))
+def _(spark, d):
+    from cellscape.sources import io
+
+    both = fx.incident(spark, d)
+    return io.union_catalogues({"a": both.where("event_id % 2 = 0").select("event_id", "fatalities"), "b": both.where("event_id % 2 = 1").select("event_id", "provider")}).select("raw_catalog", "event_id", "fatalities", "provider")
+
+
+@query("P28_P29_access", sql("SELECT village_id, CASE WHEN distance_m <= 3000 THEN round(distance_m * 1.3 + distance_m, 4) END AS network_m, coalesce(distance_m <= 500, false) AS near_health, coalesce(distance_m <= 300, false) AS near_school FROM facility_near", "facility_near"))
+def _(spark, d):
+    near = spatial.nearest(_villages(spark, d), fx.facility(spark, d), "village_id", "facility_id")
+    out = roads.facility_access(near.select("village_id", F.col("distance_m").alias("snap_m"), (F.col("distance_m") * 1.3).alias("path_m"), F.lit(1.0).alias("path_min")))
+    return out.select("village_id", F.round("network_m", 4).alias("network_m"), F.coalesce(F.col("snap_m") <= 500, F.lit(False)).alias("near_health"), F.coalesce(F.col("snap_m") <= 300, F.lit(False)).alias("near_school"))
