@@ -90,7 +90,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "length_m
     for chosen in reversed(back):
         ends = chosen.select("u", F.explode(F.array("a", "b")).alias("e")).select("u", F.col("e.v").alias("node"), F.col("e.w").alias("w"))
         inside = ends.join(dist, "node").groupBy("set", "u").agg(F.min(F.col("dist") + F.col("w")).alias("dist")).select("set", F.col("u").alias("node"), "dist")
-        dist = dist.unionByName(inside)
+        dist = staged(dist.unionByName(inside), "paths-dist")  # else each level would run the ones before it twice
     return dist
 
 
