@@ -16,13 +16,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+ARROW_ROWS = "2000"
+
+
+def _ready(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches of whole texts small where the session hasn't said how large they may be."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow for a function of this package."""
-    ship(df.sparkSession)
+    _ready(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def arrow_groups(df: DataFrame, keys: list, run, schema) -> DataFrame:
     """df.groupBy(keys).applyInArrow for a function of this package."""
-    ship(df.sparkSession)
+    _ready(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(run, schema)

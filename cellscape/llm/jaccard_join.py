@@ -9,12 +9,13 @@ n - ceil(3 n / 4) + 1 shingles of a set in one order for all: shingles of large
 2. Grouping. Documents of one shingle set (two 64-bit digests and the size) are one group, so they share prefix and size;
    the join sees groups. Copies are counted and expanded by an equi-join at the end, never paired.
 3. Filtering. Prefix shingles are dealt by hash range. A shingle of up to `SMALL_RUN` groups gives all their pairs that pass the
-   size filter. A longer run gives chains (neighbours by size and digest, and by two other orders) and the pairs with its first
-   group, and is kept for step 5.
-4. Verifying. The two whole texts of each pair are brought together and their sets compared exactly.
-5. Long runs whose groups the links so far leave in several components give the pairs across components, which are verified too.
-   Groups already connected need no further pair, as the result is connectivity. This repeats over chains first, so that
-   a large group of near copies connects in linear steps, and ends with all pairs across components: no link can be lost.
+   size filter. A longer run gives a chain (neighbours by size) and is kept for step 5.
+4. Verifying. A pair's sets differ in at least as many shingles as their parity bitmaps (`BITS` bits: the parity of the shingles of
+   each hash value) differ in bits, which refutes most false pairs. The two whole texts of each other pair are brought together
+   and their sets compared exactly.
+5. Long runs whose groups the links so far leave in several components give the pairs across components that size and bitmaps
+   don't refute, which are verified too. Groups already connected need no further pair, as the result is connectivity; groups of
+   a run's largest component aren't met with each other. No link between components can be lost.
 
 Ranges are `4 x spark.sql.shuffle.partitions` or more, so a range's share falls as the partitions grow with the input.
 """
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,8 @@ SHINGLE = 5
 FREQUENT = 16
 MOST_FREQUENT = 2_000_000
 SMALL_RUN = 8
-FLUSH = 2_000_000
+BITS = 1024
+FLUSH = 1_000_000
 BROADCAST_IDS = 2_000_000
 LONG = T.LongType()
 
@@ -61,6 +63,21 @@ def _digests(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def _bitmaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BITS parity bits of each row's set, as 64-bit integers."""
+    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    bit = (mix64(values + np.uint64(0x5EED)) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(rows * BITS + bit, minlength=(len(first) - 1) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(-1, BITS // 64)
+
+
+def _not_refuted(n_a: str, n_b: str, map_a: str, map_b: str) -> Column:
+    """Whether sizes and bitmaps allow a link: the sets differ in at most (|a| + |b|) / 7 shingles."""
+    low, high = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    differ = sum((F.bit_count(F.get(map_a, F.lit(i)).bitwiseXOR(F.get(map_b, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return (4 * low >= 3 * high) & (7 * differ <= F.col(n_a) + F.col(n_b))
+
+
 def deltas(keys: np.ndarray) -> bytes:
     """Sorted 32-bit keys (repeats allowed) as 16-bit steps; 65535 means a step of 65535 without a key."""
     step = np.diff(keys.astype(np.int64), prepend=0)
@@ -137,19 +154,21 @@ def _prefix(values: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarra
 
 
 def groups_and_postings(docs: DataFrame, key: np.ndarray, n: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """rows (row_key, doc_id, n, d1, d2) of every document, and prefix postings dealt by range as packed arrays."""
+    """rows (row_key, doc_id, n, d1, d2, bits) of every document, and prefix postings dealt by range as packed arrays."""
     spark = docs.sparkSession
     ranges = _ranges(spark)
     bits = ranges.bit_length() - 1
     shared = spark.sparkContext.broadcast((key, n))
-    row_type = T.StructType([T.StructField("row_key", LONG), T.StructField("doc_id", LONG), T.StructField("n", LONG), T.StructField("d1", LONG), T.StructField("d2", LONG)])
+    row_type = T.StructType([T.StructField("row_key", LONG), T.StructField("doc_id", LONG), T.StructField("n", LONG), T.StructField("d1", LONG), T.StructField("d2", LONG), T.StructField("bits", T.ArrayType(LONG))])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 values, first = _sets(part.column(2))
                 d1, d2 = _digests(values, first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first).astype(np.int64)), pa.array(d1), pa.array(d2)], names=row_type.names)
+                flat = _bitmaps(values, first)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first).astype(np.int64)), pa.array(d1), pa.array(d2), bits], names=row_type.names)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -173,7 +192,7 @@ def groups_and_postings(docs: DataFrame, key: np.ndarray, n: np.ndarray) -> tupl
                 values, first = _sets(part.column(0))
                 token, row = _prefix(values, first, *shared.value)
                 held.append((token, _digests(values, first)[0][row], np.diff(first).astype(np.uint32)[row]))
-                if sum(len(h[0]) for h in held) >= FLUSH // 4:
+                if sum(len(h[0]) for h in held) >= FLUSH // 2:
                     yield flush()
                     held = []
         if held:
@@ -193,14 +212,9 @@ def _neighbours(order: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[:-1][same], order[1:][same]
 
 
-def _chains(run: np.ndarray, group: np.ndarray, size: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries: neighbours by size, by two hashes, and each with its run's first. Runs are consecutive."""
-    orders = [np.lexsort((group, size, run))] + [np.lexsort((mix64(group.view(np.uint64) + np.uint64(salt + k)), run)) for k in range(2)]
-    pairs = [_neighbours(o, run) for o in orders]
-    first = orders[0][np.searchsorted(run[orders[0]], run)]
-    pairs.append((first, np.arange(len(run))))
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    return a, b
+def _chain(run: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries: neighbours by size (and group) in their run."""
+    return _neighbours(np.lexsort((group, size, run)), run)
 
 
 def _pair_rows(group: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -245,7 +259,7 @@ def candidate_pairs(postings: DataFrame) -> DataFrame:
         shortened = length[(length > 1) & (length <= SMALL_RUN)]
         found = [_pair_rows(gid[short], size[short], *_all_pairs(np.concatenate(([0], np.cumsum(shortened)))))]
         if long.any():
-            found.append(_pair_rows(gid[long], size[long], *_chains(token[long], gid[long], size[long], 0)))
+            found.append(_pair_rows(gid[long], size[long], *_chain(token[long], gid[long], size[long])))
         pairs = np.unique(np.concatenate(found), axis=0)
         left = token[long].astype(np.int64) + (r << 32)
         kind = np.concatenate((np.zeros(len(pairs), dtype=np.int32), np.ones(len(left), dtype=np.int32)))
@@ -258,6 +272,7 @@ def candidate_pairs(postings: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
     """group, d1, text (compressed) of the wanted digests' groups."""
     ids = groups.join(wanted, "d1", "left_semi").select(F.col("rep").alias("row_key"), "group", F.col("d1").alias("_1"), F.col("d2").alias("_2"))
+    ids = staged(ids, "jaccard-wanted")
     if ids.count() <= BROADCAST_IDS:  # a checked size; beyond it the join shuffles
         ids = F.broadcast(ids)
 
@@ -275,7 +290,10 @@ def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links (a, b) of groups among candidate pairs (a, b) of digests, each decided on the whole texts."""
-    pairs = pairs.distinct()
+    known = groups.select("d1", "n", "bits", "group")
+    side = lambda k: known.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("group").alias(f"g_{k}"))
+    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_not_refuted("n_a", "n_b", "bits_a", "bits_b") & (F.col("g_a") != F.col("g_b")))
+    pairs = staged(pairs.select("a", "b").distinct(), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
     texts = staged(_texts(docs, groups, wanted), "jaccard-texts")
     left = texts.select(F.col("d1").alias("a"), F.col("group").alias("ga"), F.col("packed").alias("pa"))
@@ -313,32 +331,23 @@ def verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
     return arrow_map(met, compare, "a long, b long")
 
 
-def _across(entries: DataFrame, groups: DataFrame, links: DataFrame, everything: bool, salt: int) -> DataFrame:
-    """Pairs across components in long runs: chains of them, or all."""
-    found = components(links)
-    named = groups.select(F.col("d1").alias("b"), "group").join(found.withColumnRenamed("node", "group"), "group", "left").select("b", F.coalesce("component", "group").alias("component"))
-    entries = entries.join(named, "b")
-    torn = entries.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("a")
-    entries = staged(entries.join(torn, "a").select("a", "b", "size", "component"), "jaccard-torn")
-    if not everything:
-        def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                token, gid, size, comp = (c.to_numpy() for c in batch.columns)
-                run = np.unique(token, return_inverse=True)[1]
-                a, b = _chains(run, gid, size, salt)
-                a, b = a[comp[a] != comp[b]], b[comp[a] != comp[b]]
-                pairs = _pair_rows(gid, size, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        dealt = entries.repartition(shuffle_partitions(entries.sparkSession), "a").sortWithinPartitions("a", F.xxhash64("component", F.lit(salt)))
-        return arrow_map(dealt, chain, "a long, b long")
-    other = entries.select("a", F.col("b").alias("c"), F.col("size").alias("size_c"), F.col("component").alias("component_c"))
-    low, high = F.least("size", "size_c"), F.greatest("size", "size_c")
-    pairs = entries.join(other, "a").where((F.col("component") < F.col("component_c")) & (4 * low >= 3 * high))
-    return pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame, chain_rounds: int = 2) -> DataFrame:
+def _across(entries: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests across components within long runs, but for those that sizes or bitmaps refute."""
+    found = components(links).withColumnRenamed("node", "group")
+    named = groups.join(found, "group", "left").select(F.col("d1").alias("b"), F.coalesce("component", "group").alias("component"), "n", "bits")
+    entries = entries.select("a", "b").join(named.select("b", "component"), "b")
+    least = entries.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, 8).alias("least"))
+    sizes = entries.groupBy("a", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("a").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("a", "main")
+    torn = staged(entries.join(main, "a").select("a", "b", "component", "main"), "jaccard-torn").join(named.drop("component").join(least, "b"), "b")
+    minor = torn.where(F.col("component") != F.col("main")).select("a", "b", "component", "n", "bits", "least")
+    other = torn.select("a", F.col("b").alias("c"), *[F.col(x).alias(f"{x}_c") for x in ("component", "n", "bits", "least")])
+    once = F.coalesce(F.array_min(F.array_intersect("least", "least_c")), minor["a"]) == minor["a"]  # at one shared shingle, where both lists have one
+    pairs = minor.join(other, (minor["a"] == other["a"]) & (F.col("component") != F.col("component_c")) & _not_refuted("n", "n_c", "bits", "bits_c") & once)
+    return pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id, group of every row of docs (doc_id, text; other columns are left aside).
 
     component_id is the smallest doc_id that links reach, the row's own included; group is the smallest row key of its set. Rows
@@ -352,20 +361,14 @@ def similar_groups(docs: DataFrame, chain_rounds: int = 2) -> DataFrame:
     rows, postings = groups_and_postings(docs, key, n)
     rows = staged(rows, "jaccard-rows")
     full = rows.where(F.col("n") > 0)
-    groups = staged(full.groupBy("d1", "d2", "n").agg(F.min("row_key").alias("rep")).withColumn("group", F.col("rep")), "jaccard-groups")
+    groups = staged(full.groupBy("d1", "d2", "n").agg(F.min("row_key").alias("rep"), F.first("bits").alias("bits")).withColumn("group", F.col("rep")), "jaccard-groups")
     met = staged(candidate_pairs(postings), "jaccard-candidates")
-    tried = met.where(F.col("kind") == 0).select("a", "b")
-    links = staged(verified(docs, groups, tried), "jaccard-links")
+    links = staged(verified(docs, groups, met.where(F.col("kind") == 0).select("a", "b")), "jaccard-links")
     entries = met.where(F.col("kind") == 1).select("a", "b", "size")
     if entries.head(1):
-        for k in range(chain_rounds + 1):
-            pairs = staged(_across(entries, groups, links, k == chain_rounds, 7 * k + 1).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-            if not pairs.head(1):
-                continue
-            tried = tried.unionByName(pairs)
-            links = links.unionByName(staged(verified(docs, groups, pairs), "jaccard-links"))
+        links = links.unionByName(staged(verified(docs, groups, _across(entries, groups, links)), "jaccard-links"))
     found = components(links).withColumnRenamed("node", "group")
-    named = full.join(groups.drop("rep"), ["d1", "d2", "n"]).join(found, "group", "left").withColumn("component", F.coalesce("component", "group"))
+    named = full.drop("bits").join(groups.drop("rep", "bits"), ["d1", "d2", "n"]).join(found, "group", "left").withColumn("component", F.coalesce("component", "group"))
     named = staged(named.select("row_key", "doc_id", "n", "group", "component"), "jaccard-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component").select("row_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "group")
