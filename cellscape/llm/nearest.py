@@ -7,6 +7,11 @@ estimated chance that a neighbour at that distance lies there, until these chanc
 neighbour is missed by all with a chance of about (1 - table_success) ** t. Candidates of all tables are merged and ranked by
 their exact distance. Buckets and candidates have no cap.
 
+The typical distance only starts a query. It is settled once it has k candidates and the chance to have met a neighbour at its own
+k-th exact distance, by the buckets it did visit, is that of the target. Else it visits the buckets that its own k-th distance asks
+for besides (the k-th distance can only fall then, so one such round settles it); where the cells either way can't reach the target
+at that distance, the list passes `WIDE_PROBES` a table, or fewer than k were found, it is compared with every row.
+
 Queries go in blocks of at most `QUERY_BLOCK`, whose vectors and probe lists are broadcast (a proven bound); the rows stay where
 they are and give at most k rows a query and task, whatever the number of copies of a vector.
 """
@@ -31,6 +36,7 @@ TABLE_SUCCESS = 0.3
 WIDTH_SHARE = 1.6
 FIT_ROWS = 2_048
 QUERY_BLOCK = 512
+WIDE_PROBES = 2_048
 ROW_CHUNK = 4_096
 SEED = 71
 
@@ -56,28 +62,40 @@ class Hasher:
         with np.errstate(over="ignore"):
             return (parts * self.multiplier).sum(2)
 
-    def probes(self, x: np.ndarray, success: float) -> list[list[np.ndarray]]:
-        """For each query and table the keys to visit, likeliest first."""
+    def chances(self, x: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Log chance, [query, table, hash, cell either way], that a neighbour at the query's distance lies there."""
         at = self.cells(x)
-        home = np.floor(at)
-        inside = (at - home).reshape(len(x), self.tables, self.hashes)
-        edges = (np.arange(-REACH, REACH + 2) - inside[..., None]) * (self.width / self.distance)
-        chance = np.diff(0.5 * (1 + _erf(edges / math.sqrt(2))), axis=-1)
-        log = np.log(np.maximum(chance, 1e-300))
-        base = self.keys(home)
-        with np.errstate(over="ignore"):
-            moves = (self.offsets * self.multiplier).sum(1)
+        inside = (at - np.floor(at)).reshape(len(x), self.tables, self.hashes)
+        edges = (np.arange(-REACH, REACH + 2) - inside[..., None]) * (self.width / np.maximum(distance, 1e-9 * self.distance))[:, None, None, None]
+        return np.log(np.maximum(np.diff(0.5 * (1 + _erf(edges / math.sqrt(2))), axis=-1), 1e-300))
+
+    def totals(self, log: np.ndarray) -> np.ndarray:
+        """Chance of each of the offsets, for the log chances [hash, cell] of a query and table."""
+        return np.exp(sum(log[j][self.offsets[:, j] + REACH] for j in range(self.hashes)))
+
+    def visits(self, x: np.ndarray, success: float, distance: np.ndarray) -> list[list[np.ndarray] | None]:
+        """For each query and table the offsets to visit, likeliest first; None for a query that can't reach success in every table."""
         out = []
-        for q in range(len(x)):
+        for log in self.chances(x, distance):
             mine = []
             for t in range(self.tables):
-                total = np.exp(sum(log[q, t, j][self.offsets[:, j] + REACH] for j in range(self.hashes)))
+                total = self.totals(log[t])
                 order = np.argsort(-total, kind="stable")
-                n = int(np.searchsorted(np.cumsum(total[order]), success)) + 1
-                mine.append(base[q, t] + moves[order[:n]])
-            out.append(mine)
+                mine.append(order[: int(np.searchsorted(np.cumsum(total[order]), success)) + 1])
+            out.append(mine if all(len(v) < len(self.offsets) for v in mine) else None)
         return out
 
+    def reached(self, x: np.ndarray, visits: list[list[np.ndarray]], distance: np.ndarray) -> np.ndarray:
+        """The chance that a neighbour at the query's distance was met in some table, by the offsets visited."""
+        return np.array([1 - np.prod([1 - min(1.0, self.totals(log[t])[v].sum()) for t, v in enumerate(mine)]) for log, mine in zip(self.chances(x, distance), visits, strict=True)])
+
+    def probes(self, x: np.ndarray, visits: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """For each query and table the keys of the offsets to visit."""
+        base = self.keys(np.floor(self.cells(x)))
+        with np.errstate(over="ignore"):
+            moves = (self.offsets * self.multiplier).sum(1)
+            return [[base[q, t] + moves[v] for t, v in enumerate(mine)] for q, mine in enumerate(visits)]
+
 
 def _erf(x: np.ndarray) -> np.ndarray:
     """Error function to about 1e-7 (rational approximation); only the order of visits depends on it."""
@@ -112,12 +130,12 @@ def fit_distance(rows: DataFrame, k: int) -> tuple[int, float]:
 
 
 class Block:
-    """A block of queries: ids, vectors, and for each table the probe keys, sorted, with the query of each."""
+    """A block of queries: ids, vectors, and for each table the probe keys, sorted, with the query of each; no tables: every row meets."""
 
-    def __init__(self, hasher: Hasher, ids: np.ndarray, x: np.ndarray, success: float):
-        self.ids, self.x, self.square, self.tables = ids, x, (x**2).sum(1), []
-        probes = hasher.probes(x, success)
-        for t in range(hasher.tables):
+    def __init__(self, hasher: Hasher, ids: np.ndarray, x: np.ndarray, visits: list[list[np.ndarray]] | None):
+        self.ids, self.x, self.square, self.tables = ids, x, (x**2).sum(1), None if visits is None else []
+        probes = None if visits is None else hasher.probes(x, visits)
+        for t in range(hasher.tables if visits is not None else 0):
             keys = np.concatenate([p[t] for p in probes])
             query = np.repeat(np.arange(len(x)), [len(p[t]) for p in probes])
             order = np.argsort(keys, kind="stable")
@@ -125,8 +143,8 @@ class Block:
 
     def candidates(self, keys: np.ndarray) -> np.ndarray:
         """Which [query, row] pairs meet in a bucket of some table."""
-        out = np.zeros((len(self.ids), len(keys)), dtype=bool)
-        for t, (probe, query) in enumerate(self.tables):
+        out = np.full((len(self.ids), len(keys)), self.tables is None)
+        for t, (probe, query) in enumerate(self.tables or []):
             bucket, of = np.unique(keys[:, t], return_inverse=True)
             low, high = np.searchsorted(probe, bucket), np.searchsorted(probe, bucket, side="right")
             hit = np.zeros((len(self.ids), len(bucket)), dtype=bool)
@@ -153,13 +171,13 @@ class Block:
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, table_success: float = TABLE_SUCCESS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (fewer, if there are fewer candidates), ties to smaller ids.
+    """query_id, rank, vec_id, score: the k nearest found of each query (fewer only if there are fewer other rows), ties to smaller ids.
 
     Both have vec_id and embedding; other columns are left aside. A query is no candidate of itself (of its vec_id). Vectors that
     are null, zero or hold null or non-finite components, rows without id, and vectors of another length than that of the
     smallest vec_id take no part on either side. A repeated vec_id is a candidate each time; an empty table gives no rows.
     """
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     spark = rows.sparkSession
     rows, queries = valid_vectors(rows), valid_vectors(queries)
     dim, distance = fit_distance(rows, k)
@@ -178,14 +196,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, table_success: flo
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query block")), F.lit(2 * blocks)))
     found = None
-    for b in range(2 * blocks if blocks > 1 else 1):
-        part = (asked.where(F.col("block") == b) if blocks > 1 else asked).select("vec_id", "embedding").orderBy("vec_id").toArrow()
-        if not part.num_rows:
-            continue
-        x = np.concatenate([_matrix(c, dim) for c in part.column("embedding").chunks])
-        block = spark.sparkContext.broadcast(Block(hasher.value, part.column("vec_id").to_numpy(), x, table_success))
 
-        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def passed(ids: np.ndarray, x: np.ndarray, slots: np.ndarray, visits: list | None) -> DataFrame:
+        """slot, query_id, vec_id, score: the k nearest of each of these queries among the rows they meet."""
+        block = spark.sparkContext.broadcast(Block(hasher.value, ids, x, visits))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = block.value
             held = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(asked.ids)
             for batch in batches:
@@ -194,10 +210,44 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, table_success: flo
                     keys = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     asked.best(part.column(0).to_numpy(), _matrix(part.column(1), dim), keys, k, held)
             n = [len(d) for d, _ in held]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked.ids, n)), pa.array(np.concatenate([i for _, i in held])), pa.array(np.concatenate([d for d, _ in held]))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(slots.astype(np.int32), n)), pa.array(np.repeat(asked.ids, n)), pa.array(np.concatenate([i for _, i in held])), pa.array(np.concatenate([d for d, _ in held]))], names=["slot", "query_id", "vec_id", "score"])
+
+        best = F.row_number().over(W.partitionBy("slot").orderBy("score", "vec_id"))
+        return staged(arrow_map(indexed, search, schema).withColumn("best", best).where(F.col("best") <= k).drop("best"), "ann-found")
 
-        one = arrow_map(indexed, search, schema)
-        found = one if found is None else found.unionByName(one)
+    for b in range(2 * blocks if blocks > 1 else 1):
+        part = (asked.where(F.col("block") == b) if blocks > 1 else asked).select("vec_id", "embedding").orderBy("vec_id").toArrow()
+        if not part.num_rows:
+            continue
+        ids, x = part.column("vec_id").to_numpy(), np.concatenate([_matrix(c, dim) for c in part.column("embedding").chunks])
+        visits = hasher.value.visits(x, table_success, np.full(len(x), distance))
+        some = np.array([v is not None for v in visits])
+        settled, widened = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+        if some.any():
+            slots = np.flatnonzero(some)
+            one = passed(ids[slots], x[slots], slots, [visits[q] for q in slots])
+            kth = np.full(len(x), np.inf)
+            for r in one.groupBy("slot").agg(F.count("*").alias("n"), F.max("score").alias("kth")).where(F.col("n") >= k).collect():
+                kth[r["slot"]] = r["kth"]
+            full = np.flatnonzero(np.isfinite(kth))
+            if len(full):
+                settled[full] = hasher.value.reached(x[full], [visits[q] for q in full], kth[full]) >= 1 - (1 - table_success) ** hasher.value.tables - 1e-9
+            full = full[~settled[full]]
+            own = {}
+            for q, wide in zip(full, hasher.value.visits(x[full], table_success, kth[full]) if len(full) else [], strict=True):
+                wide = wide and [np.union1d(v, w) for v, w in zip(visits[q], wide, strict=True)]
+                if wide and max(map(len, wide)) <= WIDE_PROBES:
+                    own[q] = wide
+            kept = one.where(F.col("slot").isin(np.flatnonzero(settled).tolist()))
+            found = kept if found is None else found.unionByName(kept)
+            if own:
+                slots = np.array(list(own))
+                widened[slots] = True
+                found = found.unionByName(passed(ids[slots], x[slots], slots, list(own.values())))
+        slots = np.flatnonzero(~settled & ~widened)
+        if len(slots):
+            one = passed(ids[slots], x[slots], slots, None)
+            found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))

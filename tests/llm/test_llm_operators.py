@@ -92,6 +92,25 @@ def test_nearest_and_bad_vectors(spark):
     assert nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_at_several_densities(spark):
+    rng = np.random.default_rng(5)
+    one = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+    copies, centres = one(1) + 1e-3 * rng.normal(size=(500, 64)), one(20)
+    x = np.concatenate((copies, centres[np.arange(500) % 20] + 0.02 * rng.normal(size=(500, 64)), one(500)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 25 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for third in range(3):
+        hits = 0
+        for q in range(500 * third, 500 * third + 500, 25):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            assert len(got[q]) == 10
+            hits += len(set(np.argsort(d)[:10]) & set(got[q]))
+        assert hits >= 0.95 * 200
+
+
 def test_language_and_tokens(spark):
     rows = [(i, t, s) for i, (t, s) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5 + [(None, None), ("123", "en")])]
     labelled = docs(spark, rows).withColumnRenamed("source", "lang")
