@@ -1,8 +1,9 @@
 """License scans (operator 5): a trained paragraph classifier, with DataFrame and SQL functions only.
 
-A paragraph is a line. Features are word 1- to 3-grams that hold a cue word; cue words are words of the training phrases that
-are rare in a bounded background sample of the corpus itself, so a paragraph without one has no feature and is no licence. That
-makes the search for cue words an exact filter: the classifier sees every paragraph that could score.
+A paragraph is a line, or a sentence wrapped over several lines between blank ones. Features are word 1- to 3-grams that hold a
+cue word; cue words are all words of the training phrases but function words, however frequent in the corpus, so a paragraph without
+one has no feature and is no licence. That makes the search for cue words an exact filter: the classifier sees every paragraph that
+could score, and its weights judge the frequent words.
 
 The classifier is a multinomial logistic regression with sparse (L1) weights, fitted on phrases of each family, on phrases about
 licences of no known family (class `unknown`), and on ordinary uses of the same words and background paragraphs (class `none`).
@@ -28,7 +29,6 @@ NONE, UNKNOWN = "none", "unknown"
 ACCEPT, CONFIRM = 0.5, 0.8
 BACKGROUND_ROWS = 2_000
 """Background paragraphs come from at most about so many documents, by a hash of doc_id; a bounded, documented sample."""
-CUE_SHARE = 0.002
 TEMPERATURES = tuple(0.25 * 2 ** (k / 2) for k in range(10))
 
 # Licence families, their names and the key phrases of their notices.
@@ -58,11 +58,13 @@ def tokens(text: Column) -> Column:
 def grams(words: Column, cues: Column) -> Column:
     """1- to 3-grams that hold a cue word."""
 
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(cues, w), i + 1)), lambda i: i.isNotNull())
+
     def runs(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.size(words) - (k - 1))
-        return F.when(F.size(words) >= k, F.transform(places, lambda i: F.concat_ws(" ", F.slice(words, i, k)))).otherwise(F.array().cast("array<string>"))
+        places = F.filter(F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(i - (k - 1), i)))), lambda i: (i >= 1) & (i <= F.size(words) - (k - 1)))
+        return F.transform(places, lambda i: F.concat_ws(" ", F.slice(words, i, k)))
 
-    return F.filter(F.concat(words, runs(2), runs(3)), lambda g: F.arrays_overlap(F.split(g, " "), cues))
+    return F.concat(runs(1), runs(2), runs(3))
 
 
 def training_phrases(spark: SparkSession) -> DataFrame:
@@ -72,12 +74,34 @@ def training_phrases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label string, text string").coalesce(1)
 
 
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, row (of docs), paragraph (first line, from 0), last (line), text: every line, and every sentence that goes over a line's end."""
+    clean = F.translate("text", "\x01\x02", "  ")
+    marked = F.transform(F.split(clean, "\n"), lambda line, i: F.when(line.rlike(r"^\s*$"), F.lit("\x02")).otherwise(F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x01"), line)))
+    cut = F.split(F.array_join(marked, "\n"), r"\x02|(?<=[.!?])\s+(?=(?:\x01\d+\x01)?\s*\p{Lu})")
+    wrapped = F.filter(F.transform(cut, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.contains("\n"))
+    number = lambda x, at: F.element_at(F.split(x, "\x01"), at).cast("int")
+    # a piece that starts inside a line has the number of the next line first
+    sentences = F.transform(wrapped, lambda x: F.struct((number(x, 2) - F.when(x.startswith("\x01"), 0).otherwise(1)).alias("paragraph"), number(x, -2).alias("last"), F.regexp_replace(x, r"\n?\x01\d+\x01", " ").alias("text")))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("paragraph"), i.alias("last"), line.alias("text")))
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(F.concat(lines, sentences)))
+
+
 def background(docs: DataFrame, rows: int = BACKGROUND_ROWS) -> DataFrame:
-    """Paragraphs of a bounded sample of documents."""
+    """Paragraphs (as of units) of a bounded sample of documents."""
     total = docs.count()
     share = min(1.0, rows / max(1, total))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence background")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    return sample.select(F.explode(F.split("text", "\n")).alias("text")).where(F.trim("text") != "")
+    return units(sample).where(F.trim("text") != "")
+
+
+def _templates() -> Column:
+    return F.create_map(*[x for k, ts in TEMPLATES.items() for x in (F.lit(k), F.array(*[tokens(F.lit(t)) for t in ts]))])
+
+
+def share(template: Column, words: Column) -> Column:
+    """The share of a template's words that are among words."""
+    return F.size(F.array_intersect(template, words)) / F.size(F.array_distinct(template))
 
 
 class Scanner:
@@ -107,14 +131,15 @@ def train(docs: DataFrame) -> Scanner:
     """Fit on the fixed phrases and a bounded background sample of docs (doc_id, text)."""
     spark = docs.sparkSession
     phrases = staged(training_phrases(spark).withColumn("words", tokens(F.col("text"))), "licence-phrases")
-    plain = staged(background(docs.select("doc_id", "text")).select(F.lit(NONE).alias("label"), "text").withColumn("words", tokens(F.col("text"))), "licence-background")
-    n = plain.count()
-    phrase_words = phrases.where(F.col("label") != NONE).select(F.explode("words").alias("w")).distinct()
-    common = plain.select(F.explode(F.array_distinct("words")).alias("w")).join(F.broadcast(phrase_words), "w").groupBy("w").count().where(F.col("count") > max(1, CUE_SHARE * n)).where(~F.col("w").isin(*_always()))
-    cues = sorted(r["w"] for r in phrase_words.join(common, "w", "left_anti").collect() if len(r["w"]) > 1 and r["w"] not in _never())
+    plain = staged(background(docs.select("doc_id", "text")).withColumn("label", F.lit(NONE)).withColumn("words", tokens(F.col("text"))), "licence-background")
+    cues = sorted(r["w"] for r in phrases.where(F.col("label") != NONE).select(F.explode("words").alias("w")).distinct().collect() if len(r["w"]) > 1 and r["w"] not in _never())
     labels = [NONE, UNKNOWN, *TEMPLATES]
     number = F.element_at(F.create_map(*[x for k, v in enumerate(labels) for x in (F.lit(v), F.lit(float(k)))]), F.col("label"))
-    unmarked = plain.where(~F.arrays_overlap("words", F.array(*map(F.lit, _always()))))  # what names a licence isn't known to be none
+    # what names a licence or repeats a template isn't known to be none, nor is a line of such a sentence
+    plain = staged(plain.withColumn("marked", F.arrays_overlap("words", F.array(*map(F.lit, _names()))) | F.exists(F.flatten(F.map_values(_templates())), lambda t: share(t, F.col("words")) >= CONFIRM)), "licence-marked")
+    m = plain.where("marked AND last > paragraph").select(F.col("row").alias("in_row"), F.col("paragraph").alias("first_line"), F.col("last").alias("last_line"))
+    within = (F.col("row") == F.col("in_row")) & (F.col("paragraph") >= F.col("first_line")) & (F.col("last") <= F.col("last_line"))
+    unmarked = plain.where("NOT marked AND last = paragraph").join(m, within, "left_anti").select("label", "text", "words")
     rows = phrases.unionByName(unmarked.limit(BACKGROUND_ROWS)).select(number.alias("label"), "text", grams(F.col("words"), F.array(*map(F.lit, cues))).alias("grams"))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5))).coalesce(2).cache()
     vectors = CountVectorizer(inputCol="grams", outputCol="features", minDF=2, binary=True, vocabSize=1 << 14).fit(rows)
@@ -127,9 +152,9 @@ def train(docs: DataFrame) -> Scanner:
     return Scanner(cues, vectors, model, labels, TEMPERATURES[best])
 
 
-def _always() -> list[str]:
-    """Words that stay cues though a corpus with many notices has them often."""
-    return ["license", "licence", "licensed", "licenses", "copyright", "reserved", "spdx", "apache", "gnu", "mit", "cc"]
+def _names() -> list[str]:
+    """Words that name a licence or stand in notices only; background paragraphs with one are not taken for ordinary ones."""
+    return ["license", "licence", "licensed", "licenses", "copyright", "reserved", "spdx", "apache", "gnu", "mit", "cc", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "affero", "bsd", "mpl", "mozilla", "cc0", "sharealike", "noncommercial", "redistribution", "redistributions", "hereby"]
 
 
 def _never() -> set[str]:
@@ -140,17 +165,22 @@ def _never() -> set[str]:
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """doc_id, paragraph, family, probability, overlap, confirmed: one row for each paragraph that isn't `none`.
 
-    docs has doc_id and text; other columns are left aside. paragraph counts lines from 0. probability is that of the family, or of
+    docs has doc_id and text; other columns are left aside. paragraph counts lines from 0; a wrapped sentence has that of its first
+    line. It gives a row for a family that none of its lines confirms, and stands for those of its lines that guess this family without
+    confirming it; where it confirms none, it gives a row only if its lines give none. probability is that of the family, or of
     not being `none` for `unknown`; overlap is the largest share of a template's words, of the predicted family, that the paragraph
     has. Null and empty texts and empty tables give no rows; repeated rows give theirs each; null ids are kept.
     """
-    rows = scanner.cued(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")))
-    rows = scanner.scored(rows).where(F.col("none") < 0.5)
-    templates = F.create_map(*[x for k, ts in TEMPLATES.items() for x in (F.lit(k), F.array(*[tokens(F.lit(t)) for t in ts]))])
-    overlap = F.array_max(F.transform(F.element_at(templates, F.col("guess")), lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(F.array_distinct(t))))
-    rows = rows.withColumn("overlap", overlap)
-    stands = (F.col("most") >= ACCEPT) & (F.col("overlap") >= CONFIRM)
-    return rows.select(
+    rows = scanner.scored(scanner.cued(units(docs))).where(F.col("none") < 0.5)
+    overlap = F.array_max(F.transform(F.element_at(_templates(), F.col("guess")), lambda t: share(t, F.col("words"))))
+    rows = rows.withColumn("overlap", overlap).withColumn("stands", (F.col("most") >= ACCEPT) & (F.col("overlap") >= CONFIRM))
+    found = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("paragraph", "last", "guess", "stands", "most", "none", "overlap")).alias("all"))
+    found = found.withColumn("sentences", F.filter("all", lambda u: u["last"] > u["paragraph"])).withColumn("lines", F.filter("all", lambda u: u["last"] == u["paragraph"]))
+    inside = lambda line, x: (line["paragraph"] >= x["paragraph"]) & (line["last"] <= x["last"])
+    lines = F.filter("lines", lambda u: u["stands"] | ~F.exists("sentences", lambda x: x["stands"] & inside(u, x) & (u["guess"] == x["guess"])))
+    sentences = F.filter("sentences", lambda x: ~F.exists("lines", lambda u: inside(u, x) & (~x["stands"] | u["stands"] & (u["guess"] == x["guess"]))))
+    stands = F.col("stands")
+    return found.select("doc_id", F.inline(F.concat(lines, sentences))).select(
         "doc_id", "paragraph", F.when(stands, F.col("guess")).otherwise(UNKNOWN).alias("family"),
         F.when(stands, F.col("most")).otherwise(1 - F.col("none")).alias("probability"), "overlap", stands.alias("confirmed"),
     )
