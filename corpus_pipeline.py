@@ -17,12 +17,23 @@ from cellscape.llm.toxicity import score_toxicity, train
 ORACLE_SQL = None
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with _id (their doc_id) and a doc_id of each row's own, staged so that it stays the same."""
+    return staged(docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), f"pipeline-keyed-{name}")
+
+
+def without(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The keyed rows but those of the doc_ids gone, with the columns of docs."""
+    left = rows.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return left.select(*[F.col("_id").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict as toxic; fitted on the labelled documents of sf_dir."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    scores = staged(score_toxicity(docs, model).select("doc_id", "predicted"), "pipeline-toxicity")
-    toxic = scores.where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].cast("long").eqNullSafe(F.col("_toxic")), "left_anti").select(*docs.columns)
+    rows = keyed(docs, "toxicity")
+    scores = staged(score_toxicity(rows, model).select("doc_id", "predicted"), "pipeline-toxicity")
+    return without(rows, scores.where("predicted = 1"), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +45,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that of the smallest doc_id. Documents without words stay."""
-    found = similar_groups(docs)
-    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.where(~stays).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """One document of each group of similar ones: that of the smallest doc_id (null comes last). Documents without words stay."""
+    rows = keyed(docs, "jaccard")
+    found = similar_groups(rows).where("n_shingles > 0").select("doc_id", "component_id")
+    found = staged(found.join(rows.select("doc_id", F.col("_id").cast("long").alias("_id")), "doc_id"), "pipeline-groups")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "doc_id")).alias("kept")).select(F.col("kept.doc_id").alias("_kept"))
+    return without(rows, found.join(kept, F.col("doc_id") == F.col("_kept"), "left_anti"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
+    rows = keyed(docs, "decontamination")
+    return without(rows, decontaminate(rows, table(spark, sf_dir, "benchmark")), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

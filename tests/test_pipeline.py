@@ -1,0 +1,20 @@
+"""Stages of the pipeline decide on rows, also where doc_ids are null or repeated."""
+
+from corpus_pipeline import decontamination, jaccard_join
+
+
+def text(name, n=30):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_rows_of_null_and_repeated_ids(spark, tmp_path):
+    a, b, c, d, leak = (text(x) for x in ("a", "b", "c", "d", "leak"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, c), (2, d), (None, leak), (3, leak), (3, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(1, a), (None, b), (2, c), (2, d), (3, leak), (3, text("e"))], key=key)
+    clean = decontamination(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, clean.collect()), key=key) == sorted([r for r in rows if r[1] != leak], key=key)
