@@ -4,7 +4,11 @@ A document's lines are cut at line feeds and stripped; blank ones don't count. T
 key (hash, k), so every key is unique in its document, as patience diff asks of its anchors. A key's owner is the document of
 smallest id that holds it. A later document is paired with the owner of each of its keys, never with all holders, so pairs grow
 with the lines, not with the square of a line's frequency; a rare line pairs the two documents that share it, and a line held by a
-third of all documents pairs each with one owner only, which covers it exactly.
+third of all documents pairs each with one owner only, which covers lines of `min_words` words exactly.
+
+The lines of a block of shorter lines may have several owners. So each shortest run of lines that reaches `min_words`, from a line
+on or up to a line, is a window with a key and an owner of its own (the k-th time a document holds it); every line of a shared block
+lies in a window of that block, so a later document loses the windows that an earlier one holds, whoever owns their lines.
 
 For each pair the anchors are aligned by patience diff (longest increasing chain); anchors that cross it are aligned again among
 themselves, so moved passages are found too. Runs of lines that are consecutive in both documents are blocks; blocks of at least
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellscape.llm.common import arrow_map, shuffle_partitions
+from cellscape.llm.common import arrow_map, shuffle_partitions, staged
 from cellscape.llm.textarrays import IS_SPACE, buffers, mix64, slices, span_hashes, word_bounds
 
 MIN_WORDS = 10
@@ -39,6 +43,32 @@ def stripped_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return word_starts[low[some]], word_ends[high[some] - 1], (high - low)[some]
 
 
+def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first line, line after the last, row, position of the first line) of every shortest run of several lines with min_words."""
+    data, offsets = buffers(col)
+    starts, ends, words = stripped_lines(data, offsets)
+    hashes, n = span_hashes(data, starts, ends), len(starts)
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    total = np.concatenate(([0], np.cumsum(words)))
+    ahead, back = np.searchsorted(total, total[:-1] + min_words), np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    first, after = np.concatenate((np.arange(n), back)), np.concatenate((ahead, np.arange(1, n + 1)))
+    fine = (first >= 0) & (after <= n) & (after - first > 1)
+    first, after = first[fine], after[fine]
+    fine = row[first] == row[after - 1]
+    first, after = np.divmod(np.unique(first[fine] * (n + 1) + after[fine]), n + 1)
+    key = np.zeros(len(first), dtype=np.uint64)
+    for k in range(int((after - first).max()) if len(first) else 0):
+        on = np.flatnonzero(first + k < after)
+        key[on] = mix64(mix64(key[on]) + hashes[first[on] + k])
+    order = np.lexsort((first, key, row[first]))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (key[order][1:] == key[order][:-1]) & (row[first][order][1:] == row[first][order][:-1])
+    begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.zeros(0, dtype=np.int64)
+    nth = np.empty(len(order), dtype=np.uint64)
+    nth[order] = (np.arange(len(order)) - begin).astype(np.uint64)
+    return mix64(key + nth), first, after, row[first], first - np.searchsorted(row, row[first])
+
+
 def line_keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, position in the row, words, start, end) of every non-blank line, in text order."""
     data, offsets = buffers(col)
@@ -149,12 +179,30 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    rows = arrow_map(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lines, "doc_id long, line long, position int, words int")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                key, first, after, row, position = windows(part.column(1), min_words)
+                line = line_keys(part.column(1))[0].view(np.int64) if len(key) else np.zeros(0, dtype=np.int64)
+                size = after - first
+                bounds = np.concatenate(([0], np.cumsum(size)))
+                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(line[np.arange(bounds[-1]) - np.repeat(bounds[:-1] - first, size)]))
+                ids = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64)), pa.array(position.astype(np.int32)), held], names=["doc_id", "run", "position", "lines"])
+
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = arrow_map(docs, lines, "doc_id long, line long, position int, words int")
     owners = rows.groupBy("line").agg(F.min(F.struct("doc_id", "position")).alias("owner"), F.count("*").alias("held")).where(F.col("held") > 1)
     owners = owners.select("line", F.col("owner.doc_id").alias("owner"), F.col("owner.position").alias("at"))
     anchors = rows.join(owners, "line").where(F.col("doc_id") > F.col("owner")).select("doc_id", "owner", "position", "at", "words", "line")
     dealt = anchors.repartition(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "owner", "position")
-    return arrow_map(dealt, align, "doc_id long, positions array<int>, lines array<long>")
+    aligned = arrow_map(dealt, align, "doc_id long, positions array<int>, lines array<long>").select("doc_id", F.inline(F.arrays_zip("positions", "lines"))).toDF("doc_id", "position", "line")
+    held = staged(arrow_map(docs, runs, "doc_id long, run long, position int, lines array<long>"), "line-runs")
+    first = held.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where(F.col("top") > F.col("owner")).select("run", "owner")
+    later = held.join(first, "run").where(F.col("doc_id") > F.col("owner")).select("doc_id", F.col("position").alias("at"), F.posexplode("lines").alias("k", "line"))
+    every = aligned.unionByName(later.select("doc_id", (F.col("at") + F.col("k")).alias("position"), "line"))
+    cut = every.groupBy("doc_id").agg(F.collect_set(F.struct("position", "line")).alias("cut"))
+    return cut.select("doc_id", F.col("cut.position").alias("positions"), F.col("cut.line").alias("lines"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -63,6 +63,13 @@ def test_line_dedup(spark):
     assert line_dedup(docs(spark, rows)).columns == [*docs(spark, rows).columns, "n_removed", "n_removed_chars"]
 
 
+def test_line_dedup_of_blocks_whose_lines_have_several_owners(spark):
+    block = [" ".join(f"l{i}w{k}" for k in range(5)) for i in range(12)]
+    rows = [(1, "\n".join(f"{line}\nother {i}" for i, line in enumerate(block[::2])), "a"), (2, "\n".join(["two", *block]), "a"), (3, "\n".join([*block, "three"]), "a"), (4, "\n".join(["four", block[3], "end"]), "a")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(docs(spark, rows)).collect()}
+    assert got[3] == ("three", 12) and all(got[i] == (rows[i - 1][1], 0) for i in (1, 2, 4))
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7), ["b", "a", None][i % 3]) for i in range(60)] + [(60, None, "a"), (60, None, "a")]
     one, two = (sorted((r.doc_id, r.size, r.taken, r.source or "") for r in mix(docs(spark, rows).repartition(n), block_words=2, shard_docs=7).collect()) for n in (1, 5))
