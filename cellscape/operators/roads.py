@@ -78,7 +78,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "length_m
         cut = graph.join(chosen.select("u"), "u", "left_anti").join(chosen.select(F.col("u").alias("v")), "v", "left_anti")
         joined = chosen.select(F.col("a.v").alias("u"), F.col("b.v").alias("v"), (F.col("a.w") + F.col("b.w")).alias("w"))
         joined = joined.unionByName(joined.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-        graph = staged(cut.select("u", "v", "w").unionByName(joined).groupBy("u", "v").agg(F.min("w").alias("w")), "paths-graph")
+        graph = staged(cut.select("u", "v", "w").unionByName(joined).groupBy("u", "v").agg(F.min("w").alias("w")), "paths-graph", instead_of=graph)
     dist = staged(sources.select("set", "node", F.lit(0.0).alias("dist")).distinct(), "paths-dist")
     front = dist
     for _ in range(max_rounds):
