@@ -1,18 +1,19 @@
 """Line dedup (operator 7): pairwise patience alignment of documents that share line hashes.
 
-A document's lines are cut at line feeds and stripped; blank ones don't count. The k-th occurrence of a line in a document has the
-key (hash, k), so every key is unique in its document, as patience diff asks of its anchors. A key's owner is the document of
-smallest id that holds it. A later document is paired with the owner of each of its keys, never with all holders, so pairs grow
-with the lines, not with the square of a line's frequency; a rare line pairs the two documents that share it, and a line held by a
-third of all documents pairs each with one owner only, which covers lines of `min_words` words exactly.
+A document's lines are cut at line feeds and stripped; blank ones don't count. What is hashed is the shortest run of lines that
+reaches `min_words` words, from a line on or up to a line: one line if it is long enough, else several. Such runs are far rarer than
+lines, and every line of a common block of `min_words` words lies in one that both documents hold. The k-th occurrence of a run in
+a document has the key (hash, k), so every key is unique in its document, as patience diff asks of its anchors.
 
-The lines of a block of shorter lines may have several owners. So each shortest run of lines that reaches `min_words`, from a line
-on or up to a line, is a window with a key and an owner of its own (the k-th time a document holds it); every line of a shared block
-lies in a window of that block, so a later document loses the windows that an earlier one holds, whoever owns their lines.
+A key's owner is the document of smallest id that holds it. A later document is paired with the owner of each of its keys, never
+with all holders, so pairs grow with the lines and not with the square of a run's frequency; nothing is lost by it, as a block
+shared with any earlier document is made of runs that the document shares with their owners too. Keys so frequent that they would
+fill a task by themselves (at most `4 x spark.sql.shuffle.partitions` of them can) get their owner by a broadcast, others by a
+shuffled join.
 
 For each pair the anchors are aligned by patience diff (longest increasing chain); anchors that cross it are aligned again among
-themselves, so moved passages are found too. Runs of lines that are consecutive in both documents are blocks; blocks of at least
-`min_words` words are deleted from the later document.
+themselves, so moved passages are found too. Anchors that continue each other by the same step in both documents are one block;
+blocks are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def stripped_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first line, line after the last, row, position of the first line) of every shortest run of several lines with min_words."""
+    """(key, first line, line after the last, row, position of the first line) of every shortest run of lines with min_words."""
     data, offsets = buffers(col)
     starts, ends, words = stripped_lines(data, offsets)
     hashes, n = span_hashes(data, starts, ends), len(starts)
@@ -52,7 +53,7 @@ def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
     total = np.concatenate(([0], np.cumsum(words)))
     ahead, back = np.searchsorted(total, total[:-1] + min_words), np.searchsorted(total, total[1:] - min_words, side="right") - 1
     first, after = np.concatenate((np.arange(n), back)), np.concatenate((ahead, np.arange(1, n + 1)))
-    fine = (first >= 0) & (after <= n) & (after - first > 1)
+    fine = (first >= 0) & (after <= n)
     first, after = first[fine], after[fine]
     fine = row[first] == row[after - 1]
     first, after = np.divmod(np.unique(first[fine] * (n + 1) + after[fine]), n + 1)
@@ -69,22 +70,6 @@ def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return mix64(key + nth), first, after, row[first], first - np.searchsorted(row, row[first])
 
 
-def line_keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, position in the row, words, start, end) of every non-blank line, in text order."""
-    data, offsets = buffers(col)
-    starts, ends, words = stripped_lines(data, offsets)
-    hashes = span_hashes(data, starts, ends)
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    position = np.arange(len(row)) - np.searchsorted(row, row)
-    order = np.lexsort((position, hashes, row))
-    same = np.zeros(len(order), dtype=bool)
-    same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (row[order][1:] == row[order][:-1])
-    begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.zeros(0, dtype=np.int64)
-    nth = np.empty(len(order), dtype=np.uint64)
-    nth[order] = (np.arange(len(order)) - begin).astype(np.uint64)
-    return mix64(hashes + nth), row, position, words, starts - offsets[row], ends - offsets[row]
-
-
 def longest_chain(values: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence, by patience sorting."""
     tops: list[int] = []
@@ -115,19 +100,19 @@ def aligned_blocks(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         else:
             chain = rest[longest_chain(earlier[rest].tolist())]
         cut = np.ones(len(chain), dtype=bool)
-        cut[1:] = (np.diff(later[chain]) != 1) | (np.diff(earlier[chain]) != 1)
+        cut[1:] = np.diff(later[chain]) != np.diff(earlier[chain])
         block[chain] = n + np.cumsum(cut) - 1
         n = block[chain[-1]] + 1
         rest = np.setdiff1d(rest, chain, assume_unique=True)
     return block
 
 
-def _deleted(ids, owner, position, at, words, min_words: int) -> np.ndarray:
-    """Which anchors go, for rows sorted by document, owner and position."""
+def aligned(ids: np.ndarray, owner: np.ndarray, position: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A block number for each anchor, for rows sorted by document, owner and position; equal numbers are one block."""
     run = np.ones(len(ids), dtype=bool)
     run[1:] = (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1])
     cut = run.copy()
-    cut[1:] |= (np.diff(position) != 1) | (np.diff(at) != 1)
+    cut[1:] |= np.diff(position) != np.diff(at)
     block = np.cumsum(cut)
     starts = np.flatnonzero(run)
     falls = np.zeros(len(ids), dtype=bool)
@@ -139,30 +124,32 @@ def _deleted(ids, owner, position, at, words, min_words: int) -> np.ndarray:
         i, j = starts[r], stops[r]
         block[i:j] = top + aligned_blocks(position[i:j], at[i:j])
         top = block[i:j].max() + 1
-    total = np.bincount(block, weights=words, minlength=top + 1) if len(block) else np.zeros(0)
-    return total[block] >= min_words if len(block) else np.zeros(0, dtype=bool)
+    return block
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, positions, keys: the lines that go from each document that loses any."""
+    """doc_id, firsts, lasts, blocks, keys: the blocks that go from each document that loses any, each named by its anchors.
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    An anchor is a run's first line, the line after its last and its key, by which a row of a repeated doc_id knows its own runs.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                key, row, position, words, _, _ = line_keys(part.column(1))
-                ids = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64)), pa.array(position.astype(np.int32)), pa.array(words.astype(np.int32))], names=["doc_id", "line", "position", "words"])
+                key, first, after, row, position = windows(part.column(1), min_words)
+                ids = part.column(0).to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64)), pa.array(position.astype(np.int32)), pa.array((after - first).astype(np.int32))], names=["doc_id", "run", "position", "size"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
-            ids, owner, position, at, words = (rows.column(c).to_numpy() for c in ("doc_id", "owner", "position", "at", "words"))
-            gone = _deleted(ids, owner, position, at, words, min_words)
-            ids, place, key = ids[gone], position[gone], rows.column("line").to_numpy()[gone]
+            ids, owner, position, at, size, key = (rows.column(c).to_numpy() for c in ("doc_id", "owner", "position", "at", "size", "run"))
+            block = aligned(ids, owner, position, at)
             first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else np.zeros(0, dtype=np.int64)
             bounds = pa.array(np.append(first, len(ids)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.ListArray.from_arrays(bounds, pa.array(place)), pa.ListArray.from_arrays(bounds, pa.array(key))], names=["doc_id", "positions", "lines"])
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (position, position + size, block.astype(np.int64), key)]
+            return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], names=["doc_id", "firsts", "lasts", "blocks", "keys"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -179,30 +166,17 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                key, first, after, row, position = windows(part.column(1), min_words)
-                line = line_keys(part.column(1))[0].view(np.int64) if len(key) else np.zeros(0, dtype=np.int64)
-                size = after - first
-                bounds = np.concatenate(([0], np.cumsum(size)))
-                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(line[np.arange(bounds[-1]) - np.repeat(bounds[:-1] - first, size)]))
-                ids = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64)), pa.array(position.astype(np.int32)), held], names=["doc_id", "run", "position", "lines"])
-
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = arrow_map(docs, lines, "doc_id long, line long, position int, words int")
-    owners = rows.groupBy("line").agg(F.min(F.struct("doc_id", "position")).alias("owner"), F.count("*").alias("held")).where(F.col("held") > 1)
-    owners = owners.select("line", F.col("owner.doc_id").alias("owner"), F.col("owner.position").alias("at"))
-    anchors = rows.join(owners, "line").where(F.col("doc_id") > F.col("owner")).select("doc_id", "owner", "position", "at", "words", "line")
-    dealt = anchors.repartition(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "owner", "position")
-    aligned = arrow_map(dealt, align, "doc_id long, positions array<int>, lines array<long>").select("doc_id", F.inline(F.arrays_zip("positions", "lines"))).toDF("doc_id", "position", "line")
-    held = staged(arrow_map(docs, runs, "doc_id long, run long, position int, lines array<long>"), "line-runs")
-    first = held.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where(F.col("top") > F.col("owner")).select("run", "owner")
-    later = held.join(first, "run").where(F.col("doc_id") > F.col("owner")).select("doc_id", F.col("position").alias("at"), F.posexplode("lines").alias("k", "line"))
-    every = aligned.unionByName(later.select("doc_id", (F.col("at") + F.col("k")).alias("position"), "line"))
-    cut = every.groupBy("doc_id").agg(F.collect_set(F.struct("position", "line")).alias("cut"))
-    return cut.select("doc_id", F.col("cut.position").alias("positions"), F.col("cut.line").alias("lines"))
+    partitions = shuffle_partitions(docs.sparkSession)
+    held = staged(arrow_map(docs, runs, "doc_id long, run long, position int, size int"), "line-runs")
+    share = max(1, held.count() // (4 * partitions))
+    first = held.groupBy("run").agg(F.min(F.struct("doc_id", "position")).alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where(F.col("top") > F.col("owner.doc_id"))
+    first = staged(first.select("run", F.col("owner.doc_id").alias("owner"), F.col("owner.position").alias("at"), "n"), "line-owners")
+    hot, cold = F.broadcast(first.where(F.col("n") > share)), first.where(F.col("n") <= share)
+    owned = held.join(hot, "run").unionByName(held.join(hot.select("run"), "run", "left_anti").join(cold, "run"))
+    anchors = owned.where(F.col("doc_id") > F.col("owner")).select("doc_id", "owner", "position", "at", "size", "run")
+    dealt = anchors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id", "owner", "position")
+    return arrow_map(dealt, align, "doc_id long, firsts array<int>, lasts array<int>, blocks array<long>, keys array<long>")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -212,9 +186,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one document and aren't compared with each other, and an empty table gives none. Every row stays, if with an empty text.
     A cut line goes with its line feed. Names: a column n_removed or n_removed_chars of docs would be replaced.
     """
-    gone = removals(docs, min_words).select(F.col("doc_id").alias("_id"), "positions", "lines")
+    gone = removals(docs, min_words).select(F.col("doc_id").alias("_id"), F.struct("firsts", "lasts", "keys").alias("gone"))
     kept = [c for c in docs.columns if c not in ("text", "n_removed", "n_removed_chars")]
-    joined = docs.select(F.struct(*kept).alias("row"), "text", F.col("doc_id").cast("long").alias("_doc")).join(gone, F.col("_doc") == F.col("_id"), "left").select("row", "text", "positions", "lines")
+    joined = docs.select(F.struct(*kept).alias("row"), "text", F.col("doc_id").cast("long").alias("_doc")).join(gone, F.col("_doc") == F.col("_id"), "left").select("row", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +199,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 if len(hit):
                     texts = column.to_pylist()
                     some = part.take(pa.array(hit))
-                    cuts = cut_lines(some.column(1), some.column(2).to_pylist(), some.column(3).to_pylist())
+                    cuts = cut_runs(some.column(1), some.column(2).to_pylist(), min_words)
                     for d, (left, n) in zip(hit, cuts, strict=True):
                         counts[d], chars[d] = n, len(texts[d] or "") - len(left)
                         texts[d] = left if texts[d] is not None else None
@@ -237,16 +211,24 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return arrow_map(joined, cut, schema).select(*order, "n_removed", "n_removed_chars")
 
 
-def cut_lines(col: pa.Array, positions: list[list[int]], lines: list[list[int]]) -> list[tuple[str, int]]:
-    """(text left, lines cut) of each row; a position whose line is another one is another row's of that doc_id and is left alone."""
-    key, row, _, _, starts, ends = line_keys(col)
-    key, bound, out = key.view(np.int64), np.searchsorted(row, np.arange(len(col) + 1)), []
+def cut_runs(col: pa.Array, gone: list[dict], min_words: int) -> list[tuple[str, int]]:
+    """(text left, lines cut) of each row; an anchor whose run isn't this row's is another row's of that doc_id and is left alone."""
+    key, _, _, row, position = windows(col, min_words)
+    key, bound = key.view(np.int64), np.searchsorted(row, np.arange(len(col) + 1))
+    data, offsets = buffers(col)
+    starts, ends, _ = stripped_lines(data, offsets)
+    line = np.searchsorted(starts, offsets)
+    out = []
     for d, text in enumerate(col.to_pylist()):
-        i, raw, kept, at, n = bound[d], (text or "").encode(), [], 0, 0
-        for p, k in sorted(zip(positions[d], lines[d], strict=True)):
-            if i + p < bound[d + 1] and key[i + p] == k:
-                begin, stop = raw.rfind(b"\n", 0, starts[i + p]) + 1, raw.find(b"\n", ends[i + p])
-                kept.append(raw[at : max(at, begin)])
-                at, n = len(raw) if stop < 0 else stop + 1, n + 1
-        out.append(((b"".join(kept) + raw[at:]).decode(), n))
+        mine = set(zip(position[bound[d] : bound[d + 1]].tolist(), key[bound[d] : bound[d + 1]].tolist(), strict=True))
+        cut = np.zeros(line[d + 1] - line[d], dtype=bool)
+        for p, q, k in zip(gone[d]["firsts"], gone[d]["lasts"], gone[d]["keys"], strict=True):
+            if (p, k) in mine:
+                cut[p:q] = True
+        raw, kept, at = (text or "").encode(), [], 0
+        for i in np.flatnonzero(cut):
+            begin, stop = raw.rfind(b"\n", 0, starts[line[d] + i] - offsets[d]) + 1, raw.find(b"\n", ends[line[d] + i] - offsets[d])
+            kept.append(raw[at : max(at, begin)])
+            at = len(raw) if stop < 0 else stop + 1
+        out.append(((b"".join(kept) + raw[at:]).decode(), int(cut.sum())))
     return out
