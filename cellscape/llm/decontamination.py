@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 10): a BM25 inverted index of test items, searched with block-max WAND.
 
-Every document is cut into passages of 2 x `stride` words that overlap by half; `stride` is at least the longest item of the
-block, so an item's text lies whole in some passage. Each passage is a query. Scores are BM25 contributions divided by the item's
-own score, so an item's copy scores 1 and one threshold holds for all.
+Items are indexed by length class (up to 64 words, up to 128, and so on); the passages that are searched for a class are 2 x
+`stride` words long and overlap by half, `stride` being the class's longest length, so an item's text lies whole in some passage and
+an item's passages depend on its own length alone. Each passage is a query. Scores are BM25 contributions divided by the item's own
+score, so an item's copy scores 1 and one threshold holds for all. Document frequencies and the mean length are those of all items.
 
 The search is block-max WAND, a slice of passages at a time. An item's terms of smallest contribution, together at most half the
 threshold, are non-essential: a passage that has only these can't reach it. Postings of the essential terms lie in blocks of
@@ -10,7 +11,10 @@ threshold, are non-essential: a passage that has only these can't reach it. Post
 passage's terms; only where it reaches what the block's easiest item needs are postings opened, and only items that reach
 their own need are scored in full. Nothing above the threshold is lost, whatever the passage.
 
-The index is broadcast in parts of at most `INDEX_WORDS` words of items; further parts are further passes over the documents.
+The indexes are broadcast in parts of about `INDEX_WORDS` words of items; further parts are further passes over the documents, with
+the same statistics and so the same scores.
+
+An item's answer is its column `answer`, if the items have one, else the last quarter of its words (`ANSWER_SHARE`).
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellscape.llm.common import arrow_map
+from cellscape.llm.common import arrow_map, staged
 from cellscape.llm.textarrays import LOWER, Words, buffers, shingle_hashes, slices, span_hashes, word_bounds
 
 K1, B = 1.2, 0.75
@@ -71,8 +75,45 @@ class Index:
     stride: int
 
 
-def build_index(ids: list[int | None], texts: list[str], threshold: float = THRESHOLD) -> Index:
-    """Index of the items that have a word."""
+@dataclass
+class Statistics:
+    """Of all items with a word: how many, their mean length, and how many hold each of some terms (sorted hashes)."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    held: np.ndarray
+
+
+def statistics(w: Words) -> Statistics:
+    """Statistics of the items of w themselves."""
+    sizes = np.diff(w.first)
+    pairs = np.unique(np.stack([w.hashes, w.doc.astype(np.uint64)], axis=1), axis=0) if len(w.hashes) else np.zeros((0, 2), dtype=np.uint64)
+    terms, held = np.unique(pairs[:, 0], return_counts=True)
+    return Statistics(int((sizes > 0).sum()), float(sizes[sizes > 0].mean()) if (sizes > 0).any() else 1.0, terms, held)
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """0 for up to MIN_STRIDE words, 1 for up to twice as many, and so on."""
+    return np.ceil(np.log2(np.maximum(sizes, MIN_STRIDE) / MIN_STRIDE)).astype(np.int64)
+
+
+def build_indexes(ids: list[int | None], texts: list[str], answers: list[str | None], known: Statistics | None = None, threshold: float = THRESHOLD) -> list[Index]:
+    """An index for each length class; known are the statistics of a larger set of items that these are part of."""
+    whole = [t if a is None else f"{t}\n{a}" for t, a in zip(texts, answers, strict=True)]
+    w = plain_words(pa.array(whole, pa.string()))
+    asked = np.diff(plain_words(pa.array(texts, pa.string())).first)
+    cuts = [int(n) if a is not None else None for n, a in zip(asked, answers, strict=True)]
+    known, sizes = known or statistics(w), np.diff(w.first)
+    out = []
+    for c in np.unique(length_class(sizes[sizes > 0])):
+        mine = np.flatnonzero((sizes > 0) & (length_class(sizes) == c))
+        out.append(build_index([ids[i] for i in mine], [whole[i] for i in mine], [cuts[i] for i in mine], known, MIN_STRIDE << int(c), threshold))
+    return out
+
+
+def build_index(ids: list[int | None], texts: list[str], cuts: list[int | None], known: Statistics, stride: int, threshold: float = THRESHOLD) -> Index:
+    """Index of the items that have a word; cuts are the words before an item's answer, where it is known."""
     w = plain_words(pa.array(texts, pa.string()))
     sizes = np.diff(w.first)
     some = np.flatnonzero(sizes > 0)
@@ -82,9 +123,8 @@ def build_index(ids: list[int | None], texts: list[str], threshold: float = THRE
         t, c = np.unique(code[w.first[i] : w.first[i + 1]], return_counts=True)
         item_terms.append(t)
         counts.append(c)
-    held = np.bincount(np.concatenate(item_terms), minlength=len(terms)) if len(some) else np.zeros(len(terms), dtype=np.int64)
-    mean = sizes[some].mean() if len(some) else 1.0
-    idf = np.log1p((len(some) - held + 0.5) / (held + 0.5))
+    held, mean = known.held[np.searchsorted(known.terms, terms)], known.mean
+    idf = np.log1p((known.items - held + 0.5) / (held + 0.5))
     weights, need, question, answer = [], [], [], []
     rows_t, rows_i, rows_w = [], [], []
     for k, i in enumerate(some):
@@ -100,9 +140,9 @@ def build_index(ids: list[int | None], texts: list[str], threshold: float = THRE
         rows_i.append(np.full(len(essential), k))
         rows_w.append(x[essential])
         mine = w.hashes[w.first[i] : w.first[i + 1]]
-        cut = len(mine) - max(1, int(len(mine) * ANSWER_SHARE)) if len(mine) > 1 else 0
+        cut = cuts[i] if cuts[i] is not None else len(mine) - max(1, int(len(mine) * ANSWER_SHARE)) if len(mine) > 1 else 0
         question.append(_units(mine[:cut] if cut else mine))
-        answer.append(np.unique(mine[cut:]))
+        answer.append(np.unique(mine[cut:] if cut < len(mine) else mine))
     t, i, x = (np.concatenate(v) if v else np.zeros(0) for v in (rows_t, rows_i, rows_w))
     t, i = t.astype(np.int64), i.astype(np.int64)
     order = np.lexsort((i, t))
@@ -115,7 +155,7 @@ def build_index(ids: list[int | None], texts: list[str], threshold: float = THRE
     return Index(
         [ids[i] for i in some], terms, item_terms, weights, need_, block_need,
         np.searchsorted(pairs // max(1, n_blocks), np.arange(len(terms) + 1)), pairs % max(1, n_blocks), block_max,
-        np.searchsorted(t, np.arange(len(terms) + 1)), i, x, question, answer, max(MIN_STRIDE, int(sizes.max(initial=0))),
+        np.searchsorted(t, np.arange(len(terms) + 1)), i, x, question, answer, stride,
     )
 
 
@@ -184,36 +224,56 @@ def verify(index: Index, item: int, words: np.ndarray) -> tuple[float, float]:
     return float(np.isin(question, have).mean()), float(np.isin(answer, have).mean())
 
 
-def _parts(items: DataFrame, limit: int) -> Iterator[Index]:
-    """Indexes of the items, dealt by a hash of the id into parts of about `limit` words at most; statistics are each part's own."""
-    words = F.size(F.split(F.col("text"), r"\s+"))
-    sized = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = max(1, -(-(sized.agg(F.sum(words)).first()[0] or 0) // limit))
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, held: items of a batch that hold it; a null term has the items with a word, and their words in `words`."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            w = plain_words(part.column(0))
+            s = statistics(w)
+            yield pa.RecordBatch.from_arrays([pa.array([*s.terms.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(s.held, s.items).astype(np.int64)), pa.array(np.append(np.zeros(len(s.terms)), len(w.hashes)).astype(np.int64))], names=["term", "held", "words"])
+
+
+def _parts(items: DataFrame, limit: int, threshold: float) -> Iterator[list[Index]]:
+    """Indexes of the items, dealt by a hash of the row into parts of about `limit` words."""
+    answer = F.col("answer") if "answer" in items.columns else F.lit(None)
+    sized = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", answer.cast("string").alias("answer"))
+    whole = F.concat_ws("\n", "text", "answer")
+    parts = max(1, -(-(sized.agg(F.sum(F.size(F.split(whole, r"\s+")))).first()[0] or 0) // limit))
+    counts = None
+    if parts > 1:
+        counts = staged(arrow_map(sized.select(whole.alias("text")), _term_counts, "term long, held long, words long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("words").alias("words")), "benchmark-terms")
+        total = counts.where(F.col("term").isNull()).first()
     for k in range(parts):
         part = sized if parts == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = sorted(part.collect(), key=lambda r: (r[0] is None, r[0], r[1]))
-        yield build_index([r[0] for r in rows], [r[1] for r in rows])
+        known = None
+        if counts is not None:
+            mine = arrow_map(part.select(whole.alias("text")), _term_counts, "term long, held long, words long").where(F.col("term").isNotNull()).select("term").distinct()
+            found = counts.select("term", "held").join(mine, "term").toArrow()
+            term, held = found.column("term").to_numpy().view(np.uint64), found.column("held").to_numpy()
+            order = np.argsort(term)
+            known = Statistics(total["held"], total["words"] / max(1, total["held"]), term[order], held[order])
+        yield build_indexes([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], known, threshold)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, item_id, word_at, score, question_overlap, answer_overlap: each item that a document repeats, at its best passage.
 
-    docs (doc_id, text) and items (item_id, text); other columns are left aside. Null and empty texts on either side match
+    docs (doc_id, text) and items (item_id, text, and answer if there is one); other columns are left aside. Null and empty texts on either side match
     nothing, and so do items without letters or digits; repeated rows of a doc_id give the best of them; ties go to the first
     passage; with empty tables there are no rows. An item of one word is question and answer at once.
     """
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("item_id", T.LongType()), ("word_at", T.IntegerType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType()))])
     found = None
-    for index in _parts(items, INDEX_WORDS):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _parts(items, index_words, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 for part in slices(batch, "text"):
                     w = plain_words(part.column(1))
                     rows = []
-                    for row, item, begin, end, score in search(index, w, threshold):
+                    for index, (row, item, begin, end, score) in ((x, found) for x in shared.value for found in search(x, w, threshold)):
                         question, answer = verify(index, item, w.hashes[begin:end])
                         if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
                             rows.append((part.column(0)[row].as_py(), index.item_ids[item], begin - int(w.first[row]), score, question, answer))
