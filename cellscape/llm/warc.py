@@ -4,7 +4,8 @@
 text and a `metadata` record (application/warc-fields) with title, language, links, source headers and digests. Both carry
 WARC-Refers-To, the target URI and date of their response; the metadata names the conversion in WARC-Concurrent-To. Digests are
 SHA-1 in base 32. `serialised` gives a record's bytes (WARC/1.1), so the parts of a table are WARC files when written in order.
-Identifiers are name-based, so a rerun makes the same records.
+Identifiers are name-based (kind, page, address, payload), so a rerun makes the same records; only rows that share a page_id and
+address are told apart by their place in the table too. A table of pages has no fetch times, so the date is a parameter.
 """
 
 from __future__ import annotations
@@ -18,18 +19,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellscape.llm.common import arrow_map
 from cellscape.llm.textarrays import slices
 
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|main|aside|blockquote|pre|body|head|title|form)|br)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*(?:>|\Z)")
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9]*))")
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template")}
+_BREAK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol tr table section article nav header footer main aside blockquote pre body head title form br".split())
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
 RECORD = T.StructType(
@@ -43,22 +44,62 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def record_id(kind: str, page_id: int | None, url: str | None, payload: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {url} {payload}')}>"
+def record_id(kind: str, page_id: int | None, url: str | None, payload: str, nth: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {url} {payload}' + (f' {nth}' if nth else ''))}>"
+
+
+def _unescaped(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
+
+
+def parse(page: str) -> tuple[str, str, str, list[str]]:
+    """Text, title, language and links of a page, in one pass over its tags.
+
+    Comments, scripts and styles are dropped (to the end, if they aren't closed), block elements are on lines of their own, entities
+    are resolved; a title that isn't closed is none.
+    """
+    out: list[str] = []
+    title, lang, links, begun, at = None, "", [], None, 0
+    while (tag := _OPEN.search(page, at)) is not None:
+        out.append(page[at : tag.start()])
+        comment = tag[0] == "<!--"
+        end = page.find("-->" if comment else ">", tag.end())
+        if end < 0:
+            at = len(page)
+            break
+        at = end + (3 if comment else 1)
+        name, closing = (tag[2] or "").lower(), tag[1] == "/"
+        if comment:
+            out.append(" ")
+        elif name in _RAW and not closing:
+            last = _RAW[name].search(page, at)
+            at = last.end() if last else len(page)
+            out.append(" ")
+        elif name in _BREAK:
+            out.append("\n")
+            if name == "title" and title is None:
+                if not closing:
+                    begun = len(out) if begun is None else begun
+                elif begun is not None:
+                    title = "".join(out[begun:])
+        elif name == "html" and not lang and not closing:
+            found = _LANG.search(page, tag.end(), end)
+            lang = found[1] if found else ""
+        elif name == "a" and not closing:
+            found = _HREF.search(page, tag.end(), end)
+            links.append(_unescaped(next(filter(None, found.groups()), "")) if found else "")
+    out.append(page[at:])
+    text = _LINES.sub("\n", _SPACE.sub(" ", _unescaped("".join(out)))).strip()
+    return text, " ".join(_unescaped(title or "").split()), lang, [x for x in links if x]
 
 
 def plain_text(page: str) -> str:
-    """Text of a page: comments, scripts and styles dropped, block elements on lines of their own, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    text = html.unescape(text) if "&" in text else text
-    return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()
+    return parse(page)[0]
 
 
 def fields(page: str) -> tuple[str, str, list[str]]:
     """Title, language and links, in order of the page."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [html.unescape(next(filter(None, m), "")) for m in _LINK.findall(page)]
-    return " ".join(html.unescape(title[1]).split()) if title else "", lang[1] if lang else "", [x for x in links if x]
+    return parse(page)[1:]
 
 
 def _clean(value: str | None) -> str:
@@ -71,20 +112,29 @@ def response_headers(payload: bytes) -> bytes:
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """One response record a row of pages (page_id, url, html); a null page is an empty payload, other columns are left aside."""
+    """One response record a row of pages (page_id, url, html); a null page is an empty payload, other columns are left aside.
+
+    Rows of one page_id and address, exact repeats too, are records of their own. An empty table gives none.
+    """
+    again = pages.groupBy("page_id", "url").count().where("count > 1").select(F.col("page_id").alias("_id"), F.col("url").alias("_url"))
+    pages = pages.select("page_id", "url", "html", F.lit(0).cast("long").alias("nth"))
+    if again.head(1):
+        rows = pages.withColumn("nth", F.monotonically_increasing_id() + 1)
+        met = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")), "left")
+        pages = met.select("page_id", "url", "html", F.when(F.col("_id").isNotNull() | F.col("_url").isNotNull() | F.col("page_id").isNull() & F.col("url").isNull(), F.col("nth")).otherwise(0).alias("nth"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
                 rows = []
-                for page_id, url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for page_id, url, page, nth in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     payload = (page or "").encode()
                     head = response_headers(payload)
                     source = digest(payload)
-                    rows.append((page_id, "response", record_id("response", page_id, url, source), None, None, _clean(url), date, "application/http; msgtype=response", head.decode().strip(), digest(head + payload), source, len(head) + len(payload), head + payload))
+                    rows.append((page_id, "response", record_id("response", page_id, url, source, nth), None, None, _clean(url), date, "application/http; msgtype=response", head.decode().strip(), digest(head + payload), source, len(head) + len(payload), head + payload))
                 yield _batch(rows)
 
-    return arrow_map(pages.select("page_id", "url", "html"), run, RECORD)
+    return arrow_map(pages, run, RECORD)
 
 
 _ARROW = pa.schema([("page_id", pa.int64()), *[(f.name, pa.string()) for f in RECORD.fields[1:11]], ("content_length", pa.int64()), ("block", pa.binary())])
@@ -111,8 +161,8 @@ def derivatives(records: DataFrame) -> DataFrame:
                         continue
                     payload = (block or b"").partition(b"\r\n\r\n")
                     page = (payload[2] if payload[1] else payload[0]).decode("utf-8", "replace")
-                    text = plain_text(page).encode()
-                    title, lang, links = fields(page)
+                    text, title, lang, links = parse(page)
+                    text = text.encode()
                     text_id = record_id("conversion", page_id, uri, rid)
                     lines = [("title", title), ("language", lang), ("source-payload-digest", source), ("converted-digest", digest(text)), *[("source-header", h) for h in (headers or "").splitlines()], *[("outlink", x) for x in links]]
                     facts = "".join(f"{k}: {_clean(v)}\r\n" for k, v in lines if v).encode()
@@ -125,8 +175,9 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """page_id, record_type, warc: each record's bytes, named headers first."""
-    names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    """page_id, record_type, warc: each record's bytes, named headers first; a derivative has the source's header lines and payload
+    digest among them, and a row of null fields leaves their headers out."""
+    names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +186,8 @@ def serialised(records: DataFrame) -> DataFrame:
                 out = []
                 for k in range(part.num_rows):
                     head = "".join(f"{name}: {values[c][k]}\r\n" for name, c in names if values[c][k] is not None)
+                    if values["record_type"][k] != "response":
+                        head += "".join(f"WARC-Source-Header: {_clean(h)}\r\n" for h in (values["source_headers"][k] or "").splitlines())
                     out.append(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + (values["block"][k] or b"") + b"\r\n\r\n")
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("record_type"), pa.array(out, pa.binary())], names=["page_id", "record_type", "warc"])
 
