@@ -1,19 +1,20 @@
 """Approximate nearest neighbours (operator 4): multiprobe p-stable hashing.
 
-Each of `tables` tables hashes a vector by `hashes` Gaussian projections, shifted and cut into cells of a width that is a share of
+Each of `TABLES` tables hashes a vector by `HASHES` Gaussian projections, shifted and cut into cells of a width that is a share of
 the typical distance to the k-th neighbour. That distance comes from a bounded sample (`FIT_ROWS` rows by a hash of the id); every
 row is indexed. A query visits a table's buckets, its own and those perturbed by a cell either way in each projection, in order of the
 estimated chance that a neighbour at that distance lies there, until these chances add up to `table_success`; with t tables a
-neighbour is missed by all with a chance of about (1 - table_success) ** t. Candidates of all tables are merged and ranked by
-their exact distance. Buckets and candidates have no cap.
+neighbour is missed by all with a chance of about (1 - table_success) ** t.
+
+Rows and queries meet by a shuffle on the bucket, so distances are computed of candidates only, and the best k of a query and task
+go on. Buckets share tasks of about `TILE_ROWS` rows; a bucket with more rows, or more than `TILE_QUERIES` queries, is split into
+tiles, each with a part of its rows and a part of its queries. Of equal vectors only those of the k + 1 smallest ids can be among a
+query's nearest, so a group of copies is cut down to these before it is indexed. Buckets and candidates have no cap.
 
 The typical distance only starts a query. It is settled once it has k candidates and the chance to have met a neighbour at its own
 k-th exact distance, by the buckets it did visit, is that of the target. Else it visits the buckets that its own k-th distance asks
 for besides (the k-th distance can only fall then, so one such round settles it); where the cells either way can't reach the target
-at that distance, the list passes `WIDE_PROBES` a table, or fewer than k were found, it is compared with every row.
-
-Queries go in blocks of at most `QUERY_BLOCK`, whose vectors and probe lists are broadcast (a proven bound); the rows stay where
-they are and give at most k rows a query and task, whatever the number of copies of a vector.
+at that distance, the list passes `WIDE_PROBES` a table, or fewer than k were found, it is compared with every row, in tiles too.
 """
 
 from __future__ import annotations
@@ -21,23 +22,29 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from cellscape.llm.common import arrow_map, staged
+from cellscape.llm.textarrays import mix64
+from cellscape.shipping import ship
 
-TABLES, HASHES, REACH = 10, 8, 1
-TABLE_SUCCESS = 0.3
+TABLES, HASHES, REACH = 4, 5, 1
+TABLE_SUCCESS = 0.5
 WIDTH_SHARE = 1.6
 FIT_ROWS = 2_048
-QUERY_BLOCK = 512
-WIDE_PROBES = 2_048
-ROW_CHUNK = 4_096
+TILE_ROWS, TILE_QUERIES = 8_192, 2_048
+WIDE_PROBES = 200
+BROADCAST_TILES = 1_000_000
+EVERY_ROW = -1
+"""The key of the bucket that holds all rows; other keys are not negative."""
 SEED = 71
 
 
@@ -46,21 +53,23 @@ class Hasher:
 
     def __init__(self, dim: int, distance: float, tables: int = TABLES, hashes: int = HASHES, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.tables, self.hashes, self.distance = tables, hashes, distance
+        self.dim, self.tables, self.hashes, self.distance = dim, tables, hashes, distance
         self.width = WIDTH_SHARE * distance
         self.directions = rng.normal(size=(dim, tables * hashes))
         self.shift = rng.uniform(0, 1, size=tables * hashes)
-        self.multiplier = rng.integers(1, 1 << 62, size=hashes) * 2 + 1
+        self.multiplier = rng.integers(1, 1 << 62, size=(tables, hashes)) * 2 + 1
         self.offsets = np.array(list(itertools.product(range(-REACH, REACH + 1), repeat=hashes)))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.directions) / self.width + self.shift
 
     def keys(self, cell: np.ndarray) -> np.ndarray:
-        """Bucket keys, [row, table], of integer cells [row, table * hashes]."""
+        """Bucket keys, [row, table], of integer cells [row, table * hashes]: 63 bits, so two buckets might share one, to no harm."""
         parts = cell.astype(np.int64).reshape(len(cell), self.tables, self.hashes)
-        with np.errstate(over="ignore"):
-            return (parts * self.multiplier).sum(2)
+        return self.mixed((parts * self.multiplier).sum(2), np.arange(self.tables))
+
+    def mixed(self, sums: np.ndarray, table: np.ndarray | int) -> np.ndarray:
+        return (mix64(sums.view(np.uint64) + np.uint64(self.dim) * np.uint64(TABLES + 1) + np.uint64(1) * np.asarray(table, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
 
     def chances(self, x: np.ndarray, distance: np.ndarray) -> np.ndarray:
         """Log chance, [query, table, hash, cell either way], that a neighbour at the query's distance lies there."""
@@ -91,10 +100,10 @@ class Hasher:
 
     def probes(self, x: np.ndarray, visits: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
         """For each query and table the keys of the offsets to visit."""
-        base = self.keys(np.floor(self.cells(x)))
-        with np.errstate(over="ignore"):
-            moves = (self.offsets * self.multiplier).sum(1)
-            return [[base[q, t] + moves[v] for t, v in enumerate(mine)] for q, mine in enumerate(visits)]
+        cell = np.floor(self.cells(x)).astype(np.int64).reshape(len(x), self.tables, self.hashes)
+        base = (cell * self.multiplier).sum(2)
+        moves = [(self.offsets * m).sum(1) for m in self.multiplier]
+        return [[self.mixed(base[q, t] + moves[t][v], t) for t, v in enumerate(mine)] for q, mine in enumerate(visits)]
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -105,150 +114,189 @@ def _erf(x: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and embedding (as doubles) of the vectors that are not null or zero and whose components are all finite numbers."""
+    """vec_id and embedding of the vectors that are not null or zero and whose components are all finite numbers."""
+    kind = rows.schema["embedding"].dataType.elementType
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda v: v != 0)).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    some = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda v: v != 0))
+    return some if isinstance(kind, (T.FloatType, T.DoubleType)) else some.withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Vectors of one length as doubles."""
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64)
 
 
-def fit_distance(rows: DataFrame, k: int) -> tuple[int, float]:
-    """Dimension (of the smallest vec_id) and median distance to the k-th neighbour, over a bounded sample."""
-    first = rows.orderBy("vec_id").limit(1).collect()
-    if not first:
-        return 0, 1.0
-    dim = len(first[0]["embedding"])
-    sample = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id", F.lit("neighbour sample")), "vec_id").limit(FIT_ROWS).toArrow()
-    x = np.concatenate([_matrix(c, dim) for c in sample.column("embedding").chunks])
+def _by_length(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, vectors) for each length of vector."""
+    size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        yield int(dim), at, _matrix(col.take(pa.array(at)))
+
+
+def fit_distance(rows: DataFrame, dim: int, k: int) -> float:
+    """Median distance to the k-th neighbour among vectors of a length, over a bounded sample."""
+    sample = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id", F.lit("neighbour sample")), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()
+    x = _matrix(sample.column("embedding").combine_chunks())
     some = x[:128]
     d = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (x**2).sum(1) - 2 * some @ x.T, 0))
-    kth = np.sort(d, 1)[:, min(k, len(x) - 1)]
-    distance = float(np.median(kth))
-    return dim, distance if distance > 0 else float(np.sqrt((x**2).sum(1).mean()))
-
-
-class Block:
-    """A block of queries: ids, vectors, and for each table the probe keys, sorted, with the query of each; no tables: every row meets."""
-
-    def __init__(self, hasher: Hasher, ids: np.ndarray, x: np.ndarray, visits: list[list[np.ndarray]] | None):
-        self.ids, self.x, self.square, self.tables = ids, x, (x**2).sum(1), None if visits is None else []
-        probes = None if visits is None else hasher.probes(x, visits)
-        for t in range(hasher.tables if visits is not None else 0):
-            keys = np.concatenate([p[t] for p in probes])
-            query = np.repeat(np.arange(len(x)), [len(p[t]) for p in probes])
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], query[order].astype(np.int32)))
-
-    def candidates(self, keys: np.ndarray) -> np.ndarray:
-        """Which [query, row] pairs meet in a bucket of some table."""
-        out = np.full((len(self.ids), len(keys)), self.tables is None)
-        for t, (probe, query) in enumerate(self.tables or []):
-            bucket, of = np.unique(keys[:, t], return_inverse=True)
-            low, high = np.searchsorted(probe, bucket), np.searchsorted(probe, bucket, side="right")
-            hit = np.zeros((len(self.ids), len(bucket)), dtype=bool)
-            b = np.repeat(np.arange(len(bucket)), high - low)
-            at = np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-            hit[query[at], b] = True
-            out |= hit[:, of]
-        return out
-
-    def best(self, ids: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int, held: list) -> None:
-        """Merge a chunk's candidates into held, per query (distances, ids), by exact distance and then id."""
-        near = self.square[:, None] + (x**2).sum(1) - 2 * self.x @ x.T
-        near[~self.candidates(keys) | (self.ids[:, None] == ids)] = np.inf
-        slack = 1e-9 * (1 + self.square)
-        bound = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(near), np.inf)
-        for q in range(len(near)):
-            limit = min(bound[q], held[q][0][k - 1] ** 2 if len(held[q][0]) >= k else np.inf)
-            at = np.flatnonzero((near[q] <= limit + slack[q]) & (near[q] < np.inf))
-            if len(at):
-                exact = np.sqrt(((x[at] - self.x[q]) ** 2).sum(1))
-                d, i = np.concatenate((held[q][0], exact)), np.concatenate((held[q][1], ids[at]))
-                order = np.lexsort((i, d))[:k]
-                held[q] = (d[order], i[order])
+    distance = float(np.median(np.sort(d, 1)[:, min(k, len(x) - 1)]))
+    return distance if distance > 0 else float(np.sqrt((x**2).sum(1).mean()))
+
+
+def closest(x: np.ndarray, ids: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of each query, all that tie with the k-th included; rows of its own id are none."""
+    square, out = (x**2).sum(1), []
+    step = max(1, (1 << 20) // max(1, len(x)))
+    for begin in range(0, len(asked), step):
+        q = asked[begin : begin + step]
+        near = (q**2).sum(1)[:, None] + square - 2 * q @ x.T
+        near[own[begin : begin + step, None] == ids] = np.inf
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+        bound = np.where(np.isfinite(bound), bound + 1e-9 * (1 + np.abs(bound) + (q**2).sum(1)), np.finfo(float).max)
+        i, r = np.nonzero(near <= bound[:, None])
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], r[at : at + (1 << 16)]
+            out.append((a + begin, b, np.sqrt(((x[b] - q[a]) ** 2).sum(1))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _first_k(slot: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the k first of their slot by score and id, each row once."""
+    order = np.lexsort((row, vec_id, score, slot))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (slot[order][1:] != slot[order][:-1]) | (row[order][1:] != row[order][:-1])
+    order = order[fresh]
+    first = np.searchsorted(slot[order], slot[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k first of each slot by score and id, each row once."""
+    rank = F.row_number().over(W.partitionBy("slot").orderBy("score", "vec_id", "row"))
+    return found.dropDuplicates(["slot", "row"]).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def met(indexed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """slot, row, vec_id, score: for each query and task the k nearest of the rows that it meets in a bucket.
+
+    indexed: row, vec_id, embedding, keys; asked: slot, vec_id, embedding, keys.
+    """
+    rows, queries = (df.select("*", F.explode("keys").alias("key")).drop("keys") for df in (indexed, asked))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).join(queries.groupBy("key").agg(F.count("*").alias("m")), "key")
+    sizes = staged(sizes, "ann-buckets")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = max(1, 2 * -(-total // TILE_ROWS))
+    tiles = sizes.where((F.col("n") > TILE_ROWS) | (F.col("m") > TILE_QUERIES)).select("key", F.ceil(F.col("n") / TILE_ROWS).alias("tr"), F.ceil(F.col("m") / TILE_QUERIES).alias("tq"))
+    if tiles.count() <= BROADCAST_TILES:  # a checked size; beyond it the joins shuffle
+        tiles = F.broadcast(tiles)
+
+    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        part, side = F.pmod(F.xxhash64(name), F.col(own)).cast("int"), {"tr": "r", "tq": "q"}
+        large = df.join(tiles, "key").withColumn(side[own], part).withColumn(side[other], F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1))).drop("tr", "tq").withColumn("task", F.col("key"))
+        small = df.join(tiles.select("key"), "key", "left_anti").withColumns({"r": F.lit(-1), "q": F.lit(-1), "task": F.pmod("key", F.lit(shared))})
+        return small.unionByName(large).groupBy("task", "r", "q")
+
+    def meet(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        parts: list[tuple[np.ndarray, ...]] = []
+        if rows.num_rows and asked.num_rows:
+            row_key, query_key = (t.column("key").to_numpy() for t in (rows, asked))
+            by_row, by_query = np.argsort(row_key, kind="stable"), np.argsort(query_key, kind="stable")
+            sorted_rows, sorted_queries = row_key[by_row], query_key[by_query]
+            for key in np.intersect1d(row_key, query_key):
+                i, j = (by[slice(np.searchsorted(ks, key), np.searchsorted(ks, key, side="right"))] for by, ks in ((by_row, sorted_rows), (by_query, sorted_queries)))
+                mine, its = rows.take(pa.array(i)), asked.take(pa.array(j))
+                slots, own, ids, row = its.column("slot").to_numpy(), its.column("vec_id").to_numpy(), mine.column("vec_id").to_numpy(), mine.column("row").to_numpy()
+                lengths = {dim: (at, x) for dim, at, x in _by_length(mine.column("embedding").combine_chunks())}
+                for dim, at, x in _by_length(its.column("embedding").combine_chunks()):
+                    if dim in lengths:
+                        here, vectors = lengths[dim]
+                        q, r, d = closest(vectors, ids[here], x, own[at], k)
+                        parts.append((slots[at][q], row[here][r], ids[here][r], d))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        slot, row, vec_id, score = columns
+        kept = _first_k(slot, score, vec_id, row, k)
+        return pa.table({"slot": slot[kept], "row": row[kept], "vec_id": vec_id[kept], "score": score[kept]})
+
+    ship(indexed.sparkSession)
+    return dealt(rows, "row", "tr", "tq").cogroup(dealt(queries, "slot", "tq", "tr")).applyInArrow(meet, "slot long, row long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, table_success: float = TABLE_SUCCESS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (fewer only if there are fewer other rows), ties to smaller ids.
 
     Both have vec_id and embedding; other columns are left aside. A query is no candidate of itself (of its vec_id). Vectors that
-    are null, zero or hold null or non-finite components, rows without id, and vectors of another length than that of the
-    smallest vec_id take no part on either side. A repeated vec_id is a candidate each time; an empty table gives no rows.
+    are null, zero or hold null or non-finite components, and rows without id, take no part on either side; vectors of different
+    lengths are no neighbours. A repeated vec_id is a candidate each time; an equal query asked twice counts once, and
+    two vectors of one query id get k rows each, ranked by themselves. An empty table gives no rows.
     """
-    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     spark = rows.sparkSession
-    rows, queries = valid_vectors(rows), valid_vectors(queries)
-    dim, distance = fit_distance(rows, k)
-    if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hasher = spark.sparkContext.broadcast(Hasher(dim, distance))
+    copies = valid_vectors(rows)
+    copies = copies.withColumn("nth", F.row_number().over(W.partitionBy("embedding", "vec_id").orderBy("vec_id"))).where(F.col("nth") <= k)
+    copies = copies.withColumn("nth", F.dense_rank().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    held = staged(copies.select("vec_id", "embedding").withColumn("row", F.monotonically_increasing_id()), "ann-rows")
+    lengths = [r[0] for r in held.select(F.size("embedding").alias("n")).distinct().collect()]
+    hashers = spark.sparkContext.broadcast({dim: Hasher(dim, fit_distance(held, dim, k)) for dim in lengths})
+    target = 1 - (1 - table_success) ** TABLES - 1e-9
+
+    def lists(batch: pa.RecordBatch, found: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = hasher.value.keys(np.floor(hasher.value.cells(_matrix(batch.column(1), dim))))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["vec_id", "embedding", "buckets"])
-
-    indexed = staged(arrow_map(rows.where(F.size("embedding") == dim), index, "vec_id long, embedding array<double>, buckets array<long>"), "ann-index")
-    asked = staged(queries.where(F.size("embedding") == dim), "ann-queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query block")), F.lit(2 * blocks)))
-    found = None
-
-    def passed(ids: np.ndarray, x: np.ndarray, slots: np.ndarray, visits: list | None) -> DataFrame:
-        """slot, query_id, vec_id, score: the k nearest of each of these queries among the rows they meet."""
-        block = spark.sparkContext.broadcast(Block(hasher.value, ids, x, visits))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = block.value
-            held = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(asked.ids)
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_CHUNK):
-                    part = batch.slice(at, ROW_CHUNK)
-                    keys = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    asked.best(part.column(0).to_numpy(), _matrix(part.column(1), dim), keys, k, held)
-            n = [len(d) for d, _ in held]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(slots.astype(np.int32), n)), pa.array(np.repeat(asked.ids, n)), pa.array(np.concatenate([i for _, i in held])), pa.array(np.concatenate([d for d, _ in held]))], names=["slot", "query_id", "vec_id", "score"])
-
-        best = F.row_number().over(W.partitionBy("slot").orderBy("score", "vec_id"))
-        return staged(arrow_map(indexed, search, schema).withColumn("best", best).where(F.col("best") <= k).drop("best"), "ann-found")
-
-    for b in range(2 * blocks if blocks > 1 else 1):
-        part = (asked.where(F.col("block") == b) if blocks > 1 else asked).select("vec_id", "embedding").orderBy("vec_id").toArrow()
-        if not part.num_rows:
-            continue
-        ids, x = part.column("vec_id").to_numpy(), np.concatenate([_matrix(c, dim) for c in part.column("embedding").chunks])
-        visits = hasher.value.visits(x, table_success, np.full(len(x), distance))
-        some = np.array([v is not None for v in visits])
-        settled, widened = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
-        if some.any():
-            slots = np.flatnonzero(some)
-            one = passed(ids[slots], x[slots], slots, [visits[q] for q in slots])
-            kth = np.full(len(x), np.inf)
-            for r in one.groupBy("slot").agg(F.count("*").alias("n"), F.max("score").alias("kth")).where(F.col("n") >= k).collect():
-                kth[r["slot"]] = r["kth"]
-            full = np.flatnonzero(np.isfinite(kth))
-            if len(full):
-                settled[full] = hasher.value.reached(x[full], [visits[q] for q in full], kth[full]) >= 1 - (1 - table_success) ** hasher.value.tables - 1e-9
-            full = full[~settled[full]]
-            own = {}
-            for q, wide in zip(full, hasher.value.visits(x[full], table_success, kth[full]) if len(full) else [], strict=True):
-                wide = wide and [np.union1d(v, w) for v, w in zip(visits[q], wide, strict=True)]
-                if wide and max(map(len, wide)) <= WIDE_PROBES:
-                    own[q] = wide
-            kept = one.where(F.col("slot").isin(np.flatnonzero(settled).tolist()))
-            found = kept if found is None else found.unionByName(kept)
-            if own:
-                slots = np.array(list(own))
-                widened[slots] = True
-                found = found.unionByName(passed(ids[slots], x[slots], slots, list(own.values())))
-        slots = np.flatnonzero(~settled & ~widened)
-        if len(slots):
-            one = passed(ids[slots], x[slots], slots, None)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            keys: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            for dim, at, x in _by_length(batch.column(1)):
+                hasher = hashers.value[dim]
+                for i, found in zip(at, hasher.keys(np.floor(hasher.cells(x))), strict=True):
+                    keys[i] = np.unique(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(batch, keys)], names=["vec_id", "embedding", "row", "keys"])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            for dim, at, x in _by_length(batch.column(1)):
+                if dim in hashers.value:
+                    hasher = hashers.value[dim]
+                    visits = hasher.visits(x, table_success, np.full(len(x), hasher.distance))
+                    some = [i for i, v in enumerate(visits) if v is not None]
+                    for i, found in zip(some, hasher.probes(x[some], [visits[i] for i in some]), strict=True):
+                        keys[at[i]] = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(batch, keys)], names=["vec_id", "embedding", "slot", "keys"])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            n, kth = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
+            for dim, at, x in _by_length(batch.column(1)):
+                if dim not in hashers.value:
+                    continue
+                hasher = hashers.value[dim]
+                for i in np.flatnonzero(n[at] < k):
+                    keys[at[i]] = np.array([EVERY_ROW])
+                full = np.flatnonzero(n[at] >= k)
+                if not len(full):
+                    continue
+                x, at, own = x[full], at[full], np.asarray(kth[at[full]], dtype=np.float64)
+                visits = hasher.visits(x, table_success, np.full(len(x), hasher.distance))
+                before = [v or [np.zeros(0, np.int64)] * TABLES for v in visits]
+                open_ = np.flatnonzero(hasher.reached(x, before, own) < target)
+                for i, wide in zip(open_, hasher.visits(x[open_], table_success, own[open_]), strict=True):
+                    more = [np.setdiff1d(w, v) for w, v in zip(wide or [], before[i], strict=False)]
+                    keys[at[i]] = np.unique(np.concatenate(hasher.probes(x[i : i + 1], [more])[0])) if wide and max(map(len, wide)) <= WIDE_PROBES else np.array([EVERY_ROW])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(batch, keys)], names=["vec_id", "embedding", "slot", "keys"])
+
+    kind = held.schema["embedding"].dataType.simpleString()
+    indexed = staged(arrow_map(held.select("vec_id", "embedding", "row"), index, f"vec_id long, embedding {kind}, row long, keys array<long>"), "ann-index")
+    asked = staged(valid_vectors(queries).dropDuplicates(["vec_id", "embedding"]).withColumn("slot", F.monotonically_increasing_id()), "ann-queries")
+    kind = asked.schema["embedding"].dataType.simpleString()
+    probing = staged(arrow_map(asked, start, f"vec_id long, embedding {kind}, slot long, keys array<long>"), "ann-probes")
+    one = staged(_best(met(indexed, probing, k), k), "ann-found")
+    state = asked.join(one.groupBy("slot").agg(F.count("*").alias("n"), F.max("score").alias("kth")), "slot", "left").select("vec_id", "embedding", "slot", F.coalesce("n", F.lit(0)).alias("n"), "kth")
+    again = staged(arrow_map(state, widen, f"vec_id long, embedding {kind}, slot long, keys array<long>").where(F.size("keys") > 0), "ann-widened")
+    found = [one.drop("rank")]
+    every = F.array_contains("keys", F.lit(EVERY_ROW).cast("long"))
+    for part, table in ((again.where(~every), indexed), (again.where(every), indexed.withColumn("keys", F.array(F.lit(EVERY_ROW).cast("long"))))):
+        if part.head(1):
+            found.append(met(table, part, k))
+    best = _best(reduce(DataFrame.unionByName, found), k)
+    return best.join(asked.select("slot", F.col("vec_id").alias("query_id")), "slot").select("query_id", "rank", "vec_id", "score")
