@@ -16,14 +16,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-ARROW_ROWS = "2000"
+ARROW_ROWS, ROWS_KEY = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _ready(spark: SparkSession) -> None:
-    """Ship the package, and keep Arrow batches of whole texts small where the session hasn't said how large they may be."""
+    """Ship the package, and keep Arrow batches of whole texts small where the session hasn't said how large they may be.
+
+    The setting stays for the session: Arrow plans read it when they run, not when they are made.
+    """
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if ROWS_KEY not in spark.conf.getAll:
+        spark.conf.set(ROWS_KEY, ARROW_ROWS)
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:

@@ -110,7 +110,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, orders: tuple[int
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    counted = arrow_map(sample.select("text", "lang").coalesce(8), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = arrow_map(sample.select("text", "lang"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((len(langs), buckets), SMOOTHING)
     for batch in counted.toArrow().to_batches():  # languages x buckets entries at most
         at = np.searchsorted(np.array(langs), np.array(batch.column(0).to_pylist())) if batch.num_rows else np.zeros(0, int)
@@ -145,5 +145,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fold(doc_id, folds: int):
-    """crc32 of the id as text, modulo folds."""
-    return F.crc32(doc_id.cast("string")) % F.lit(folds)
+    """crc32 of the id as text, modulo folds; -1 for a null id, which is neither learned from nor held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(folds), F.lit(-1))

@@ -15,7 +15,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellscape.llm.language_id import fold, identify, train
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(fold(F.col("doc_id"), 3) != 1))
+    model = train(docs.where(~fold(F.col("doc_id"), 3).isin(-1, 1)))
     found = identify(docs, model)
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
@@ -26,7 +26,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellscape.llm.toxicity import score_toxicity, train
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    model = train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) > 0))
     return score_toxicity(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_toxic")
 
 

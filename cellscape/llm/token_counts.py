@@ -29,19 +29,19 @@ CHUNK_CHARS = 200_000
 OVERLAP_CHARS = 2_000
 LIMIT = 4096
 _MARK = "▁"
-_models: dict[str, object] = {}
+_models: dict[bytes, object] = {}
 
 
-def _model(path: str):
-    """The processor, loaded once a worker; refused if a piece crosses words."""
-    if path not in _models:
+def processor(model: bytes):
+    """The processor of a model file's bytes, loaded once a worker; refused if a piece crosses words."""
+    if model not in _models:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         if crosses_words(sp):
-            raise ValueError(f"{path}: a piece reaches across words; splices wouldn't be stable")
-        _models[path] = sp
-    return _models[path]
+            raise ValueError("a piece reaches across words; splices wouldn't be stable")
+        _models[model] = sp
+    return _models[model]
 
 
 def crosses_words(sp) -> bool:
@@ -107,12 +107,15 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, chunk_chars: i
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text; other columns are left aside).
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows and null ids are kept as they are; an empty table gives none.
-    Rows are independent: no shuffle, and a task holds one slice of texts at a time.
+    Rows are independent: no shuffle, and a task holds one slice of texts at a time. model is a path on the driver; the file's
+    bytes (under 1 MB) are broadcast, so executors need no copy of it.
     """
+    with open(model, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _model(model)
+        sp = processor(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column(1).to_pylist()]

@@ -13,6 +13,7 @@ offsets. Long texts are cut into blocks whose 2 x 2 transfer matrices carry the
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellscape.llm.common import arrow_map
+from cellscape.llm.common import arrow_map, staged
 from cellscape.llm.textarrays import Words, buffers, mix64, slices, span_hashes, word_bounds
+from cellscape.shipping import ship
 
 SAMPLE_DOCS = 1_200
 """At most about so many labelled toxic documents, and twice as many others, are fitted on (by a hash of doc_id)."""
+SAMPLE_BYTES = 32 << 20
+"""Of these, at most so many bytes of text, in the order of that hash; a longer text by itself isn't fitted on."""
 TABLE_BITS = 20
 TABLE = 1 << TABLE_BITS
 STEPS = 20
@@ -83,10 +87,9 @@ def cut_blocks(first: np.ndarray) -> Blocks:
     at[order] = np.arange(len(order))
     place = begin[order][:, None] + np.arange(size.max(initial=0))[None, :]
     token = np.arange(size.max(initial=0))[None, :] < size[order][:, None]
-    deep = []
-    for k in range(1, int(per.max(initial=0))):
-        here = np.flatnonzero(nth == k)
-        deep.append((at[here], at[here - 1]))
+    by_depth = np.argsort(nth, kind="stable")
+    bounds = np.searchsorted(nth[by_depth], np.arange(1, int(per.max(initial=0)) + 1))
+    deep = [(at[by_depth[i:j]], at[by_depth[i:j] - 1]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     return Blocks(np.where(token, place, 0), size[order], token, deep)
 
 
@@ -262,23 +265,42 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on rows of docs (doc_id, text) that labels (doc_id, toxic) mark; about sample_docs toxic ones and 2 x sample_docs others, by a hash of doc_id.
 
     Null labels, ids and texts are passed over; with one class only, or none, every text scores by its share (0.5 without any).
+    One task fits, on the bounded sample; the driver sees its sizes and the model.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rate = F.when(F.col("toxic") == 1, min(1.0, sample_docs / sizes.get(1, 1))).otherwise(min(1.0, 2 * sample_docs / sizes.get(0, 1)))
     chosen = F.broadcast(marked.where(place < rate))  # about 3 x sample_docs ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "toxic").toArrow()
-    rows = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True))
-    toxic = np.array([r[2] == 1 for r in rows], dtype=bool)
-    if not toxic.any() or toxic.all():
-        share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-        return Model(np.zeros(TABLE, np.float32), -4.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share))] + [0.0] * (LAYER - 1)))
-    return fit([r[1] for r in rows], toxic)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull())
+    rows = staged(rows.select("doc_id", "text", "toxic", place.alias("place"), F.octet_length("text").alias("bytes"), F.monotonically_increasing_id().alias("row")), "toxicity-sample")
+    sizes = sorted((r["place"], r["doc_id"], r["bytes"], r["row"]) for r in rows.select("place", "doc_id", "bytes", "row").collect())
+    fits, held = [], 0
+    for _, _, size, row in sizes:
+        if held + size <= sample_bytes:
+            fits, held = [*fits, row], held + size
+    fitted = rows.where(F.col("row").isin(fits)).select("doc_id", "text", "toxic").groupBy(F.lit(0).alias("all"))
+    ship(docs.sparkSession)
+    raw = fitted.applyInArrow(_fit_rows, "model binary").first()
+    return pickle.loads(raw[0]) if raw else _by_share(np.zeros(0, dtype=bool))
+
+
+def _by_share(toxic: np.ndarray) -> Model:
+    """A model that gives every text the classes' share."""
+    share = (toxic.sum() + 0.5) / (len(toxic) + 1)
+    return Model(np.zeros(TABLE, np.float32), -4.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share))] + [0.0] * (LAYER - 1)))
+
+
+def _fit_rows(rows: pa.Table) -> pa.Table:
+    """The pickled model of one table (all, doc_id, text, toxic)."""
+    some = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+    toxic = np.array([t == 1 for _, _, t in some], dtype=bool)
+    model = fit([t for _, t, _ in some], toxic) if toxic.any() and not toxic.all() else _by_share(toxic)
+    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
