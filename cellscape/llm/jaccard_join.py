@@ -8,20 +8,23 @@ n - ceil(3 n / 4) + 1 shingles of a set in one order for all: shingles of large
    sets the order only: the join is exact under any order.
 2. Grouping. Documents of one shingle set (two 64-bit digests and the size) are one group, so they share prefix and size;
    the join sees groups. Copies are counted and expanded by an equi-join at the end, never paired.
-3. Filtering. Prefix shingles are dealt by hash range. A shingle of up to `SMALL_RUN` groups gives all their pairs that pass the
-   size filter. A longer run gives a chain (neighbours by size) and is kept for step 5.
+3. Filtering. Prefix shingles are dealt by hash range, each with its place in the set's order. At the first shingle that two sets
+   share, they can have no more in common than what lies from there on in either; a shingle of up to `SMALL_RUN` groups gives all
+   their pairs that pass this and the size filter. A longer run gives a chain (neighbours by size) and is kept for step 5.
 4. Verifying. A pair's sets differ in at least as many shingles as their parity bitmaps (`BITS` bits: the parity of the shingles of
    each hash value) differ in bits, which refutes most false pairs. The two whole texts of each other pair are brought together
    and their sets compared exactly.
-5. Long runs whose groups the links so far leave in several components give the pairs across components that size and bitmaps
-   don't refute, which are verified too. Groups already connected need no further pair, as the result is connectivity; groups of
-   a run's largest component aren't met with each other. No link between components can be lost.
+5. Long runs whose groups the links so far leave in several components give the pairs across components that sizes, places and
+   bitmaps don't refute, which are verified too. Groups already connected need no further pair, as the result is connectivity; groups
+   of a run's largest component aren't met with each other. A run is cut by size band (only neighbouring bands can link) and then
+   into tiles of `TILE` by `TILE` groups, so no task has a whole run. No link between components can be lost.
 
 Ranges are `4 x spark.sql.shuffle.partitions` or more, so a range's share falls as the partitions grow with the input.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,9 @@ SMALL_RUN = 8
 BITS = 1024
 FLUSH = 1_000_000
 BROADCAST_IDS = 2_000_000
+TILE = 1_024
+BAND = 1.34
+"""Sizes of a link differ by a factor of 4/3 at most, so by one band."""
 LONG = T.LongType()
 
 
@@ -78,6 +84,11 @@ def _not_refuted(n_a: str, n_b: str, map_a: str, map_b: str) -> Column:
     return (4 * low >= 3 * high) & (7 * differ <= F.col(n_a) + F.col(n_b))
 
 
+def _reaches(n: str, place: str, other: str) -> Column:
+    """Whether what a set of n has from `place` on is enough for a link with a set of `other`."""
+    return 7 * (F.col(n) - F.col(place)) >= 3 * (F.col(n) + F.col(other))
+
+
 def deltas(keys: np.ndarray) -> bytes:
     """Sorted 32-bit keys (repeats allowed) as 16-bit steps; 65535 means a step of 65535 without a key."""
     step = np.diff(keys.astype(np.int64), prepend=0)
@@ -132,8 +143,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
-def _prefix(values: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, row) of every row's prefix."""
+def _prefix(values: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, row, place in the row's order) of every row's prefix."""
     high = (values >> np.uint64(32)).astype(np.uint32)
     weight = np.zeros(len(values), dtype=np.int64)
     if len(key):
@@ -150,7 +161,7 @@ def _prefix(values: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarra
         values = values.copy()
         values[mine] = values[mine][order]
     keep = place < length[row]
-    return values[keep], row[keep]
+    return values[keep], row[keep], place[keep]
 
 
 def groups_and_postings(docs: DataFrame, key: np.ndarray, n: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -171,34 +182,35 @@ def groups_and_postings(docs: DataFrame, key: np.ndarray, n: np.ndarray) -> tupl
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first).astype(np.int64)), pa.array(d1), pa.array(d2), bits], names=row_type.names)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            token, group, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, group, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((group, token))
-            token, group, size = token[order], group[order], size[order]
+            token, group, size, place = token[order], group[order], size[order], place[order]
             fresh = np.ones(len(token), dtype=bool)  # a group's copies in this task post once
             fresh[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-            token, group, size = token[fresh], group[fresh], size[fresh]
+            token, group, size, place = token[fresh], group[fresh], size[fresh], place[fresh]
             bound = np.searchsorted(token, np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits))
             bound = np.append(bound, len(token))
             some = np.flatnonzero(np.diff(bound))
             short = (token >> np.uint64(32 - bits)).astype(np.uint32)  # with the range, the first 32 + bits bits
             column = lambda x: pa.array([x[bound[r] : bound[r + 1]].tobytes() for r in some], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), column(short), column(group), column(size)], names=["r", "tokens", "groups", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), column(short), column(group), column(size), column(place)], names=["r", "tokens", "groups", "sizes", "places"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 values, first = _sets(part.column(0))
-                token, row = _prefix(values, first, *shared.value)
-                held.append((token, _digests(values, first)[0][row], np.diff(first).astype(np.uint32)[row]))
+                token, row, place = _prefix(values, first, *shared.value)
+                size = np.diff(first)[row]
+                held.append((token, _digests(values, first)[0][row], size.astype(np.uint32), ((place << 16) // size).astype(np.uint16)))
                 if sum(len(h[0]) for h in held) >= FLUSH // 2:
                     yield flush()
                     held = []
         if held:
             yield flush()
 
-    return arrow_map(docs.select("row_key", "doc_id", "text"), digest, row_type), arrow_map(docs.select("text"), post, "r int, tokens binary, groups binary, sizes binary")
+    return arrow_map(docs.select("row_key", "doc_id", "text"), digest, row_type), arrow_map(docs.select("text"), post, "r int, tokens binary, groups binary, sizes binary, places binary")
 
 
 def _passes(small: np.ndarray, large: np.ndarray) -> np.ndarray:
@@ -217,9 +229,11 @@ def _chain(run: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return _neighbours(np.lexsort((group, size, run)), run)
 
 
-def _pair_rows(group: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distinct (smaller digest, larger digest) of pairs of different groups that pass the size filter."""
-    fits = (group[a] != group[b]) & _passes(np.minimum(size[a], size[b]).astype(np.int64), np.maximum(size[a], size[b]).astype(np.int64))
+def _pair_rows(group: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Distinct (smaller digest, larger digest) of pairs of different groups that pass the filters by size and, if given, place."""
+    fits = (group[a] != group[b]) & _passes(np.minimum(size[a], size[b]), np.maximum(size[a], size[b]))
+    if place is not None:
+        fits &= 7 * np.minimum(size[a] - place[a], size[b] - place[b]) >= 3 * (size[a] + size[b])
     low, high = np.minimum(group[a[fits]], group[b[fits]]), np.maximum(group[a[fits]], group[b[fits]])
     return np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), dtype=np.int64)
 
@@ -238,39 +252,41 @@ def _all_pairs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_pairs(postings: DataFrame) -> DataFrame:
-    """kind 0: pairs (a, b) of group digests; kind 1: entries (a = token, b = group, size) of long runs."""
+    """kind 0: pairs (a, b) of group digests; kind 1: entries (a = token, b = group) of long runs, with a lower bound of the place."""
 
     def meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, parts = 0, []
         for batch in group:
             for row in range(batch.num_rows):
                 r = batch.column(0)[row].as_py()
-                parts.append(tuple(np.frombuffer(batch.column(i)[row].as_py(), dtype=t) for i, t in ((1, np.uint32), (2, np.int64), (3, np.uint32))))
-        token, gid, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append(tuple(np.frombuffer(batch.column(i)[row].as_py(), dtype=t) for i, t in ((1, np.uint32), (2, np.int64), (3, np.uint32), (4, np.uint16))))
+        token, gid, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        size = size.astype(np.int64)
+        place = (place.astype(np.int64) * size) >> 16
         order = np.lexsort((gid, token))
-        token, gid, size = token[order], gid[order], size[order]
+        token, gid, size, place = token[order], gid[order], size[order], place[order]
         fresh = np.ones(len(token), dtype=bool)
         fresh[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-        token, gid, size = token[fresh], gid[fresh], size[fresh]
+        token, gid, size, place = token[fresh], gid[fresh], size[fresh], place[fresh]
         start = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
         length = np.diff(np.append(start, len(token)))
         per = np.repeat(length, length)
         short, long = (per > 1) & (per <= SMALL_RUN), per > SMALL_RUN
         shortened = length[(length > 1) & (length <= SMALL_RUN)]
-        found = [_pair_rows(gid[short], size[short], *_all_pairs(np.concatenate(([0], np.cumsum(shortened)))))]
+        found = [_pair_rows(gid[short], size[short], *_all_pairs(np.concatenate(([0], np.cumsum(shortened)))), place[short])]
         if long.any():
             found.append(_pair_rows(gid[long], size[long], *_chain(token[long], gid[long], size[long])))
         pairs = np.unique(np.concatenate(found), axis=0)
         left = token[long].astype(np.int64) + (r << 32)
         kind = np.concatenate((np.zeros(len(pairs), dtype=np.int32), np.ones(len(left), dtype=np.int32)))
-        columns = np.concatenate((pairs[:, 0], left)), np.concatenate((pairs[:, 1], gid[long])), np.concatenate((np.zeros(len(pairs), dtype=np.int64), size[long].astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], names=["kind", "a", "b", "size"])
+        columns = np.concatenate((pairs[:, 0], left)), np.concatenate((pairs[:, 1], gid[long])), np.concatenate((np.zeros(len(pairs), dtype=np.int64), place[long]))
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], names=["kind", "a", "b", "place"])
 
-    return arrow_groups(postings, ["r"], meet, "kind int, a long, b long, size long")
+    return arrow_groups(postings, ["r"], meet, "kind int, a long, b long, place long")
 
 
 def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
-    """group, d1, text (compressed) of the wanted digests' groups."""
+    """group, d1, text (compressed) of the wanted digests' groups, one text a group however often its row is repeated."""
     ids = groups.join(wanted, "d1", "left_semi").select(F.col("rep").alias("row_key"), "group", F.col("d1").alias("_1"), F.col("d2").alias("_2"))
     ids = staged(ids, "jaccard-wanted")
     if ids.count() <= BROADCAST_IDS:  # a checked size; beyond it the join shuffles
@@ -285,7 +301,7 @@ def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = part.filter(right)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([press.compress((t or "").encode()) for t in part.column(4).to_pylist()], pa.binary())], names=["group", "d1", "packed"])
 
-    return arrow_map(docs.join(ids, "row_key").select("row_key", "group", "_1", "_2", "text"), pack, "group long, d1 long, packed binary")
+    return arrow_map(docs.join(ids, "row_key").select("row_key", "group", "_1", "_2", "text"), pack, "group long, d1 long, packed binary").groupBy("group").agg(F.first("d1").alias("d1"), F.first("packed").alias("packed"))
 
 
 def verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -332,26 +348,32 @@ def verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _across(entries: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests across components within long runs, but for those that sizes or bitmaps refute."""
+    """Pairs (a, b) of digests across components within long runs, but for those that sizes, places or bitmaps refute."""
     found = components(links).withColumnRenamed("node", "group")
     named = groups.join(found, "group", "left").select(F.col("d1").alias("b"), F.coalesce("component", "group").alias("component"), "n", "bits")
-    entries = entries.select("a", "b").join(named.select("b", "component"), "b")
-    least = entries.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, 8).alias("least"))
+    entries = entries.select("a", "b", "place").join(named.select("b", "component"), "b")
     sizes = entries.groupBy("a", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("a").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("a", "main")
-    torn = staged(entries.join(main, "a").select("a", "b", "component", "main"), "jaccard-torn").join(named.drop("component").join(least, "b"), "b")
-    minor = torn.where(F.col("component") != F.col("main")).select("a", "b", "component", "n", "bits", "least")
-    other = torn.select("a", F.col("b").alias("c"), *[F.col(x).alias(f"{x}_c") for x in ("component", "n", "bits", "least")])
-    once = F.coalesce(F.array_min(F.array_intersect("least", "least_c")), minor["a"]) == minor["a"]  # at one shared shingle, where both lists have one
-    pairs = minor.join(other, (minor["a"] == other["a"]) & (F.col("component") != F.col("component_c")) & _not_refuted("n", "n_c", "bits", "bits_c") & once)
+    torn = entries.join(main, "a").join(named.drop("component"), "b").withColumn("band", F.floor(F.log("n") / F.lit(math.log(BAND))))
+    torn = staged(torn.select("a", "b", "place", "component", "n", "bits", "band", (F.col("component") != F.col("main")).alias("minor")), "jaccard-torn")
+    minor = torn.where("minor").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).drop("minor")
+    other = torn.select("a", "band", F.col("b").alias("c"), *[F.col(x).alias(f"{x}_c") for x in ("place", "component", "n", "bits", "minor")])
+    parts = lambda df, name: df.groupBy("a", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    tiles = staged(parts(minor, "rows").join(parts(other, "cols"), ["a", "band"]), "jaccard-tiles")
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = minor.join(tiles, ["a", "band"]).withColumn("i", place("b", "rows")).withColumn("j", every("cols")).drop("rows", "cols")
+    other = other.join(tiles, ["a", "band"]).withColumn("j", place("c", "cols")).withColumn("i", every("rows")).drop("rows", "cols")
+    once = ~F.col("minor_c") | (F.col("b") < F.col("c"))
+    pairs = minor.join(other, ["a", "band", "i", "j"]).where((F.col("component") != F.col("component_c")) & once & _reaches("n", "place", "n_c") & _reaches("n_c", "place_c", "n") & _not_refuted("n", "n_c", "bits", "bits_c"))
     return pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id, group of every row of docs (doc_id, text; other columns are left aside).
 
-    component_id is the smallest doc_id that links reach, the row's own included; group is the smallest row key of its set. Rows
-    without words, with an empty or null text, are linked with nothing and keep their own doc_id; a repeated row has the set of its
+    component_id is the smallest doc_id that links reach, the row's own included; group numbers the sets. Rows without words, with an
+    empty or null text, have no group, are linked with nothing and keep their own doc_id; a repeated row has the set of its
     copy and so its component; a null doc_id takes part and its component is the smallest id that isn't null, or null; an
     empty table gives no rows. Texts are compared whole, copies of one set are never paired.
     """
@@ -361,10 +383,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows, postings = groups_and_postings(docs, key, n)
     rows = staged(rows, "jaccard-rows")
     full = rows.where(F.col("n") > 0)
-    groups = staged(full.groupBy("d1", "d2", "n").agg(F.min("row_key").alias("rep"), F.first("bits").alias("bits")).withColumn("group", F.col("rep")), "jaccard-groups")
+    groups = staged(full.groupBy("d1", "d2", "n").agg(F.min("row_key").alias("rep"), F.first("bits").alias("bits")).withColumn("group", F.monotonically_increasing_id()), "jaccard-groups")
     met = staged(candidate_pairs(postings), "jaccard-candidates")
     links = staged(verified(docs, groups, met.where(F.col("kind") == 0).select("a", "b")), "jaccard-links")
-    entries = met.where(F.col("kind") == 1).select("a", "b", "size")
+    entries = met.where(F.col("kind") == 1).select("a", "b", "place")
     if entries.head(1):
         links = links.unionByName(staged(verified(docs, groups, _across(entries, groups, links)), "jaccard-links"))
     found = components(links).withColumnRenamed("node", "group")
@@ -372,5 +394,5 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     named = staged(named.select("row_key", "doc_id", "n", "group", "component"), "jaccard-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component").select("row_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "group")
-    none = rows.where(F.col("n") == 0).select("row_key", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row_key").alias("group"))
+    none = rows.where(F.col("n") == 0).select("row_key", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     return out.unionByName(none)

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from cellscape.llm import jaccard_join as J
 from cellscape.llm.decontamination import decontaminate
 from cellscape.llm.jaccard_join import similar_groups
 from cellscape.llm.language_id import identify, train
@@ -53,6 +54,26 @@ def test_jaccard_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
+def test_jaccard_of_shared_passages_and_repeated_rows(spark, monkeypatch):
+    """Documents that share a long passage without being similar, near copies among them, in tiles of four groups."""
+    monkeypatch.setattr(J, "TILE", 4)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(900)]
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(60):  # 36 of 60 shingles or fewer are shared: similar to none, unless copied below
+        own = list(rng.choice(words, int(rng.integers(14, 40))))
+        rows.append((i, " ".join([*own[:7], *passage, *own[7:]])))
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 60, 7)] + [(200 + i, rows[i][1].upper()) for i in range(0, 60, 9)]
+    rows += [(300, " ".join(passage)), (301, " ".join(passage[:36])), (None, None)]
+    got = similar_groups(docs(spark, [(i, t, None) for i, t in rows * 3]))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
+    assert {i: next(iter(v)) for i, v in found.items()} == brute_components(rows) and all(len(v) == 1 for v in found.values())
+    assert got.count() == 3 * len(rows) and similar_groups(docs(spark, [])).count() == 0
+
+
 def test_line_dedup(spark):
     p = " ".join(f"p{i}" for i in range(12))
     q = " ".join(f"q{i}" for i in range(12))
