@@ -45,7 +45,7 @@ SMALL_RUN = 8
 BITS = 1024
 FLUSH = 1_000_000
 BROADCAST_IDS = 2_000_000
-TILE = 1_024
+TILE, FIRSTS = 1_024, 16
 BAND = 1.34
 """Sizes of a link differ by a factor of 4/3 at most, so by one band."""
 LONG = T.LongType()
@@ -203,7 +203,7 @@ def groups_and_postings(docs: DataFrame, key: np.ndarray, n: np.ndarray) -> tupl
                 values, first = _sets(part.column(0))
                 token, row, place = _prefix(values, first, *shared.value)
                 size = np.diff(first)[row]
-                held.append((token, _digests(values, first)[0][row], size.astype(np.uint32), ((place << 16) // size).astype(np.uint16)))
+                held.append((token, _digests(values, first)[0][row], size.astype(np.uint32), place.astype(np.uint32)))
                 if sum(len(h[0]) for h in held) >= FLUSH // 2:
                     yield flush()
                     held = []
@@ -252,17 +252,16 @@ def _all_pairs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_pairs(postings: DataFrame) -> DataFrame:
-    """kind 0: pairs (a, b) of group digests; kind 1: entries (a = token, b = group) of long runs, with a lower bound of the place."""
+    """kind 0: pairs (a, b) of group digests; kind 1: entries (a = token, b = group, place) of long runs."""
 
     def meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, parts = 0, []
         for batch in group:
             for row in range(batch.num_rows):
                 r = batch.column(0)[row].as_py()
-                parts.append(tuple(np.frombuffer(batch.column(i)[row].as_py(), dtype=t) for i, t in ((1, np.uint32), (2, np.int64), (3, np.uint32), (4, np.uint16))))
+                parts.append(tuple(np.frombuffer(batch.column(i)[row].as_py(), dtype=t) for i, t in ((1, np.uint32), (2, np.int64), (3, np.uint32), (4, np.uint32))))
         token, gid, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        size = size.astype(np.int64)
-        place = (place.astype(np.int64) * size) >> 16
+        size, place = size.astype(np.int64), place.astype(np.int64)
         order = np.lexsort((gid, token))
         token, gid, size, place = token[order], gid[order], size[order], place[order]
         fresh = np.ones(len(token), dtype=bool)
@@ -354,10 +353,12 @@ def _across(entries: DataFrame, groups: DataFrame, links: DataFrame) -> DataFram
     entries = entries.select("a", "b", "place").join(named.select("b", "component"), "b")
     sizes = entries.groupBy("a", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("a").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("a", "main")
-    torn = entries.join(main, "a").join(named.drop("component"), "b").withColumn("band", F.floor(F.log("n") / F.lit(math.log(BAND))))
-    torn = staged(torn.select("a", "b", "place", "component", "n", "bits", "band", (F.col("component") != F.col("main")).alias("minor")), "jaccard-torn")
+    torn = entries.join(main, "a")
+    firsts = torn.groupBy("b").agg(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("place", "a"))), 1, FIRSTS), lambda e: e["a"]).alias("firsts"))
+    torn = torn.join(named.drop("component"), "b").join(firsts, "b").withColumn("band", F.floor(F.log("n") / F.lit(math.log(BAND))))
+    torn = staged(torn.select("a", "b", "place", "component", "n", "bits", "firsts", "band", (F.col("component") != F.col("main")).alias("minor")), "jaccard-torn")
     minor = torn.where("minor").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).drop("minor")
-    other = torn.select("a", "band", F.col("b").alias("c"), *[F.col(x).alias(f"{x}_c") for x in ("place", "component", "n", "bits", "minor")])
+    other = torn.select("a", "band", F.col("b").alias("c"), *[F.col(x).alias(f"{x}_c") for x in ("place", "component", "n", "bits", "firsts", "minor")])
     parts = lambda df, name: df.groupBy("a", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
     tiles = staged(parts(minor, "rows").join(parts(other, "cols"), ["a", "band"]), "jaccard-tiles")
     place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
@@ -365,6 +366,8 @@ def _across(entries: DataFrame, groups: DataFrame, links: DataFrame) -> DataFram
     minor = minor.join(tiles, ["a", "band"]).withColumn("i", place("b", "rows")).withColumn("j", every("cols")).drop("rows", "cols")
     other = other.join(tiles, ["a", "band"]).withColumn("j", place("c", "cols")).withColumn("i", every("rows")).drop("rows", "cols")
     once = ~F.col("minor_c") | (F.col("b") < F.col("c"))
+    # a pair meets at the first shingle that both lists have; before it they share none, so it is the one whose places count
+    once = once & (F.coalesce(F.get(F.array_intersect("firsts", "firsts_c"), F.lit(0)), F.col("a")) == F.col("a"))
     pairs = minor.join(other, ["a", "band", "i", "j"]).where((F.col("component") != F.col("component_c")) & once & _reaches("n", "place", "n_c") & _reaches("n_c", "place_c", "n") & _not_refuted("n", "n_c", "bits", "bits_c"))
     return pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
 
