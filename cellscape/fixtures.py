@@ -42,7 +42,7 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").where("c_custkey % 17 <> 0").selectExpr("c_custkey AS village_id", "(c_custkey * 7919 % 3000) + 0.25D AS x", "-((c_custkey * 104729 % 4500) + 0.25D) AS y", "c_nationkey AS subdist", "c_name AS name")
+    return read(spark, sf_dir, "customer").where("c_custkey % 17 <> 0").selectExpr("c_custkey AS village_id", "((c_custkey * 7919 % 3000) + 0.25D) * CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 1 END AS x", "-((c_custkey * 104729 % 4500) + 0.25D) * CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 1 END AS y", "c_nationkey AS subdist", "c_name AS name")
 
 
 def facility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,13 @@ def facility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Map-feature tags of points."""
+    """Map features with tags and a place."""
     amenity = "element_at(array('hospital', 'clinic', 'doctors', 'school', 'college', 'police', 'fire_station', 'community_centre', 'townhall'), cast(p_size % 9 + 1 as int))"
-    return read(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS name", f"CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE {amenity} END AS amenity", "lower(p_type) AS building")
+    suffix = "element_at(array('', ' CHC', ' Primary Health Centre', ' Sub-Centre', ' Vidyalaya', ' ITI', ' Thana', ' Panchayat Bhavan', ' Dak Ghar', ' Court', ' Dispensary', ' Anganwadi'), cast(p_partkey % 12 + 1 as int))"
+    return read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", f"concat(p_name, {suffix}) AS name", f"CASE WHEN p_partkey % 4 = 0 THEN {amenity} END AS amenity", "CASE WHEN p_partkey % 19 = 0 THEN 'centre' END AS healthcare", "lower(p_type) AS building",
+        "CASE WHEN p_partkey % 17 = 0 THEN 'government' END AS office", "CASE WHEN p_partkey % 5 = 0 THEN 'yes' END AS emergency", "(p_partkey * 3571 % 3000) + 0.25D AS x", "-((p_partkey * 2741 % 4500) + 0.25D) AS y",
+    )
 
 
 def incident(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +67,41 @@ def incident(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KINDS = "array('trunk', 'primary', 'secondary', 'residential', 'track', 'footway', 'construction')"
+
+
 def road(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "element_at(array('trunk', 'primary', 'secondary', 'residential', 'track', 'footway'), cast(p_partkey % 6 + 1 as int))"
+    kind = f"element_at({KINDS}, cast(p_partkey % 7 + 1 as int))"
     return read(spark, sf_dir, "part").where("p_partkey % 211 <> 210").selectExpr("p_partkey AS u", "p_partkey + 1 AS v", "p_retailprice / 10 AS length_m", f"{kind} AS highway", "p_partkey AS seq")
 
 
+def road_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortcuts with duplicates; seq starts after that of road."""
+    n = read(spark, sf_dir, "part").count()
+    kind = f"element_at({KINDS}, cast(l_linenumber % 7 + 1 as int))"
+    return read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").selectExpr("l_partkey AS u", f"(l_partkey * 7) % {n} AS v", "l_extendedprice / 100 AS length_m", f"{kind} AS highway", "100000000 + l_orderkey * 10 + l_linenumber AS seq")
+
+
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads as lines over a lattice of 60 m: eastward ones of three points, some southward ones, and later copies of other classes."""
+    at = "named_struct('x', 60.0D * (p_partkey % 50 + {0}) + 0.5D, 'y', -(60.0D * (p_partkey div 50 + {1}) + 0.5D))"
+    bend = "named_struct('x', 60.0D * (p_partkey % 50) + 30.5D, 'y', -(60.0D * (p_partkey div 50) + 0.5D) - 2.0D * (p_partkey % 7))"
+    base = read(spark, sf_dir, "part")
+    kind = "element_at(" + KINDS + ", cast(({0}) % 7 + 1 as int)) AS highway"
+    rest = ["CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name", "CASE WHEN p_partkey % 9 = 0 THEN 'NH-1' END AS ref", "CASE WHEN p_partkey % 4 = 0 THEN 'paved' END AS surface"]
+    line = f"array({at.format(0, 0)}, {bend}, {at.format(1, 0)}) AS points"
+    east = base.where("p_partkey % 50 < 49").selectExpr("p_partkey * 2 AS seq", kind.format("p_partkey div 3"), line, *rest)
+    south = base.where("p_partkey % 3 = 0").selectExpr("p_partkey * 2 + 1 AS seq", kind.format("p_partkey div 5"), f"array({at.format(0, 0)}, {at.format(0, 1)}) AS points", *rest)
+    again = base.where("p_partkey % 50 < 49 AND p_partkey % 11 = 0").selectExpr("100000000 + p_partkey AS seq", kind.format("p_partkey + 1"), line, *rest)
+    return east.unionByName(south).unionByName(again)
+
+
+def protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protected polygons: a diamond with a hole about each place of supplier."""
+    ring = lambda r: "array(" + ", ".join(f"named_struct('x', cx + {dx * r}D, 'y', cy + {dy * r}D)" for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))) + ") AS ring"
+    at = facility(spark, sf_dir).selectExpr("facility_id AS area_id", "x AS cx", "y AS cy")
+    return at.selectExpr("area_id", ring(100.125)).unionByName(at.selectExpr("area_id", ring(40.125)))
+
+
 def area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS area_id", "l_extendedprice * 12 AS area_m2", "l_quantity AS mean_slope", "l_discount * 10 AS mean_score", "l_extendedprice / 10 AS hazard_distance_m", "l_returnflag AS flag")

@@ -1,40 +1,82 @@
-"""Road networks as edge tables."""
+"""Road networks as edge tables. A node is a long that holds its coordinates, in tenths of a metre."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscape.components import components, staged
+from cellscape.functions import scores as S
+from cellscape.operators import spatial
+from cellscape.shipping import ship
+
+# Speeds in km/h by class, classes left out, vehicular and arterial classes, limits.
+SPEEDS = {
+    "trunk": 35.0, "trunk_link": 25.0, "primary": 30.0, "primary_link": 20.0, "secondary": 25.0, "secondary_link": 20.0, "tertiary": 20.0, "tertiary_link": 15.0,
+    "unclassified": 18.0, "residential": 15.0, "service": 15.0, "track": 10.0, "path": 3.5, "bridleway": 4.0, "footway": 3.5, "steps": 2.0,
+}
+DEFAULT_SPEED = 15.0
+EXCLUDED = ["construction", "proposed", "abandoned", "raceway"]
+VEHICULAR = ["trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "service", "track"]
+ARTERIAL = ["trunk", "trunk_link", "primary", "primary_link"]
+MAX_SNAP_M, WALKING_KMH = 3000.0, 4.0
+LOCAL_EDGES = 200_000
+"""Up to so many edges one task relaxes all of them in memory; beyond it rounds of joins do. Both give the same distances."""
+_SHIFT, _HALF = 1 << 31, 1 << 30
+
+
+def node(x: Column, y: Column) -> Column:
+    """The node of a point, rounded half to even to 0.1 m."""
+    tenth = lambda c: F.bround(F.bround(c, 1) * 10, 0).cast("long")
+    return tenth(x) * F.lit(_SHIFT) + tenth(y) + F.lit(_HALF)
+
+
+def node_x(n: Column) -> Column:
+    return F.floor(n / F.lit(float(_SHIFT))).cast("long") / 10.0
 
-# Speeds in km/h by class, classes left out, vehicular and arterial classes.
-SPEEDS = {"trunk": 60.0, "primary": 50.0, "secondary": 40.0, "residential": 20.0, "track": 15.0}
-DEFAULT_SPEED = 25.0
-EXCLUDED = ["footway", "steps", "path", "cycleway"]
-VEHICULAR = ["trunk", "primary", "secondary", "tertiary", "residential", "unclassified", "track"]
-ARTERIAL = ["trunk", "primary", "secondary"]
+
+def node_y(n: Column) -> Column:
+    return (F.pmod(n, F.lit(_SHIFT)) - F.lit(_HALF)) / 10.0
 
 
 def road_attributes(roads: DataFrame, digits: int = 4) -> DataFrame:
-    """Drops excluded classes and zero lengths; adds speed, travel minutes (rounded half to even) and flags."""
+    """Drops excluded classes and zero lengths; adds speed, travel minutes (rounded half to even) and flags.
+
+    The length is that of `points`, if the roads have them and no length_m.
+    """
+    if "length_m" not in roads.columns:
+        steps = F.zip_with(F.expr("slice(points, 1, size(points) - 1)"), F.expr("slice(points, 2, size(points) - 1)"), lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))
+        roads = roads.withColumn("length_m", F.bround(F.aggregate(steps, F.lit(0.0), lambda t, d: t + d), 2))
     speed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in SPEEDS.items() for x in (k, v)]), F.col("highway")), F.lit(DEFAULT_SPEED))
     kept = roads.where(~F.col("highway").isin(EXCLUDED) & (F.col("length_m") > 0)).withColumn("speed_kmh", speed)
     return kept.withColumns({"minutes": F.bround(F.col("length_m") / 1000 / F.col("speed_kmh") * 60, digits), "is_vehicular": F.col("highway").isin(VEHICULAR), "is_arterial": F.col("highway").isin(ARTERIAL)})
 
 
+def segments(lines: DataFrame) -> DataFrame:
+    """Lines (points array<struct<x, y>>, others) to their segments: x, y, x2, y2, pos and the other columns."""
+    rest = [c for c in lines.columns if c != "points"]
+    pairs = F.arrays_zip(F.expr("slice(points, 1, size(points) - 1)").alias("a"), F.expr("slice(points, 2, size(points) - 1)").alias("b"))
+    parts = lines.where(F.size("points") >= 2).select(*rest, F.posexplode(pairs).alias("pos", "s"))
+    return parts.select(*rest, "pos", F.col("s.a.x").alias("x"), F.col("s.a.y").alias("y"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+
 def lines_to_edges(lines: DataFrame, vehicular_only: bool = False) -> DataFrame:
-    """Lines (seq, points array<struct<x, y>>, other attributes) to undirected edges between points rounded to 0.1 m.
+    """Lines (seq, speed_kmh, points array<struct<x, y>>, other attributes) to undirected edges between points rounded to 0.1 m.
 
-    Lengths are of the unrounded segments, zero-length edges go, and of duplicates the last in (seq, position) stays.
+    Lengths and minutes are of the unrounded segments, zero-length edges go, and of duplicates the last in (seq, position) stays.
     """
     if vehicular_only:
         lines = lines.where("is_vehicular")
-    rest = [c for c in lines.columns if c != "points"]
-    parts = lines.select(*rest, F.posexplode(F.arrays_zip(F.expr("slice(points, 1, size(points) - 1)").alias("a"), F.expr("slice(points, 2, size(points) - 1)").alias("b"))).alias("pos", "s"))
-    name = lambda p: F.concat_ws(",", F.bround(p["x"], 1).cast("string"), F.bround(p["y"], 1).cast("string"))
-    a, b = name(F.col("s.a")), name(F.col("s.b"))
-    length = F.bround(F.hypot(F.col("s.a.x") - F.col("s.b.x"), F.col("s.a.y") - F.col("s.b.y")), 2)
-    return last_edges(parts.select(a.alias("u"), b.alias("v"), length.alias("length_m"), "pos", *rest), ["seq", "pos"])
+    parts = segments(lines.drop("length_m", "minutes"))
+    length = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    made = parts.withColumns({"u": node(F.col("x"), F.col("y")), "v": node(F.col("x2"), F.col("y2")), "length_m": F.bround(length, 2)})
+    if "speed_kmh" in made.columns:
+        made = made.withColumn("minutes", F.bround(length / 1000 / F.col("speed_kmh") * 60, 4))
+    return last_edges(made.drop("x", "y", "x2", "y2"), ["seq", "pos"])
 
 
 def last_edges(edges: DataFrame, order: list[str]) -> DataFrame:
@@ -45,28 +87,85 @@ def last_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     return last.select(F.col("_u").alias("u"), F.col("_v").alias("v"), *[F.col("e")[c].alias(c) for c in rest])
 
 
+def network_nodes(edges: DataFrame) -> DataFrame:
+    """node, x, y of an edge table's nodes."""
+    return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", node_x(F.col("node")).alias("x"), node_y(F.col("node")).alias("y"))
+
+
 def network_components(edges: DataFrame) -> DataFrame:
     """(component, nodes) sizes of an edge table (u, v)."""
     return components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
+def network_health(edges: DataFrame) -> DataFrame:
+    """One row of nodes, edges, components, the largest's nodes and its share in percent."""
+    sizes = network_components(edges).agg(F.sum("nodes").alias("nodes"), F.count("*").alias("components"), F.max("nodes").alias("largest"))
+    return edges.agg(F.count("*").alias("edges")).join(sizes).withColumn("largest_pct", F.bround(F.col("largest") * 100.0 / F.col("nodes"), 2))
+
+
 def terminal_nodes(edges: DataFrame) -> DataFrame:
     """Distinct end points of arterial edges."""
     return edges.where("is_arterial").select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "length_m", max_rounds: int = 10_000) -> DataFrame:
-    """(set, node, dist) from sources (set, node), every set at once.
-
-    Rounds first double the reach: shortcut edges u-w of two edges join the graph's degree-2 chains, so a chain of n edges takes
-    about log2(n) contractions; then distances relax over what is left, and spread back over the contracted nodes.
+def _relaxed(u: np.ndarray, v: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Distances of all nodes 0..n from the starts (infinite where nothing leads), by rounds over all edges."""
+    dist = np.full(int(max(u.max(initial=-1), v.max(initial=-1), starts.max(initial=-1))) + 1, np.inf)
+    dist[starts] = 0.0
+    while True:
+        before = dist.copy()
+        np.minimum.at(dist, v, before[u] + w)
+        np.minimum.at(dist, u, before[v] + w)
+        if (dist == before).all():
+            return dist
+
+
+def _local_paths(edges: DataFrame, sources: DataFrame, weights: list[str]) -> DataFrame:
+    """The paths of a small network in one task: its edges and starts in one group."""
+    rows = edges.select("u", "v", F.array(*[F.col(w).cast("double") for w in weights]).alias("w"), F.lit(None).cast("string").alias("set"))
+    rows = rows.unionByName(sources.select(F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("array<double>").alias("w"), F.col("set").cast("string").alias("set")))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        both = pa.Table.from_batches(parts)
+        edge = both.filter(both.column("v").is_valid())
+        start = both.filter(both.column("v").is_null())
+        u, v = edge.column("u").to_numpy(), edge.column("v").to_numpy()
+        w = edge.column("w").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
+        at, names = start.column("u").to_numpy(), np.array(start.column("set").to_pylist(), dtype=object)
+        nodes, code = np.unique(np.concatenate((u, v, at)), return_inverse=True)
+        u, v, at = code[: len(u)], code[len(u) : 2 * len(u)], code[2 * len(u) :]
+        for name in sorted(set(names)):
+            for k, weight in enumerate(weights):
+                dist = _relaxed(u, v, w[:, k], at[names == name])
+                hit = np.flatnonzero(np.isfinite(dist))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit)), pa.array([weight] * len(hit)), pa.array(nodes[hit]), pa.array(dist[hit])], names=["set", "weight", "node", "dist"])
+
+    ship(edges.sparkSession)
+    return rows.coalesce(1).mapInArrow(solve, "set string, weight string, node long, dist double")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, weights: list[str], max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(set, weight, node, dist) from sources (set, node): the paths by every weight from every set at once.
+
+    A small network is relaxed by one task. Else rounds first double the reach: shortcut edges u-w of two edges join the graph's
+    degree-2 chains, so a chain of n edges takes about log2(n) contractions; then distances relax over what is left, and spread
+    back over the contracted nodes. Too many rounds are an error.
     """
-    both = edges.select("u", "v", F.col(weight).alias("w")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col(weight).alias("w")))
-    graph = staged(both.where(F.col("u") != F.col("v")).groupBy("u", "v").agg(F.min("w").alias("w")), "paths-graph")
+    slim = staged(edges.select("u", "v", *weights), "paths-edges")
+    if slim.count() <= local_edges:
+        return staged(_local_paths(slim, sources.select("set", "node").distinct(), weights), "paths-dist")
+    names = [f"w{k}" for k in range(len(weights))]
+    mins = [F.min(n).alias(n) for n in names]
+    costs = [F.col(w).cast("double").alias(n) for w, n in zip(weights, names, strict=True)]
+    both = slim.select("u", "v", *costs).unionByName(slim.select(F.col("v").alias("u"), F.col("u").alias("v"), *costs))
+    graph = staged(both.where(F.col("u") != F.col("v")).groupBy("u", "v").agg(*mins), "paths-graph")
     kept = sources.select("node").distinct()
     back: list[DataFrame] = []
     for _ in range(64):
-        degree = graph.groupBy("u").agg(F.count("*").alias("n"), F.min(F.struct("v", "w")).alias("a"), F.max(F.struct("v", "w")).alias("b"))
+        degree = graph.groupBy("u").agg(F.count("*").alias("n"), F.min(F.struct("v", *names)).alias("a"), F.max(F.struct("v", *names)).alias("b"))
         inner = degree.where(F.col("n") == 2).join(kept.withColumnRenamed("node", "u"), "u", "left_anti")
         coin = F.xxhash64("u", F.lit(len(back)))
         marked = inner.select(F.col("u").alias("v")).withColumn("h", F.xxhash64("v", F.lit(len(back))))
@@ -76,32 +175,80 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "length_m
             break
         back.append(chosen)
         cut = graph.join(chosen.select("u"), "u", "left_anti").join(chosen.select(F.col("u").alias("v")), "v", "left_anti")
-        joined = chosen.select(F.col("a.v").alias("u"), F.col("b.v").alias("v"), (F.col("a.w") + F.col("b.w")).alias("w"))
-        joined = joined.unionByName(joined.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-        graph = staged(cut.select("u", "v", "w").unionByName(joined).groupBy("u", "v").agg(F.min("w").alias("w")), "paths-graph", instead_of=graph)
-    dist = staged(sources.select("set", "node", F.lit(0.0).alias("dist")).distinct(), "paths-dist")
-    front = dist
+        joined = chosen.select(F.col("a.v").alias("u"), F.col("b.v").alias("v"), *[(F.col(f"a.{n}") + F.col(f"b.{n}")).alias(n) for n in names])
+        joined = joined.unionByName(joined.select(F.col("v").alias("u"), F.col("u").alias("v"), *names))
+        graph = staged(cut.select("u", "v", *names).unionByName(joined).groupBy("u", "v").agg(*mins), "paths-graph", instead_of=graph)
+    by_weight = F.explode(F.array(*[F.lit(w) for w in weights]))
+    cost = lambda e="": F.element_at(F.create_map(*[x for w, n in zip(weights, names, strict=True) for x in (F.lit(w), F.col(f"{e}{n}"))]), F.col("weight"))
+    dist = staged(sources.select("set", by_weight.alias("weight"), "node", F.lit(0.0).alias("dist")).distinct(), "paths-dist")
+    front, keys = dist, ["set", "weight", "node"]
     for _ in range(max_rounds):
-        reached = front.join(graph.withColumnRenamed("u", "node"), "node").groupBy("set", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        front = staged(reached.join(dist, ["set", "node"], "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("set", "node", F.col("new").alias("dist")), "paths-front")
+        reached = front.join(graph.withColumnRenamed("u", "node"), "node").groupBy("set", "weight", F.col("v").alias("node")).agg(F.min(F.col("dist") + cost()).alias("new"))
+        front = staged(reached.join(dist, keys, "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select(*keys, F.col("new").alias("dist")), "paths-front")
         if not front.head(1):
             break
-        dist = staged(dist.unionByName(front).groupBy("set", "node").agg(F.min("dist").alias("dist")), "paths-dist")
+        dist = staged(dist.unionByName(front).groupBy(*keys).agg(F.min("dist").alias("dist")), "paths-dist", instead_of=dist)
+    else:
+        raise RuntimeError(f"paths not settled after {max_rounds} rounds")
     for chosen in reversed(back):
-        ends = chosen.select("u", F.explode(F.array("a", "b")).alias("e")).select("u", F.col("e.v").alias("node"), F.col("e.w").alias("w"))
-        inside = ends.join(dist, "node").groupBy("set", "u").agg(F.min(F.col("dist") + F.col("w")).alias("dist")).select("set", F.col("u").alias("node"), "dist")
-        dist = staged(dist.unionByName(inside), "paths-dist")  # else each level would run the ones before it twice
+        ends = chosen.select("u", F.explode(F.array("a", "b")).alias("e")).select("u", F.col("e.v").alias("node"), *[F.col(f"e.{n}").alias(n) for n in names])
+        inside = ends.join(dist, "node").groupBy("set", "weight", "u").agg(F.min(F.col("dist") + cost()).alias("dist")).select("set", "weight", F.col("u").alias("node"), "dist")
+        dist = staged(dist.unionByName(inside), "paths-dist", instead_of=dist)  # else each level would run the ones before it twice
     return dist
 
 
-def facility_access(points: DataFrame, walking_kmh: float = 4.0, max_snap_m: float = 3000.0) -> DataFrame:
-    """Network distance and minutes (path plus the snap, walked), null if the snap is too far or nothing is reached."""
-    reached = (F.col("snap_m") <= max_snap_m) & F.col("path_m").isNotNull()
-    minutes = F.col("path_min") + F.col("snap_m") / 1000 / walking_kmh * 60
-    return points.withColumns({"network_m": F.when(reached, F.col("path_m") + F.col("snap_m")), "network_min": F.when(reached, minutes)})
+def pair_path(edges: DataFrame, a: int, b: int, weight: str = "length_m") -> DataFrame:
+    """One row with whether b is reached from a, and the distance."""
+    spark = edges.sparkSession
+    found = shortest_paths(edges, spark.createDataFrame([("pair", a)], "set string, node long"), [weight]).where(F.col("node") == b)
+    return found.agg(F.count("*").alias("n"), F.min("dist").alias("dist")).select((F.col("n") > 0).alias("connected"), "dist")
 
 
-def access_flags(points: DataFrame) -> DataFrame:
-    """Within 5 km of health, 3 km of school, 60 minutes of a hospital; null is false."""
-    limits = {"has_health": ("health_m", 5000), "has_school": ("school_m", 3000), "has_hospital": ("hospital_min", 60)}
-    return points.withColumns({k: F.coalesce(F.col(c) <= most, F.lit(False)) for k, (c, most) in limits.items()})
+def nearest_road(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Each point's nearest line (ties to the smaller seq) with its distance and attributes, defaults where they are missing."""
+    near = spatial.nearest(points, segments(lines), key, "seq", ["name", "ref", "highway", "surface", "is_vehicular"], shape="segment")
+    defaults = {"name": "Unnamed Road", "ref": "None", "highway": "unknown", "surface": "unknown"}
+    filled = near.fillna(defaults).fillna({"is_vehicular": False})
+    names = {"distance_m": "dist_to_nearest_road_m", "name": "nearest_road_name", "ref": "nearest_road_ref", "highway": "nearest_road_highway_class", "surface": "nearest_road_surface", "is_vehicular": "nearest_road_is_vehicular"}
+    return filled.drop("seq").withColumnsRenamed(names)
+
+
+def snap(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Key, node, snap_m (not rounded) of each point's nearest network node."""
+    return spatial.nearest(points, network_nodes(edges), key, "node", digits=None).withColumnRenamed("distance_m", "snap_m")
+
+
+def road_access(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Points (key, x, y) with their nearest road, the way from the snapped node to the arterial network, category and isolation.
+
+    lines are roads with attributes (road_attributes); paths run over the vehicular ones.
+    """
+    edges = staged(lines_to_edges(lines, vehicular_only=True), "road-edges")
+    snapped = snap(points, edges, key)
+    paths = shortest_paths(edges, terminal_nodes(edges).select(F.lit("arterial").alias("set"), "node"), ["length_m", "minutes"])
+    by_node = paths.groupBy("node").agg(*[F.bround(F.max(F.when(F.col("weight") == w, F.col("dist"))), 1).alias(n) for w, n in (("length_m", "to_m"), ("minutes", "to_min"))])
+    met = snapped.join(by_node, "node", "left")
+    reached = (F.col("snap_m") <= MAX_SNAP_M) & F.col("to_min").isNotNull()
+    category = S.road_category(F.col("snap_m"), F.col("to_min"))
+    out = met.select(key, F.bround("snap_m", 1).alias("road_snapping_distance_m"), F.coalesce(reached, F.lit(False)).alias("network_route_exists"), F.when(reached, F.col("to_m")).alias("network_distance_to_arterial_m"), F.when(reached, F.col("to_min")).alias("network_travel_time_to_arterial_min"), category.alias("road_accessibility_category"))
+    out = out.withColumn("network_isolated_flag", S.road_isolated(F.col("road_accessibility_category")))
+    return nearest_road(points, lines, key).join(out, key)
+
+
+def access_summary(access: DataFrame) -> DataFrame:
+    """One row: points by category, mean distance and time (where there is a way), isolated points."""
+    counts = [F.count_if(F.col("road_accessibility_category") == c).alias(c.lower()) for c in S.ROAD_CATEGORIES]
+    return access.agg(F.count("*").alias("total"), *counts, F.bround(F.avg("dist_to_nearest_road_m"), 1).alias("mean_dist_to_nearest_road_m"), F.bround(F.avg("network_travel_time_to_arterial_min"), 1).alias("mean_travel_time_to_arterial_min"), F.count_if("network_isolated_flag").alias("isolated"))
+
+
+def road_summary(roads: DataFrame) -> DataFrame:
+    """Segments, km, and the first road's (by seq) speed and flags, for each class."""
+    first = F.min_by(F.struct("speed_kmh", "is_vehicular", "is_arterial"), "seq")
+    by = roads.groupBy("highway").agg(F.count("*").alias("segments"), F.bround(F.sum("length_m") / 1000, 2).alias("length_km"), first.alias("f"))
+    return by.select("highway", "segments", "length_km", F.col("f.speed_kmh").alias("assumed_speed_kmh"), "f.is_vehicular", "f.is_arterial")
+
+
+def road_totals(roads: DataFrame) -> DataFrame:
+    """Kilometres of all, vehicular and arterial roads."""
+    km = lambda c: F.bround(F.coalesce(F.sum(c), F.lit(0.0)) / 1000, 2)
+    return roads.agg(F.count("*").alias("segments"), km("length_m").alias("total_km"), km(F.when(F.col("is_vehicular"), F.col("length_m"))).alias("vehicular_km"), km(F.when(F.col("is_arterial"), F.col("length_m"))).alias("arterial_km"))

@@ -1,20 +1,31 @@
-"""Point joins on buckets: nearest neighbour, radius counts, points in zones, greedy event de-duplication."""
+"""Point joins on buckets: nearest neighbour, radius counts, points in zones, greedy event de-duplication, rasters of polygons."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from cellscape.components import staged
+from cellscape.components import components, staged
+from cellscape.shipping import ship
+
+COARSE = 64
+"""Points that the first rounds leave open look at COARSE x COARSE boxes of right rows, of a set at most; a broadcast of that bound."""
+ROUNDS = 2
+GREEDY_PAIRS = 50_000
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)
 
 
-def _bucket(c: str, size: float) -> Column:
-    return F.floor(F.col(c) / F.lit(size))
+def _bucket(c: str | Column, size: float) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(size))
 
 
 def _around(df: DataFrame, size: float) -> DataFrame:
@@ -23,43 +34,97 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("_o", F.explode(near)).withColumns({"_bx": _bucket("x", size) + F.col("_o.i"), "_by": _bucket("y", size) + F.col("_o.j")}).drop("_o")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, payload: list[str] | None = None, bucket_m: float = 250.0, digits: int | None = 1) -> DataFrame:
-    """Each left point's nearest right point (x, y): left_key, nearest right_key, distance_m and payload; ties to the smaller key.
+def _to_shape(shape: str, half: float) -> Column:
+    """Distance of the point x, y from the right row: its point, its square cell about _x, _y, or its segment _x, _y to _x2, _y2."""
+    x, y, x2, y2 = (F.col(c) for c in ("x", "y", "_x", "_y"))
+    if shape == "point":
+        return distance(x, y, x2, y2)
+    if shape == "cell":
+        dx, dy = F.greatest(F.abs(x - x2) - half, F.lit(0.0)), F.greatest(F.abs(y - y2) - half, F.lit(0.0))
+        return F.sqrt(dx * dx + dy * dy)
+    dx, dy = F.col("_x2") - x2, F.col("_y2") - y2
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x2) * dx + (y - y2) * dy) / square))).otherwise(0.0)
+    return distance(x, y, x2 + t * dx, y2 + t * dy)
+
+
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, payload: list[str] | None = None, bucket_m: float = 250.0, digits: int | None = 1, by: str | None = None, shape: str = "point", half: float = 15.0) -> DataFrame:
+    """Each left point's nearest right row: left_key, nearest right_key, distance_m and payload; ties to the smaller key.
+
+    shape: right rows are points (x, y), square cells of `half` about x, y, or segments (x, y, x2, y2). by: a column of both sides
+    (a set of right rows to look in) that has to be equal; the result has it too.
 
-    Each round looks at 3 x 3 buckets about the points still open; what lies outside is further than a bucket's side, so a smaller
-    best distance is final. Buckets grow fourfold until all are settled or cover the extent, so far points cost a few rounds, not a
-    scan of all pairs. Null coordinates find nothing. Distances are rounded half to even to `digits`, after the choice.
+    `ROUNDS` rounds look at 3 x 3 buckets about the points still open, buckets growing fourfold; what lies outside is further than a
+    bucket's side, so a smaller best distance is final. Points still open are far from everything: for these the right rows are
+    summed up in `COARSE` x `COARSE` boxes; a point looks at the rows of boxes that are no further than the nearest box's far
+    corner. Null coordinates find nothing. Distances are rounded half to even to `digits`, after the choice.
     """
-    payload = payload or []
-    right = right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(right_key), F.col("x").alias("_x"), F.col("y").alias("_y"), *payload)
-    here = left.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(left_key, "x", "y")
-    box = right.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
-    own = here.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    payload, keys = payload or [], [left_key, *([by] if by else [])]
+    ends = [F.col("x2").alias("_x2"), F.col("y2").alias("_y2")] if shape == "segment" else []
+    right = right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*([by] if by else []), F.col(right_key), F.col("x").alias("_x"), F.col("y").alias("_y"), *ends, *payload)
+    here = left.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "x", "y")
+    margin, on = (half if shape == "cell" else 0.0), ([by] if by else [])
+
+    def best(met: DataFrame) -> DataFrame:
+        return met.withColumn("_d", _to_shape(shape, half)).groupBy(*keys).agg(F.min(F.struct("_d", right_key, *payload)).alias("_best"))
+
     found, size = [], bucket_m
-    if box[0] is not None and own[0] is not None:
-        extent = max(max(box[1], own[1]) - min(box[0], own[0]), max(box[3], own[3]) - min(box[2], own[2]), 1.0)
-        while True:
-            last = size >= extent
-            placed = right.withColumns({"_bx": F.floor(F.col("_x") / F.lit(size)), "_by": F.floor(F.col("_y") / F.lit(size))})
-            met = _around(here, size).join(placed, ["_bx", "_by"]).withColumn("_d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")))
-            best = met.groupBy(left_key).agg(F.min(F.struct("_d", right_key, *payload)).alias("_best"))
-            best = staged(best if last else best.where(F.col("_best._d") <= size), "nearest")
-            found.append(best)
-            if last:
-                break
-            here = staged(here.join(best, left_key, "left_anti"), "nearest-open")
-            if not here.head(1):
-                break
-            size *= 4
-    out = left.select(left_key)
-    if not found:
-        kinds = {f.name: f.dataType for f in right.schema}
-        return out.select(left_key, *[F.lit(None).cast(kinds[c]).alias(c) for c in (right_key, *payload)], F.lit(None).cast("double").alias("distance_m"))
+    for _ in range(ROUNDS):
+        if shape == "segment":
+            span = lambda a, b: F.explode(F.sequence(_bucket(F.least(a, b), size), _bucket(F.greatest(a, b), size)))  # noqa: B023, E731
+            placed = right.withColumn("_bx", span("_x", "_x2")).withColumn("_by", span("_y", "_y2"))
+        else:
+            placed = right.withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})
+        settled = staged(best(_around(here, size).join(placed, [*on, "_bx", "_by"])).where(F.col("_best._d") <= size - margin), "nearest")
+        found.append(settled)
+        here = staged(here.join(settled, keys, "left_anti"), "nearest-open")
+        if not here.head(1):
+            break
+        size *= 4
+    else:
+        found.append(best(_far(here, right, by, shape, margin)))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     d = F.col("_best._d")
-    return out.join(every, left_key, "left").select(left_key, *[F.col("_best")[c].alias(c) for c in (right_key, *payload)], (F.bround(d, digits) if digits is not None else d).alias("distance_m"))
+    return left.select(*keys).join(every, keys, "left").select(*keys, *[F.col("_best")[c].alias(c) for c in (right_key, *payload)], (F.bround(d, digits) if digits is not None else d).alias("distance_m"))
+
+
+def _far(here: DataFrame, right: DataFrame, by: str | None, shape: str, margin: float) -> DataFrame:
+    """Open points with the right rows of the boxes that may hold their nearest one."""
+    x_to, y_to = (F.greatest("_x", "_x2"), F.greatest("_y", "_y2")) if shape == "segment" else (F.col("_x"), F.col("_y"))
+    x_from, y_from = (F.least("_x", "_x2"), F.least("_y", "_y2")) if shape == "segment" else (F.col("_x"), F.col("_y"))
+    x0, x1, y0, y1 = right.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    if x0 is None:
+        return here.join(right, [by] if by else F.lit(False))
+    wide, high = max((x1 - x0) / COARSE, 1e-9), max((y1 - y0) / COARSE, 1e-9)
+    box = _bucket(F.col("_x") - x0, wide) * (2 * COARSE) + _bucket(F.col("_y") - y0, high)
+    boxed = right.withColumns({"_box": box.cast("long"), "_set": F.col(by).cast("string") if by else F.lit("")})
+    sums = boxed.groupBy("_set", "_box").agg(F.min(x_from), F.max(x_to), F.min(y_from), F.max(y_to)).collect()
+    boxes = {s: (np.array([r[1] for r in sums if r[0] == s]), np.array([list(r[2:]) for r in sums if r[0] == s]) + np.array([-margin, margin, -margin, margin])) for s in {r[0] for r in sums}}
+    shared = here.sparkSession.sparkContext.broadcast(boxes)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                x, y = (batch.column(c).to_numpy()[:, None] for c in ("x", "y"))
+                sets, rows, ids = np.array(batch.column("_set").to_pylist()), [], []
+                for s in set(sets.tolist()) & set(shared.value):
+                    mine = np.flatnonzero(sets == s)
+                    box, (a, b, c, d) = shared.value[s][0], shared.value[s][1].T
+                    near = np.hypot(np.maximum(np.maximum(a - x[mine], x[mine] - b), 0), np.maximum(np.maximum(c - y[mine], y[mine] - d), 0))
+                    far = np.hypot(np.maximum(np.abs(x[mine] - a), np.abs(x[mine] - b)), np.maximum(np.abs(y[mine] - c), np.abs(y[mine] - d)))
+                    i, k = np.nonzero(near <= far.min(1)[:, None])
+                    rows.append(mine[i])
+                    ids.append(box[k])
+                take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.take(take).columns, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())], names=[*batch.schema.names, "_box"])
+
+    ship(here.sparkSession)
+    open_ = here.withColumn("_set", F.col(by).cast("string") if by else F.lit(""))
+    schema = T.StructType([*open_.schema.fields, T.StructField("_box", T.LongType())])
+    return open_.mapInArrow(look, schema).join(boxed.drop(by) if by else boxed, ["_set", "_box"])
 
 
 def within_radius(left: DataFrame, right: DataFrame, left_key: str, radii: dict[str, float], groups: dict[str, Column] | None = None) -> DataFrame:
@@ -68,7 +133,7 @@ def within_radius(left: DataFrame, right: DataFrame, left_key: str, radii: dict[
     conditions = {"": F.lit(True)} | (groups or {})
     names = {k: f"_g{i}" for i, k in enumerate(conditions)}
     marked = right.where(F.col("x").isNotNull()).select(F.col("x").alias("_x"), F.col("y").alias("_y"), *[c.alias(names[k]) for k, c in conditions.items()])
-    placed = marked.withColumns({"_bx": F.floor(F.col("_x") / F.lit(size)), "_by": F.floor(F.col("_y") / F.lit(size))})
+    placed = marked.withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})
     met = _around(left.where(F.col("x").isNotNull()).select(left_key, "x", "y"), size).join(placed, ["_bx", "_by"]).withColumn("_d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))).where(F.col("_d") <= size)
     counts = [F.count_if((F.col("_d") <= r) & F.col(names[g])).alias(f"{n}{'_' + g if g else ''}") for n, r in radii.items() for g in conditions]
     out = left.select(left_key).join(met.groupBy(left_key).agg(*counts), left_key, "left")
@@ -80,6 +145,11 @@ def to_cell(df: DataFrame, cell: float = 30.0) -> DataFrame:
     return df.withColumns({"row": F.floor(-F.col("y") / cell).cast("long"), "col": F.floor(F.col("x") / cell).cast("long")})
 
 
+def cell_centres(cells: DataFrame, cell: float = 30.0) -> DataFrame:
+    """P5: x and y of the centres of cells (row, col)."""
+    return cells.withColumns({"x": (F.col("col") + 0.5) * cell, "y": -(F.col("row") + 0.5) * cell})
+
+
 def points_in_zones(points: DataFrame, zone_cells: DataFrame, key: str, cell: float = 30.0) -> DataFrame:
     """Key and zone of each point, null outside; the best (smallest) rank column `zone_rank` wins."""
     best = W.partitionBy(key).orderBy(F.col("zone_rank").asc_nulls_last(), "zone")
@@ -87,31 +157,133 @@ def points_in_zones(points: DataFrame, zone_cells: DataFrame, key: str, cell: fl
     return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "zone", "zone_rank")
 
 
+def nearest_zone(points: DataFrame, zone_cells: DataFrame, key: str, cell: float = 30.0) -> DataFrame:
+    """Key, nearest zone (ties to the smaller rank, then zone) and its distance, 0 inside. A zone is the set of its cells."""
+    right = cell_centres(zone_cells, cell).withColumn("_order", F.struct("zone_rank", "zone"))
+    near = nearest(points, right, key, "_order", shape="cell", half=cell / 2)
+    return near.select(key, F.col("_order.zone").alias("zone"), "distance_m")
+
+
 def sample_cells(points: DataFrame, cells: DataFrame, layers: list[str], cell: float = 30.0) -> DataFrame:
     """Layer values at points, null off the grid or on NoData."""
     return to_cell(points, cell).join(cells.select("row", "col", *layers), ["row", "col"], "left").drop("row", "col")
 
 
-def dedup_events(events: DataFrame, key: str, group: str, max_m: float = 500.0, max_days: int = 3) -> DataFrame:
-    """(key, leader): greedy de-duplication in order of key. Two events of a group match within max_m and max_days (or in one
-    year, if a date is missing); an event merges into its smallest matching leader and then leads none.
+def aligned(grids: dict[str, DataFrame]) -> DataFrame:
+    """One row a layer: its rows, columns and whether they are those of the first layer; layers are cell tables."""
+    out = None
+    for name, g in grids.items():
+        one = g.agg(F.lit(name).alias("layer"), *[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("min", F.min), ("max", F.max))], F.count("*").alias("cells"))
+        out = one if out is None else out.unionByName(one)
+    shape = F.struct(*[c for c in out.columns if c != "layer"])
+    return out.withColumn("aligned", shape == F.first(shape).over(W.orderBy(F.col("layer") != F.lit(next(iter(grids))))))  # one row a layer
+
+
+def co_registered(grids: dict[str, DataFrame]) -> DataFrame:
+    """Layers (row, col, value) on one grid side by side, by position; refused if their grids differ."""
+    if aligned(grids).where("NOT aligned").head(1):
+        raise ValueError("layers are on different grids")
+    out = None
+    for name, g in grids.items():
+        one = g.select("row", "col", F.col("value").alias(name))
+        out = one if out is None else out.join(one, ["row", "col"], "full")
+    return out
+
 
-    The lexicographically first independent set of the match graph: in each round events without earlier undecided match become
-    leaders, and events with a leading earlier match are merged once nothing before that leader is open.
+def rasterise(polygons: DataFrame, key: str, cell: float = 30.0) -> DataFrame:
+    """Key, row, col of the cells whose centre a polygon (ring array<struct<x, y>>, closed, one row a ring) covers.
+
+    By parity: every edge meets the rows of centres between its ends, and a cell is inside if an odd number of edges lies
+    right of its centre on its row. A polygon's rings (holes too) share its key.
     """
-    size = max_m
+    edge = F.explode(F.arrays_zip(F.expr("slice(ring, 1, size(ring) - 1)").alias("a"), F.expr("slice(ring, 2, size(ring) - 1)").alias("b"))).alias("e")
+    edges = polygons.select(key, edge).select(key, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"]).where("ay <> by")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    # centres -(row + 0.5) cell in [low, high)
+    top, bottom = F.floor(-high / cell - 0.5) + 1, F.floor(-low / cell - 0.5)
+    rows = edges.where(top <= bottom).withColumn("row", F.explode(F.sequence(top, bottom)))
+    cross = rows.withColumn("cx", F.col("ax") + (-(F.col("row") + 0.5) * cell - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
+    pairs = cross.groupBy(key, "row").agg(F.array_sort(F.collect_list("cx")).alias("xs"))  # a polygon's crossings of one row
+    runs = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1)))
+    begin, end = F.get("xs", 2 * F.col("k")), F.get("xs", 2 * F.col("k") + 1)
+    first, last = F.ceil(begin / cell - 0.5), F.ceil(end / cell - 0.5) - 1
+    return runs.where(first <= last).select(key, "row", F.explode(F.sequence(first, last)).alias("col")).distinct()
+
+
+def covered_share(cells: DataFrame, covered: DataFrame, cell: float = 30.0) -> DataFrame:
+    """One row: hectares of the extent's cells, of those that are covered, and their share in percent (cell resolution)."""
+    hit = covered.select("row", "col").distinct().withColumn("_hit", F.lit(1))
+    ha = cell * cell / 10_000
+    both = cells.select("row", "col").join(hit, ["row", "col"], "left").agg(F.count("*").alias("n"), F.count("_hit").alias("k"))
+    return both.select((F.col("n") * ha).alias("extent_ha"), (F.col("k") * ha).alias("overlap_ha"), F.bround(100.0 * F.col("k") / F.col("n"), 4).alias("overlap_pct"))
+
+
+def event_pairs(events: DataFrame, key: str, group: str, max_m: float, max_days: int) -> DataFrame:
+    """(i, j) of matching events, i < j."""
     slim = events.where(F.col("x").isNotNull()).select(key, group, "x", "y", "date", "year")
-    other = slim.select(*[F.col(c).alias(f"_{c}") for c in slim.columns]).withColumns({"_bx": F.floor(F.col("_x") / F.lit(size)), "_by": F.floor(F.col("_y") / F.lit(size))})
+    other = slim.select(*[F.col(c).alias(f"_{c}") for c in slim.columns]).withColumns({"_bx": _bucket("_x", max_m), "_by": _bucket("_y", max_m), group: F.col(f"_{group}")})
     close = distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= max_m
     when = F.when(F.col("date").isNotNull() & F.col("_date").isNotNull(), F.abs(F.datediff("date", "_date")) <= max_days).otherwise(F.col("year") == F.col("_year"))
-    met = _around(slim, size).join(other, ["_bx", "_by"]).where((F.col(group) == F.col(f"_{group}")) & (F.col(f"_{key}") < F.col(key)) & close & when)
-    pairs = staged(met.select(F.col(f"_{key}").alias("i"), F.col(key).alias("j")), "event-pairs")
+    met = _around(slim, max_m).join(other, [group, "_bx", "_by"]).where((F.col(f"_{key}") < F.col(key)) & close & when)
+    return met.select(F.col(f"_{key}").alias("i"), F.col(key).alias("j"))
+
+
+def _greedy(group: pa.Table) -> pa.Table:
+    """(id, leader) of whole components of the match graph: in order of i, one that isn't merged leads its later matches."""
+    i, j = group.column("i").to_numpy(), group.column("j").to_numpy()
+    order = np.lexsort((j, i))
+    leader: dict[int, int] = {}
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if leader.setdefault(a, a) == a:
+            leader.setdefault(b, a)
+    return pa.table({"id": pa.array(list(leader), pa.int64()), "leader": pa.array(list(leader.values()), pa.int64())})
+
+
+def dedup_events(events: DataFrame, key: str, group: str, max_m: float = 500.0, max_days: int = 3, greedy_pairs: int = GREEDY_PAIRS) -> DataFrame:
+    """(key, leader): greedy de-duplication in order of key. Two events of a group match within max_m and max_days (or in one
+    year, if a date is missing); an event merges into its smallest matching leader and then leads none.
+
+    This is the lexicographically first independent set of the match graph. Components of up to greedy_pairs matches are settled
+    in tasks of about so many matches. Larger ones go by rounds of joins: events without earlier undecided match become leaders, and
+    events with a leading earlier match are merged once nothing before that leader is open; rounds grow with the longest chain of
+    undecided matches, each a constant number of shuffles.
+    """
+    pairs = staged(event_pairs(events, key, group, max_m, max_days), "event-pairs")
+    named = staged(pairs.join(components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))), F.col("i") == F.col("node")).select("i", "j", "component"), "event-components")
+    sizes = staged(named.groupBy("component").agg(F.count("*").alias("n")), "event-sizes")
+    small = named.join(sizes.where(F.col("n") <= greedy_pairs).select("component"), "component")
+    parts = max(1, -(-named.count() // max(1, greedy_pairs)))
+    ship(events.sparkSession)
+    settled = staged(small.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts))).groupBy("part").applyInArrow(_greedy, "id long, leader long"), "event-leaders")
+    large = sizes.where(F.col("n") > greedy_pairs).select("component")
+    if large.head(1):
+        settled = settled.unionByName(_rounds(named.join(large, "component").select("i", "j")))
+    status = settled.select(F.col("id").alias("_id"), F.col("leader").alias("_leader"))
+    return events.select(key).join(status, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("_leader", F.col(key)).alias("leader"))
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    pairs = staged(pairs, "event-large")
     status = staged(pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct().withColumn("leader", F.lit(None).cast("long")), "event-status")
     while status.where(F.col("leader").isNull()).head(1):
         before = status.select(F.col("id").alias("i"), F.col("leader").alias("li"))
         seen = pairs.join(before, "i").groupBy("j").agg(F.min(F.when(F.col("li").isNull(), F.col("i"))).alias("open"), F.min(F.when(F.col("li") == F.col("i"), F.col("i"))).alias("lead")).withColumnRenamed("j", "id")
         free = F.col("open").isNull()
         now = F.when(F.col("lead").isNotNull() & (free | (F.col("lead") < F.col("open"))), F.col("lead")).when(free & F.col("lead").isNull(), F.col("id"))
-        status = staged(status.join(seen, "id", "left").select("id", F.coalesce("leader", now).alias("leader")), "event-status")
-    status = status.select(F.col("id").alias("_id"), F.col("leader").alias("_leader"))
-    return events.select(key).join(status, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("_leader", F.col(key)).alias("leader"))
+        status = staged(status.join(seen, "id", "left").select("id", F.coalesce("leader", now).alias("leader")), "event-status", instead_of=status)
+    return status
+
+
+def merged_events(events: DataFrame, leaders: DataFrame, key: str) -> DataFrame:
+    """One row a leader: its columns, the most fatalities of its group (its own, if null, stays null), the sorted
+    union of providers, and its merged events with their offsets in metres and days, nearest key first."""
+    rows = events.join(leaders, key)
+    lead = rows.where(F.col("leader") == F.col(key)).select(F.col(key).alias("leader"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("date").alias("_date"))
+    gone = rows.where(F.col("leader") != F.col(key)).join(lead, "leader")
+    ref = F.struct(F.col(key).alias("event"), "provider", F.bround(distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")), 1).alias("spatial_offset_m"), F.coalesce(F.abs(F.datediff("date", "_date")), F.lit(0)).alias("temporal_offset_days"))
+    by = gone.groupBy(F.col("leader").alias("_leader")).agg(F.array_sort(F.collect_list(ref)).alias("duplicates"), F.max("fatalities").alias("_most"), F.collect_set("provider").alias("_providers"))
+    out = rows.where(F.col("leader") == F.col(key)).drop("leader").join(by, F.col(key) == F.col("_leader"), "left")
+    providers = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array("provider"), F.coalesce("_providers", F.array().cast("array<string>"))))), " + ")
+    most = F.when(F.col("_most") > F.coalesce("fatalities", F.lit(0)), F.col("_most")).otherwise(F.col("fatalities"))
+    out = out.withColumns({"fatalities": most, "provider": providers, "duplicate_count": F.coalesce(F.size("duplicates"), F.lit(0)), "spatial_offset_m": F.coalesce(F.get("duplicates", F.lit(0))["spatial_offset_m"], F.lit(0.0))})
+    return out.drop("_leader", "_most", "_providers")

@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 
 from cellscape import fixtures as fx
 from cellscape.functions import scores as S
-from cellscape.operators import grid, roads, spatial
+from cellscape.operators import facilities as fac
+from cellscape.operators import grid, quality, roads, spatial, summaries, views
 from cellscape.operators import tables as T
-from cellscape.plans.oracle import sql
+from cellscape.plans import pipelines as P
+from cellscape.plans.oracle import BAND, CLASS, FLAG_COUNT, FLAGS, TIER, paths, sql
+from cellscape.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,24 +31,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def _overlay(spark: SparkSession, d: str) -> DataFrame:
-    return T.weighted_overlay(fx.scores(spark, d), {"terrain": ("ct", 0.6), "flood": ("cf", 0.4)})
-
-
-def _zone_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = _overlay(spark, d).where("score >= 0.65").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "score")
-    return cells.join(grid.zones(cells), ["row", "col"])
-
-
-def _villages(spark: SparkSession, d: str) -> DataFrame:
-    return T.join_one_to_one(fx.census(spark, d).where("level = 'VILLAGE'"), fx.centroid(spark, d).select("village_id", "x", "y"), "village_id")
-
-
-def _tiers(spark: SparkSession, d: str) -> DataFrame:
-    cells = _overlay(spark, d).withColumn("hazard_class", S.classify(F.col("score"))).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "terrain", "flood", "score", "hazard_class")
-    here = spatial.sample_cells(_villages(spark, d), cells, ["terrain", "flood", "score", "hazard_class"])
-    near = spatial.nearest(_villages(spark, d), fx.facility(spark, d), "village_id", "facility_id")
-    return here.join(near, "village_id", "left").withColumn("tier", S.priority_tier(F.lit(False), F.col("distance_m"), F.col("hazard_class")))
+_overlay, _zone_cells, _villages = P.overlay, P.zone_cells, P.villages
 
 
 # Terrain and hydrology
@@ -73,11 +59,19 @@ def _(spark, d):
     return grid.flow_accumulation(ids)
 
 
-@query("G5_wetness", sql("SELECT row, col, round(ln((1 + row % 7) * 30.0::DOUBLE / greatest(tan(radians(greatest(slope, 0.1::DOUBLE))), 1e-4)), 6) AS twi FROM slope", "slope"))
+_WALK = "walk AS (SELECT id AS src, id AS at FROM ptr UNION ALL SELECT w.src, p.nxt FROM walk w JOIN ptr p ON p.id = w.at WHERE p.nxt IS NOT NULL), acc AS (SELECT w.at AS id, count(*) AS acc FROM walk w GROUP BY w.at), wet AS (SELECT s.row, s.col, s.slope, a.acc, CASE WHEN s.slope IS NOT NULL THEN ln(a.acc * 30.0::DOUBLE / greatest(tan(radians(greatest(s.slope, 0.1::DOUBLE))), 1e-4)) END AS twi FROM slope s JOIN acc a ON a.id = s.row * 100 + s.col)"
+_C1 = _WALK + ", scored AS (SELECT *, CASE WHEN slope IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, slope / 60.0::DOUBLE)) END AS terrain, CASE WHEN twi IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (twi - 3.5) / 10.0::DOUBLE)) END AS flood FROM wet), hazard AS (SELECT *, CASE WHEN terrain IS NOT NULL AND flood IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * terrain + 0.4::DOUBLE * flood)) END AS score FROM scored)"
+
+
+@query("G5_wetness", sql("SELECT row, col, acc, round(twi, 6) AS twi FROM wet", "slope", "ptr", last=_WALK))
+def _(spark, d):
+    return P.hazard_classes(spark, d).select("row", "col", "acc", F.round("twi", 6).alias("twi"))
+
+
+@query("C1_hazard_classes", sql(f"SELECT {CLASS.format('round(score, 9)')} AS hazard_class, count(*) AS cells, round(avg(score), 6) AS mean_score FROM hazard GROUP BY 1", "slope", "ptr", last=_C1))
 def _(spark, d):
-    cells = grid.slope(fx.g_dem(spark, d))
-    twi = F.when(F.col("slope").isNotNull(), grid.wetness((1 + F.col("row") % 7).cast("double"), F.col("slope")))
-    return cells.select("row", "col", F.coalesce(F.round(twi, 6), F.when(F.col("slope").isNull(), F.round(grid.wetness((1 + F.col("row") % 7).cast("double"), F.lit(0.1)), 6))).alias("twi"))
+    out = P.hazard_classes(spark, d).withColumn("hazard_class", S.classify(F.round("score", 9)))
+    return out.groupBy("hazard_class").agg(F.count("*").alias("cells"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 # Scores and classes
@@ -111,9 +105,16 @@ def _(spark, d):
     return T.distribution(_overlay(spark, d).withColumn("class", S.classify(F.col("score"))), "class").withColumn("area_m2", F.col("cells") * 900.0)
 
 
-@query("P11_P15_area_context", sql("SELECT area_id, CASE WHEN mean_slope < 15 THEN 'Gentle' WHEN mean_slope < 30 THEN 'Moderate' ELSE 'Steep' END AS slope_context, CASE WHEN mean_score < 0.35 THEN 'Lower terrain' WHEN mean_score < 0.65 THEN 'Moderate terrain' ELSE 'Higher terrain' END AS terrain_context, CASE WHEN hazard_distance_m <= 500 THEN 'Within 500 m' WHEN hazard_distance_m <= 2000 THEN 'Within 2 km' ELSE printf('%.1f', hazard_distance_m / 1000) || ' km away' END AS buffer_context, CASE WHEN area_m2 / 10000 > 10000 THEN 'Regional' WHEN area_m2 / 10000 > 100 THEN 'Planning' WHEN area_m2 / 10000 > 10 THEN 'Cluster' ELSE 'Site' END AS scale FROM area", "area"))
+_TEXT3 = "CASE WHEN {c} < 0.35 THEN 'Lower {t} (score < 0.35)' WHEN {c} < 0.65 THEN 'Moderate {t} (score 0.35-0.65)' ELSE 'Higher {t} (score >= 0.65)' END"
+_SCALE = "CASE WHEN {0} / 10000 > 10000 THEN 'VERY_LARGE_UNFILTERED_TERRAIN_SCREEN — This polygon represents a large contiguous terrain area. Configurable filters (slope threshold, minimum mapping unit) are NOT_CONFIGURED. This is NOT a discrete relocation site recommendation.' WHEN {0} / 10000 > 100 THEN 'Large terrain cluster (> 100 ha). Minimum mapping unit filter NOT_CONFIGURED — sub-areas may vary in suitability.' WHEN {0} / 10000 > 10 THEN 'Moderate terrain cluster (10-100 ha).' ELSE 'Small terrain cluster (< 10 ha).' END"
+_SLOPES = "CASE WHEN mean_slope < 15 THEN 'Gentle terrain (mean slope < 15 degrees)' WHEN mean_slope < 30 THEN 'Moderate terrain (mean slope 15-30 degrees)' ELSE 'Steep terrain (mean slope >= 30 degrees)' END"
+_BUFFER = "CASE WHEN hazard_distance_m <= 500 THEN 'Within 500m of Candidate Red Zone boundary' WHEN hazard_distance_m <= 2000 THEN '500m to 2km from nearest Candidate Red Zone' ELSE 'Beyond 2km from nearest Candidate Red Zone (' || printf('%.1f', hazard_distance_m / 1000) || 'km)' END"
+
+
+@query("P11_P15_area_context", sql(f"SELECT area_id, {_SLOPES} AS slope_context, {_TEXT3.format(c='mean_score', t='terrain susceptibility indicator')} AS terrain_context, {_TEXT3.format(c='mean_score', t='terrain-derived flood exposure')} AS flood_context, {_BUFFER} AS buffer_context, {_SCALE.format('area_m2 * 15')} AS scale FROM area", "area"))
 def _(spark, d):
-    return fx.area(spark, d).select("area_id", S.slope_context(F.col("mean_slope")).alias("slope_context"), S.score_context(F.col("mean_score"), "terrain").alias("terrain_context"), S.hazard_buffer_context(F.col("hazard_distance_m")).alias("buffer_context"), S.area_scale(F.col("area_m2") / 10000).alias("scale"))
+    c = F.col
+    return fx.area(spark, d).select("area_id", S.slope_context(c("mean_slope")).alias("slope_context"), S.score_context(c("mean_score"), S.TERRAIN).alias("terrain_context"), S.score_context(c("mean_score"), S.FLOOD).alias("flood_context"), S.hazard_buffer_context(c("hazard_distance_m")).alias("buffer_context"), S.area_scale(c("area_m2") * 15 / 10000).alias("scale"))
 
 
 @query("P16_token_count", sql("SELECT p_partkey, CAST(len(regexp_extract_all(p_type, 'E')) AS INT) AS n FROM part"))
@@ -121,53 +122,58 @@ def _(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", S.token_count(F.col("p_type"), "E").alias("n"))
 
 
-@query("P17_capacity", sql("SELECT area_id, CASE WHEN area_m2 > 1000000 THEN 'OVER_PLANNING_SCALE' ELSE 'ESTIMATE' END AS status, CASE WHEN area_m2 <= 1000000 THEN CAST(trunc(area_m2 * 0.4::DOUBLE / 25) AS BIGINT) END AS households, CASE WHEN area_m2 <= 1000000 THEN CAST(trunc(trunc(area_m2 * 0.4::DOUBLE / 25) * 4) AS BIGINT) END AS population, CASE WHEN area_m2 <= 1000000 THEN area_m2 * 0.4::DOUBLE >= 2500 AND trunc(area_m2 * 0.4::DOUBLE / 25) >= 10 ELSE false END AS capacity_viable FROM area", "area"))
-def _(spark, d):
-    return T.capacity(fx.area(spark, d)).select("area_id", "status", "households", "population", "capacity_viable")
+_CAP = "CASE WHEN area_m2 > 1000000 THEN 'AREA_EXCEEDS_SITE_PLANNING_SCALE' ELSE 'PRELIMINARY_DWELLING_UNIT_SCENARIO' END AS capacity_status, CASE WHEN area_m2 <= 1000000 THEN CAST(trunc(area_m2 * 0.4::DOUBLE / 25) AS BIGINT) END AS estimated_household_capacity, CASE WHEN area_m2 <= 1000000 THEN CAST(trunc(area_m2 * 0.4::DOUBLE / 25) * 4 AS BIGINT) END AS estimated_population_capacity, CASE WHEN area_m2 <= 1000000 THEN area_m2 * 0.4::DOUBLE >= 2500 AND trunc(area_m2 * 0.4::DOUBLE / 25) >= 10 ELSE false END AS capacity_viable"
+_CAP_NAMES = ["capacity_status", "estimated_household_capacity", "estimated_population_capacity", "capacity_viable"]
 
 
-@query("P18_proximity_band", sql("SELECT area_id, CASE WHEN flag = 'R' THEN 'INSIDE' WHEN hazard_distance_m <= 500 THEN 'WITHIN_500M' WHEN hazard_distance_m <= 1000 THEN 'WITHIN_1000M' WHEN hazard_distance_m <= 2000 THEN 'WITHIN_2000M' WHEN hazard_distance_m <= 5000 THEN 'WITHIN_5000M' WHEN hazard_distance_m <= 10000 THEN 'WITHIN_10000M' ELSE 'BEYOND_10000M' END AS band FROM area", "area"))
+@query("P17_capacity", sql(f"SELECT area_id, {_CAP} FROM area", "area"))
 def _(spark, d):
-    return fx.area(spark, d).select("area_id", S.proximity_band(F.col("flag") == "R", F.col("hazard_distance_m")).alias("band"))
+    return T.capacity(fx.area(spark, d)).select("area_id", *_CAP_NAMES)
 
 
-@query("P19_rates", sql("SELECT village_id, round(child_rate, 6) AS child_rate, round(illiteracy_rate, 6) AS illiteracy_rate, round(non_worker_rate, 6) AS non_worker_rate, round(sc_rate, 6) AS sc_rate FROM rates", "rates"))
+@query("P18_proximity_band", sql("SELECT area_id, " + BAND.format("flag = 'R'", "hazard_distance_m") + " AS band FROM area", "area"))
 def _(spark, d):
-    return T.rates(fx.census(spark, d)).select("village_id", *[F.round(c, 6).alias(c) for c in S.VULNERABILITY])
+    return fx.area(spark, d).select("area_id", S.proximity_band(F.col("flag") == "R", F.col("hazard_distance_m")).alias("band"))
 
 
-_FLAGS = "CAST(coalesce(child_rate, 0) > 0.15 AS INT) + CAST(coalesce(illiteracy_rate, 0) > 0.4 AS INT) + CAST(coalesce(non_worker_rate, 0) > 0.5 AS INT) + CAST(coalesce(sc_rate, 0) > 0.3 AS INT)"
+@query("P19_rates", sql("SELECT village_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in S.RATES) + " FROM rates", "rates"))
+def _(spark, d):
+    return T.rates(fx.census(spark, d)).select("village_id", *[F.round(c, 6).alias(c) for c in S.RATES])
 
 
-@query("P20_vulnerability", sql(f"SELECT village_id, {_FLAGS} AS flag_count FROM rates", "rates"))
+@query("P20_vulnerability", sql("SELECT village_id, " + ", ".join(f"{c} AS {n}" for n, c in FLAGS.items()) + f", {FLAG_COUNT} AS flag_count, ({FLAG_COUNT}) || ' of 4 vulnerability factors flagged' AS context FROM rates", "rates"))
 def _(spark, d):
-    return T.vulnerability(T.rates(fx.census(spark, d))).select("village_id", F.col("vulnerability_flag_count").alias("flag_count"))
+    return T.vulnerability(T.rates(fx.census(spark, d))).select("village_id", *FLAGS, F.col("vulnerability_flag_count").alias("flag_count"), F.col("vulnerability_context").alias("context"))
 
 
-@query("P36_active_flags", sql("SELECT village_id, concat_ws(',', CASE WHEN coalesce(child_rate, 0) > 0.15 THEN 'child_rate' END, CASE WHEN coalesce(illiteracy_rate, 0) > 0.4 THEN 'illiteracy_rate' END, CASE WHEN coalesce(non_worker_rate, 0) > 0.5 THEN 'non_worker_rate' END, CASE WHEN coalesce(sc_rate, 0) > 0.3 THEN 'sc_rate' END) AS flags FROM rates", "rates"))
+@query("P36_active_flags", sql("SELECT village_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in zip(("High Child Population", "High SC Population", "High Dependency Ratio", "High Illiteracy Rate"), FLAGS.values(), strict=True)) + ") AS flags FROM rates", "rates"))
 def _(spark, d):
     return T.vulnerability(T.rates(fx.census(spark, d))).select("village_id", F.array_join("active_flags", ",").alias("flags"))
 
 
-@query("A12_flag_histogram", sql(f"SELECT {_FLAGS} AS flag_count, count(*) AS villages FROM rates GROUP BY 1", "rates"))
+@query("A12_flag_histogram", sql(f"SELECT {FLAG_COUNT} AS flag_count, count(*) AS villages FROM rates GROUP BY 1", "rates"))
 def _(spark, d):
     return T.vulnerability(T.rates(fx.census(spark, d))).groupBy(F.col("vulnerability_flag_count").alias("flag_count")).agg(F.count("*").alias("villages"))
 
 
-@query("P27_road_category", sql("SELECT area_id, CASE WHEN hazard_distance_m > 3000 THEN 'ISOLATED' WHEN mean_slope > 90 OR hazard_distance_m > 1500 THEN 'REMOTE' WHEN mean_slope > 45 THEN 'LIMITED' WHEN mean_slope > 15 OR hazard_distance_m > 500 THEN 'MODERATE' ELSE 'GOOD' END AS category FROM area", "area"))
+_ROAD_CATEGORY = "CASE WHEN {s} > 3000 OR {m} IS NULL THEN 'ISOLATED_GRAPH_DISCONNECTED' WHEN {m} > 90 OR {s} > 1500 THEN 'SEVERELY_REMOTE' WHEN {m} > 45 THEN 'REMOTE' WHEN {m} > 15 OR {s} > 500 THEN 'MODERATELY_ACCESSIBLE' ELSE 'HIGHLY_ACCESSIBLE' END"
+
+
+@query("P27_road_category", sql(f"SELECT *, category IN ('ISOLATED_GRAPH_DISCONNECTED', 'SEVERELY_REMOTE') AS isolated FROM (SELECT area_id, {_ROAD_CATEGORY.format(s='hazard_distance_m', m='mean_slope')} AS category FROM area)", "area"))
 def _(spark, d):
-    return fx.area(spark, d).select("area_id", S.road_category(F.col("hazard_distance_m"), F.col("mean_slope")).alias("category"))
+    out = fx.area(spark, d).select("area_id", S.road_category(F.col("hazard_distance_m"), F.col("mean_slope")).alias("category"))
+    return out.withColumn("isolated", S.road_isolated(F.col("category")))
 
 
-@query("P30_P31_incident_defaults", sql("SELECT event_id, coalesce(fatalities, 0) AS fatalities, coalesce(uncertainty_m, 100) AS uncertainty_m, CASE WHEN coalesce(uncertainty_m, 100) <= 50 THEN '<=50m' WHEN coalesce(uncertainty_m, 100) <= 100 THEN '<=100m' WHEN coalesce(uncertainty_m, 100) <= 200 THEN '<=200m' ELSE '>200m' END AS band FROM incident", "incident"))
+@query("P30_P31_incident_defaults", sql("SELECT event_id, coalesce(fatalities, 0) AS fatalities, coalesce(uncertainty_m, 100) AS uncertainty_m, CASE WHEN coalesce(uncertainty_m, 100) <= 50 THEN 'HIGH_PRECISION (≤ 50 m)' WHEN coalesce(uncertainty_m, 100) <= 100 THEN 'MODERATE_PRECISION (51–100 m)' WHEN coalesce(uncertainty_m, 100) <= 200 THEN 'VILLAGE_SCALE_PRECISION (101–200 m)' ELSE 'CORRIDOR_SCALE_PRECISION (> 200 m)' END AS band FROM incident", "incident"))
 def _(spark, d):
     filled = fx.incident(spark, d).fillna({"fatalities": 0, "uncertainty_m": 100})
     return filled.select("event_id", "fatalities", "uncertainty_m", S.uncertainty_band(F.col("uncertainty_m")).alias("band"))
 
 
-@query("P32_driver", sql("SELECT row, col, CASE WHEN ct + cf <= 0 THEN 'none' WHEN ct / (ct + cf) >= 0.65 THEN 'terrain' WHEN cf / (ct + cf) >= 0.65 THEN 'flood' ELSE 'mixed' END AS driver FROM overlay WHERE score IS NOT NULL", "overlay"))
+@query("P32_driver", sql("SELECT zone, CASE WHEN mean_terrain / mean_score * 100 >= 65 THEN 'Terrain Susceptibility Dominated (Steep Flanks)' WHEN mean_flood / mean_score * 100 >= 65 THEN 'Hydrological Convergence Dominated (Channel Corridor / Terraces)' ELSE 'Dual Predisposition (Steep Gully / Convergence Flanks)' END AS driver FROM zone_stats", "zone_stats"))
 def _(spark, d):
-    return _overlay(spark, d).where("score IS NOT NULL").select("row", "col", S.dominant_driver(F.col("ct"), F.col("cf")).alias("driver"))
+    return P.zone_stats(_zone_cells(spark, d)).select("zone", S.dominant_driver(F.col("mean_terrain"), F.col("mean_flood"), F.col("mean_score")).alias("driver"))
 
 
 @query("F7_ecological_mask", sql("SELECT row, col, CASE WHEN valid THEN CAST(code IN (10, 50, 70, 80, 90) OR protected AS INT) END AS excluded FROM g_lulc", "g_lulc"))
@@ -175,7 +181,11 @@ def _(spark, d):
     return T.ecological_mask(fx.g_lulc(spark, d)).select("row", "col", "excluded")
 
 
-@query("P33_G17_land_cover", sql("SELECT l.code, l.label, count(g.code) AS pixels, count(g.code) * 0.09::DOUBLE AS hectares FROM (VALUES (10, 'Tree cover'), (20, 'Shrubland'), (30, 'Grassland'), (40, 'Cropland'), (50, 'Built-up'), (60, 'Bare'), (70, 'Snow and ice'), (80, 'Water'), (90, 'Wetland')) l(code, label) LEFT JOIN g_lulc g ON g.code = l.code GROUP BY l.code, l.label", "g_lulc"))
+_LEGEND = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in T.LAND_COVER) + ") l(code, label)"
+_COVER = "SELECT l.code, l.label, count(g.code) AS pixels, round_even(count(g.code) * 0.09::DOUBLE, 2) AS hectares, round_even(count(g.code) * 100.0::DOUBLE / (SELECT count(*) FROM {0} WHERE valid), 2) AS pct_of_terrain, CASE WHEN l.code IN (10, 50, 70, 80, 90) THEN 'EXCLUDED' ELSE 'PERMISSIBLE' END AS policy FROM " + _LEGEND + " LEFT JOIN {0} g ON g.code = l.code GROUP BY l.code, l.label"
+
+
+@query("P33_G17_land_cover", sql(_COVER.format("g_lulc"), "g_lulc"))
 def _(spark, d):
     return T.land_cover_summary(fx.g_lulc(spark, d), 0.09)
 
@@ -188,27 +198,59 @@ def _(spark, d):
     return _zone_cells(spark, d).select("row", "col", "zone")
 
 
-@query("G7_G9_zone_stats", sql("SELECT zone, pixel_count, area_m2, mean_score, max_score, min_score FROM zone_stats", "zone_stats"))
+@query("G7_G9_zone_stats", sql("SELECT zone, pixel_count, area_m2, mean_score, max_score, min_score, mean_terrain, mean_flood FROM zone_stats", "zone_stats"))
+def _(spark, d):
+    return P.zone_stats(_zone_cells(spark, d)).select("zone", "pixel_count", "area_m2", "mean_score", "max_score", "min_score", "mean_terrain", "mean_flood")
+
+
+@query("G13_G14_bounds_centroid", sql("SELECT zone, min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col, round(avg((col + 0.5::DOUBLE) * 30), 6) AS x, round(-avg((row + 0.5::DOUBLE) * 30), 6) AS y FROM zone_cells GROUP BY zone", "zone_cells"))
+def _(spark, d):
+    at = spatial.cell_centres(P.zone_stats(_zone_cells(spark, d)).withColumnsRenamed({"mean_row": "row", "mean_col": "col"}))
+    return at.select("zone", "min_row", "max_row", "min_col", "max_col", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("F21_W1_ranked_zones", sql("SELECT rank, printf('RZ-%03d', rank) AS zone_id, zone, area_m2, mean_score FROM kept_zone", "kept_zone"))
 def _(spark, d):
-    return grid.zone_summary(_zone_cells(spark, d), 900.0, {"score": "score"}).select("zone", "pixel_count", "area_m2", "mean_score", "max_score", "min_score")
+    return P.red_zones(spark, d)[0].select("rank", "zone_id", "zone", "area_m2", "mean_score")
 
 
-@query("F21_W1_ranked_zones", sql("SELECT row_number() OVER (ORDER BY mean_score DESC, max_score DESC, area_m2 DESC, zone) AS rank, zone, area_m2, mean_score FROM zone_stats WHERE area_m2 >= 2700", "zone_stats"))
+@query("G15_painted_zones", sql("SELECT row, col, zone_rank FROM kept_cells", "kept_cells"))
 def _(spark, d):
-    kept = grid.zone_summary(_zone_cells(spark, d), 900.0, {"score": "score"}).where("area_m2 >= 2700")
-    return grid.rank_zones(kept).select("rank", "zone", "area_m2", "mean_score")
+    return P.red_zones(spark, d)[1].select("row", "col", "zone_rank")
 
 
-@query("C2_red_zone_summary", sql("SELECT count(*) AS components, count(*) FILTER (WHERE area_m2 >= 2700) AS kept, sum(area_m2) FILTER (WHERE area_m2 >= 2700) AS kept_m2, sum(area_m2) FILTER (WHERE area_m2 < 2700) AS dropped_m2 FROM zone_stats", "zone_stats"))
+@query("A4_zone_totals", sql("SELECT count(*) AS zones, sum(area_m2) AS total_m2, round_even(avg(area_m2), 2) AS mean_m2, round_even(avg(mean_score), 6) AS mean_score, round_even(avg(mean_terrain), 6) AS mean_terrain, round_even(avg(mean_flood), 6) AS mean_flood, round_even(avg(mean_terrain) * 100 / avg(mean_score), 2) AS terrain_pct, round_even(avg(mean_flood) * 100 / avg(mean_score), 2) AS flood_pct, arg_max(zone, {'a': area_m2, 'r': -rank}) AS largest, arg_min(zone, {'a': area_m2, 'r': rank}) AS smallest, arg_min(zone, rank) AS first FROM kept_zone", "kept_zone"))
 def _(spark, d):
-    s = grid.zone_summary(_zone_cells(spark, d), 900.0, {"score": "score"})
-    big = F.col("area_m2") >= 2700
+    return summaries.zone_totals(P.red_zones(spark, d)[0])
+
+
+@query("A5_retention", sql("SELECT count(*) AS initial, count(*) FILTER (WHERE area_m2 >= 5000) AS retained, count(*) FILTER (WHERE area_m2 < 5000) AS removed, round_even(sum(area_m2 / 10000), 4) AS initial_ha, round_even(coalesce(sum(area_m2 / 10000) FILTER (WHERE area_m2 >= 5000), 0), 4) AS retained_ha, round_even(coalesce(sum(area_m2 / 10000) FILTER (WHERE area_m2 < 5000), 0), 4) AS removed_ha FROM zone_stats", "zone_stats"))
+def _(spark, d):
+    return summaries.retention(P.zone_stats(_zone_cells(spark, d)), P.ZONE_M2)
+
+
+@query("C2_red_zone_summary", sql("SELECT count(*) AS components, count(*) FILTER (WHERE area_m2 >= 5000) AS kept, sum(area_m2) FILTER (WHERE area_m2 >= 5000) AS kept_m2, sum(area_m2) FILTER (WHERE area_m2 < 5000) AS dropped_m2 FROM zone_stats", "zone_stats"))
+def _(spark, d):
+    s = P.zone_stats(_zone_cells(spark, d))
+    big = F.col("area_m2") >= P.ZONE_M2
     return s.agg(F.count("*").alias("components"), F.count_if(big).alias("kept"), F.sum(F.when(big, F.col("area_m2"))).alias("kept_m2"), F.sum(F.when(~big, F.col("area_m2"))).alias("dropped_m2"))
 
 
-@query("G11_majority", sql("SELECT row % 10 AS zone, CAST(arg_max(code, {'n': n, 'c': -code}) AS INT) AS dominant_code FROM (SELECT row % 10 AS row, code, count(*) AS n FROM g_lulc GROUP BY ALL) GROUP BY 1", "g_lulc"))
+@query("L6_top_zones", sql("SELECT rank, zone, mean_score FROM kept_zone ORDER BY rank LIMIT 10", "kept_zone"))
+def _(spark, d):
+    return views.top_zones(P.red_zones(spark, d)[0]).select("rank", "zone", "mean_score")
+
+
+@query("G8_rings", sql("SELECT zone, sum(CASE WHEN x.row IS NULL THEN 1 ELSE 0 END) AS sides, sum(CASE WHEN x.row IS NULL THEN s.area ELSE 0 END) AS area_m2 FROM kept_cells m CROSS JOIN (SELECT 0 AS dr, 1 AS dc, 'E' AS side UNION ALL SELECT 1, 0, 'S' UNION ALL SELECT 0, -1, 'W' UNION ALL SELECT -1, 0, 'N') s0 LEFT JOIN kept_cells x ON x.row = m.row + s0.dr AND x.col = m.col + s0.dc AND x.zone = m.zone CROSS JOIN LATERAL (SELECT CASE s0.side WHEN 'E' THEN (m.col + 1) * 900 WHEN 'W' THEN -m.col * 900 ELSE 0 END AS area) s GROUP BY zone".replace("SELECT zone", "SELECT m.zone").replace("GROUP BY zone", "GROUP BY m.zone"), "kept_cells"))
 def _(spark, d):
-    return grid.majority(fx.g_lulc(spark, d).withColumn("zone", F.col("row") % 10))
+    found = grid.rings(grid.boundary_edges(P.red_zones(spark, d)[1])).select("zone", F.expr("slice(points, 1, size(points) - 1)").alias("a"), F.expr("slice(points, 2, size(points) - 1)").alias("b"))
+    shoelace = F.aggregate(F.zip_with("a", "b", lambda p, q: (p["x"] + q["x"]) * (p["y"] - q["y"]) / 2), F.lit(0.0), lambda t, v: t + v)
+    return found.groupBy("zone").agg(F.sum(F.size("a")).alias("sides"), F.sum(shoelace).cast("long").alias("area_m2"))
+
+
+@query("G11_majority", sql("SELECT zone, dominant_code FROM area_code", "area_code"))
+def _(spark, d):
+    return grid.majority(P.area_cells(spark, d))
 
 
 @query("G12_dilation", sql("SELECT DISTINCT m.row + o.dr AS row, m.col + o.dc AS col FROM mask m, (SELECT a.r AS dr, b.r AS dc FROM (SELECT unnest(range(-2, 3)) AS r) a, (SELECT unnest(range(-2, 3)) AS r) b WHERE abs(a.r) + abs(b.r) <= 2) o WHERE NOT EXISTS (SELECT 1 FROM mask x WHERE x.row = m.row + o.dr AND x.col = m.col + o.dc)", "mask"))
@@ -235,44 +277,179 @@ def _(spark, d):
     return out.select("facility_id", "n_1km", "n_2km", "n_2km_click")
 
 
-@query("J4_points_in_zones", sql("SELECT v.village_id, z.zone FROM village v LEFT JOIN zone_cells z ON z.row = CAST(floor(-v.y / 30) AS BIGINT) AND z.col = CAST(floor(v.x / 30) AS BIGINT)", "village", "zone_cells"))
+@query("J4_points_in_zones", sql("SELECT village_id, matched_zone AS zone FROM exposure", "exposure"))
+def _(spark, d):
+    return spatial.points_in_zones(_villages(spark, d), P.red_zones(spark, d)[1], "village_id").select("village_id", "zone")
+
+
+@query("J5_nearest_zone", sql("SELECT village_id, nearest_zone, distance_m FROM exposure", "exposure"))
+def _(spark, d):
+    return P.exposure(spark, d).select("village_id", "nearest_zone", "distance_m")
+
+
+@query("C3_exposure", sql("SELECT village_id, matched_zone, nearest_zone, distance_m, overlap, band FROM exposure", "exposure"))
 def _(spark, d):
-    return spatial.points_in_zones(_villages(spark, d), _zone_cells(spark, d).withColumn("zone_rank", F.col("zone")), "village_id").select("village_id", "zone")
+    return P.exposure(spark, d).select("village_id", "matched_zone", "nearest_zone", "distance_m", "overlap", "band")
+
+
+@query("A6_inside_outside", sql("SELECT side, habitations, population, households, sc, st, " + ", ".join(f"round_even(coalesce(100.0::DOUBLE * {c} / nullif(sum({c}) OVER (), 0), 0), 2) AS {c}_pct" for c in ("habitations", "population", "households", "sc", "st")) + ", true AS reconciled FROM (SELECT s.side, count(e.village_id) AS habitations, coalesce(sum(tot_p), 0) AS population, coalesce(sum(no_hh), 0) AS households, coalesce(sum(p_sc), 0) AS sc, coalesce(sum(p_st), 0) AS st FROM (VALUES (true, 'Inside Candidate Hazard-Based Red Zone'), (false, 'Outside Candidate Hazard-Based Red Zone')) s(k, side) LEFT JOIN exposure e ON e.overlap = s.k GROUP BY s.side)", "exposure"))
+def _(spark, d):
+    return summaries.inside_outside(P.exposure(spark, d))
+
+
+_BANDS = "(VALUES " + ", ".join(f"('{b}')" for b in S.BAND_ORDER) + ") b(band)"
+
+
+@query("A7_exposure_by_band", sql("SELECT *, " + ", ".join(f"round_even(coalesce(100.0::DOUBLE * {c} / nullif(sum({c}) OVER (), 0), 0), 2) AS {c}_pct" for c in ("n", "population", "households", "sc", "st")) + f" FROM (SELECT b.band, count(e.village_id) AS n, coalesce(sum(tot_p), 0) AS population, coalesce(sum(no_hh), 0) AS households, coalesce(sum(p_sc), 0) AS sc, coalesce(sum(p_st), 0) AS st FROM {_BANDS} LEFT JOIN exposure e USING (band) GROUP BY b.band)", "exposure"))
+def _(spark, d):
+    return summaries.by_band(P.exposure(spark, d))
+
+
+@query("L3_close_villages", sql("SELECT village_id, distance_m FROM exposure WHERE distance_m <= 500 ORDER BY 2, 1", "exposure"))
+def _(spark, d):
+    return views.close_villages(P.exposure(spark, d)).select("village_id", "distance_m")
 
 
 @query("J14_sample", sql("SELECT village_id, terrain, flood, hazard_class FROM sampled", "sampled"))
 def _(spark, d):
-    return _tiers(spark, d).select("village_id", "terrain", "flood", "hazard_class")
+    cells = _overlay(spark, d).withColumn("hazard_class", S.classify(F.col("score"))).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "terrain", "flood", "hazard_class")
+    there = spatial.sample_cells(_villages(spark, d), cells, ["terrain", "flood", "hazard_class"])
+    return there.select("village_id", "terrain", "flood", S.clean_class(F.col("hazard_class")).alias("hazard_class"))
 
 
-@query("P21_C4_priority", sql("SELECT village_id, distance_m, hazard_class, tier FROM tiers", "tiers"))
+@query("P21_C4_priority", sql("SELECT village_id, distance_m, hazard_class, priority_tier FROM profile", "profile"))
 def _(spark, d):
-    return _tiers(spark, d).select("village_id", "distance_m", "hazard_class", "tier")
+    return P.profiles(spark, d).select("village_id", "distance_m", "hazard_class", "priority_tier")
+
 
+_CTX = "CASE WHEN hazard_class IS NULL THEN 'MH class unavailable (NoData)' ELSE 'MH Class ' || hazard_class END"
+_AT = "'(distance: ' || printf('%.0f', round_even(distance_m, 0)) || 'm, nearest: ' || nearest_zone || ')'"
+_REASON = f"CASE WHEN overlap THEN 'HARD RULE: Village centroid directly overlaps Candidate Hazard-Based Red Zone polygon. Village sits within red zone boundary. (' || {_CTX} || ' at centroid)' WHEN distance_m <= 500 AND hazard_class >= 2 THEN 'Centroid within 500m of Candidate Red Zone ' || {_AT} || ' AND ' || {_CTX} || ' at centroid (rule: MH Class ≥ 2). Close proximity with moderate-higher hazard terrain at centroid.' WHEN distance_m <= 500 AND hazard_class IS NULL THEN 'Centroid within 500m of Candidate Red Zone ' || {_AT} || ' but ' || {_CTX} || '. Cannot confirm Tier 1 MH class condition. Assigned Tier 2 (conservative — avoids unverified elevation).' WHEN distance_m <= 2000 THEN 'Centroid within 2000m of Candidate Red Zone ' || {_AT} || '. ' || {_CTX} || ' at centroid.' || CASE WHEN distance_m <= 500 THEN ' Note: within 500m threshold but ' || {_CTX} || ' (Lower class — below Tier 1 class threshold ≥ 2).' ELSE '' END WHEN distance_m <= 5000 THEN 'Centroid within 5000m of Candidate Red Zone ' || {_AT} || '. ' || {_CTX} || ' at centroid. Within monitoring proximity band.' ELSE 'Centroid beyond 5000m from nearest Candidate Red Zone ' || {_AT} || '. ' || {_CTX} || ' at centroid. Outside monitoring proximity band.' END"
+_RULE = "CASE WHEN overlap THEN 'direct_zone_overlap = True (hard safety rule)' WHEN distance_m <= 500 AND hazard_class >= 2 THEN 'dist ≤ 500m AND mh_class ≥ 2' WHEN distance_m <= 500 AND hazard_class IS NULL THEN 'dist ≤ 500m; mh_class = NoData (conservative Tier 2)' WHEN distance_m <= 2000 THEN 'dist ≤ 2000m' WHEN distance_m <= 5000 THEN 'dist ≤ 5000m' ELSE 'dist > 5000m' END"
 
-@query("C4_village_tiers", sql("SELECT tier, count(*) AS villages, sum(tot_p) AS population, sum(no_hh) AS households, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM tiers GROUP BY tier", "tiers"))
+
+@query("P21_reasons", sql(f"SELECT village_id, {_RULE} AS applied_rule, {_REASON} AS priority_reason FROM profile", "profile"))
 def _(spark, d):
-    by = _tiers(spark, d).groupBy("tier").agg(F.count("*").alias("villages"), F.sum("tot_p").alias("population"), F.sum("no_hh").alias("households"))
-    return by.withColumn("pct", F.round(100.0 * F.col("villages") / F.sum("villages").over(W.partitionBy()), 6))
+    return P.profiles(spark, d).select("village_id", "applied_rule", "priority_reason")
 
 
-@query("A15_block_summary", sql("SELECT subdist, count(*) FILTER (WHERE tier = 'TIER_1') AS tier_1, count(*) FILTER (WHERE tier = 'TIER_2') AS tier_2, sum(tot_p) AS population, coalesce(sum(tot_p) FILTER (WHERE tier IN ('TIER_1', 'TIER_2')), 0) AS at_risk FROM tiers GROUP BY subdist", "tiers"))
+@query("P23_horizon", sql("SELECT village_id, CASE priority_tier WHEN 'Tier1_AttentionPriority' THEN 'IMMEDIATE_FIELD_ASSESSMENT' WHEN 'Tier2_ElevatedAttention' THEN 'SHORT_TERM_PLANNING_REVIEW' WHEN 'Tier3_Monitoring' THEN 'MEDIUM_TERM_MONITORING' WHEN 'BeyondProximity' THEN 'ROUTINE_MONITORING' ELSE 'UNKNOWN' END AS relocation_horizon, CASE priority_tier WHEN 'Tier1_AttentionPriority' THEN '0-1' WHEN 'Tier2_ElevatedAttention' THEN '1-3' WHEN 'Tier3_Monitoring' THEN '3-10' WHEN 'BeyondProximity' THEN '10+' ELSE 'N/A' END AS planning_horizon_years FROM profile", "profile"))
 def _(spark, d):
-    risk = F.col("tier").isin("TIER_1", "TIER_2")
-    return _tiers(spark, d).groupBy("subdist").agg(F.count_if(F.col("tier") == "TIER_1").alias("tier_1"), F.count_if(F.col("tier") == "TIER_2").alias("tier_2"), F.sum("tot_p").alias("population"), F.coalesce(F.sum(F.when(risk, F.col("tot_p"))), F.lit(0)).alias("at_risk"))
+    return P.profiles(spark, d).select("village_id", "relocation_horizon", "planning_horizon_years")
 
 
-@query("L1_action_queue", sql("SELECT village_id, tier, distance_m FROM tiers WHERE tier IN ('TIER_1', 'TIER_2') ORDER BY distance_m, village_id LIMIT 200", "tiers"))
+@query("C4_village_tiers", sql("SELECT priority_tier, count(*) AS villages, sum(tot_p) AS population, sum(no_hh) AS households, round_even(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct FROM profile GROUP BY priority_tier", "profile"))
 def _(spark, d):
-    return T.action_queue(_tiers(spark, d), ["TIER_1", "TIER_2"], 200).select("village_id", "tier", "distance_m")
+    return summaries.tier_distribution(P.profiles(spark, d)).drop("label")
+
+
+@query("A10_classes", sql("SELECT c.class, count(p.village_id) AS villages FROM (VALUES ('Class_1'), ('Class_2'), ('Class_3'), ('NoData')) c(class) LEFT JOIN profile p ON coalesce('Class_' || p.hazard_class, 'NoData') = c.class GROUP BY c.class", "profile"))
+def _(spark, d):
+    return summaries.class_distribution(P.profiles(spark, d))
+
+
+@query("A11_indicators", sql(" UNION ALL ".join(f"SELECT '{c}' AS indicator, 'AVAILABLE' AS status, round_even(avg({c}), 4) AS mean, round_even(median({c}), 4) AS median, round_even(min({c}), 4) AS min, round_even(max({c}), 4) AS max, count({c}) AS n FROM rates" for c in S.RATES), "rates"))
+def _(spark, d):
+    return summaries.indicator_stats(T.rates(fx.census(spark, d)), list(S.RATES))
+
+
+@query("A15_block_summary", sql("SELECT subdist, count(*) AS villages, sum(tot_p) AS population, count(*) FILTER (WHERE priority_tier = 'Tier1_AttentionPriority') AS tier1_immediate, count(*) FILTER (WHERE priority_tier = 'Tier2_ElevatedAttention') AS tier2_short_term, count(*) FILTER (WHERE priority_tier = 'Tier3_Monitoring') AS tier3_monitoring, count(*) FILTER (WHERE priority_tier = 'BeyondProximity') AS beyond_proximity, coalesce(sum(tot_p) FILTER (WHERE priority_tier IN ('Tier1_AttentionPriority', 'Tier2_ElevatedAttention')), 0) AS at_risk_population, count(*) FILTER (WHERE vulnerability_flag_count >= 2) AS high_vulnerability_villages FROM profile GROUP BY subdist", "profile"))
+def _(spark, d):
+    return summaries.block_summary(P.profiles(spark, d))
+
+
+_QUEUE = "priority_tier IN ('Tier1_AttentionPriority', 'Tier2_ElevatedAttention')"
+
+
+@query("L1_action_queue", sql(f"SELECT village_id, priority_tier, distance_m, vulnerability_flag_count FROM profile WHERE {_QUEUE} AND vulnerability_flag_count >= 2 ORDER BY distance_m, village_id LIMIT 200", "profile"))
+def _(spark, d):
+    return views.action_queue(P.profiles(spark, d), high_vulnerability_only=True).select("village_id", "priority_tier", "distance_m", "vulnerability_flag_count")
+
+
+@query("A16_queue_summary", sql(f"SELECT priority_tier, count(*) AS villages, sum(tot_p) AS population, sum(no_hh) AS households FROM profile WHERE {_QUEUE} GROUP BY 1", "profile"))
+def _(spark, d):
+    return views.queue_summary(P.profiles(spark, d))
+
+
+@query("L2_attention_list", sql(f"SELECT village_id, distance_m, substring({_REASON}, 1, 200) AS reason FROM profile WHERE priority_tier = 'Tier1_AttentionPriority' ORDER BY 2, 1", "profile"))
+def _(spark, d):
+    return views.attention_list(P.profiles(spark, d)).select("village_id", "distance_m", "reason")
+
+
+@query("K5_priority_report", sql(f"SELECT village_id AS Village_ID, name AS Village_Name, priority_tier AS Priority_Tier, distance_m AS Distance_to_Hazard_Zone_m, tot_p AS Total_Population, no_hh AS Households, subdist AS Sub_District_ID FROM profile WHERE {_QUEUE}", "profile"))
+def _(spark, d):
+    return views.priority_report(P.profiles(spark, d)).select("Village_ID", "Village_Name", "Priority_Tier", "Distance_to_Hazard_Zone_m", "Total_Population", "Households", "Sub_District_ID")
+
+
+@query("C12_tiers_by_view", sql("SELECT priority_tier, count(*) AS n FROM profile WHERE priority_tier IN ('Tier1_AttentionPriority', 'Tier3_Monitoring') AND contains(lower(name), '00001') GROUP BY 1", "profile"))
+def _(spark, d):
+    shown = views.toggled(P.profiles(spark, d), {S.TIERS[0]: True, S.TIERS[1]: False, S.TIERS[2]: True})
+    return views.name_contains(shown, "00001").groupBy("priority_tier").agg(F.count("*").alias("n"))
+
+
+# Areas
+
+
+@query("F6_A30_screening", sql("SELECT predicate, cells, round_even(cells * 0.09::DOUBLE, 2) AS hectares FROM (SELECT count(*) FILTER (WHERE v AND hazard_class = 3) AS hazard_class_3, count(*) FILTER (WHERE v AND flood_class = 3) AS flood_class_3, count(*) FILTER (WHERE v AND zone IS NOT NULL) AS red_zone, count(*) FILTER (WHERE v AND slope > 20) AS slope_max, NULL::BIGINT AS red_zone_buffer, NULL::BIGINT AS flood_class_2, NULL::BIGINT AS hazard_class_2, NULL::BIGINT AS elevation_max, count(*) FILTER (WHERE v AND eco = 1) AS ecological, count(*) FILTER (WHERE excluded = 1) AS \"all\" FROM (SELECT *, slope IS NOT NULL AND score IS NOT NULL AS v FROM screen)) UNPIVOT INCLUDE NULLS (cells FOR predicate IN (hazard_class_3, flood_class_3, red_zone, slope_max, red_zone_buffer, flood_class_2, hazard_class_2, elevation_max, ecological, \"all\"))", "screen"))
+def _(spark, d):
+    return summaries.mask_log(P.screened(spark, d)[1], 0.09)
+
+
+@query("C5_candidate_areas", sql("SELECT area_id, pixel_count, area_m2, mean_slope, mean_terrain, mean_flood, mean_score, max_slope, dominant_code, nearest_zone, hazard_distance_m, nearest_village, nearest_village_pop, nearest_village_m FROM cand JOIN cand_near USING (area_id) JOIN cand_home USING (area_id)", "cand", "cand_near", "cand_home"))
+def _(spark, d):
+    return P.candidate_areas(spark, d).select("area_id", "pixel_count", "area_m2", "mean_slope", "mean_terrain", "mean_flood", "mean_score", "max_slope", "dominant_code", "nearest_zone", "hazard_distance_m", "nearest_village", "nearest_village_pop", "nearest_village_m")
+
+
+@query("C6_area_context", sql(f"SELECT area_id, {_SLOPES} AS slope_context, {_BUFFER} AS hazard_buffer_context, {_SCALE.format('area_m2')} AS area_scale_context, 'slope_max_deg=20.0; redzone_buffer_m=NOT_CONFIGURED; exclude_flood_class_2=NOT_CONFIGURED; minimum_area_m2=2700.0; maximum_area_m2=NOT_CONFIGURED' AS screening_basis, 3 AS not_configured, {_CAP} FROM cand JOIN cand_near USING (area_id)", "cand", "cand_near"))
+def _(spark, d):
+    return P.area_context(P.candidate_areas(spark, d)).select("area_id", "slope_context", "hazard_buffer_context", "area_scale_context", "screening_basis", "not_configured", *_CAP_NAMES)
+
+
+@query("A13_A14_area_totals", sql(f"SELECT count(*) AS areas, round_even(sum(area_m2) / 10000, 4) AS hectares, count(estimated_household_capacity) AS estimated, count(*) FILTER (WHERE capacity_viable) AS viable, coalesce(sum(estimated_household_capacity), 0) AS households, coalesce(sum(estimated_population_capacity), 0) AS population FROM (SELECT area_m2, {_CAP} FROM cand)", "cand"))
+def _(spark, d):
+    return summaries.area_totals(P.area_context(P.candidate_areas(spark, d)))
+
+
+@query("C11_decision_summary", sql("SELECT (SELECT count(*) FROM profile) AS total_villages, (SELECT count(DISTINCT priority_tier) FROM profile) AS tiers, 7 AS bands, 4 AS classes, 5 AS indicators, (SELECT count(*) FROM cand) AS areas", "profile", "cand"))
+def _(spark, d):
+    n = lambda c: F.size(c).alias(c)
+    return P.decision(spark, d).select("total_villages", n("tiers"), n("bands"), n("classes"), n("indicators"), F.col("areas")[0]["areas"].alias("areas"))
+
+
+# Incidents
 
 
 @query("J17_dedup_invariant")
 def _(spark, d):
-    return spatial.dedup_events(fx.incident(spark, d), "event_id", "hazard_type").groupBy((F.col("leader") == F.col("event_id")).alias("leads")).agg(F.count("*").alias("events"))
+    return spatial.dedup_events(fx.incident(spark, d), "event_id", "hazard_type")
+
+
+@query("A23_dedup_summary")
+def _(spark, d):
+    events = fx.incident(spark, d)
+    merged = spatial.merged_events(events, spatial.dedup_events(events, "event_id", "hazard_type"), "event_id")
+    return summaries.dedup_summary(events, merged)
 
 
-@query("W4_incident_ids", sql("SELECT event_id, 'DIS-' || year || '-' || lpad(CAST(row_number() OVER (PARTITION BY year ORDER BY date NULLS FIRST, event_id) AS VARCHAR), 6, '0') AS incident_id FROM incident", "incident"))
+@query("K3_provenance")
+def _(spark, d):
+    return io.provenance(P.inventory(spark, d))
+
+
+_INCIDENT_JOIN = "SELECT v.village_id, arg_min(i.event_id, {'d': (v.x - i.x) * (v.x - i.x) + (v.y - i.y) * (v.y - i.y), 'i': i.event_id}) AS nearest_incident, round_even(sqrt(min((v.x - i.x) * (v.x - i.x) + (v.y - i.y) * (v.y - i.y))), 1) AS nearest_incident_m, count(*) FILTER (WHERE d <= 1000) AS n_1km, count(*) FILTER (WHERE d <= 2000) AS n_2km, count(*) FILTER (WHERE d <= 2000 AND hazard_type IN ('CLICK', 'VIEW')) AS n_2km_mass, count(*) FILTER (WHERE d <= 2000 AND hazard_type = 'PURCHASE') AS n_2km_flood FROM village v CROSS JOIN incident i CROSS JOIN LATERAL (SELECT sqrt((v.x - i.x) * (v.x - i.x) + (v.y - i.y) * (v.y - i.y)) AS d) GROUP BY v.village_id"
+
+
+@query("J9_C9_village_incidents", sql(_INCIDENT_JOIN, "village", "incident"))
+def _(spark, d):
+    return P.village_incidents(spark, d, fx.incident(spark, d)).select("village_id", "nearest_incident", "nearest_incident_m", "n_1km", "n_2km", "n_2km_mass", "n_2km_flood")
+
+
+@query("A22_incident_exposure", sql(f"SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {c} > 0) AS with_{c}" for c in ("n_1km", "n_2km", "n_2km_mass", "n_2km_flood")) + f", count(*) FILTER (WHERE n_2km >= 2) AS chronic, round_even(avg(nearest_incident_m), 1) AS mean_nearest_m FROM ({_INCIDENT_JOIN})", "village", "incident"))
+def _(spark, d):
+    return summaries.incident_exposure(P.village_incidents(spark, d, fx.incident(spark, d)))
+
+
+@query("W4_incident_ids", sql("SELECT event_id, printf('DIS-%d-%03d', year, row_number() OVER (PARTITION BY year ORDER BY date NULLS FIRST, event_id)) AS incident_id FROM incident", "incident"))
 def _(spark, d):
     return T.incident_ids(fx.incident(spark, d)).select("event_id", "incident_id")
 
@@ -290,14 +467,47 @@ def _(spark, d):
     return roads.road_attributes(fx.road(spark, d), digits=8).select("u", "v", "speed_kmh", "minutes", "is_vehicular", "is_arterial")
 
 
-@query("A17_road_summary", sql("SELECT highway, count(*) AS segments, round(sum(length_m) / 1000, 6) AS km, min(speed_kmh) AS speed_kmh FROM attributes GROUP BY highway", "attributes"))
+@query("A17_road_summary", sql("SELECT highway, count(*) AS segments, round_even(sum(length_m) / 1000, 2) AS length_km, arg_min(speed_kmh, seq) AS assumed_speed_kmh, arg_min(is_vehicular, seq) AS is_vehicular, arg_min(is_arterial, seq) AS is_arterial FROM attributes GROUP BY highway", "attributes"))
+def _(spark, d):
+    return roads.road_summary(roads.road_attributes(fx.road(spark, d)))
+
+
+@query("A17_road_totals", sql("SELECT count(*) AS segments, round_even(sum(length_m) / 1000, 2) AS total_km, round_even(sum(length_m) FILTER (WHERE is_vehicular) / 1000, 2) AS vehicular_km, round_even(sum(length_m) FILTER (WHERE is_arterial) / 1000, 2) AS arterial_km FROM attributes", "attributes"))
 def _(spark, d):
-    return roads.road_attributes(fx.road(spark, d)).groupBy("highway").agg(F.count("*").alias("segments"), F.round(F.sum("length_m") / 1000, 6).alias("km"), F.min("speed_kmh").alias("speed_kmh"))
+    return roads.road_totals(roads.road_attributes(fx.road(spark, d)))
 
 
-@query("R3_components", sql("SELECT component, count(*) AS nodes FROM (SELECT min(component) AS component, node FROM (SELECT u AS node, u - u % 211 AS component FROM road UNION ALL SELECT v, u - u % 211 FROM road) GROUP BY node) GROUP BY component", "road"))
+@query("R1_edges", sql("SELECT u, v, length_m, minutes, is_arterial FROM net", "net"))
 def _(spark, d):
-    return roads.network_components(fx.road(spark, d))
+    return roads.lines_to_edges(P.lines(spark, d)).select("u", "v", "length_m", "minutes", "is_arterial")
+
+
+@query("R2_vehicular_edges", sql("SELECT u, v, length_m, minutes, is_arterial FROM vnet", "vnet"))
+def _(spark, d):
+    return roads.lines_to_edges(P.lines(spark, d), vehicular_only=True).select("u", "v", "length_m", "minutes", "is_arterial")
+
+
+_FLOOD = "flood0(node, root) USING KEY (node) AS (SELECT node, node AS root FROM ({nodes}) UNION SELECT b, min(root) FROM (SELECT e.b, f.root FROM flood0 f JOIN ({both}) e ON e.a = f.node JOIN recurring.flood0 k ON k.node = e.b WHERE f.root < k.root) GROUP BY b)"
+
+
+def _flood(net: str) -> str:
+    return _FLOOD.format(nodes=f"SELECT u AS node FROM {net} UNION SELECT v FROM {net}", both=f"SELECT u AS a, v AS b FROM {net} UNION ALL SELECT v, u FROM {net}")
+
+
+def _mixed(spark, d):
+    """Road and shortcuts as one network; of duplicate edges the last stays."""
+    both = fx.road(spark, d).unionByName(fx.road_x(spark, d))
+    return roads.last_edges(roads.road_attributes(both), ["seq"])
+
+
+@query("R3_components", sql("SELECT root AS component, count(*) AS nodes FROM flood0 GROUP BY root", "vnet", last=_flood("vnet")))
+def _(spark, d):
+    return roads.network_components(roads.lines_to_edges(P.lines(spark, d), vehicular_only=True))
+
+
+@query("Q22_network_health", sql("SELECT (SELECT count(*) FROM vnet) AS edges, sum(n)::BIGINT AS nodes, count(*) AS components, max(n) AS largest, round_even(max(n) * 100.0::DOUBLE / sum(n), 2) AS largest_pct FROM (SELECT count(*) AS n FROM flood0 GROUP BY root)", "vnet", last=_flood("vnet")))
+def _(spark, d):
+    return roads.network_health(roads.lines_to_edges(P.lines(spark, d), vehicular_only=True)).select("edges", "nodes", "components", "largest", "largest_pct")
 
 
 @query("R4_terminals", sql("SELECT DISTINCT node FROM (SELECT u AS node FROM attributes WHERE is_arterial UNION ALL SELECT v FROM attributes WHERE is_arterial)", "attributes"))
@@ -305,11 +515,130 @@ def _(spark, d):
     return roads.terminal_nodes(roads.road_attributes(fx.road(spark, d)))
 
 
-@query("R5_shortest_paths", sql("SELECT 'a' AS set, v AS node, round(sum(length_m) OVER (PARTITION BY u // 211 ORDER BY u), 4) AS dist FROM road UNION ALL SELECT DISTINCT 'a', u, 0.0 FROM road WHERE u % 211 = 0", "road"))
+_SETS = "SELECT 'a' AS set, u AS node FROM mixed WHERE u % 211 = 0 UNION SELECT 'b', u FROM mixed WHERE u % 500 = 1 UNION SELECT 'c', u FROM mixed WHERE u = (SELECT min(u) FROM mixed)"
+
+
+@query("R5_shortest_paths", sql("SELECT set, weight, node, round(dist, 3) AS dist FROM paths", "mixed", last=paths("mixed", _SETS)))
+def _(spark, d):
+    edges = _mixed(spark, d)
+    least = edges.agg(F.min("u").alias("node"))
+    some = lambda name, c: edges.where(c).select(F.lit(name).alias("set"), F.col("u").alias("node"))
+    starts = some("a", "u % 211 = 0").unionByName(some("b", "u % 500 = 1")).unionByName(least.select(F.lit("c").alias("set"), "node")).distinct()
+    return roads.shortest_paths(edges, starts, ["length_m", "minutes"]).select("set", "weight", "node", F.round("dist", 3).alias("dist"))
+
+
+@query("R7_pair_path", sql("SELECT count(*) > 0 AS connected, round(min(dist), 3) AS dist FROM paths WHERE node = (SELECT max(v) FROM mixed)", "mixed", last=paths("mixed", "SELECT 'pair' AS set, (SELECT min(u) FROM mixed) AS node", ("length_m",))))
+def _(spark, d):
+    edges = _mixed(spark, d)
+    a, b = edges.agg(F.min("u"), F.max("v")).first()
+    return roads.pair_path(edges, a, b).select("connected", F.round("dist", 3).alias("dist"))
+
+
+_SNAP = "SELECT v.village_id, arg_min(n.node, {{'d': (v.x - n.x) * (v.x - n.x) + (v.y - n.y) * (v.y - n.y), 'i': n.node}}) AS node, sqrt(min((v.x - n.x) * (v.x - n.x) + (v.y - n.y) * (v.y - n.y))) AS snap_m FROM village v CROSS JOIN {0} n GROUP BY v.village_id"
+
+
+@query("J11_snap", sql("SELECT village_id, node, round(snap_m, 4) AS snap_m FROM (" + _SNAP.format("vnet_node") + ")", "village", "vnet_node"))
+def _(spark, d):
+    edges = roads.lines_to_edges(P.lines(spark, d), vehicular_only=True)
+    return roads.snap(_villages(spark, d), edges, "village_id").select("village_id", "node", F.round("snap_m", 4).alias("snap_m"))
+
+
+_TO = "CASE WHEN s.dx * s.dx + s.dy * s.dy > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((v.x - s.x) * s.dx + (v.y - s.y) * s.dy) / (s.dx * s.dx + s.dy * s.dy))) ELSE 0.0 END"
+_NEAREST_ROAD = f"SELECT village_id, round_even(min(sqrt((vx - (x + t * dx)) * (vx - (x + t * dx)) + (vy - (y + t * dy)) * (vy - (y + t * dy)))), 1) AS dist_to_nearest_road_m FROM (SELECT v.village_id, v.x AS vx, v.y AS vy, s.*, {_TO} AS t FROM village v CROSS JOIN (SELECT *, x2 - x AS dx, y2 - y AS dy FROM segs) s) GROUP BY village_id"
+
+
+@query("J8_nearest_road", sql(_NEAREST_ROAD, "village", "segs"))
+def _(spark, d):
+    return roads.nearest_road(_villages(spark, d), P.lines(spark, d), "village_id").select("village_id", "dist_to_nearest_road_m")
+
+
+_ARTERIES = paths("vnet", "SELECT 'arterial' AS set, u AS node FROM vnet WHERE is_arterial UNION SELECT 'arterial', v FROM vnet WHERE is_arterial")
+_ROADS = f"SELECT village_id, round_even(snap_m, 1) AS road_snapping_distance_m, ok AS network_route_exists, CASE WHEN ok THEN m END AS network_distance_to_arterial_m, CASE WHEN ok THEN t END AS network_travel_time_to_arterial_min, {_ROAD_CATEGORY.format(s='snap_m', m='t')} AS road_accessibility_category FROM (SELECT s.*, round_even(a.dist, 1) AS m, round_even(b.dist, 1) AS t, s.snap_m <= 3000 AND b.dist IS NOT NULL AS ok FROM ({_SNAP.format('vnet_node')}) s LEFT JOIN (SELECT * FROM paths WHERE weight = 'length_m') a ON a.node = s.node LEFT JOIN (SELECT * FROM paths WHERE weight = 'minutes') b ON b.node = s.node)"
+_ROAD_NAMES = ["village_id", "road_snapping_distance_m", "network_route_exists", "network_distance_to_arterial_m", "network_travel_time_to_arterial_min", "road_accessibility_category"]
+
+
+@query("R8_C7_road_access", sql(_ROADS, "village", "vnet", "vnet_node", last=_ARTERIES))
+def _(spark, d):
+    return P.village_roads(spark, d).select(*_ROAD_NAMES)
+
+
+@query("A18_access_summary", sql("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE road_accessibility_category = '{c}') AS {c.lower()}" for c in S.ROAD_CATEGORIES) + f", round_even(avg(network_travel_time_to_arterial_min), 1) AS mean_travel_time_to_arterial_min, count(*) FILTER (WHERE road_accessibility_category IN ('ISOLATED_GRAPH_DISCONNECTED', 'SEVERELY_REMOTE')) AS isolated FROM ({_ROADS})", "village", "vnet", "vnet_node", last=_ARTERIES))
+def _(spark, d):
+    return roads.access_summary(P.village_roads(spark, d)).drop("mean_dist_to_nearest_road_m")
+
+
+@query("A24_snap_bands", sql(f"SELECT b.band, count(x.m) AS n, round_even(coalesce(100.0::DOUBLE * count(x.m) / nullif(sum(count(x.m)) OVER (), 0), 0), 1) AS pct FROM (VALUES ('<= 500'), ('500 - 1000'), ('1000 - 1500'), ('1500 - 3000'), ('> 3000')) b(band) LEFT JOIN (SELECT round_even(snap_m, 1) AS m, CASE WHEN round_even(snap_m, 1) <= 500 THEN '<= 500' WHEN round_even(snap_m, 1) <= 1000 THEN '500 - 1000' WHEN round_even(snap_m, 1) <= 1500 THEN '1000 - 1500' WHEN round_even(snap_m, 1) <= 3000 THEN '1500 - 3000' ELSE '> 3000' END AS band FROM ({_SNAP.format('vnet_node')})) x USING (band) GROUP BY b.band", "village", "vnet_node"))
+def _(spark, d):
+    snapped = roads.snap(_villages(spark, d), roads.lines_to_edges(P.lines(spark, d), vehicular_only=True), "village_id")
+    return summaries.band_shares(snapped.select(F.bround("snap_m", 1).alias("m")), "m", [500, 1000, 1500, 3000])
+
+
+@query("A25_F20_boundary_band", sql(f"SELECT road_accessibility_category, count(*) AS n FROM ({_ROADS}) WHERE road_snapping_distance_m BETWEEN 400 AND 1600 GROUP BY 1", "village", "vnet", "vnet_node", last=_ARTERIES))
+def _(spark, d):
+    return views.in_band(P.village_roads(spark, d), "road_snapping_distance_m", 400.0, 1600.0).groupBy("road_accessibility_category").agg(F.count("*").alias("n"))
+
+
+@query("F16_arterial", sql("SELECT u, v FROM attributes WHERE is_arterial", "attributes"))
+def _(spark, d):
+    return views.arterial(roads.road_attributes(fx.road(spark, d))).select("u", "v")
+
+
+# Facilities
+
+
+@query("P24_facility_classes", sql("SELECT id, k.kind AS facility_broad_type, k.category AS facility_category, k.evidenced AS explicitly_evidenced_emergency_capability, k.receiver AS potential_emergency_receiving_facility, k.trigger AS classification_trigger FROM kinds", "kinds"))
+def _(spark, d):
+    return fx.tags(spark, d).select("id", F.inline(F.array(fac.classify_facility())))
+
+
+_SIMPLE = "CASE WHEN contains(am, 'hospital') OR contains(hc, 'hospital') OR contains(nm, 'hospital') THEN 'HEALTHCARE_HOSPITAL' WHEN contains(nm, 'chc') OR contains(nm, 'community health') THEN 'HEALTHCARE_CHC' WHEN contains(nm, 'phc') OR contains(nm, 'primary health') THEN 'HEALTHCARE_PHC' WHEN contains(nm, 'subcentre') OR contains(nm, 'sub-centre') OR contains(nm, 'sub centre') THEN 'HEALTHCARE_SUBCENTRE' WHEN contains(am, 'clinic') OR contains(hc, 'clinic') OR contains(am, 'doctors') OR contains(nm, 'dispensary') OR hc = 'centre' THEN 'HEALTHCARE_CLINIC_OR_CENTRE' WHEN contains(am, 'pharmacy') THEN 'HEALTHCARE_PHARMACY' WHEN am = 'school' OR contains(nm, 'school') OR contains(nm, 'vidyalaya') OR contains(nm, 'inter college') THEN 'EDUCATION_SCHOOL' WHEN am = 'college' OR contains(nm, 'college') OR contains(nm, 'polytechnic') OR contains(nm, 'iti') THEN 'EDUCATION_HIGHER' WHEN am = 'university' OR contains(nm, 'university') THEN 'EDUCATION_UNIVERSITY' WHEN am = 'kindergarten' OR contains(nm, 'anganwadi') THEN 'EDUCATION_KINDERGARTEN' WHEN am = 'police' OR contains(nm, 'police') OR contains(nm, 'thana') OR contains(nm, 'chowki') THEN 'EMERGENCY_POLICE' WHEN am = 'fire_station' OR contains(nm, 'fire') THEN 'EMERGENCY_FIRE_STATION' WHEN am IN ('townhall', 'community_centre') OR contains(nm, 'panchayat') OR contains(nm, 'milan kendra') THEN 'CIVIC_COMMUNITY_CENTRE' ELSE 'OTHER_CIVIC_FACILITY' END"
+
+
+@query("P25_simple_classes", sql(f"SELECT id, {_SIMPLE} AS facility_category FROM kinds", "kinds"))
 def _(spark, d):
-    edges = fx.road(spark, d)
-    starts = edges.where("u % 211 = 0").select(F.lit("a").alias("set"), F.col("u").alias("node"))
-    return roads.shortest_paths(edges, starts).select("set", "node", F.round("dist", 4).alias("dist"))
+    return fx.tags(spark, d).select("id", fac.simple_category().alias("facility_category"))
+
+
+@query("W3_facility_ids", sql("SELECT id, facility_id FROM place", "place"))
+def _(spark, d):
+    return P.mapped_facilities(spark, d).select("id", "facility_id")
+
+
+@query("A19_facility_counts", sql("SELECT 'type' AS grouping, k.kind AS value, count(*) AS n FROM kinds GROUP BY 2 UNION ALL SELECT 'category', k.category, count(*) FROM kinds GROUP BY 2 UNION ALL SELECT 'emergency', 'evidenced', count(*) FROM kinds WHERE k.evidenced UNION ALL SELECT 'emergency', 'potential_receiver', count(*) FROM kinds WHERE k.receiver", "kinds"))
+def _(spark, d):
+    return fac.facility_counts(fac.classified(fx.tags(spark, d), "id"))
+
+
+@query("F13_F15_facility_filters", sql("SELECT id FROM kinds WHERE upper(k.kind) = 'HEALTHCARE' AND (k.evidenced OR k.receiver) AND x BETWEEN 500 AND 2500 AND y BETWEEN -4000 AND -500", "kinds"))
+def _(spark, d):
+    some = views.emergency_capable(views.same_text(fac.classified(fx.tags(spark, d), "id"), "facility_broad_type", "healthcare"))
+    return views.in_box(views.located(some), (500.0, -4000.0, 2500.0, -500.0)).select("id")
+
+
+_SET_OF = {"health": "facility_broad_type = 'HEALTHCARE'", "hospital": "facility_category IN ('HEALTHCARE_HOSPITAL', 'HEALTHCARE_CHC')", "phc": "facility_category = 'HEALTHCARE_PHC'", "school": "facility_broad_type = 'EDUCATION'", "emergency": "facility_broad_type = 'EMERGENCY'"}
+_FAC_NEAR = "SELECT v.village_id, " + ", ".join(f"round_even(sqrt(min(d) FILTER (WHERE {c})), 1) AS {n}_m, arg_min(facility_id, {{'d': d, 'i': facility_id}}) FILTER (WHERE {c}) AS {n}_id" for n, c in _SET_OF.items()) + " FROM village v CROSS JOIN place p CROSS JOIN LATERAL (SELECT (v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y) AS d) GROUP BY v.village_id"
+
+
+@query("J10_nearest_facilities", sql(_FAC_NEAR, "village", "place"))
+def _(spark, d):
+    return fac.nearest_facilities(_villages(spark, d), P.mapped_facilities(spark, d), "village_id").select("village_id", *[f"{n}_{k}" for n in _SET_OF for k in ("m", "id")])
+
+
+_STARTS = " UNION ".join(f"SELECT '{n}' AS set, arg_min(n.node, {{'d': (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y), 'i': n.node}}) AS node FROM place p CROSS JOIN net_node n WHERE {_SET_OF[n]} GROUP BY p.facility_id" for n in ("health", "hospital", "school"))
+_PATH = lambda n, w: f"(SELECT node, dist FROM paths WHERE set = '{n}' AND weight = '{w}')"
+_ACCESS = "SELECT s.village_id, " + ", ".join(f"CASE WHEN snap_m <= 3000 THEN round_even({n}a.dist + snap_m, 1) END AS network_{n}_m, CASE WHEN snap_m <= 3000 THEN round_even({n}b.dist + snap_m / 1000 / 4.0 * 60, 1) END AS network_{n}_min" for n in ("health", "hospital", "school")) + f" FROM ({_SNAP.format('net_node')}) s " + " ".join(f"LEFT JOIN {_PATH(n, 'length_m')} {n}a ON {n}a.node = s.node LEFT JOIN {_PATH(n, 'minutes')} {n}b ON {n}b.node = s.node" for n in ("health", "hospital", "school"))
+_FLAGGED = f"SELECT *, coalesce(health_m <= 5000, false) AS has_health_within_5km, coalesce(school_m <= 3000, false) AS has_school_within_3km, coalesce(network_hospital_min <= 60, false) AS hospital_under_60min FROM ({_ACCESS}) JOIN ({_FAC_NEAR}) USING (village_id)"
+_FAC_PATHS = paths("net", _STARTS)
+
+
+@query("P28_P29_access", sql(f"SELECT village_id, network_health_m, network_health_min, network_hospital_m, network_hospital_min, network_school_m, network_school_min, has_health_within_5km, has_school_within_3km, hospital_under_60min FROM ({_FLAGGED})", "village", "place", "net", "net_node", last=_FAC_PATHS))
+def _(spark, d):
+    return P.village_facilities(spark, d).select("village_id", *[f"network_{n}_{k}" for n in fac.ROUTED for k in ("m", "min")], "has_health_within_5km", "has_school_within_3km", "hospital_under_60min")
+
+
+@query("A20_C8_facility_summary", sql("SELECT count(*) AS total, " + ", ".join(f"round_even(avg({n}_m), 1) AS mean_{n}_m" for n in ("health", "hospital", "school")) + f", count(*) FILTER (WHERE has_health_within_5km) AS has_health_within_5km, count(*) FILTER (WHERE has_school_within_3km) AS has_school_within_3km, count(*) FILTER (WHERE hospital_under_60min) AS hospital_under_60min FROM ({_FLAGGED})", "village", "place", "net", "net_node", last=_FAC_PATHS))
+def _(spark, d):
+    return fac.access_summary(P.village_facilities(spark, d))
 
 
 # Aggregates, sets, views
@@ -325,25 +654,146 @@ def _(spark, d):
     return T.percentiles(_overlay(spark, d), "score", [10, 25, 50, 75, 90, 95, 99])
 
 
-@query("A3_dominance", sql("SELECT count(*) FILTER (WHERE ct - cf > 1e-5) AS terrain, count(*) FILTER (WHERE cf - ct > 1e-5) AS flood, count(*) FILTER (WHERE abs(ct - cf) <= 1e-5) AS equal FROM overlay", "overlay"))
+@query("A3_dominance", sql("SELECT count(*) FILTER (WHERE ct - cf > 1e-5) AS terrain, count(*) FILTER (WHERE cf - ct > 1e-5) AS flood, count(*) FILTER (WHERE abs(ct - cf) <= 1e-5) AS equal, round(avg(ct) * 100 / avg(score), 4) AS terrain_pct, round(avg(cf) * 100 / avg(score), 4) AS flood_pct FROM overlay", "overlay"))
 def _(spark, d):
-    diff = F.col("ct") - F.col("cf")
-    return _overlay(spark, d).agg(F.count_if(diff > 1e-5).alias("terrain"), F.count_if(-diff > 1e-5).alias("flood"), F.count_if(F.abs(diff) <= 1e-5).alias("equal"))
+    return summaries.dominance(_overlay(spark, d))
 
 
-@query("A6_A7_exposure_bands", sql("SELECT b.band, count(a.area_id) AS n, round(coalesce(sum(a.area_m2), 0), 2) AS area_m2 FROM (VALUES ('WITHIN_500M'), ('WITHIN_1000M'), ('WITHIN_2000M'), ('WITHIN_5000M'), ('WITHIN_10000M'), ('BEYOND_10000M')) b(band) LEFT JOIN (SELECT *, CASE WHEN hazard_distance_m <= 500 THEN 'WITHIN_500M' WHEN hazard_distance_m <= 1000 THEN 'WITHIN_1000M' WHEN hazard_distance_m <= 2000 THEN 'WITHIN_2000M' WHEN hazard_distance_m <= 5000 THEN 'WITHIN_5000M' WHEN hazard_distance_m <= 10000 THEN 'WITHIN_10000M' ELSE 'BEYOND_10000M' END AS band FROM area) a USING (band) GROUP BY b.band", "area"))
+@query("A6_A7_exposure_bands", sql(f"SELECT b.band, count(a.area_id) AS n, coalesce(sum(a.area_id), 0) AS ids, round_even(coalesce(100.0::DOUBLE * count(a.area_id) / sum(count(a.area_id)) OVER (), 0), 2) AS n_pct FROM {_BANDS} LEFT JOIN (SELECT *, {BAND.format('false', 'hazard_distance_m')} AS band FROM area) a USING (band) GROUP BY b.band", "area"))
 def _(spark, d):
     banded = fx.area(spark, d).withColumn("band", S.proximity_band(F.lit(False), F.col("hazard_distance_m")))
-    order = [f"WITHIN_{int(m)}M" for m in S.BANDS_M] + ["BEYOND_10000M"]
-    return T.banded_totals(banded, "band", order, {"area_m2": "area_m2"})
+    return T.banded_totals(banded, "band", S.BAND_ORDER, {"ids": "area_id"}).select("band", "n", "ids", "n_pct")
 
 
 @query("A8_distance_stats", sql("SELECT min(hazard_distance_m) AS lo, max(hazard_distance_m) AS hi, round(avg(hazard_distance_m), 6) AS mean, round(median(hazard_distance_m), 6) AS median FROM area", "area"))
 def _(spark, d):
-    return fx.area(spark, d).agg(F.min("hazard_distance_m").alias("lo"), F.max("hazard_distance_m").alias("hi"), F.round(F.avg("hazard_distance_m"), 6).alias("mean"), F.round(F.median("hazard_distance_m"), 6).alias("median"))
+    return summaries.distance_stats(fx.area(spark, d), "hazard_distance_m")
 
 
-@query("A26_value_counts", sql("SELECT 'amenity' AS attr, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE ['hospital', 'clinic', 'doctors', 'school', 'college', 'police', 'fire_station', 'community_centre', 'townhall'][p_size % 9 + 1] END AS value, count(*) AS n FROM part GROUP BY 2"))
+@query("A28_layer_profile", sql("SELECT count(*) AS cells, count(*) - count(elev) AS nodata, 0::BIGINT AS nan, 0::BIGINT AS infinite, count(elev) AS valid, round_even(count(elev) * 100.0::DOUBLE / count(*), 2) AS coverage_pct, min(elev) AS lo, max(elev) AS hi, round(avg(elev), 6) AS mean, round(stddev_pop(elev), 6) AS std, count(*) FILTER (WHERE elev < 5) AS below, count(*) FILTER (WHERE elev > 40) AS above FROM g_dem", "g_dem"))
+def _(spark, d):
+    return summaries.layer_profile(fx.g_dem(spark, d), "elev", 5.0, 40.0)
+
+
+@query("A29_class_scores", sql(f"SELECT {CLASS.format('score')} AS class, count(*) AS cells, min(score) AS lo, max(score) AS hi, round(avg(score), 6) AS mean FROM overlay GROUP BY 1", "overlay"))
+def _(spark, d):
+    return summaries.class_scores(_overlay(spark, d).withColumn("class", S.classify(F.col("score"))), "class", "score")
+
+
+@query("P3_bilinear", sql("SELECT row, col, round(sum(w * v) / nullif(sum(w) FILTER (WHERE v IS NOT NULL), 0), 4) AS elev FROM (SELECT t.row, t.col, (1 - abs(t.y - (floor(t.y) + k.i))) * (1 - abs(t.x - (floor(t.x) + k.j))) AS w, g.elev AS v FROM (SELECT r.r AS row, c.c AS col, (r.r + 0.5::DOUBLE) * 45 / 30 - 0.5 AS y, (c.c + 0.5::DOUBLE) * 45 / 30 - 0.5 AS x FROM (SELECT unnest(range(0, 40)) AS r) r, (SELECT unnest(range(0, 60)) AS c) c) t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) LEFT JOIN g_dem g ON g.row = floor(t.y) + k.i AND g.col = floor(t.x) + k.j) GROUP BY row, col", "g_dem"))
+def _(spark, d):
+    return grid.resample(fx.g_dem(spark, d), "elev", 40, 60, 45.0, fx.CELL).select("row", "col", F.round("elev", 4).alias("elev"))
+
+
+@query("P4_nearest_resample", sql("SELECT r.r AS row, c.c AS col, g.code FROM (SELECT unnest(range(0, 40)) AS r) r CROSS JOIN (SELECT unnest(range(0, 60)) AS c) c LEFT JOIN g_lulc g ON g.row = floor((r.r + 0.5::DOUBLE) * 45 / 30) AND g.col = floor((c.c + 0.5::DOUBLE) * 45 / 30)", "g_lulc"))
+def _(spark, d):
+    return grid.resample(fx.g_lulc(spark, d), "code", 40, 60, 45.0, fx.CELL, "nearest").select("row", "col", "code")
+
+
+_DIAMOND = "SELECT DISTINCT g.row, g.col FROM g_lulc g CROSS JOIN facility f WHERE abs((g.col + 0.5::DOUBLE) * 30 - f.x) + abs(-(g.row + 0.5::DOUBLE) * 30 - f.y) < 100.125 AND abs((g.col + 0.5::DOUBLE) * 30 - f.x) + abs(-(g.row + 0.5::DOUBLE) * 30 - f.y) > 40.125"
+
+
+@query("J19_J20_protected", sql(f"SELECT count(*) * 0.09::DOUBLE AS extent_ha, (SELECT count(*) FROM ({_DIAMOND})) * 0.09::DOUBLE AS overlap_ha, round_even(100.0::DOUBLE * (SELECT count(*) FROM ({_DIAMOND})) / count(*), 4) AS overlap_pct FROM g_lulc", "g_lulc", "facility"))
+def _(spark, d):
+    return spatial.covered_share(fx.g_lulc(spark, d), spatial.rasterise(fx.protected(spark, d), "area_id"))
+
+
+@query("C10_protected_cover", sql(f"SELECT excluded, count(*) AS cells FROM (SELECT CASE WHEN g.valid THEN CAST(g.code IN (10, 50, 70, 80, 90) OR p.row IS NOT NULL AS INT) END AS excluded FROM g_lulc g LEFT JOIN ({_DIAMOND}) p USING (row, col)) GROUP BY 1", "g_lulc", "facility"))
+def _(spark, d):
+    return P.protected_cover(spark, d).groupBy("excluded").agg(F.count("*").alias("cells"))
+
+
+@query("J13_co_registration", sql("SELECT s.row, s.col, s.terrain, s.flood FROM scores s", "scores"))
+def _(spark, d):
+    s = fx.scores(spark, d)
+    return spatial.co_registered({n: s.select("row", "col", F.col(n).alias("value")) for n in ("terrain", "flood")})
+
+
+@query("J3_J21_named_stats", sql("SELECT t.village_id, c.tot_p, i.n AS incidents FROM centroid t LEFT JOIN census c USING (village_id) LEFT JOIN (SELECT event_id AS village_id, count(*) AS n FROM incident GROUP BY 1) i USING (village_id)", "centroid", "census", "incident"))
+def _(spark, d):
+    counts = fx.incident(spark, d).groupBy(F.col("event_id").alias("village_id")).agg(F.count("*").alias("incidents"))
+    return fx.centroid(spark, d).select("village_id").join(fx.census(spark, d).select("village_id", "tot_p"), "village_id", "left").join(counts, "village_id", "left")
+
+
+@query("P34_ground_spacing", sql("SELECT village_id, round(111320.0::DOUBLE * cos(radians(30.0::DOUBLE - y / 4500)), 6) AS metres FROM centroid", "centroid"))
+def _(spark, d):
+    return fx.centroid(spark, d).select("village_id", F.round(S.metres_per_degree_lon(30.0 - F.col("y") / 4500), 6).alias("metres"))
+
+
+@query("F2_F18_key_filters", sql("SELECT village_id, name FROM centroid WHERE subdist = 7 UNION ALL SELECT village_id, name FROM centroid WHERE village_id = 11", "centroid"))
+def _(spark, d):
+    c = fx.centroid(spark, d).select("village_id", "name", "subdist")
+    return views.by_keys(c, {"subdist": 7}).unionByName(views.by_keys(c, {"village_id": 11})).select("village_id", "name")
+
+
+@query("F3_F4_point_box", sql("SELECT event_id FROM incident WHERE date IS NOT NULL AND x BETWEEN 1000 AND 9000 AND y BETWEEN -20000 AND -3000", "incident"))
+def _(spark, d):
+    return views.in_box(views.located(fx.incident(spark, d), ("x", "date")), (1000.0, -20000.0, 9000.0, -3000.0)).select("event_id")
+
+
+@query("F5_envelopes", sql("SELECT zone FROM (SELECT zone, min(col) * 30 AS xmin, max(col) * 30 + 30 AS xmax, -max(row) * 30 - 30 AS ymin, -min(row) * 30 AS ymax FROM zone_cells GROUP BY zone) WHERE xmax >= 300 AND xmin <= 900 AND ymax >= -1500 AND ymin <= -600", "zone_cells"))
+def _(spark, d):
+    z = P.zone_stats(_zone_cells(spark, d))
+    c = fx.CELL
+    boxed = z.select("zone", (F.col("min_col") * c).alias("xmin"), (F.col("max_col") * c + c).alias("xmax"), (-F.col("max_row") * c - c).alias("ymin"), (-F.col("min_row") * c).alias("ymax"))
+    return views.meets_box(boxed, "300,-1500,900,-600").select("zone")
+
+
+@query("F10_search", sql("SELECT village_id FROM census WHERE contains(lower(name), '77') OR contains(CAST(village_id AS VARCHAR), '77') OR contains(lower(level), '77')", "census"))
+def _(spark, d):
+    return views.search(fx.census(spark, d), " 77", ["name", "village_id", "level"]).select("village_id")
+
+
+@query("F12_high_vulnerability", sql(f"SELECT village_id FROM rates WHERE {FLAG_COUNT} >= 2", "rates"))
+def _(spark, d):
+    return views.high_vulnerability(T.vulnerability(T.rates(fx.census(spark, d)))).select("village_id")
+
+
+@query("F14_years", sql("SELECT event_id FROM incident WHERE year BETWEEN (SELECT min(year) FROM incident) AND (SELECT min(year) FROM incident) AND hazard_type = 'CLICK'", "incident"))
+def _(spark, d):
+    events = fx.incident(spark, d)
+    first = events.agg(F.min("year")).first()[0]
+    return views.same_text(views.in_years(events, first, first), "hazard_type", "click").select("event_id")
+
+
+@query("L5_pages", sql("SELECT event_id, hazard_type FROM incident ORDER BY event_id LIMIT 50 OFFSET 100", "incident"))
+def _(spark, d):
+    return views.paged(fx.incident(spark, d), "event_id", 100, 50).select("event_id", "hazard_type")
+
+
+@query("L4_area_counts", sql("SELECT count(*) AS total, count(*) FILTER (WHERE area_m2 >= 300000) AS filtered, least(500, count(*) FILTER (WHERE area_m2 >= 300000)) AS displayed FROM area", "area"))
+def _(spark, d):
+    return views.area_page(fx.area(spark, d), 0, 900, least_m2=300_000)[1]
+
+
+@query("U5_distinct", sql("SELECT DISTINCT flag, hazard_distance_m > 5000 AS far FROM area", "area"))
+def _(spark, d):
+    return fx.area(spark, d).select("flag", (F.col("hazard_distance_m") > 5000).alias("far")).distinct()
+
+
+@query("W5_keep_first", sql("SELECT hazard_type, provider, event_id FROM (SELECT *, row_number() OVER (PARTITION BY hazard_type, provider ORDER BY fatalities DESC NULLS LAST, event_id) AS n FROM incident) WHERE n = 1", "incident"))
+def _(spark, d):
+    events = fx.incident(spark, d).withColumn("k", F.struct("hazard_type", "provider"))
+    return T.keep_first(events, "k", [F.desc_nulls_last("fatalities"), F.asc("event_id")]).select("hazard_type", "provider", "event_id")
+
+
+@query("W7_exemplar_cells", sql("SELECT name, arg_min(row, {'r': row, 'c': col}) AS row, arg_min(col, {'r': row, 'c': col}) AS col, arg_min(score, {'r': row, 'c': col}) AS score FROM (SELECT 'high' AS name, * FROM overlay WHERE score >= 0.9 UNION ALL SELECT 'low', * FROM overlay WHERE score <= 0.1 UNION ALL SELECT 'flood', * FROM overlay WHERE cf > ct) GROUP BY name", "overlay"))
+def _(spark, d):
+    return grid.first_cells(_overlay(spark, d), {"high": F.col("score") >= 0.9, "low": F.col("score") <= 0.1, "flood": F.col("cf") > F.col("ct")}, ["score"])
+
+
+@query("P35_P37_projection", sql("SELECT area_id AS \"Area\", flag AS \"Flag\", 'slope_max_deg=20; redzone_buffer_m=NOT_CONFIGURED' AS \"Basis\" FROM area", "area"))
+def _(spark, d):
+    twice = fx.area(spark, d).select("area_id", "flag", F.lit("x").alias("flag"), T.screening_basis({"slope_max_deg": 20, "redzone_buffer_m": None}).alias("basis"))
+    return T.project(twice, {"Area": "area_id", "Flag": "flag", "Basis": "basis"})
+
+
+@query("A27_duplicate_keys", sql("SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1"))
+def _(spark, d):
+    return fx.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("A26_value_counts", sql("SELECT 'amenity' AS attr, CASE WHEN p_partkey % 4 = 0 THEN ['hospital', 'clinic', 'doctors', 'school', 'college', 'police', 'fire_station', 'community_centre', 'townhall'][p_size % 9 + 1] END AS value, count(*) AS n FROM part GROUP BY 2"))
 def _(spark, d):
     return T.value_counts(fx.tags(spark, d), ["amenity"])
 
@@ -358,7 +808,7 @@ def _(spark, d):
     return _villages(spark, d).select("village_id", "name", "tot_p", "x", "y")
 
 
-@query("J2_status_join", sql("SELECT c.village_id, CASE WHEN t.village_id IS NULL THEN 'NOT_JOINED' ELSE 'JOINED' END AS join_status FROM census c LEFT JOIN centroid t USING (village_id)", "census", "centroid"))
+@query("J2_status_join", sql("SELECT c.village_id, CASE WHEN t.village_id IS NULL THEN 'NOT_FOUND_IN_PCA' ELSE 'JOINED' END AS join_status FROM census c LEFT JOIN centroid t USING (village_id)", "census", "centroid"))
 def _(spark, d):
     return T.status_join(fx.census(spark, d), fx.centroid(spark, d).select("village_id", "x"), "village_id").select("village_id", "join_status")
 
@@ -366,14 +816,14 @@ def _(spark, d):
 @query("J16_match_diagnostics", sql("SELECT count(*) AS total, count(t.village_id) AS matched, count(*) - count(t.village_id) AS unmatched, sum(tot_p) FILTER (WHERE t.village_id IS NULL) AS unmatched_population FROM census c LEFT JOIN centroid t USING (village_id)", "census", "centroid"))
 def _(spark, d):
     s = T.status_join(fx.census(spark, d), fx.centroid(spark, d).select("village_id", "x"), "village_id")
-    miss = F.col("join_status") == "NOT_JOINED"
+    miss = F.col("join_status") == T.NOT_JOINED
     return s.agg(F.count("*").alias("total"), F.count_if(~miss).alias("matched"), F.count_if(miss).alias("unmatched"), F.sum(F.when(miss, F.col("tot_p"))).alias("unmatched_population"))
 
 
-@query("U2_U3_key_sets", sql("SELECT 'both' AS side, count(*) AS n FROM (SELECT village_id FROM census INTERSECT SELECT village_id FROM centroid) UNION ALL SELECT 'left', count(*) FROM (SELECT village_id FROM census EXCEPT SELECT village_id FROM centroid)", "census", "centroid"))
+@query("U2_U3_key_sets", sql("SELECT 'both' AS side, count(*) AS n FROM (SELECT village_id FROM census INTERSECT SELECT village_id FROM centroid) UNION ALL SELECT 'left', count(*) FROM (SELECT village_id FROM census EXCEPT SELECT village_id FROM centroid) UNION ALL SELECT 'right', count(*) FROM (SELECT village_id FROM centroid EXCEPT SELECT village_id FROM census)", "census", "centroid"))
 def _(spark, d):
     a, b = fx.census(spark, d).select("village_id"), fx.centroid(spark, d).select("village_id")
-    return a.intersect(b).agg(F.lit("both").alias("side"), F.count("*").alias("n")).unionByName(a.subtract(b).agg(F.lit("left").alias("side"), F.count("*").alias("n")))
+    return a.intersect(b).agg(F.lit("both").alias("side"), F.count("*").alias("n")).unionByName(a.subtract(b).agg(F.lit("left").alias("side"), F.count("*").alias("n"))).unionByName(b.subtract(a).agg(F.lit("right").alias("side"), F.count("*").alias("n")))
 
 
 @query("U6_provider_sets", sql("SELECT hazard_type, string_agg(DISTINCT provider, ' + ' ORDER BY provider) AS providers FROM incident GROUP BY hazard_type", "incident"))
@@ -386,9 +836,10 @@ def _(spark, d):
     return fx.area(spark, d).where(F.col("flag").isin("A", "R") & F.col("area_m2").between(200000, 600000) & (F.col("hazard_distance_m") <= 4000)).select("area_id")
 
 
-@query("F9_F19_text_filters", sql("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') AND regexp_matches(lower(p_type), '(steel|brass)')"))
+@query("F9_F19_text_filters", sql("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'g') AND (regexp_matches(lower(p_type), '(small|economy)') OR p_size IN (3, 5, 7))"))
 def _(spark, d):
-    return fx.tags(spark, d).where(F.lower("name").contains("a") & F.col("building").rlike("(steel|brass)")).select(F.col("id").alias("p_partkey"))
+    t = views.name_contains(fx.read(spark, d, "part"), "G", "p_name")
+    return t.where(F.lower("p_type").rlike("(small|economy)") | F.col("p_size").isin(3, 5, 7)).select("p_partkey")
 
 
 @query("W2_L4_area_pages", sql("SELECT area_id, area_m2, rank FROM (SELECT *, row_number() OVER (ORDER BY area_m2 DESC, area_id) AS rank FROM area) WHERE rank BETWEEN 101 AND 200", "area"))
@@ -401,22 +852,67 @@ def _(spark, d):
     return fx.incident(spark, d).withColumn("n", F.row_number().over(W.partitionBy("hazard_type").orderBy("event_id"))).where("n <= 3").select("hazard_type", "event_id")
 
 
-@query("Q_suite", sql("SELECT 'unique_key' AS check, count(*) = count(DISTINCT village_id) AS passed FROM census UNION ALL SELECT 'no_nulls', count(*) = count(name) FROM census UNION ALL SELECT 'range', bool_and(tot_p BETWEEN 0 AND 100000) FROM census UNION ALL SELECT 'subset', bool_and(p_sc <= tot_p) FROM census UNION ALL SELECT 'allowed', bool_and(level IN ('TOWN', 'VILLAGE')) FROM census UNION ALL SELECT 'pattern', bool_and(regexp_matches(name, '^Customer#')) FROM census", "census"))
+_CHECKS = {
+    "unique_key": "SELECT count(*) = count(DISTINCT village_id) FROM census", "no_nulls": "SELECT count(*) = count(name) FROM census", "range": "SELECT bool_and(tot_p BETWEEN 0 AND 100000) FROM census", "subset": "SELECT bool_and(p_sc <= tot_p) FROM census",
+    "allowed": "SELECT bool_and(level IN ('TOWN', 'VILLAGE')) FROM census", "pattern": "SELECT bool_and(regexp_matches(name, '^Customer#')) FROM census", "row_count": "SELECT count(*) >= 1 FROM census", "sums_agree": "SELECT sum(tot_p) = (SELECT sum(tot_p) FROM village) FROM census",
+    "same_nulls": "SELECT count(*) FILTER (WHERE (terrain IS NULL) <> (flood IS NULL)) = 0 FROM scores", "no_infinite": "SELECT count(*) FILTER (WHERE isinf(score)) = 0 FROM overlay", "reconciles": "SELECT max(abs(ct + cf - score)) <= 1e-6 FROM overlay", "required_columns": "SELECT false",
+}
+
+
+@query("Q_suite", sql(" UNION ALL ".join(f"SELECT '{k}' AS check, ({v}) AS passed" for k, v in _CHECKS.items()), "census", "village", "scores", "overlay"))
 def _(spark, d):
-    from cellscape.operators import quality as Q
+    Q, c, o = quality, fx.census(spark, d), _overlay(spark, d)
+    checks = [Q.unique_key(c, "village_id"), Q.no_nulls(c, "name"), Q.value_range(c, "tot_p", 0, 100000), Q.subset(c, "p_sc", "tot_p"), Q.allowed(c, "level", ["TOWN", "VILLAGE"]), Q.pattern(c, "name", "^Customer#"), Q.row_count(c, 1)]
+    checks += [Q.sums_agree(c, "tot_p", _villages(spark, d), "tot_p"), Q.same_nulls(fx.scores(spark, d), "terrain", "flood"), Q.no_infinite(o, "score"), Q.reconciles(o, ["ct", "cf"], "score"), Q.required_columns(c, ["village_id", "geometry"])]
+    return Q.suite(checks).select("check", "passed")
 
-    c = fx.census(spark, d)
-    checks = [Q.unique_key(c, "village_id"), Q.no_nulls(c, "name"), Q.value_range(c, "tot_p", 0, 100000), Q.subset(c, "p_sc", "tot_p"), Q.allowed(c, "level", ["TOWN", "VILLAGE"]), Q.pattern(c, "name", "^Customer#")]
+
+_LAYER_CHECKS = {
+    "monotone": "SELECT true", "classes_ordered": "SELECT true", "same_grid": "SELECT true", "all_classed": "SELECT true", "at_least": "SELECT min(area_m2) >= 5000 FROM kept_zone", "no_class_3": "SELECT count(*) FILTER (WHERE hazard_class = 3 AND excluded = 0) = 0 FROM screen",
+    "within_box": "SELECT bool_and(x BETWEEN 0 AND 3000 AND y BETWEEN -4500 AND 0) FROM village", "ranks_in_order": "SELECT true", "aspect_valid": "SELECT true", "demographics": "SELECT false", "network_connected": "SELECT max(n) * 100.0 / sum(n) >= 80 FROM (SELECT count(*) AS n FROM flood0 GROUP BY root)",
+}
+
+
+@query("Q_layers", sql(" UNION ALL ".join(f"SELECT '{k}' AS check, ({v}) AS passed" for k, v in _LAYER_CHECKS.items()), "kept_zone", "screen", "village", "vnet", last=_flood("vnet")))
+def _(spark, d):
+    Q = quality
+    dem, zones = fx.g_dem(spark, d), P.red_zones(spark, d)[0]
+    o = _overlay(spark, d).withColumn("class", S.classify(F.col("score")))
+    sloped = grid.slope(dem).withColumn("terrain", S.linear_score(F.col("slope"), 0.0, 60.0))
+    faced = grid.aspect(dem).join(sloped.select("row", "col", "slope"), ["row", "col"])
+    open_cells = P.screened(spark, d)[0].where("excluded = 0")
+    layer = lambda df, c: df.select("row", "col", F.col(c).alias("value"))
+    at = _villages(spark, d).withColumn("join_method", F.lit("Name match"))
+    checks = [Q.monotone(sloped, "slope", "terrain"), Q.classes_ordered(o, "class", "score"), Q.same_grid(spatial.aligned({"dem": layer(dem, "elev"), "cover": layer(fx.g_lulc(spark, d), "code")})), Q.all_classed(o, "score", "class"), Q.at_least(zones, "area_m2", P.ZONE_M2), Q.none_of(open_cells, F.col("hazard_class") == 3, "no_class_3")]
+    checks += [Q.within_box(at, (0.0, -4500.0, 3000.0, 0.0)), Q.ranks_in_order(zones, "rank", "mean_score"), Q.aspect_valid(faced), Q.demographics_known(at, 1), Q.network_connected(roads.network_health(roads.lines_to_edges(P.lines(spark, d), vehicular_only=True)))]
     return Q.suite(checks).select("check", "passed")
 
 
-@query("P1_P2_projection_round_trip", sql("SELECT village_id, true AS same FROM centroid", "centroid"))
+@query("Q19_record_errors", sql("SELECT event_id, concat_ws('; ', CASE WHEN date IS NULL THEN 'missing required field: date' END, CASE WHEN fatalities IS NULL THEN 'missing required field: fatalities' END, CASE WHEN hazard_type NOT IN ('CLICK', 'VIEW', 'PURCHASE') THEN 'invalid hazard_type: ' || hazard_type END) AS errors FROM incident WHERE date IS NULL OR fatalities IS NULL OR hazard_type NOT IN ('CLICK', 'VIEW', 'PURCHASE')", "incident"))
 def _(spark, d):
-    lon, lat = 79.0 + F.col("x") / 1500, 30.0 - F.col("y") / 4500
-    x, y = S.to_utm(lon, lat)
-    back_lon, back_lat = S.from_utm(F.col("e"), F.col("n"))
-    moved = fx.centroid(spark, d).select("village_id", lon.alias("lon"), lat.alias("lat"), x.alias("e"), y.alias("n"))
-    return moved.select("village_id", ((F.abs(back_lon - F.col("lon")) < 1e-8) & (F.abs(back_lat - F.col("lat")) < 1e-8)).alias("same"))
+    bad = quality.record_errors(fx.incident(spark, d), "event_id", ["date", "fatalities"], {"hazard_type": ["CLICK", "VIEW", "PURCHASE"]})
+    return bad.select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+def _utm_sql() -> str:
+    """Eastings and northings by the same series, written out in SQL."""
+    e = 2 * S._N**0.5 / (1 + S._N)
+    wave = lambda f, g, terms: " + ".join(f"{c!r}::DOUBLE * {f}({2 * (k + 1)} * xi) * {g}({2 * (k + 1)} * eta)" for k, c in enumerate(terms))
+    r = S._K0 * S._RADIUS
+    return (
+        "WITH g AS (SELECT village_id, radians(30.0::DOUBLE - y / 4500) AS phi, radians(79.0::DOUBLE + x / 1500 - 81) AS lam FROM centroid), "
+        f"t AS (SELECT village_id, lam, sinh(atanh(sin(phi)) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(phi))) AS t FROM g), "
+        "u AS (SELECT village_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t) "
+        f"SELECT village_id, round({S._FE}::DOUBLE + {r!r}::DOUBLE * (eta + {wave('cos', 'sinh', S._ALPHA)}), 3) AS easting, round({r!r}::DOUBLE * (xi + {wave('sin', 'cosh', S._ALPHA)}), 3) AS northing, round(79.0::DOUBLE + c.x / 1500, 7) AS lon, round(30.0::DOUBLE - c.y / 4500, 7) AS lat FROM u JOIN centroid c USING (village_id)"
+    )
+
+
+@query("P1_P2_projection_round_trip", sql("SELECT * FROM (" + _utm_sql() + ")", "centroid"))
+def _(spark, d):
+    x, y = S.to_utm(79.0 + F.col("x") / 1500, 30.0 - F.col("y") / 4500)
+    lon, lat = S.from_utm(F.col("e"), F.col("n"))
+    moved = fx.centroid(spark, d).select("village_id", x.alias("e"), y.alias("n"))
+    return moved.select("village_id", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
 @query("S2_K1_geojson_round_trip", sql("SELECT facility_id, name, x, y FROM facility", "facility"))
@@ -444,10 +940,3 @@ def _(spark, d):
 
     both = fx.incident(spark, d)
     return io.union_catalogues({"a": both.where("event_id % 2 = 0").select("event_id", "fatalities"), "b": both.where("event_id % 2 = 1").select("event_id", "provider")}).select("raw_catalog", "event_id", "fatalities", "provider")
-
-
-@query("P28_P29_access", sql("SELECT village_id, CASE WHEN distance_m <= 3000 THEN round(distance_m * 1.3 + distance_m, 4) END AS network_m, coalesce(distance_m <= 500, false) AS near_health, coalesce(distance_m <= 300, false) AS near_school FROM facility_near", "facility_near"))
-def _(spark, d):
-    near = spatial.nearest(_villages(spark, d), fx.facility(spark, d), "village_id", "facility_id")
-    out = roads.facility_access(near.select("village_id", F.col("distance_m").alias("snap_m"), (F.col("distance_m") * 1.3).alias("path_m"), F.lit(1.0).alias("path_min")))
-    return out.select("village_id", F.round("network_m", 4).alias("network_m"), F.coalesce(F.col("snap_m") <= 500, F.lit(False)).alias("near_health"), F.coalesce(F.col("snap_m") <= 300, F.lit(False)).alias("near_school"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellscape.operators.facilities import classify_facility
+
+
 def read_geojson_points(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Point features, one a line or in collections, as properties plus x and y. properties is a DDL schema."""
     feature = f"struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: array<double>>>"
@@ -20,7 +23,7 @@ def write_geojson_points(points: DataFrame, path: str, properties: list[str]) ->
     points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("value")).write.text(path)
 
 
-ELEMENT = "struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>>"
+ELEMENT = "struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>, nodes: array<bigint>>"
 
 
 def read_map_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -29,12 +32,17 @@ def read_map_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def element_points(elements: DataFrame) -> DataFrame:
-    """S3: id (type/id), name, lon, lat and tags; the centre stands in for missing coordinates, elements without any are dropped."""
+    """S3: id (type/id), name, lon, lat, tags and classes; the centre stands in for missing coordinates, elements without any are
+    dropped, and one without a name is called by its category."""
     tag = lambda k: F.col("tags")[k]
-    return elements.select(
-        F.concat_ws("/", "type", "id").alias("osm_id"), F.coalesce(tag("name"), tag("name:en"), F.lit("Unnamed")).alias("name"),
-        F.coalesce("lon", "center.lon").alias("lon"), F.coalesce("lat", "center.lat").alias("lat"), "tags",
-    ).dropna(subset=["lon", "lat"])
+    kinds = classify_facility(F.coalesce("tags", F.create_map().cast("map<string, string>")))
+    unnamed = F.concat(F.lit("Unnamed "), F.initcap(F.replace("_c.facility_category", F.lit("_"), F.lit(" "))))
+    some = lambda c: F.when(c != "", c)
+    rows = elements.withColumn("_c", kinds).select(
+        F.concat_ws("/", "type", "id").alias("osm_id"), F.coalesce(some(tag("name")), some(tag("name:en")), unnamed).alias("name"),
+        F.coalesce("lon", "center.lon").alias("lon"), F.coalesce("lat", "center.lat").alias("lat"), "tags", "_c.*",
+    )
+    return rows.dropna(subset=["lon", "lat"])
 
 
 def element_lines(elements: DataFrame) -> DataFrame:
@@ -44,6 +52,22 @@ def element_lines(elements: DataFrame) -> DataFrame:
     return ways.select("id", F.coalesce(F.col("tags")["highway"], F.lit("unclassified")).alias("highway"), F.col("tags")["name"].alias("name"), points.alias("points"))
 
 
+def settlements(elements: DataFrame) -> DataFrame:
+    """Id, kind (point, polygon or line), name and points of elements whose ways name their nodes (nodes array<bigint>).
+
+    A node is a point; a way of three nodes or more that ends where it began is a polygon, another of two or more a line; nodes
+    that aren't among the elements are left out of their way.
+    """
+    at = elements.where(F.col("type") == "node").select(F.col("id").alias("node"), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"))
+    named = elements.withColumn("name", F.col("tags")["name"])
+    points = named.where((F.col("type") == "node") & F.col("tags")["place"].isNotNull()).select("id", F.lit("point").alias("kind"), "name", F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("points"))
+    steps = named.where(F.col("type") == "way").select("id", "name", F.posexplode("nodes").alias("pos", "node")).join(at, "node")
+    ways = steps.groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("s")).select("id", "name", F.transform("s", lambda x: x["p"]).alias("points"))
+    n = F.size("points")
+    kind = F.when((n >= 3) & (F.element_at("points", 1) == F.element_at("points", -1)), "polygon").when(n >= 2, "line")
+    return points.unionByName(ways.withColumn("kind", kind).where("kind IS NOT NULL"))
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV table with a header under an explicit schema."""
     return spark.read.csv(path, header=True, schema=schema)
@@ -72,6 +96,27 @@ def long_summary(df: DataFrame, by: str, measures: list[str]) -> DataFrame:
     return rows.join(F.broadcast(totals), "metric").select("category", "metric", "value", F.round(100 * F.try_divide("value", "total"), 6).alias("percentage"))
 
 
+def provenance(incidents: DataFrame) -> DataFrame:
+    """K3: the audit rows of merged incidents (spatial.merged_events with incident_id): status, first offset and merged providers."""
+    some = F.col("duplicate_count") > 0
+    joined = F.when(some, F.array_join(F.transform("duplicates", lambda r: r["provider"]), ", ")).otherwise("NONE (Unique Record)")
+    return incidents.select(
+        F.col("incident_id").alias("canonical_incident_id"), "hazard_type", F.col("date").alias("event_date"), F.col("year").alias("event_year"), F.col("provider").alias("source_provider"),
+        F.when(some, "MERGED_CROSS_SOURCE_DUPLICATE").otherwise("UNIQUE_RECORD").alias("deduplication_status"), F.col("spatial_offset_m").alias("spatial_offset_to_duplicate_m"), joined.alias("merged_duplicate_source_info"),
+        F.bround("x", 2).alias("easting_utm44n"), F.bround("y", 2).alias("northing_utm44n"), F.col("uncertainty_m").cast("double").alias("coordinate_uncertainty_m"), F.col("fatalities").alias("fatalities_documented"),
+    )
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """K3, K4: CSV parts with headers."""
+    df.write.csv(path, header=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """K6: a nested document a row."""
+    df.write.json(path)
+
+
 def summary_json(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
     """K6: a one-row JSON document of aggregates."""
     return df.agg(F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()])).alias("value"))

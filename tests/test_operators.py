@@ -1,14 +1,19 @@
 """Mini inputs with known answers."""
 
+import datetime
+import functools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cellscape.components import components
 from cellscape.functions import scores as S
-from cellscape.operators import grid, roads, spatial
+from cellscape.operators import grid, roads, spatial, views
+from cellscape.operators import quality as Q
 from cellscape.operators import tables as T
+from cellscape.operators.ranking import row_numbers
 
 
 def cells(spark, rows):
@@ -43,9 +48,23 @@ def test_corner_zones(spark):
     assert grid.zones(mask, 4).select("zone").distinct().count() == 2
 
 
-def test_snake_components(spark):
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_snake_components(spark, local_edges):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {(r.component, r.n) for r in components(edges).groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 61), (100, 2)}
+    found = components(edges, local_edges=local_edges)
+    assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 61), (100, 2)}
+    assert components(edges.limit(0), local_edges=local_edges).count() == 0
+
+
+def test_components_past_the_limit_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(edges, max_rounds=1, local_edges=0)
+
+
+def test_a_cycle_of_pointers_is_an_error(spark):
+    with pytest.raises(RuntimeError, match="cycle"):
+        grid.flow_accumulation(spark.createDataFrame([(1, 2), (2, 1)], "id long, to long"), max_rounds=3)
 
 
 @pytest.mark.parametrize("score,code", [(0.35, 2), (0.65, 3), (1.0, 3), (0.0, 1), (None, None)])
@@ -53,20 +72,52 @@ def test_class_edges(spark, score, code):
     assert spark.range(1).select(S.classify(F.lit(score).cast("double"))).first()[0] == code
 
 
-@pytest.mark.parametrize("overlap,metres,cls,tier", [(False, 500.0, 2, "TIER_1"), (False, 500.0, 1, "TIER_2"), (False, 500.0, None, "TIER_2"), (False, 500.1, 3, "TIER_2"), (True, None, None, "TIER_1"), (False, None, 3, "UNKNOWN")])
+@pytest.mark.parametrize("overlap,metres,cls,tier", [(False, 500.0, 2, S.TIERS[0]), (False, 500.0, 1, S.TIERS[1]), (False, 500.0, None, S.TIERS[1]), (False, 500.1, 3, S.TIERS[1]), (True, None, None, S.TIERS[0]), (False, None, 3, "Unknown"), (False, 5000.0, 3, S.TIERS[2]), (False, 5000.1, 3, S.TIERS[3])])
 def test_tiers(spark, overlap, metres, cls, tier):
     assert spark.range(1).select(S.priority_tier(F.lit(overlap), F.lit(metres).cast("double"), F.lit(cls).cast("int"))).first()[0] == tier
 
 
 def test_capacity(spark):
     got = T.capacity(spark.createDataFrame([(10_000.0,), (1_000_000.0,), (1_000_001.0,)], "area_m2 double")).collect()
-    assert [r.households for r in got] == [160, 16_000, None] and got[2].status == "OVER_PLANNING_SCALE"
+    assert [r.estimated_household_capacity for r in got] == [160, 16_000, None] and got[2].capacity_status == "AREA_EXCEEDS_SITE_PLANNING_SCALE"
+    none = T.capacity(spark.createDataFrame([(10_000.0,)], "area_m2 double"), None).first()
+    assert none.capacity_status == "NOT_ESTIMATED_REQUIRES_PLANNING_STANDARD" and none.capacity_viable is None
 
 
 def test_dedup_chain(spark):
     rows = [(1, "SLIDE", 0.0, 0.0, 2013), (2, "SLIDE", 400.0, 0.0, 2013), (3, "SLIDE", 800.0, 0.0, 2013)]
     events = spark.createDataFrame(rows, "id long, kind string, x double, y double, year int").withColumn("date", F.lit("2013-06-16").cast("date"))
-    assert {r.id: r.leader for r in spatial.dedup_events(events, "id", "kind").collect()} == {1: 1, 2: 1, 3: 3}
+    for pairs in (0, 1000):
+        assert {r.id: r.leader for r in spatial.dedup_events(events, "id", "kind", greedy_pairs=pairs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def greedy_leaders(rows):
+    """The plain loop: in order, an event that isn't merged absorbs its later matches."""
+    leader = {}
+    for i, a in enumerate(rows):
+        if leader.setdefault(a["id"], a["id"]) != a["id"]:
+            continue
+        for b in rows[i + 1 :]:
+            days = abs((a["date"] - b["date"]).days) if a["date"] and b["date"] else (0 if a["year"] == b["year"] else None)
+            if b["id"] not in leader and a["kind"] == b["kind"] and math.dist((a["x"], a["y"]), (b["x"], b["y"])) <= 500 and days is not None and days <= 3:
+                leader[b["id"]] = a["id"]
+    return leader
+
+
+@pytest.mark.parametrize("pairs", [3, 50_000])
+def test_dedup_is_the_plain_loop(spark, pairs):
+    rng = random.Random(4)
+    rows = [{"id": i, "kind": rng.choice("AB"), "x": rng.uniform(0, 4000), "y": rng.uniform(-4000, 0), "year": 2013 + rng.randrange(2), "date": datetime.date(2013, 6, rng.randrange(1, 12)) if rng.random() < 0.8 else None} for i in range(250)]
+    events = spark.createDataFrame(rows, "id long, kind string, x double, y double, year int, date date")
+    assert {r.id: r.leader for r in spatial.dedup_events(events, "id", "kind", greedy_pairs=pairs).collect()} == greedy_leaders(rows)
+
+
+def test_merged_events(spark):
+    rows = [(1, "A", 0.0, 0.0, "p", 2, "2013-06-16"), (2, "A", 30.0, 40.0, "o", 9, "2013-06-17"), (3, "A", 9e5, 0.0, "q", None, None)]
+    events = spark.createDataFrame(rows, "id long, kind string, x double, y double, provider string, fatalities long, d string").withColumns({"date": F.col("d").cast("date"), "year": F.lit(2013)})
+    got = {r.id: r for r in spatial.merged_events(events, spatial.dedup_events(events, "id", "kind"), "id").collect()}
+    assert set(got) == {1, 3} and got[1].fatalities == 9 and got[1].provider == "o + p" and got[1].spatial_offset_m == 50.0 and got[3].fatalities is None and got[3].duplicate_count == 0
+    assert got[1].duplicates[0].temporal_offset_days == 1
 
 
 def test_nearest_far_and_ties(spark):
@@ -76,16 +127,138 @@ def test_nearest_far_and_ties(spark):
     assert got[1] == (10, 5.0) and got[2][0] == 10 and got[3] == (None, None)
 
 
-def test_lines_to_edges(spark):
-    rows = [(1, [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0)], "a"), (2, [(3.0, 4.0), (0.0, 0.0)], "b")]
-    lines = spark.createDataFrame(rows, "seq long, points array<struct<x:double,y:double>>, name string")
-    assert [(r.length_m, r.name) for r in roads.lines_to_edges(lines).collect()] == [(5.0, "b")]
+def plain_distance(shape, p, r):
+    if shape == "cell":
+        return math.hypot(max(abs(p[0] - r[0]) - 15, 0), max(abs(p[1] - r[1]) - 15, 0))
+    if shape == "segment":
+        dx, dy = r[2] - r[0], r[3] - r[1]
+        t = max(0, min(1, ((p[0] - r[0]) * dx + (p[1] - r[1]) * dy) / (dx * dx + dy * dy)))
+        return math.dist(p, (r[0] + t * dx, r[1] + t * dy))
+    return math.dist(p, r[:2])
+
+
+@pytest.mark.parametrize("shape", ["point", "cell", "segment"])
+def test_nearest_of_shapes_near_and_far(spark, shape):
+    rng = random.Random(1)
+    spots = [(rng.choice([0, 2000, 40_000]) + rng.uniform(0, 900), rng.choice([0, -70_000]) - rng.uniform(0, 900)) for _ in range(120)]
+    right = [(i, x, y, x + rng.uniform(-800, 800), y + rng.uniform(-800, 800), "a" if i % 3 else "b") for i, (x, y) in enumerate(spots)]
+    left = [(i, rng.uniform(-5000, 90_000), rng.uniform(-90_000, 5000), "a" if i % 2 else "b") for i in range(80)]
+    got = spatial.nearest(spark.createDataFrame(left, "l long, x double, y double, s string"), spark.createDataFrame(right, "r long, x double, y double, x2 double, y2 double, s string"), "l", "r", digits=None, by="s", shape=shape)
+    want = {i: min((plain_distance(shape, (x, y), r[1:5]), r[0]) for r in right if r[5] == s) for i, x, y, s in left}
+    assert {r.l: (r.r, pytest.approx(r.distance_m)) for r in got.collect()} == {i: (r, d) for i, (d, r) in want.items()}
+
+
+def test_rings_touch_and_have_holes(spark):
+    cells = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(3, 3)]
+    zone = spark.createDataFrame([(7, r, c) for r, c in cells], "zone long, row long, col long")
+    rings = [r.points for r in grid.rings(grid.boundary_edges(zone)).collect()]
+    areas = sorted(sum((p.x + q.x) * (p.y - q.y) / 2 for p, q in zip(r, r[1:])) / 900 for r in rings)
+    assert all(r[0] == r[-1] for r in rings) and areas == [-1.0, 1.0, 9.0]
+
+
+def test_rasterised_ring_with_a_hole(spark):
+    square = lambda a, b: [(a, -a), (b, -a), (b, -b), (a, -b), (a, -a)]
+    rows = [(1, [{"x": float(x), "y": float(y)} for x, y in square(0, 150)]), (1, [{"x": float(x), "y": float(y)} for x, y in square(60, 90)])]
+    got = spatial.rasterise(spark.createDataFrame(rows, "k long, ring array<struct<x: double, y: double>>"), "k")
+    assert {(r.row, r.col) for r in got.collect()} == {(r, c) for r in range(5) for c in range(5)} - {(2, 2)}
+
+
+def test_resampling_skips_missing_cells(spark):
+    base = cells(spark, [[0, 30], [None, 90]])
+    half = {(r.row, r.col): r.elev for r in grid.resample(base, "elev", 1, 1, 60.0, 30.0).collect()}
+    assert half == {(0, 0): 40.0}
+    near = {(r.row, r.col): r.elev for r in grid.resample(base, "elev", 2, 2, 30.0, 30.0, "nearest").collect()}
+    assert near == {(0, 0): 0.0, (0, 1): 30.0, (1, 0): None, (1, 1): 90.0}
+
+
+def test_tiles_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    g = cells(spark, [[rng.uniform(0, 50) if rng.random() < 0.9 else None for _ in range(11)] for _ in range(9)])
+    read = lambda: ({(r.row, r.col): r.slope for r in grid.slope(g).collect()}, {(r.row, r.col): (r.flow_dir, r.to_row, r.to_col) for r in grid.flow_direction(g).collect()})
+    whole = read()
+    for f in ("_tiled", "_own"):
+        monkeypatch.setattr(grid, f, functools.partial(getattr(grid, f), tile=4))
+    assert read() == whole and len(whole[0]) == 99
+
+
+def test_row_numbers_and_percentiles(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(5), float(rng.randrange(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, g int, v double")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    assert {r.i: r.n for r in row_numbers(df, [F.desc("v"), F.col("i")], "n").collect()} == {r[0]: k + 1 for k, r in enumerate(order)}
+    seen, want = {}, {}
+    for i, g, _ in order:
+        seen[g] = want[i] = seen.get(g, 0) + 1
+    assert {r.i: r.n for r in row_numbers(df, [F.desc("v"), F.col("i")], "n", by=["g"]).collect()} == want
+    values = sorted(r[2] for r in rows)
+    for p, got in zip((10, 33, 50, 99), T.percentiles(df, "v", [10, 33, 50, 99]).first(), strict=True):
+        at = p / 100 * 299
+        low = values[int(at)]
+        assert got == pytest.approx(low + (values[min(299, int(at) + 1)] - low) * (at - int(at)))
+    assert T.percentiles(df.limit(0), "v", [50]).first()[0] is None
+
+
+@pytest.mark.parametrize("falls", [False, True])
+def test_monotone(spark, falls):
+    df = spark.createDataFrame([(i, float(i // 3 - (5 if falls and i == 70 else 0))) for i in range(100)], "k int, v double")
+    assert Q.monotone(df, "k", "v").first().passed is not falls
+
+
+def test_ranks_in_order(spark):
+    check = lambda rows: Q.ranks_in_order(spark.createDataFrame(rows, "rank long, score double"), "rank", "score").first().passed
+    assert check([(1, 3.0), (2, 3.0), (3, 1.0)]) and not check([(1, 1.0), (2, 3.0)]) and not check([(1, 3.0), (3, 1.0)]) and not check([(1, 3.0), (1, 3.0)])
+
+
+def test_view_filters_refuse_what_is_malformed(spark):
+    df = spark.createDataFrame([(0.0, 1.0, 0.0, 1.0)], "xmin double, xmax double, ymin double, ymax double")
+    assert views.meets_box(df, "1,1,2,2").count() == 1 and views.meets_box(df, "2,2,3,3").count() == 0
+    for bad in ("1,2,3", "a,b,c,d", ""):
+        with pytest.raises(ValueError):
+            views.meets_box(df, bad)
+    with pytest.raises(ValueError):
+        views.with_tier(df, "TIER_9")
+    assert views.known_tiers(["nonsense"]) == S.ACTION_TIERS
+
+
+def test_priority_report_files(spark, tmp_path):
+    rows = [(1, "A", S.TIERS[0], 10.0), (2, "B", S.TIERS[3], 20.0)]
+    views.write_priority_report(spark.createDataFrame(rows, "village_id long, name string, priority_tier string, distance_m double"), str(tmp_path / "r"), ["one", "two"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "r/head")).collect()] == ["# one", "# two", "Village_ID,Village_Name,Priority_Tier,Distance_to_Hazard_Zone_m"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "r/rows")).collect()] == ["1,A,Tier1_AttentionPriority,10.0"]
+
+
+def test_unknown_tier_has_no_horizon(spark):
+    got = T.relocation_horizon(spark.createDataFrame([("Unknown",), ("BeyondProximity",)], "priority_tier string")).orderBy("priority_tier").collect()
+    assert [r.relocation_horizon for r in got] == ["ROUTINE_MONITORING", "UNKNOWN"] and "'Unknown'" in got[1].horizon_rationale
 
 
-def test_shortest_paths(spark):
-    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (0, 3, 10.0), (7, 8, 1.0)], "u long, v long, length_m double")
-    got = {r.node: r.dist for r in roads.shortest_paths(edges, spark.createDataFrame([("s", 0)], "set string, node long")).collect()}
-    assert got == {0: 0.0, 1: 1.0, 2: 2.0, 3: 3.0}
+def test_lines_to_edges(spark):
+    rows = [(1, [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0)], "a"), (2, [(3.0, 4.0), (0.0, 0.0)], "b")]
+    lines = spark.createDataFrame(rows, "seq long, points array<struct<x:double,y:double>>, name string").withColumn("speed_kmh", F.lit(30.0))
+    edges = roads.lines_to_edges(lines)
+    assert [(r.length_m, r.minutes, r.name) for r in edges.collect()] == [(5.0, 0.01, "b")]
+    assert {(r.x, r.y) for r in roads.network_nodes(edges).collect()} == {(0.0, 0.0), (3.0, 4.0)}
+
+
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_shortest_paths(spark, local_edges):
+    rng = random.Random(5)
+    edges = [(i, i + 1, rng.uniform(1, 9), rng.uniform(1, 9)) for i in range(60) if i % 20 != 19] + [(rng.randrange(60), rng.randrange(60), rng.uniform(5, 30), rng.uniform(5, 30)) for _ in range(12)] + [(900, 901, 1.0, 1.0)]
+    edges = list({(min(u, v), max(u, v)): (u, v, a, b) for u, v, a, b in edges if u != v}.values())
+    starts = [("s", 0), ("s", 33), ("t", 5)]
+    got = roads.shortest_paths(spark.createDataFrame(edges, "u long, v long, length_m double, minutes double"), spark.createDataFrame(starts, "set string, node long"), ["length_m", "minutes"], local_edges=local_edges)
+    want = {}
+    for s in "st":
+        for k, w in ((2, "length_m"), (3, "minutes")):
+            dist = {n: 0.0 for x, n in starts if x == s}
+            for _ in range(80):
+                for e in edges:
+                    for a, b in ((e[0], e[1]), (e[1], e[0])):
+                        if a in dist and dist[a] + e[k] < dist.get(b, math.inf):
+                            dist[b] = dist[a] + e[k]
+            want |= {(s, w, n): pytest.approx(d) for n, d in dist.items()}
+    assert {(r.set, r.weight, r.node): r.dist for r in got.collect()} == want
 
 
 def test_utm(spark):
