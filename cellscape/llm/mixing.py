@@ -134,9 +134,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block_words: in
     quotas = by_shard.join(by_source, "source_key").groupBy("source_key").applyInPandas(
         lambda pdf: shard_blocks(pdf, block_words, max_epochs), "source_key string, shard int, shard_size long, source_size long, target double, blocks long, quota long"
     )
-    # a shard's n blocks: `whole` passes over all of them and `rest` chosen ones, the i-th if (i rest + phase) div n steps up after it
-    n = F.ceil(F.col("shard_size") / block_words).cast("long")
-    quotas = quotas.withColumn("n", n).withColumn("whole", F.expr("CASE WHEN n > 0 THEN quota div n ELSE 0 END")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("n"))
+    # a shard's n blocks (the last may be short): `whole` passes over all and `rest` chosen ones, the i-th if (i rest + phase) div n steps up after it
+    words = F.least(F.col("quota") * block_words, F.col("shard_size") * max_epochs)
+    quotas = quotas.withColumns({"n": F.ceil(F.col("shard_size") / block_words).cast("long"), "words": words}).withColumn("whole", F.expr("CASE WHEN n > 0 THEN words div shard_size ELSE 0 END"))
+    quotas = quotas.withColumn("rest", F.round((F.col("words") - F.col("whole") * F.col("shard_size")) / block_words).cast("long")).drop("words")
     quotas = quotas.withColumn("phase", F.when(F.col("n") > 0, F.pmod(F.xxhash64("source_key", "shard", F.lit(seed), F.lit("phase")), F.col("n")))).drop("quota", "blocks", "shard_size")
     before = W.partitionBy("source_key", "shard").orderBy("order", "doc_id", "mark").rowsBetween(W.unboundedPreceding, -1)
     every = entries.join(quotas, ["source_key", "shard"]).withColumn("order", F.xxhash64("mark", F.lit(seed), F.lit("order")))
