@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellscape.llm.common import arrow_map, staged
+from cellscape.llm.common import annotated, arrow_map, staged
 from cellscape.llm.textarrays import LOWER, Words, buffers, shingle_hashes, slices, span_hashes, word_bounds
 
 K1, B = 1.2, 0.75
@@ -256,6 +256,31 @@ def _parts(items: DataFrame, limit: int, threshold: float) -> Iterator[list[Inde
         yield build_indexes([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], known, threshold)
 
 
+def _verified(indexes: list[Index], texts: pa.Array, threshold: float) -> Iterator[tuple[int, int | None, int, float, float, float]]:
+    """(row, item_id, word_at, score, question and answer overlap) of each passage that repeats an item."""
+    w = plain_words(texts)
+    for index in indexes:
+        for row, item, begin, end, score in search(index, w, threshold):
+            question, answer = verify(index, item, w.hashes[begin:end])
+            if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
+                yield row, index.item_ids[item], begin - int(w.first[row]), score, question, answer
+
+
+def marked(docs: DataFrame, items: DataFrame, name: str = "leaks", threshold: float = THRESHOLD, index_words: int = INDEX_WORDS) -> DataFrame:
+    """docs (text and any others) with the number of passages and items that match, row by row; a column of that name is replaced."""
+    out = docs.drop(name)
+    for k, indexes in enumerate(_parts(items, index_words, threshold)):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+
+        def count(texts: pa.Array, shared=shared) -> list[pa.Array]:
+            rows = np.array([r for r, *_ in _verified(shared.value, texts, threshold)], dtype=np.int64)
+            return [pa.array(np.bincount(rows, minlength=len(texts)).astype(np.int32))]
+
+        out = annotated(out, [(f"_{name}_{k}", "int")], count)
+    parts = [c for c in out.columns if c not in docs.columns]
+    return out.withColumn(name, sum((F.col(c) for c in parts), F.lit(0))).drop(*parts)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, item_id, word_at, score, question_overlap, answer_overlap: each item that a document repeats, at its best passage.
 
@@ -271,12 +296,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    w = plain_words(part.column(1))
-                    rows = []
-                    for index, (row, item, begin, end, score) in ((x, found) for x in shared.value for found in search(x, w, threshold)):
-                        question, answer = verify(index, item, w.hashes[begin:end])
-                        if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
-                            rows.append((part.column(0)[row].as_py(), index.item_ids[item], begin - int(w.first[row]), score, question, answer))
+                    ids = part.column(0).to_pylist()
+                    rows = [(ids[row], *rest) for row, *rest in _verified(shared.value, part.column(1), threshold)]
                     columns = zip(*rows, strict=True) if rows else [[]] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=schema.names)
 

@@ -22,9 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellscape.llm.common import arrow_map, staged
+from cellscape.llm.common import annotated, arrow_map, staged
 from cellscape.llm.textarrays import Words, buffers, mix64, slices, span_hashes, word_bounds
 from cellscape.shipping import ship
 
@@ -303,28 +302,40 @@ def _fit_rows(rows: pa.Table) -> pa.Table:
     return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
+_SCORES = [("score", "double"), ("predicted", "int"), ("n_toxic", "int"), ("offsets", "array<array<bigint>>")]
+
+
+def _scores(model: Model, texts: pa.Array) -> list[pa.Array]:
+    w = letter_words(texts)
+    marginal = model.marginals(w)
+    score = model.scores(w, marginal)
+    hit = np.flatnonzero(marginal >= 0.5)
+    _, text_at = buffers(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    spans = np.stack([w.starts[hit] - text_at[w.doc[hit]], w.ends[hit] - text_at[w.doc[hit]]], axis=1)
+    n = np.bincount(w.doc[hit], minlength=len(texts))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(hit) + 1, 2, dtype=np.int32)), pa.array(spans.reshape(-1).astype(np.int64)))
+    outer = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), inner)
+    return [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n.astype(np.int32)), outer]
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text and any others) with score, predicted, n_toxic and offsets; columns of these names are replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return annotated(docs, _SCORES, lambda texts: _scores(shared.value, texts))
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, n_toxic, offsets of every row of docs (doc_id, text; others are left aside).
 
     offsets are [begin, end) in bytes of the lower-cased UTF-8 text of each token whose marginal is 1/2 or more. Null and empty
-    texts score as texts without toxic tokens. Rows are independent: nothing is shuffled.
+    texts score as texts without toxic tokens. Rows are independent: nothing is shuffled; repeated rows and null ids are rows like
+    any other, and an empty table gives none.
     """
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_toxic", T.IntegerType()), T.StructField("offsets", T.ArrayType(T.ArrayType(T.LongType())))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                w = letter_words(part.column(1))
-                marginal = model.marginals(w)
-                score = model.scores(w, marginal)
-                hit = np.flatnonzero(marginal >= 0.5)
-                _, text_at = buffers(pc.utf8_lower(pc.fill_null(part.column(1).cast(pa.large_string()), "")))
-                spans = np.stack([w.starts[hit] - text_at[w.doc[hit]], w.ends[hit] - text_at[w.doc[hit]]], axis=1)
-                n = np.bincount(w.doc[hit], minlength=part.num_rows)
-                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(hit) + 1, 2, dtype=np.int32)), pa.array(spans.reshape(-1).astype(np.int64)))
-                outer = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), inner)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n.astype(np.int32)), outer], names=schema.names)
-
-    return arrow_map(docs.select("doc_id", "text"), run, schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_scores(shared.value, part.column(1))], names=["doc_id", *[n for n, _ in _SCORES]])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t in _SCORES))

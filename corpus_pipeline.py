@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscape.llm.common import staged, table
-from cellscape.llm.decontamination import decontaminate
+from cellscape.llm.decontamination import marked
 from cellscape.llm.jaccard_join import similar_groups
 from cellscape.llm.line_dedup import line_dedup
 from cellscape.llm.mixing import mix
-from cellscape.llm.toxicity import score_toxicity, train
+from cellscape.llm.toxicity import scored, train
 
 ORACLE_SQL = None
 
@@ -29,15 +29,21 @@ def without(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't predict as toxic; fitted on the labelled documents of sf_dir."""
+    """Documents that the toxicity model doesn't predict as toxic; fitted on the labelled documents of sf_dir.
+
+    Rows are judged one by one: null and empty texts, null and repeated ids stay or go by their own text.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
-    rows = keyed(docs, "toxicity")
-    scores = staged(score_toxicity(rows, model).select("doc_id", "predicted"), "pipeline-toxicity")
-    return without(rows, scores.where("predicted = 1"), docs)
+    own = {c: f"_{c}" for c in docs.columns if c != "text"}  # docs may have columns named like the scores
+    kept = scored(docs.withColumnsRenamed(own), model).where("predicted = 0")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks of lines that an earlier one holds; a document of which nothing is left goes."""
+    """Documents without the blocks of lines that an earlier one holds; a document of which nothing is left goes.
+
+    Rows of a null id or text stay; n_chars is that of what is left.
+    """
     left = line_dedup(docs)
     left = left.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
@@ -54,9 +60,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no benchmark item."""
-    rows = keyed(docs, "decontamination")
-    return without(rows, decontaminate(rows, table(spark, sf_dir, "benchmark")), docs)
+    """Documents that repeat no benchmark item; rows are judged one by one, as in toxicity."""
+    return marked(docs, table(spark, sf_dir, "benchmark"), "_leaks").where("_leaks = 0").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
