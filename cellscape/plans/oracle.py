@@ -78,7 +78,7 @@ FIXTURES: dict[str, str] = {
     "cand_near": f"SELECT area_id, arg_min(zone, {{'d': d, 'r': zone_rank}}) AS nearest_zone, round_even(sqrt(min(d)), 1) AS hazard_distance_m FROM (SELECT a.area_id, k.zone, k.zone_rank, {rect('a.x', 'a.y', 'k.row', 'k.col')} AS d FROM cand a CROSS JOIN kept_cells k) GROUP BY area_id",
     "cand_home": "SELECT a.area_id, arg_min(v.village_id, {'d': (a.x - v.x) * (a.x - v.x) + (a.y - v.y) * (a.y - v.y), 'i': v.village_id}) AS nearest_village, arg_min(v.tot_p, {'d': (a.x - v.x) * (a.x - v.x) + (a.y - v.y) * (a.y - v.y), 'i': v.village_id}) AS nearest_village_pop, round_even(sqrt(min((a.x - v.x) * (a.x - v.x) + (a.y - v.y) * (a.y - v.y))), 1) AS nearest_village_m FROM cand a CROSS JOIN village v GROUP BY a.area_id",
     "attributes": f"SELECT *, {SPEED} AS speed_kmh, highway IN ({VEHICULAR}) AS is_vehicular, highway IN ({ARTERIAL}) AS is_arterial FROM road WHERE highway <> 'construction' AND length_m > 0",
-    "mixed": f"SELECT least(u, v) AS u, greatest(u, v) AS v, arg_max(length_m, seq) AS length_m, round_even(arg_max(length_m / 1000 / {SPEED} * 60, seq), 4) AS minutes FROM (SELECT * FROM road UNION ALL SELECT * FROM road_x) WHERE u <> v AND highway <> 'construction' AND length_m > 0 GROUP BY 1, 2",
+    "mixed": f"SELECT least(u, v) AS u, greatest(u, v) AS v, arg_max(length_m, {{'s': seq, 'l': length_m}}) AS length_m, round_even(arg_max(length_m / 1000 / {SPEED} * 60, {{'s': seq, 'l': length_m}}), 4) AS minutes FROM (SELECT * FROM road UNION ALL SELECT * FROM road_x) WHERE u <> v AND highway <> 'construction' AND length_m > 0 GROUP BY 1, 2",
     "kinds": "SELECT *, " + "{kinds}" + " AS k FROM (SELECT *, coalesce(amenity, '') AS am, coalesce(healthcare, '') AS hc, coalesce(building, '') AS bld, coalesce(office, '') AS off, lower(coalesce(name, '')) AS nm FROM tags)",
     "place": "SELECT *, k.kind AS facility_broad_type, k.category AS facility_category, printf('FAC-%03d', row_number() OVER (ORDER BY k.kind, k.category, name, id)) AS facility_id FROM kinds",
 }

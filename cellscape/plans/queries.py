@@ -395,9 +395,18 @@ def _(spark, d):
     return summaries.mask_log(P.screened(spark, d)[1], 0.09)
 
 
-@query("C5_candidate_areas", sql("SELECT area_id, pixel_count, area_m2, mean_slope, mean_terrain, mean_flood, mean_score, max_slope, dominant_code, nearest_zone, hazard_distance_m, nearest_village, nearest_village_pop, nearest_village_m FROM cand JOIN cand_near USING (area_id) JOIN cand_home USING (area_id)", "cand", "cand_near", "cand_home"))
+@query("C5_candidate_areas", sql("SELECT area_id, pixel_count, area_m2, mean_slope, max_slope, dominant_code, nearest_zone, hazard_distance_m, nearest_village, nearest_village_pop, nearest_village_m FROM cand JOIN cand_near USING (area_id) JOIN cand_home USING (area_id)", "cand", "cand_near", "cand_home"))
 def _(spark, d):
-    return P.candidate_areas(spark, d).select("area_id", "pixel_count", "area_m2", "mean_slope", "mean_terrain", "mean_flood", "mean_score", "max_slope", "dominant_code", "nearest_zone", "hazard_distance_m", "nearest_village", "nearest_village_pop", "nearest_village_m")
+    return P.candidate_areas(spark, d).select("area_id", "pixel_count", "area_m2", "mean_slope", "max_slope", "dominant_code", "nearest_zone", "hazard_distance_m", "nearest_village", "nearest_village_pop", "nearest_village_m")
+
+
+_FOUR = ("slope", "terrain", "flood", "score")
+
+
+@query("G10_area_stats", sql("SELECT zone, " + ", ".join(f"round({f}({c}), 7) AS {n}_{c}" for c in _FOUR for n, f in (("mean", "avg"), ("max", "max"), ("min", "min"))) + " FROM area_cells GROUP BY zone", "area_cells"))
+def _(spark, d):
+    stats = grid.zone_summary(P.area_cells(spark, d), P.CELL_M2, {c: c for c in _FOUR}, digits=12)
+    return stats.select("zone", *[F.round(f"{n}_{c}", 7).alias(f"{n}_{c}") for c in _FOUR for n in ("mean", "max", "min")])
 
 
 @query("C6_area_context", sql(f"SELECT area_id, {_SLOPES} AS slope_context, {_BUFFER} AS hazard_buffer_context, {_SCALE.format('area_m2')} AS area_scale_context, 'slope_max_deg=20.0; redzone_buffer_m=NOT_CONFIGURED; exclude_flood_class_2=NOT_CONFIGURED; minimum_area_m2=2700.0; maximum_area_m2=NOT_CONFIGURED' AS screening_basis, 3 AS not_configured, {_CAP} FROM cand JOIN cand_near USING (area_id)", "cand", "cand_near"))
@@ -497,7 +506,7 @@ def _flood(net: str) -> str:
 def _mixed(spark, d):
     """Road and shortcuts as one network; of duplicate edges the last stays."""
     both = fx.road(spark, d).unionByName(fx.road_x(spark, d))
-    return roads.last_edges(roads.road_attributes(both), ["seq"])
+    return roads.last_edges(roads.road_attributes(both), ["seq", "length_m"])
 
 
 @query("R3_components", sql("SELECT root AS component, count(*) AS nodes FROM flood0 GROUP BY root", "vnet", last=_flood("vnet")))
@@ -518,20 +527,20 @@ def _(spark, d):
 _SETS = "SELECT 'a' AS set, u AS node FROM mixed WHERE u % 211 = 0 UNION SELECT 'b', u FROM mixed WHERE u % 500 = 1 UNION SELECT 'c', u FROM mixed WHERE u = (SELECT min(u) FROM mixed)"
 
 
-@query("R5_shortest_paths", sql("SELECT set, weight, node, round(dist, 3) AS dist FROM paths", "mixed", last=paths("mixed", _SETS)))
+@query("R5_shortest_paths", sql("SELECT set, weight, node, round(dist, 6) AS dist FROM paths", "mixed", last=paths("mixed", _SETS)))
 def _(spark, d):
     edges = _mixed(spark, d)
     least = edges.agg(F.min("u").alias("node"))
     some = lambda name, c: edges.where(c).select(F.lit(name).alias("set"), F.col("u").alias("node"))
     starts = some("a", "u % 211 = 0").unionByName(some("b", "u % 500 = 1")).unionByName(least.select(F.lit("c").alias("set"), "node")).distinct()
-    return roads.shortest_paths(edges, starts, ["length_m", "minutes"]).select("set", "weight", "node", F.round("dist", 3).alias("dist"))
+    return roads.shortest_paths(edges, starts, ["length_m", "minutes"]).select("set", "weight", "node", F.round("dist", 6).alias("dist"))
 
 
-@query("R7_pair_path", sql("SELECT count(*) > 0 AS connected, round(min(dist), 3) AS dist FROM paths WHERE node = (SELECT max(v) FROM mixed)", "mixed", last=paths("mixed", "SELECT 'pair' AS set, (SELECT min(u) FROM mixed) AS node", ("length_m",))))
+@query("R7_pair_path", sql("SELECT count(*) > 0 AS connected, round(min(dist), 6) AS dist FROM paths WHERE node = (SELECT max(v) FROM mixed)", "mixed", last=paths("mixed", "SELECT 'pair' AS set, (SELECT min(u) FROM mixed) AS node", ("length_m",))))
 def _(spark, d):
     edges = _mixed(spark, d)
     a, b = edges.agg(F.min("u"), F.max("v")).first()
-    return roads.pair_path(edges, a, b).select("connected", F.round("dist", 3).alias("dist"))
+    return roads.pair_path(edges, a, b).select("connected", F.round("dist", 6).alias("dist"))
 
 
 _SNAP = "SELECT v.village_id, arg_min(n.node, {{'d': (v.x - n.x) * (v.x - n.x) + (v.y - n.y) * (v.y - n.y), 'i': n.node}}) AS node, sqrt(min((v.x - n.x) * (v.x - n.x) + (v.y - n.y) * (v.y - n.y))) AS snap_m FROM village v CROSS JOIN {0} n GROUP BY v.village_id"
