@@ -77,7 +77,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, pa
             placed = right.withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})
         settled = staged(best(_around(here, size).join(placed, [*on, "_bx", "_by"])).where(F.col("_best._d") <= size - margin), "nearest")
         found.append(settled)
-        here = staged(here.join(settled, keys, "left_anti"), "nearest-open")
+        here = here.join(settled, keys, "left_anti")
         if not here.head(1):
             break
         size *= 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellscape import fixtures as fx
+from cellscape.components import checkpoint_folder
 from cellscape.functions import scores as S
 from cellscape.operators import facilities as fac
 from cellscape.operators import grid, quality, roads, spatial, summaries, views
@@ -926,26 +928,90 @@ def _(spark, d):
 
 @query("S2_K1_geojson_round_trip", sql("SELECT facility_id, name, x, y FROM facility", "facility"))
 def _(spark, d):
-    import uuid
-
-    from cellscape.components import checkpoint_folder
-    from cellscape.sources import io
-
-    path = f"{checkpoint_folder(spark)}/facilities-{uuid.uuid4().hex}"
+    path = _folder(spark, "facilities")
     io.write_geojson_points(fx.facility(spark, d), path, ["facility_id", "name"])
     return io.read_geojson_points(spark, path, "facility_id: bigint, name: string")
 
 
 @query("K4_long_summary", sql("SELECT category, metric, value, round(100 * value / sum(value) OVER (PARTITION BY metric), 6) AS percentage FROM (SELECT flag AS category, 'area_id' AS metric, sum(area_id)::DOUBLE AS value FROM area GROUP BY 1 UNION ALL SELECT flag, 'mean_slope', sum(mean_slope)::DOUBLE FROM area GROUP BY 1)", "area"))
 def _(spark, d):
-    from cellscape.sources import io
-
     return io.long_summary(fx.area(spark, d), "flag", ["area_id", "mean_slope"])
 
 
 @query("S8_U1_catalogues", sql("SELECT 'a' AS raw_catalog, event_id, fatalities, NULL AS provider FROM incident WHERE event_id % 2 = 0 UNION ALL SELECT 'b', event_id, NULL, provider FROM incident WHERE event_id % 2 = 1", "incident"))
 def _(spark, d):
-    from cellscape.sources import io
-
     both = fx.incident(spark, d)
     return io.union_catalogues({"a": both.where("event_id % 2 = 0").select("event_id", "fatalities"), "b": both.where("event_id % 2 = 1").select("event_id", "provider")}).select("raw_catalog", "event_id", "fatalities", "provider")
+
+
+# Sources and sinks: what Spark writes of the tables, read back
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S1_layer", sql("SELECT row, col, elev FROM g_dem", "g_dem"))
+def _(spark, d):
+    path = _folder(spark, "layer")
+    bad = F.when(F.col("col") % 2 == 0, -9999.0).otherwise(float("nan"))
+    fx.g_dem(spark, d).withColumn("elev", F.coalesce("elev", bad)).write.parquet(path)
+    return io.read_layer(spark, path, "elev", -9999.0)
+
+
+@query("S3_map_points", sql("SELECT 'node/' || id AS osm_id, name, CASE WHEN id % 6 = 0 THEN NULL ELSE round(79.0 + x / 10000, 6) END AS lon FROM tags WHERE id % 6 <> 0", "tags"))
+def _(spark, d):
+    path = _folder(spark, "elements")
+    pairs = [x for k in ("name", "amenity", "healthcare", "office", "building", "emergency") for x in (F.lit(k), F.col(k))]
+    lon, lat = F.round(79.0 + F.col("x") / 10000, 6), F.round(30.0 - F.col("y") / 10000, 6)
+    place = F.struct(F.when(F.col("id") % 2 == 0, lat).alias("lat"), F.when(F.col("id") % 2 == 0, lon).alias("lon"))
+    center = F.when((F.col("id") % 2 == 1), F.struct(lat.alias("lat"), lon.alias("lon")))
+    e = F.struct(F.lit("node").alias("type"), F.col("id"), F.when(F.col("id") % 6 != 0, place["lat"]).alias("lat"), F.when(F.col("id") % 6 != 0, place["lon"]).alias("lon"), center.alias("center"), F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("tags"))
+    fx.tags(spark, d).groupBy(F.pmod("id", F.lit(16)).alias("part")).agg(F.collect_list(e).alias("elements")).select(F.to_json(F.struct("elements"))).write.text(path)  # a document for each sixteenth
+    return io.element_points(io.read_map_elements(spark, path)).select("osm_id", "name", "lon")
+
+
+@query("S4_S5_map_ways", sql("SELECT 'road' AS kind, seq AS id, CASE WHEN way = 'e' THEN 3 ELSE 2 END AS points FROM ways UNION ALL SELECT 'polygon', p_partkey, 4 FROM part UNION ALL SELECT 'point', 1000000000 + p_partkey * 3 + k.k, 1 FROM part, (VALUES (0), (1), (2)) k(k)", "ways"))
+def _(spark, d):
+    path = _folder(spark, "ways")
+    none = lambda t: F.lit(None).cast(t)
+    road = F.struct(F.lit("way").alias("type"), F.col("seq").alias("id"), none("double").alias("lat"), none("double").alias("lon"), F.create_map(F.lit("highway"), F.col("highway")).alias("tags"), F.transform("points", lambda p: F.struct(p["y"].alias("lat"), p["x"].alias("lon"))).alias("geometry"), none("array<bigint>").alias("nodes"))
+    part = fx.read(spark, d, "part")
+    corner = part.select(F.col("p_partkey"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).select((1_000_000_000 + F.col("p_partkey") * 3 + F.col("k")).alias("id"), F.col("p_partkey"), "k")
+    node = F.struct(F.lit("node").alias("type"), "id", (F.col("k") * 1.0).alias("lat"), (F.col("p_partkey") * 1.0).alias("lon"), F.create_map(F.lit("place"), F.lit("hamlet")).alias("tags"), none("array<struct<lat: double, lon: double>>").alias("geometry"), none("array<bigint>").alias("nodes"))
+    at = [1_000_000_000 + F.col("p_partkey") * 3 + k for k in (0, 1, 2, 0)]
+    outline = F.struct(F.lit("way").alias("type"), F.col("p_partkey").alias("id"), none("double").alias("lat"), none("double").alias("lon"), F.create_map(F.lit("name"), F.col("p_name")).alias("tags"), none("array<struct<lat: double, lon: double>>").alias("geometry"), F.array(*at).alias("nodes"))
+    rows = fx.ways(spark, d).select(road.alias("e")).unionByName(corner.select(node.alias("e"))).unionByName(part.select(outline.alias("e")))
+    rows.select(F.to_json(F.struct(F.array("e").alias("elements")))).write.text(path)
+    elements = io.read_map_elements(spark, path)
+    lines = io.element_lines(elements).select(F.lit("road").alias("kind"), "id", F.size("points").alias("points"))
+    return lines.unionByName(io.settlements(elements).select("kind", "id", F.size("points").alias("points")))
+
+
+@query("S6_S7_tables", sql("SELECT village_id, name, level, tot_p FROM census", "census"))
+def _(spark, d):
+    path = _folder(spark, "census")
+    io.write_csv(fx.census(spark, d).select("village_id", "name", "level", "tot_p"), path)
+    return io.read_table(spark, path, "village_id bigint, name string, level string, tot_p bigint")
+
+
+@query("S9_S10_columns", sql("SELECT village_id, tot_p, NULL::BIGINT AS main_work_p FROM census", "census"))
+def _(spark, d):
+    rows = T.require_columns(fx.census(spark, d), ["village_id", "tot_p"])
+    return T.optional_columns(rows.select("village_id", "tot_p"), {"tot_p": "bigint", "main_work_p": "bigint"})
+
+
+@query("K2_X1_refreshed_layer", sql("SELECT row, col, CASE WHEN row < 8 AND col < 8 THEN coalesce(elev, 0) + 1 ELSE elev END AS elev FROM g_dem", "g_dem"))
+def _(spark, d):
+    path = _folder(spark, "tiles")
+    dem = fx.g_dem(spark, d)
+    io.write_cells(dem, path, 8)
+    io.refresh_cells(dem.where("row < 8 AND col < 8").withColumn("elev", F.coalesce("elev", F.lit(0.0)) + 1), path, 8)
+    return spark.read.parquet(path).select("row", "col", "elev")
+
+
+@query("K6_summary_document", sql("SELECT count(*) AS villages, sum(tot_p) AS population FROM census", "census"))
+def _(spark, d):
+    path = _folder(spark, "summary")
+    io.write_json(io.summary_json(fx.census(spark, d), {"villages": F.count("*"), "population": F.sum("tot_p")}), path)
+    return spark.read.json(path).select(F.from_json("value", "villages bigint, population bigint").alias("v")).select("v.*")

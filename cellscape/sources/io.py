@@ -82,10 +82,25 @@ def union_catalogues(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def read_layer(spark: SparkSession, path: str, value: str, nodata: float | None = None) -> DataFrame:
+    """A layer's cells (row, col, value as a double); NaN, infinite and NoData values are null."""
+    v = F.col(value).cast("double")
+    known = ~F.isnan(v) & (F.abs(v) < float("inf")) & ((v != nodata) if nodata is not None else F.lit(True))
+    return spark.read.parquet(path).select("row", "col", F.when(known, v).alias(value))
+
+
+def _tiled(cells: DataFrame, tile: int) -> DataFrame:
+    return cells.withColumn("tile", F.concat_ws("_", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))).repartition("tile")
+
+
 def write_cells(cells: DataFrame, path: str, tile: int = 1024) -> None:
     """K2: cells partitioned by tile."""
-    at = F.concat_ws("_", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
-    cells.withColumn("tile", at).repartition("tile").write.partitionBy("tile").parquet(path)
+    _tiled(cells, tile).write.partitionBy("tile").parquet(path)
+
+
+def refresh_cells(cells: DataFrame, path: str, tile: int = 1024) -> None:
+    """Replaces the tiles that cells (all cells of those tiles) belong to; other tiles stay as they are."""
+    _tiled(cells, tile).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(path)
 
 
 def long_summary(df: DataFrame, by: str, measures: list[str]) -> DataFrame:
