@@ -93,4 +93,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op8_warc_derivatives, op9_token_counts, op10_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+# Links by a self-join on shingles, components by spreading the smallest id along them.
+_OP3 = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+    SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)
+), comp(doc_id, root) USING KEY (doc_id) AS (
+    SELECT doc_id, doc_id FROM n
+    UNION SELECT b, min(root) FROM (SELECT l.b, c.root FROM comp c JOIN l ON l.a = c.doc_id JOIN recurring.comp k ON k.doc_id = l.b WHERE c.root < k.root) GROUP BY b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _OP3}
