@@ -18,6 +18,8 @@ COARSE = 64
 """Points that the first rounds leave open look at COARSE x COARSE boxes of right rows, of a set at most; a broadcast of that bound."""
 ROUNDS = 2
 GREEDY_PAIRS = 50_000
+BUCKET_ROWS = 10_000
+"""A bucket with more right rows is split into parts of about so many, each met by a copy of the left rows about it."""
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -34,6 +36,15 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("_o", F.explode(near)).withColumns({"_bx": _bucket("x", size) + F.col("_o.i"), "_by": _bucket("y", size) + F.col("_o.j")}).drop("_o")
 
 
+def _met(around: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The join on buckets, crowded ones split. The broadcast has a row for each BUCKET_ROWS right rows at most."""
+    crowded = placed.groupBy(*keys).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    right = placed.join(F.broadcast(crowded), keys, "left").withColumn("_s", F.pmod(F.xxhash64(*placed.columns), parts).cast("int")).drop("_parts")
+    left = around.join(F.broadcast(crowded), keys, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_s"])
+
+
 def _to_shape(shape: str, half: float) -> Column:
     """Distance of the point x, y from the right row: its point, its square cell about _x, _y, or its segment _x, _y to _x2, _y2."""
     x, y, x2, y2 = (F.col(c) for c in ("x", "y", "_x", "_y"))
@@ -75,7 +86,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, pa
             placed = right.withColumn("_bx", span("_x", "_x2")).withColumn("_by", span("_y", "_y2"))
         else:
             placed = right.withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})
-        settled = staged(best(_around(here, size).join(placed, [*on, "_bx", "_by"])).where(F.col("_best._d") <= size - margin), "nearest")
+        settled = staged(best(_met(_around(here, size), placed, [*on, "_bx", "_by"])).where(F.col("_best._d") <= size - margin), "nearest")
         found.append(settled)
         here = here.join(settled, keys, "left_anti")
         if not here.head(1):
@@ -133,9 +144,9 @@ def within_radius(left: DataFrame, right: DataFrame, left_key: str, radii: dict[
     conditions = {"": F.lit(True)} | (groups or {})
     names = {k: f"_g{i}" for i, k in enumerate(conditions)}
     marked = right.where(F.col("x").isNotNull()).select(F.col("x").alias("_x"), F.col("y").alias("_y"), *[c.alias(names[k]) for k, c in conditions.items()])
-    placed = marked.withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})
-    met = _around(left.where(F.col("x").isNotNull()).select(left_key, "x", "y"), size).join(placed, ["_bx", "_by"]).withColumn("_d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))).where(F.col("_d") <= size)
-    counts = [F.count_if((F.col("_d") <= r) & F.col(names[g])).alias(f"{n}{'_' + g if g else ''}") for n, r in radii.items() for g in conditions]
+    placed = marked.groupBy(*marked.columns).agg(F.count("*").alias("_n")).withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})  # points at one place are one row
+    met = _met(_around(left.where(F.col("x").isNotNull()).select(left_key, "x", "y"), size), placed, ["_bx", "_by"]).withColumn("_d", distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))).where(F.col("_d") <= size)
+    counts = [F.sum(F.when((F.col("_d") <= r) & F.col(names[g]), F.col("_n")).otherwise(0)).alias(f"{n}{'_' + g if g else ''}") for n, r in radii.items() for g in conditions]
     out = left.select(left_key).join(met.groupBy(left_key).agg(*counts), left_key, "left")
     return out.fillna(0)
 
@@ -224,7 +235,7 @@ def event_pairs(events: DataFrame, key: str, group: str, max_m: float, max_days:
     other = slim.select(*[F.col(c).alias(f"_{c}") for c in slim.columns]).withColumns({"_bx": _bucket("_x", max_m), "_by": _bucket("_y", max_m), group: F.col(f"_{group}")})
     close = distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= max_m
     when = F.when(F.col("date").isNotNull() & F.col("_date").isNotNull(), F.abs(F.datediff("date", "_date")) <= max_days).otherwise(F.col("year") == F.col("_year"))
-    met = _around(slim, max_m).join(other, [group, "_bx", "_by"]).where((F.col(f"_{key}") < F.col(key)) & close & when)
+    met = _met(_around(slim, max_m), other, [group, "_bx", "_by"]).where((F.col(f"_{key}") < F.col(key)) & close & when)
     return met.select(F.col(f"_{key}").alias("i"), F.col(key).alias("j"))
 
 

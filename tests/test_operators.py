@@ -148,6 +148,16 @@ def test_nearest_of_shapes_near_and_far(spark, shape):
     assert {r.l: (r.r, pytest.approx(r.distance_m)) for r in got.collect()} == {i: (r, d) for i, (d, r) in want.items()}
 
 
+def test_crowded_buckets_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    left = [(i, rng.uniform(0, 1500), rng.uniform(0, 1500)) for i in range(40)]
+    right = [(i, rng.uniform(0, 1500), rng.uniform(0, 1500)) for i in range(300)]
+    dl, dr = spark.createDataFrame(left, "l long, x double, y double"), spark.createDataFrame(right, "r long, x double, y double")
+    monkeypatch.setattr(spatial, "BUCKET_ROWS", 7)
+    near = {r.l: (r.r, r.n) for r in spatial.nearest(dl, dr, "l", "r").join(spatial.within_radius(dl, dr, "l", {"n": 400.0}), "l").collect()}
+    assert near == {i: (min((math.dist((x, y), q[1:]), q[0]) for q in right)[1], sum(math.dist((x, y), q[1:]) <= 400 for q in right)) for i, x, y in left}
+
+
 def test_rings_touch_and_have_holes(spark):
     cells = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(3, 3)]
     zone = spark.createDataFrame([(7, r, c) for r, c in cells], "zone long, row long, col long")
