@@ -84,7 +84,8 @@ def units(docs: DataFrame) -> DataFrame:
     # a piece that starts inside a line has the number of the next line first
     sentences = F.transform(wrapped, lambda x: F.struct((number(x, 2) - F.when(x.startswith("\x01"), 0).otherwise(1)).alias("paragraph"), number(x, -2).alias("last"), F.regexp_replace(x, r"\n?\x01\d+\x01", " ").alias("text")))
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("paragraph"), i.alias("last"), line.alias("text")))
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(F.concat(lines, sentences)))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # before the rows are taken apart
+    return numbered.select("doc_id", "row", F.inline(F.concat(lines, sentences)))
 
 
 def background(docs: DataFrame, rows: int = BACKGROUND_ROWS) -> DataFrame:

@@ -37,3 +37,13 @@ def test_frequent_notices_of_every_family(spark, width):
     got = [(r.doc_id, r.paragraph, r.family) for r in scan(docs, train(docs)).collect()]
     assert {(d, f) for d, _, f in got if f != "unknown"} == wanted and {d for d, _, _ in got} == {d for d, _ in wanted}
     assert all(3 <= p <= 6 for _, p, _ in got)
+
+
+def test_odd_rows(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, notice, 0, "x"), (1, notice, 0, "x"), (None, notice, 0, "x"), (2, None, 0, "x"), (3, "", 0, "x"), (4, "\n\n\x01\x02", 0, "x"), (5, "plain words only\n" * 20_000 + notice, 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, paragraph int, family string")
+    scanner = train(docs)
+    got = sorted((r.doc_id or 0, r.paragraph, r.family) for r in scan(docs, scanner).collect())
+    assert got == [(0, 0, "apache-2.0"), (1, 0, "apache-2.0"), (1, 0, "apache-2.0"), (5, 20_000, "apache-2.0")]
+    assert scan(docs.limit(0), scanner).count() == 0

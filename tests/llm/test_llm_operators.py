@@ -176,6 +176,8 @@ def test_language_and_tokens(spark):
     labelled = docs(spark, rows).withColumnRenamed("source", "lang")
     got = {r.doc_id: r.lang_pred for r in identify(labelled, train(labelled)).collect()}
     assert got[0] == "en" and got[1] == "de" and got[10] == "und" and got[11] == "und"
+    odd = spark.createDataFrame([(None, "the cat", "x", 1.0), (1, "the cat " * 200_000, "x", 1.0), (1, "the cat", "x", 1.0)], "doc_id long, text string, lang_pred string, score double")
+    assert {(r.doc_id, r.lang_pred) for r in identify(odd, train(labelled)).collect()} == {(None, "en"), (1, "en")} and identify(odd, train(labelled)).count() == 3
     public = pytest.importorskip("public_tokenizers")
     counted = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(docs(spark, rows), public.path("piece_bpe_32k.model")).collect()}
     assert counted[10] == (0, 0) and counted[0][0] == 19
