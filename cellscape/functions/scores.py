@@ -52,7 +52,7 @@ HORIZONS = {
         "DECISION SUPPORT ONLY — Beyond proximity does not certify safety.",
     ],
 }
-UNKNOWN_HORIZON = ["UNKNOWN", "Unknown", "N/A", "Horizon not configurable — priority tier not recognized.", "Tier '{}' not found in relocation_horizons config.", "Configuration error — check priority_thresholds.yaml.", "DECISION SUPPORT ONLY."]
+UNKNOWN_HORIZON = ["UNKNOWN", "Unknown", "N/A", "Horizon not configurable — priority tier not recognized.", "Tier '{}' not found among the horizons.", "Configuration error — check the tier.", "DECISION SUPPORT ONLY."]
 
 
 def linear_score(value: Column, low: float, high: float) -> Column:

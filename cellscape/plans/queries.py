@@ -430,21 +430,38 @@ def _(spark, d):
 # Incidents
 
 
-@query("J17_dedup_invariant")
+_DEDUP = (
+    "pr AS (SELECT a.event_id AS i, b.event_id AS j FROM incident a JOIN incident b ON a.hazard_type = b.hazard_type AND a.event_id < b.event_id AND abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500 "
+    "WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 500 AND CASE WHEN a.date IS NOT NULL AND b.date IS NOT NULL THEN abs(date_diff('day', a.date, b.date)) <= 3 ELSE a.year = b.year END), "
+    "need AS (SELECT j, count(*) AS n FROM pr GROUP BY j), "
+    "st(id, leader) USING KEY (id) AS (SELECT event_id, event_id FROM incident WHERE event_id NOT IN (SELECT j FROM pr) "
+    "UNION SELECT j, coalesce(lead, j) FROM (SELECT p.j, count(*) AS c, min(p.i) FILTER (WHERE s.leader = p.i) AS lead FROM (SELECT DISTINCT q.j FROM st JOIN pr q ON q.i = st.id) w JOIN pr p ON p.j = w.j JOIN recurring.st s ON s.id = p.i GROUP BY p.j) JOIN need USING (j) LEFT JOIN recurring.st t ON t.id = j WHERE c = n AND t.id IS NULL)"
+)
+
+
+@query("J17_dedup_invariant", sql("SELECT id AS event_id, leader FROM st", "incident", last=_DEDUP))
 def _(spark, d):
     return spatial.dedup_events(fx.incident(spark, d), "event_id", "hazard_type")
 
 
-@query("A23_dedup_summary")
+@query("A23_dedup_summary", sql("SELECT (SELECT count(*) FROM incident) AS raw, count(*) FILTER (WHERE leader = id) AS canonical, count(*) FILTER (WHERE leader <> id) AS merged, count(DISTINCT leader) FILTER (WHERE leader <> id) AS leaders_with_duplicates FROM st", "incident", last=_DEDUP))
 def _(spark, d):
     events = fx.incident(spark, d)
     merged = spatial.merged_events(events, spatial.dedup_events(events, "event_id", "hazard_type"), "event_id")
     return summaries.dedup_summary(events, merged)
 
 
-@query("K3_provenance")
+@query("C9_inventory", sql("SELECT i.event_id, g.fatalities, g.provider, g.duplicate_count FROM incident i JOIN (SELECT leader, coalesce(greatest(max(CASE WHEN id = leader THEN coalesce(fatalities, 0) END), max(fatalities) FILTER (WHERE id <> leader)), 0) AS fatalities, string_agg(DISTINCT provider, ' + ' ORDER BY provider) AS provider, count(*) - 1 AS duplicate_count FROM st JOIN incident ON event_id = id GROUP BY leader) g ON g.leader = i.event_id", "incident", last=_DEDUP))
+def _(spark, d):
+    return P.inventory(spark, d).select("event_id", "fatalities", "provider", "duplicate_count")
+
+
+_GONE = "SELECT g.leader, string_agg(e.provider, ', ' ORDER BY e.event_id) AS names, round_even(arg_min(sqrt((e.x - l.x) * (e.x - l.x) + (e.y - l.y) * (e.y - l.y)), e.event_id), 1) AS m FROM st g JOIN incident e ON e.event_id = g.id JOIN incident l ON l.event_id = g.leader WHERE g.id <> g.leader GROUP BY g.leader"
+
+
+@query("K3_provenance", sql(f"SELECT printf('DIS-%d-%03d', i.year, row_number() OVER (PARTITION BY i.year ORDER BY i.date NULLS FIRST, i.event_id)) AS canonical_incident_id, i.year AS event_year, CASE WHEN d.leader IS NULL THEN 'UNIQUE_RECORD' ELSE 'MERGED_CROSS_SOURCE_DUPLICATE' END AS deduplication_status, coalesce(d.m, 0) AS spatial_offset_to_duplicate_m, coalesce(d.names, 'NONE (Unique Record)') AS merged_duplicate_source_info FROM incident i JOIN st s ON s.id = i.event_id AND s.leader = s.id LEFT JOIN ({_GONE}) d ON d.leader = i.event_id", "incident", last=_DEDUP))
 def _(spark, d):
-    return io.provenance(P.inventory(spark, d))
+    return io.provenance(P.inventory(spark, d)).select("canonical_incident_id", "event_year", "deduplication_status", "spatial_offset_to_duplicate_m", "merged_duplicate_source_info")
 
 
 _INCIDENT_JOIN = "SELECT v.village_id, arg_min(i.event_id, {'d': (v.x - i.x) * (v.x - i.x) + (v.y - i.y) * (v.y - i.y), 'i': i.event_id}) AS nearest_incident, round_even(sqrt(min((v.x - i.x) * (v.x - i.x) + (v.y - i.y) * (v.y - i.y))), 1) AS nearest_incident_m, count(*) FILTER (WHERE d <= 1000) AS n_1km, count(*) FILTER (WHERE d <= 2000) AS n_2km, count(*) FILTER (WHERE d <= 2000 AND hazard_type IN ('CLICK', 'VIEW')) AS n_2km_mass, count(*) FILTER (WHERE d <= 2000 AND hazard_type = 'PURCHASE') AS n_2km_flood FROM village v CROSS JOIN incident i CROSS JOIN LATERAL (SELECT sqrt((v.x - i.x) * (v.x - i.x) + (v.y - i.y) * (v.y - i.y)) AS d) GROUP BY v.village_id"
