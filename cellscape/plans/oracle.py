@@ -102,8 +102,10 @@ FIXTURES["kinds"] = FIXTURES["kinds"].replace("{kinds}", case_of_rules())
 
 
 def reach(name: str, cells: str) -> str:
-    """A recursive table (id, root) of cells: the smallest id that each reaches over eight neighbours."""
-    return f"{name}(id, root) USING KEY (id) AS (SELECT id, id AS root FROM {cells} UNION SELECT id, min(root) FROM (SELECT n.id, r.root FROM {name} r JOIN {cells} c ON c.id = r.id JOIN {cells} n ON n.row BETWEEN c.row - 1 AND c.row + 1 AND n.col BETWEEN c.col - 1 AND c.col + 1 JOIN recurring.{name} k ON k.id = n.id WHERE r.root < k.root) GROUP BY id)"
+    """A recursive table (id, root) of cells: the smallest id that each reaches over eight neighbours (of name_adj)."""
+    near = ", ".join(f"({r}, {c})" for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c)
+    adj = f"{name}_adj AS MATERIALIZED (SELECT c.id AS a, n.id AS b FROM {cells} c CROSS JOIN (VALUES {near}) o(dr, dc) JOIN {cells} n ON n.row = c.row + o.dr AND n.col = c.col + o.dc)"
+    return f"{adj}, {name}(id, root) USING KEY (id) AS (SELECT id, id AS root FROM {cells} UNION SELECT b, min(root) FROM (SELECT e.b, r.root FROM {name} r JOIN {name}_adj e ON e.a = r.id JOIN recurring.{name} k ON k.id = e.b WHERE r.root < k.root) GROUP BY b)"
 
 
 RECURSIVE = {"reach": reach("reach", "cellid"), "area_reach": reach("area_reach", "openid")}
