@@ -91,6 +91,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of 2 to 4 words of every language."""
+    from cellscape.llm.phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps, faults and cheapest repair of every conversation after its damage."""
     from cellscape.llm.conversation_repair import damaged_and_repaired
@@ -98,7 +105,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op8_warc_derivatives, op9_token_counts, op10_decontamination, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op8_warc_derivatives, op9_token_counts, op10_decontamination, op11_phrases, op13_conversation_repair)}
 
 # Links by a self-join on shingles, components by spreading the smallest id along them.
 _OP3 = """
@@ -119,4 +126,31 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp c USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _OP3}
+# All phrases of 1 to 4 words counted, every candidate scored at each cut, then dropped by what holds it.
+_OP11 = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces
+), f AS (
+    SELECT lang, array_to_string(g, ' ') AS phrase, len(g) AS m, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k) GROUP BY ALL
+), n AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+    SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS g FROM f WHERE m >= 2 AND f >= 30
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f)::HUGEINT)::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(g[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(g[k + 1:m], ' ')
+), s AS (
+    SELECT lang, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL
+), parts AS (
+    SELECT lang, array_to_string(g[i:j], ' ') AS phrase, max(a) AS a FROM (SELECT lang, g, m, a, i, unnest(range(i + 1, m + 1)) AS j FROM (SELECT *, unnest(range(1, m)) AS i FROM c)) WHERE j - i + 1 < m GROUP BY ALL
+), ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, encode(s.phrase)) AS rank
+    FROM s LEFT JOIN parts p ON p.lang = s.lang AND p.phrase = s.phrase WHERE p.a IS NULL OR 100 * p.a < 80 * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _OP3, "op11_phrases": _OP11}
