@@ -39,7 +39,7 @@ LEAST, TOP, COVERED = 30, 2_000, 80
 """A candidate's least count, phrases a language, and the percentage of a candidate's count at which a longer one drops it."""
 MAP_BITS = 26
 """A bit map's size as a power of two: 8 MB."""
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, BATCH_ROWS = 4 << 20, 1 << 16
 FIRST, FALL, BUCKET = 2, 8, 1_000
 """The first floor leaves about FIRST times `top` pairs above it, each next one FALL times more; scores are counted in buckets."""
 ROUNDS = 30
@@ -193,8 +193,8 @@ def _added_up(docs: DataFrame, count, *maps: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            if len(chunk.word):
-                yield from count(chunk, *[s.value for s in shared])
+            for found in count(chunk, *[s.value for s in shared]) if len(chunk.word) else ():
+                yield from (found.slice(i, BATCH_ROWS) for i in range(0, found.num_rows, BATCH_ROWS))
 
     return arrow_map(docs.select(F.col("lang").cast("string").alias("lang"), "text"), run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 

@@ -141,7 +141,7 @@ WITH pieces AS (
     SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS g FROM f WHERE m >= 2 AND f >= 30
 ), cuts AS (
     SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f)::HUGEINT)::BIGINT AS score
-    FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(g[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(g[k + 1:m], ' ')
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[k + 1:c.m], ' ')
 ), s AS (
     SELECT lang, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL
 ), parts AS (
