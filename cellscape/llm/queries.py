@@ -98,6 +98,14 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, packed into sequences of 4,096 ids."""
+    import public_tokenizers
+    from cellscape.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps, faults and cheapest repair of every conversation after its damage."""
     from cellscape.llm.conversation_repair import damaged_and_repaired
@@ -105,7 +113,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op8_warc_derivatives, op9_token_counts, op10_decontamination, op11_phrases, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_jaccard_join, op4_nearest, op5_license_scan, op6_mixing, op7_line_dedup, op8_warc_derivatives, op9_token_counts, op10_decontamination, op11_phrases, op12_packing, op13_conversation_repair)}
 
 # Links by a self-join on shingles, components by spreading the smallest id along them.
 _OP3 = """
