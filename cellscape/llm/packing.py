@@ -29,8 +29,8 @@ from cellscape.llm.textarrays import slices
 from cellscape.operators.ranking import row_numbers
 
 LIMIT, END_ID, LEAST_CUT = 4096, 2, 64
-MEMO_WORDS, MEMO_IDS = 1 << 18, 1 << 21
-"""A worker keeps the ids of so many words at most, and forgets all of them beyond it."""
+MEMO_WORDS, SLICE_BYTES = 1 << 20, 2 << 20
+"""A worker that knows the ids of more words forgets the less used half of them."""
 # Fixed value: the pattern whose matches are encoded by themselves. None crosses white space, which is dropped.
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -47,6 +47,7 @@ class Encoder:
     at: dict[bytes, int] = field(default_factory=dict)
     pool: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint32))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    uses: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     def __post_init__(self):
         from tokenizers import Tokenizer
@@ -59,24 +60,41 @@ class Encoder:
         if not self.by_word:
             found = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate([*found, np.zeros(0, dtype=np.uint32)]), np.cumsum([0, *map(len, found)])
-        split = [t.encode().split() for t in texts]
+        raw = [t.encode() for t in texts]  # case is only kept where a special token, which has its own, may be meant
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
         words = [w for own in split for w in own]
         self._learn(set(words))
         code = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        self.uses += np.bincount(code, minlength=len(self.uses))
         sizes = self.first[code + 1] - self.first[code]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.pool[np.repeat(self.first[code] - total[:-1], sizes) + np.arange(total[-1])]
         return ids, total[np.cumsum([0, *map(len, split)])]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.at) > MEMO_WORDS or len(self.pool) > MEMO_IDS:
-            self.at, self.pool, self.first = {}, self.pool[:0], self.first[:1]
+        """Ids of words that aren't known yet: all at once as one text, told apart by their places in it."""
+        if len(self.at) > MEMO_WORDS:
+            self._forget()
         new = sorted(words - self.at.keys())
-        if new:
-            found = [e.ids for e in self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.pool = np.concatenate([self.pool, np.array([i for ids in found for i in ids], dtype=np.uint32)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(ids) for ids in found])])
+        if not new:
+            return
+        spelled = [w.decode() for w in new]
+        found = self.library.encode(" ".join(spelled), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in spelled])
+        own = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found)), side="right")
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.pool = np.concatenate([self.pool, np.array(found.ids, dtype=np.uint32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(own, minlength=len(new)))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the more used half of the words."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+        words, sizes = list(self.at), np.diff(self.first)[kept]
+        self.at = {words[i]: k for k, i in enumerate(kept.tolist())}
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        self.pool = self.pool[np.repeat(self.first[kept] - first[:-1], sizes) + np.arange(first[-1])]
+        self.first, self.uses = first, self.uses[kept]
 
 
 def drops_space(spec: dict) -> bool:
@@ -209,7 +227,7 @@ def token_ids(docs: DataFrame, model: bytes, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, bounds = encode([t or "" for t in part.column("text").to_pylist()])
                 raw = [np.append(ids[a:b], end_id).astype(wide).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_row"), pa.array(np.diff(bounds) + 1, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "_row", "doc_tokens", "ids"])
