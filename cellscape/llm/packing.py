@@ -35,6 +35,17 @@ MEMO_WORDS, SLICE_BYTES = 1 << 20, 2 << 20
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder(model: bytes) -> Encoder:
+    """The encoder of a model file's bytes, made once a worker: what it knows of words serves its next tasks too."""
+    if model not in _encoders:
+        _encoders.clear()
+        _encoders[model] = Encoder(model)
+    return _encoders[model]
+
+
 @dataclass
 class Encoder:
     """Ids of texts by a tokenizer file's bytes.
@@ -225,7 +236,7 @@ def token_ids(docs: DataFrame, model: bytes, end_id: int = END_ID) -> DataFrame:
     wide = _wide(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        encode = encoder(shared.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 ids, bounds = encode([t or "" for t in part.column("text").to_pylist()])
