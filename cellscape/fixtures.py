@@ -22,6 +22,17 @@ def g_valley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey div 100 as int) AS row", "cast(o_orderkey % 100 as int) AS col", "o_totalprice / 100000 + 0.5 * abs(o_orderkey % 100 - 50) + 0.2 * (o_orderkey div 100) AS elev")
 
 
+def g_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valley with missing cells, on a grid of degrees (GEO)."""
+    return read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey div 100 as int) AS row", "cast(o_orderkey % 100 as int) AS col", "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice / 100000 + 0.5 * abs(o_orderkey % 100 - 50) + 0.2 * (o_orderkey div 100) END AS elev")
+
+
+GEO = (79.0, 30.5, 0.0003, 0.00027)
+"""Top left corner and steps of the grid of degrees."""
+GROUND = (307950.0, 3375900.0, CELL, CELL)
+"""Those of the grid of metres over it, of the same size."""
+
+
 def g_lulc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land cover codes."""
     return read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey div 100 as int) AS row", "cast(o_orderkey % 100 as int) AS col", "CAST(element_at(array(10, 20, 30, 40, 50, 70, 80), cast(o_orderkey % 7 + 1 as int)) AS int) AS code", "o_orderkey % 5 = 0 AS protected", "o_orderkey % 97 <> 0 AS valid")

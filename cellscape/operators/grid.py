@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cellscape.components import components, staged
+from cellscape.components import staged
 from cellscape.operators.ranking import row_numbers
+from cellscape.operators.tiles import zones as zones
 
 SQRT2 = 2.0**0.5
 # Neighbour order and codes, E to NE clockwise.
@@ -77,14 +78,16 @@ def flow_direction(cells: DataFrame, value: str = "elev", cell: float = 30.0) ->
 
 
 def flow_accumulation(pointers: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, acc) from (id, to): the number of ids upstream, itself included. Pointer doubling: each round doubles the length of
+    """(id, acc) from (id, to): the number of ids upstream, itself included, or the sum of their weights `acc` if there are any; for
+    pointers of any kind (tiles.flow_accumulation is for cells that flow to their neighbours). Pointer doubling: each round doubles the length of
     the paths it has followed, so rounds grow with the logarithm of the longest path. Pointers must not form cycles; too many
     rounds are an error. A pointer that reached an outlet is done after one more sum, so outlets are never a key of the jump's join.
     """
+    pointers = pointers.select("id", "to", (F.col("acc") if "acc" in pointers.columns else F.lit(1)).cast("long").alias("acc"))
     outlets = pointers.where(F.col("to").isNull()).select(F.col("id").alias("to"), F.lit(True).alias("last"))
-    ready = pointers.where(F.col("to").isNotNull()).join(outlets, "to", "left").select("id", "to", F.coalesce("last", F.lit(False)).alias("last"))
-    ready = ready.unionByName(pointers.where(F.col("to").isNull()).select("id", "to", F.lit(True).alias("last")))
-    now = staged(ready.withColumn("acc", F.lit(1).cast("long")), "flow")
+    ready = pointers.where(F.col("to").isNotNull()).join(outlets, "to", "left").select("id", "to", "acc", F.coalesce("last", F.lit(False)).alias("last"))
+    ready = ready.unionByName(pointers.where(F.col("to").isNull()).select("id", "to", "acc", F.lit(True).alias("last")))
+    now = staged(ready, "flow")
     for _ in range(max_rounds):
         open_ = F.col("to").isNotNull()
         if not now.where(open_).head(1):
@@ -103,23 +106,6 @@ def wetness(acc: Column, slope_deg: Column, cell: float = 30.0) -> Column:
     return F.log(acc * cell / F.greatest(F.tan(F.radians(F.greatest(slope_deg, F.lit(0.1)))), F.lit(1e-4)))
 
 
-def zones(mask: DataFrame, connectivity: int = 8, keep: list[str] | None = None) -> DataFrame:
-    """(row, col, zone, keep) of the cells of mask (row, col): connected components, named by their smallest cell in raster order.
-
-    Cells of a row are merged to runs first, so the edge table has an entry a pair of touching runs, not of cells.
-    """
-    keep = keep or []
-    cells = mask.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *keep)
-    start = F.when(F.col("col") - F.lag("col").over(W.partitionBy("row").orderBy("col")) == 1, None).otherwise(F.col("col"))
-    runs = staged(cells.withColumn("_s", start).withColumn("_s", F.last("_s", ignorenulls=True).over(W.partitionBy("row").orderBy("col").rowsBetween(W.unboundedPreceding, 0))).select("row", "col", *keep, (F.col("row") * (1 << 31) + F.col("_s")).alias("run")), "runs")
-    shifts = [-1, 0, 1] if connectivity == 8 else [0]
-    below = runs.select((F.col("row") - 1).alias("row"), F.explode(F.array(*[F.col("col") + d for d in shifts])).alias("col"), F.col("run").alias("b"))
-    edges = runs.join(below, ["row", "col"]).select(F.col("run").alias("a"), "b").distinct()
-    found = components(edges).withColumnRenamed("node", "run")
-    named = runs.join(found, "run", "left").withColumn("root", F.coalesce("component", "run"))
-    return named.select("row", "col", F.col("root").alias("zone"), *keep)
-
-
 def zone_summary(cells: DataFrame, cell_area: float, stats: dict[str, str], digits: int = 6) -> DataFrame:
     """Size, area, bounds, centroid and mean, max and min of layers by zone; stats maps layer to prefix."""
     aggs = [F.count("*").alias("pixel_count"), (F.count("*") * cell_area).alias("area_m2"), *[f(c).alias(f"{n}_{c}") for c in ("row", "col") for f, n in ((F.min, "min"), (F.max, "max"))], F.avg("row").alias("mean_row"), F.avg("col").alias("mean_col")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from cellscape import fixtures as fx
+from cellscape.functions import scores as S
+
 KINDS = "['trunk', 'primary', 'secondary', 'residential', 'track', 'footway', 'construction']"
 SPEED = "CASE highway WHEN 'trunk' THEN 35.0 WHEN 'primary' THEN 30.0 WHEN 'secondary' THEN 25.0 WHEN 'residential' THEN 15.0 WHEN 'track' THEN 10.0 WHEN 'footway' THEN 3.5 ELSE 15.0 END::DOUBLE"
 VEHICULAR = "'trunk', 'primary', 'secondary', 'residential', 'track'"
@@ -26,9 +29,26 @@ def paths(net: str, starts: str, weights: tuple[str, ...] = ("length_m", "minute
     return f"steps AS ({both}), paths(set, weight, node, dist) USING KEY (set, weight, node) AS ({begin} UNION SELECT set, weight, b, min(d) FROM (SELECT p.set, p.weight, s.b, p.dist + s.w AS d FROM paths p JOIN steps s ON s.a = p.node AND s.weight = p.weight LEFT JOIN recurring.paths k ON k.set = p.set AND k.weight = p.weight AND k.node = s.b WHERE k.dist IS NULL OR p.dist + s.w < k.dist) GROUP BY set, weight, b)"
 
 
+def warped(source: str, value: str, weigh: bool = True) -> str:
+    """Cells of a grid of degrees (fixtures.GEO) on the grid of metres (fixtures.GROUND) of the same size, by the inverse series."""
+    k, (lon, lat, dx, dy), (x0, y0, cx, cy) = S._K0 * S._RADIUS, fx.GEO, fx.GROUND
+    wave = lambda f, g, terms: " + ".join(f"{c!r}::DOUBLE * {f}({2 * (i + 1)} * xi) * {g}({2 * (i + 1)} * eta)" for i, c in enumerate(terms))
+    back = " + ".join(f"{c!r}::DOUBLE * sin({2 * (i + 1)} * chi)" for i, c in enumerate(S._DELTA))
+    grid = f"SELECT r AS row, c AS col, ({y0!r}::DOUBLE - (r + 0.5::DOUBLE) * {cy!r}::DOUBLE) / {k!r}::DOUBLE AS xi, ({x0!r}::DOUBLE + (c + 0.5::DOUBLE) * {cx!r}::DOUBLE - {S._FE!r}::DOUBLE) / {k!r}::DOUBLE AS eta FROM (SELECT unnest(range(0, (SELECT max(row) + 1 FROM {source}))) AS r), (SELECT unnest(range(0, {fx.GRID_COLS})) AS c)"
+    turned = f"SELECT row, col, xi - ({wave('sin', 'cosh', S._BETA)}) AS xp, eta - ({wave('cos', 'sinh', S._BETA)}) AS ep FROM ({grid})"
+    sphere = f"SELECT row, col, xp, ep, asin(sin(xp) / cosh(ep)) AS chi FROM ({turned})"
+    place = f"SELECT row, col, ({lat!r}::DOUBLE - degrees(chi + {back})) / {dy!r}::DOUBLE - 0.5 AS y, ({S._LON0!r}::DOUBLE + degrees(atan2(sinh(ep), cos(xp))) - {lon!r}::DOUBLE) / {dx!r}::DOUBLE - 0.5 AS x FROM ({sphere})"
+    if not weigh:
+        return f"SELECT t.row, t.col, g.{value} FROM ({place}) t LEFT JOIN {source} g ON g.row = floor(t.y + 0.5) AND g.col = floor(t.x + 0.5)"
+    around = f"SELECT t.row, t.col, (1 - abs(t.y - (floor(t.y) + k.i))) * (1 - abs(t.x - (floor(t.x) + k.j))) AS w, g.{value} AS v FROM ({place}) t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) LEFT JOIN {source} g ON g.row = floor(t.y) + k.i AND g.col = floor(t.x) + k.j"
+    return f"SELECT row, col, sum(w * v) / nullif(sum(w) FILTER (WHERE v IS NOT NULL), 0) AS {value} FROM ({around}) GROUP BY row, col"
+
+
 FIXTURES: dict[str, str] = {
     "g_dem": "SELECT CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice / 10000 END AS elev FROM orders",
     "g_valley": "SELECT CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col, o_totalprice / 100000 + 0.5::DOUBLE * abs(o_orderkey % 100 - 50) + 0.2::DOUBLE * (o_orderkey // 100) AS elev FROM orders",
+    "g_geo": "SELECT CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice / 100000 + 0.5::DOUBLE * abs(o_orderkey % 100 - 50) + 0.2::DOUBLE * (o_orderkey // 100) END AS elev FROM orders",
+    "ground": warped("g_geo", "elev"),
     "g_lulc": "SELECT CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col, CAST([10, 20, 30, 40, 50, 70, 80][o_orderkey % 7 + 1] AS INT) AS code, o_orderkey % 5 = 0 AS protected, o_orderkey % 97 <> 0 AS valid FROM orders",
     "scores": "SELECT CAST(o_orderkey // 100 AS INT) AS row, CAST(o_orderkey % 100 AS INT) AS col, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE (o_orderkey * 7919 % 1001) / 1000.0::DOUBLE END AS terrain, CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE (o_orderkey * 104729 % 1001) / 1000.0::DOUBLE END AS flood FROM orders",
     "census0": "SELECT c_custkey AS village_id, c_name AS name, c_nationkey AS subdist, CASE c_custkey % 10 WHEN 0 THEN 'TOWN' ELSE 'VILLAGE' END AS level, CAST(CASE c_custkey % 41 WHEN 0 THEN 0 ELSE 100 + floor(abs(c_acctbal)) END AS BIGINT) AS tot_p FROM customer",
@@ -110,6 +130,7 @@ def reach(name: str, cells: str) -> str:
 
 RECURSIVE = {"reach": reach("reach", "cellid"), "area_reach": reach("area_reach", "openid")}
 _NEEDS = {
+    "ground": ["g_geo"],
     "census": ["census0"], "grad": ["g_dem"], "slope": ["grad"], "overlay": ["scores"], "flow": ["g_valley", "neighbours"], "ptr": ["flow", "neighbours"], "mask": ["overlay"], "cellid": ["mask"], "reach": ["cellid"], "zone_cells": ["cellid", "reach"],
     "zone_stats": ["zone_cells"], "kept_zone": ["zone_stats"], "kept_cells": ["zone_cells", "kept_zone"], "village": ["census", "centroid"], "sampled": ["village", "overlay"], "facility_near": ["village", "facility"], "zone_near": ["village", "kept_cells"],
     "exposure": ["village", "kept_cells", "zone_near"], "rates": ["census"], "profile": ["exposure", "sampled", "rates"], "stack": ["overlay", "slope", "g_lulc", "kept_cells"], "screen": ["stack"], "openid": ["screen"], "area_reach": ["openid"],
@@ -133,3 +154,11 @@ def sql(body: str, *names: str, last: str = "") -> str:
     parts = [RECURSIVE[n] if n in RECURSIVE else f"{n} AS ({FIXTURES[n]})" for n in order] + ([last] if last else [])
     recurs = last or any(n in RECURSIVE for n in order)
     return f"WITH {'RECURSIVE ' if recurs else ''}{', '.join(parts)} {body}" if parts else body
+
+
+def on_ground(body: str, *names: str, last: str = "") -> str:
+    """sql, with the warped terrain in place of both elevation fixtures."""
+    text = sql(body, "ground", *names, last=last)
+    for fixture in ("g_dem", "g_valley"):
+        text = text.replace(f"FROM {fixture}", "FROM ground").replace(f"JOIN {fixture}", "JOIN ground")
+    return text

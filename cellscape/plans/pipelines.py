@@ -9,27 +9,54 @@ from cellscape import fixtures as fx
 from cellscape.components import staged
 from cellscape.functions import scores as S
 from cellscape.operators import facilities as facility_ops
-from cellscape.operators import grid, roads, spatial, summaries, views
+from cellscape.operators import grid, roads, spatial, summaries, tiles, views
 from cellscape.operators import tables as T
+from cellscape.operators.georef import GEOGRAPHIC, METRIC, Grid, Layer, co_registered, warp
 
 CELL, CELL_M2 = fx.CELL, fx.CELL * fx.CELL
 ZONE_M2, AREA_M2, SLOPE_MAX = 5_000.0, 2_700.0, 20.0
+STEEP = 0.22
+"""The terrain of the fixtures is gentle: its zones begin at a lower score."""
 
 
 def overlay(spark: SparkSession, d: str) -> DataFrame:
     return T.weighted_overlay(fx.scores(spark, d), {"terrain": ("ct", 0.6), "flood": ("cf", 0.4)})
 
 
+def elevation(spark: SparkSession, d: str) -> Layer:
+    """The elevation as it comes: cells on a grid of degrees."""
+    cells = fx.g_geo(spark, d)
+    rows = cells.agg(F.max("row")).first()[0]
+    x0, y0, dx, dy = fx.GEO
+    return Layer(cells, Grid(x0, y0, dx, dy, 0 if rows is None else rows + 1, fx.GRID_COLS, GEOGRAPHIC))
+
+
+def terrain(spark: SparkSession, d: str) -> Layer:
+    """The elevation on the grid of metres."""
+    given = elevation(spark, d)
+    x0, y0, dx, dy = fx.GROUND
+    made = warp(given, Grid(x0, y0, dx, dy, given.grid.rows, given.grid.cols, METRIC), "elev")
+    return Layer(staged(made.cells, "terrain"), made.grid)
+
+
 def hazard_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Elevation to slope, flow, wetness, scores, overlay and class."""
-    sloped = grid.slope(fx.g_dem(spark, d)).select("row", "col", "slope")
-    flow = grid.flow_direction(fx.g_valley(spark, d))
-    cell_id = lambda r, c: (F.col(r) * fx.GRID_COLS + F.col(c)).cast("long")
-    acc = grid.flow_accumulation(flow.select(cell_id("row", "col").alias("id"), cell_id("to_row", "to_col").alias("to")))
-    wet = sloped.withColumn("id", cell_id("row", "col")).join(acc, "id").withColumn("twi", F.when(F.col("slope").isNotNull(), grid.wetness(F.col("acc").cast("double"), F.col("slope"))))
+    """Elevation in degrees to a metric terrain, and from that one slope, flow, wetness, scores, overlay and class."""
+    ground = terrain(spark, d)
+    sloped = Layer(grid.slope(ground.cells).select("row", "col", "slope"), ground.grid)
+    flow = Layer(tiles.flow_accumulation(grid.flow_direction(ground.cells)), ground.grid)
+    wet = co_registered({"slope": sloped, "acc": flow}, {"slope": "slope", "acc": "acc"}).cells
+    wet = wet.withColumn("twi", F.when(F.col("slope").isNotNull(), grid.wetness(F.col("acc").cast("double"), F.col("slope"))))
     scored = wet.withColumns({"terrain": S.linear_score(F.col("slope"), 0.0, 60.0), "flood": S.linear_score(F.col("twi"), 3.5, 13.5)})
     both = T.weighted_overlay(scored, {"terrain": ("ct", 0.6), "flood": ("cf", 0.4)})
-    return both.withColumn("hazard_class", S.classify(F.col("score"))).select("row", "col", "slope", "acc", "twi", "terrain", "flood", "score", "hazard_class")
+    return both.withColumn("hazard_class", S.classify(F.col("score"))).select("row", "col", "slope", "acc", "twi", "terrain", "flood", "ct", "cf", "score", "hazard_class")
+
+
+def zones_from_elevation(spark: SparkSession, d: str, least: float = 0.65) -> tuple[DataFrame, DataFrame]:
+    """C1 and C2 in one: ranked zones of the terrain's cells that score `least` or more, and their cells with the zone's rank."""
+    cells = hazard_classes(spark, d).where(F.col("score") >= least).select("row", "col", "score", "ct", "cf")
+    found = staged(grid.zones(staged(cells, "terrain-mask"), keep=["score", "ct", "cf"]), "terrain-zones")
+    kept = staged(grid.rank_zones(grid.kept_zones(zone_stats(found), ZONE_M2)), "terrain-kept")
+    return kept, grid.painted(found, kept)
 
 
 def zone_cells(spark: SparkSession, d: str) -> DataFrame:

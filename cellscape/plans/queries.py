@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from cellscape import fixtures as fx
 from cellscape.components import checkpoint_folder
 from cellscape.functions import scores as S
 from cellscape.operators import facilities as fac
-from cellscape.operators import grid, quality, roads, spatial, summaries, views
+from cellscape.operators import georef, grid, quality, roads, spatial, summaries, tiles, views
 from cellscape.operators import tables as T
 from cellscape.plans import pipelines as P
-from cellscape.plans.oracle import BAND, CLASS, FLAG_COUNT, FLAGS, TIER, paths, sql
+from cellscape.plans.oracle import BAND, CLASS, FIXTURES, FLAG_COUNT, FLAGS, RECURSIVE, TIER, on_ground, paths, sql, warped
 from cellscape.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,12 @@ def _(spark, d):
 
 
 @query("G4_flow_accumulation", sql("SELECT w.at AS id, count(*) AS acc FROM walk w GROUP BY w.at", "ptr").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT w.at", ", walk AS (SELECT id AS src, id AS at FROM ptr UNION ALL SELECT w.src, p.nxt FROM walk w JOIN ptr p ON p.id = w.at WHERE p.nxt IS NOT NULL) SELECT w.at"))
+def _(spark, d):
+    acc = tiles.flow_accumulation(grid.flow_direction(fx.g_valley(spark, d)))
+    return acc.select((F.col("row") * 100 + F.col("col")).alias("id"), "acc")
+
+
+@query("G4_accumulation_by_pointers", ORACLE_SQL["G4_flow_accumulation"])
 def _(spark, d):
     flow = grid.flow_direction(fx.g_valley(spark, d))
     ids = flow.select((F.col("row") * 100 + F.col("col")).cast("long").alias("id"), (F.col("to_row") * 100 + F.col("to_col")).cast("long").alias("to"))
@@ -65,17 +72,61 @@ _WALK = "walk AS (SELECT id AS src, id AS at FROM ptr UNION ALL SELECT w.src, p.
 _C1 = _WALK + ", scored AS (SELECT *, CASE WHEN slope IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, slope / 60.0::DOUBLE)) END AS terrain, CASE WHEN twi IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (twi - 3.5) / 10.0::DOUBLE)) END AS flood FROM wet), hazard AS (SELECT *, CASE WHEN terrain IS NOT NULL AND flood IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.6::DOUBLE * terrain + 0.4::DOUBLE * flood)) END AS score FROM scored)"
 
 
-@query("G5_wetness", sql("SELECT row, col, acc, round(twi, 6) AS twi FROM wet", "slope", "ptr", last=_WALK))
+@query("G5_wetness", on_ground("SELECT row, col, acc, round(twi, 6) AS twi FROM wet", "slope", "ptr", last=_WALK))
 def _(spark, d):
     return P.hazard_classes(spark, d).select("row", "col", "acc", F.round("twi", 6).alias("twi"))
 
 
-@query("C1_hazard_classes", sql(f"SELECT {CLASS.format('round(score, 9)')} AS hazard_class, count(*) AS cells, round(avg(score), 6) AS mean_score FROM hazard GROUP BY 1", "slope", "ptr", last=_C1))
+@query("C1_hazard_classes", on_ground(f"SELECT {CLASS.format('round(score, 9)')} AS hazard_class, count(*) AS cells, round(avg(score), 6) AS mean_score FROM hazard GROUP BY 1", "slope", "ptr", last=_C1))
 def _(spark, d):
     out = P.hazard_classes(spark, d).withColumn("hazard_class", S.classify(F.round("score", 9)))
     return out.groupBy("hazard_class").agg(F.count("*").alias("cells"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+_C2 = _C1 + f", rated AS (SELECT *, 0.6::DOUBLE * terrain AS ct, 0.4::DOUBLE * flood AS cf FROM hazard WHERE score >= {P.STEEP}), cellid AS (SELECT row, col, score, ct, cf, row * 2147483648 + col AS id FROM rated), {RECURSIVE['reach']}" + "".join(f", {n} AS ({FIXTURES[n]})" for n in ("zone_cells", "zone_stats", "kept_zone"))
+
+
+@query("C1_C2_zones_from_elevation", on_ground("SELECT rank, zone, pixel_count, area_m2, round(mean_score, 5) AS mean_score, round(mean_terrain, 5) AS mean_terrain, round(mean_flood, 5) AS mean_flood FROM kept_zone", "slope", "ptr", last=_C2))
+def _(spark, d):
+    """From elevation in degrees to ranked zones, each step on the one before."""
+    kept, _ = P.zones_from_elevation(spark, d, P.STEEP)
+    return kept.select("rank", "zone", "pixel_count", "area_m2", *[F.round(c, 5).alias(c) for c in ("mean_score", "mean_terrain", "mean_flood")])
+
+
+@query("P3_warped_terrain", sql("SELECT row, col, round(elev, 5) AS elev FROM ground", "ground"))
+def _(spark, d):
+    return P.terrain(spark, d).cells.select("row", "col", F.round("elev", 5).alias("elev"))
+
+
+@query("P4_warped_cover", sql(f"SELECT row, col, code FROM ({warped('g_lulc', 'code', weigh=False)})", "g_lulc"))
+def _(spark, d):
+    """Land cover in degrees on the terrain's grid, by the nearest cell."""
+    given = P.elevation(spark, d).grid
+    x0, y0, dx, dy = fx.GROUND
+    return georef.warp(georef.Layer(fx.g_lulc(spark, d), given), georef.Grid(x0, y0, dx, dy, given.rows, given.cols), "code", "nearest").cells
+
+
+_GRIDS = "SELECT 'terrain' AS layer, {0} AS x0, {1} AS y0, (SELECT max(row) + 1 FROM g_geo) AS rows, 'EPSG:32644' AS crs, true AS aligned, '' AS differs UNION ALL SELECT 'shifted', {0} + 15.0, {1}, (SELECT max(row) + 1 FROM g_geo), 'EPSG:32644', false, 'origin' UNION ALL SELECT 'degrees', 79.0, 30.5, (SELECT max(row) + 1 FROM g_geo), 'EPSG:4326', false, 'crs,origin,step' UNION ALL SELECT 'cut', {0}, {1}, (SELECT max(row) FROM g_geo), 'EPSG:32644', false, 'size'"
+
+
+@query("S9_J13_grids", sql(f"SELECT layer, x0::DOUBLE AS x0, y0::DOUBLE AS y0, rows::BIGINT AS rows, crs, aligned, differs FROM ({_GRIDS.format(*fx.GROUND[:2])})", "g_geo"))
+def _(spark, d):
+    """Grids of one size that a count of rows and columns can't tell apart."""
+    given = P.elevation(spark, d)
+    x0, y0, dx, dy = fx.GROUND
+    ground = georef.Grid(x0, y0, dx, dy, given.grid.rows, given.grid.cols)
+    grids = {"terrain": ground, "shifted": replace(ground, x0=x0 + 15), "degrees": given.grid, "cut": replace(ground, rows=ground.rows - 1)}
+    return georef.described(spark, {n: georef.Layer(given.cells, g) for n, g in grids.items()}).select("layer", "x0", "y0", "rows", "crs", "aligned", "differs")
+
+
+@query("J13_warped_side_by_side", sql(f"SELECT g.row, g.col, round(g.elev, 5) AS elev, c.code FROM ground g LEFT JOIN ({warped('g_lulc', 'code', weigh=False)}) c USING (row, col)", "ground", "g_lulc"))
+def _(spark, d):
+    """Terrain and a cover in degrees side by side: the cover is on another grid and is warped."""
+    ground, given = P.terrain(spark, d), P.elevation(spark, d).grid
+    both = georef.co_registered({"elev": ground, "code": georef.Layer(fx.g_lulc(spark, d), given)}, {"elev": "elev", "code": "code"}, {"code": "nearest"})
+    return both.cells.select("row", "col", F.round("elev", 5).alias("elev"), "code")
+
+
 # Scores and classes
 
 
@@ -195,6 +246,13 @@ def _(spark, d):
 # Zones
 
 
+@query("G6_zones_by_joins", sql("SELECT row, col, zone FROM zone_cells", "zone_cells"))
+def _(spark, d):
+    """Small tiles and no task that has all edges: the joins that a large grid takes."""
+    cells = _overlay(spark, d).where("score >= 0.65").select("row", "col")
+    return tiles.zones(cells, tile=16, local_edges=0).select("row", "col", "zone")
+
+
 @query("G6_zones", sql("SELECT row, col, zone FROM zone_cells", "zone_cells"))
 def _(spark, d):
     return _zone_cells(spark, d).select("row", "col", "zone")
