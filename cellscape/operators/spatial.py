@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +16,6 @@ from pyspark.sql import Window as W
 from cellscape.components import components, staged
 from cellscape.shipping import ship
 
-COARSE = 64
-"""Points that the first rounds leave open look at COARSE x COARSE boxes of right rows, of a set at most; a broadcast of that bound."""
-ROUNDS = 2
 GREEDY_PAIRS = 50_000
 BUCKET_ROWS = 10_000
 """A bucket with more right rows is split into parts of about so many, each met by a copy of the left rows about it."""
@@ -45,97 +44,183 @@ def _met(around: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [*keys, "_s"])
 
 
-def _to_shape(shape: str, half: float) -> Column:
-    """Distance of the point x, y from the right row: its point, its square cell about _x, _y, or its segment _x, _y to _x2, _y2."""
-    x, y, x2, y2 = (F.col(c) for c in ("x", "y", "_x", "_y"))
-    if shape == "point":
-        return distance(x, y, x2, y2)
-    if shape == "cell":
-        dx, dy = F.greatest(F.abs(x - x2) - half, F.lit(0.0)), F.greatest(F.abs(y - y2) - half, F.lit(0.0))
-        return F.sqrt(dx * dx + dy * dy)
-    dx, dy = F.col("_x2") - x2, F.col("_y2") - y2
-    square = dx * dx + dy * dy
-    t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x2) * dx + (y - y2) * dy) / square))).otherwise(0.0)
-    return distance(x, y, x2 + t * dx, y2 + t * dy)
-
-
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, payload: list[str] | None = None, bucket_m: float = 250.0, digits: int | None = 1, by: str | None = None, shape: str = "point", half: float = 15.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, payload: list[str] | None = None, digits: int | None = 1, by: str | None = None, shape: str = "point", half: float = 15.0) -> DataFrame:
     """Each left point's nearest right row: left_key, nearest right_key, distance_m and payload; ties to the smaller key.
 
     shape: right rows are points (x, y), square cells of `half` about x, y, or segments (x, y, x2, y2). by: a column of both sides
-    (a set of right rows to look in) that has to be equal; the result has it too.
+    (a set of right rows to look in) that has to be equal; the result has it too. Null coordinates find nothing. Distances are rounded
+    half to even to `digits`, after the choice.
 
-    `ROUNDS` rounds look at 3 x 3 buckets about the points still open, buckets growing fourfold; what lies outside is further than a
-    bucket's side, so a smaller best distance is final. Points still open are far from everything: for these the right rows are
-    summed up in `COARSE` x `COARSE` boxes; a point looks at the rows of boxes that are no further than the nearest box's far
-    corner. Null coordinates find nothing. Distances are rounded half to even to `digits`, after the choice.
+    The right rows of a set are cut into SLABS slabs of x, each into SLABS of y, at quantiles: boxes of about as many rows wherever
+    these lie, crowded or alone. A point goes to the boxes whose near side is no further than the nearest box's far corner; points and
+    rows of a box meet in a task, which cuts the box up in the same way until a point meets a few rows. Boxes with many points are
+    dealt to several tasks. What is broadcast is SLABS * SLABS bounds a set; a task holds one box, 1 / SLABS**2 of a set's places or so.
     """
     payload, keys = payload or [], [left_key, *([by] if by else [])]
-    ends = [F.col("x2").alias("_x2"), F.col("y2").alias("_y2")] if shape == "segment" else []
-    right = right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*([by] if by else []), F.col(right_key), F.col("x").alias("_x"), F.col("y").alias("_y"), *ends, *payload)
-    here = left.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "x", "y")
-    margin, on = (half if shape == "cell" else 0.0), ([by] if by else [])
-
-    def best(met: DataFrame) -> DataFrame:
-        return met.withColumn("_d", _to_shape(shape, half)).groupBy(*keys).agg(F.min(F.struct("_d", right_key, *payload)).alias("_best"))
-
-    found, size = [], bucket_m
-    for _ in range(ROUNDS):
-        if shape == "segment":
-            span = lambda a, b: F.explode(F.sequence(_bucket(F.least(a, b), size), _bucket(F.greatest(a, b), size)))  # noqa: B023, E731
-            placed = right.withColumn("_bx", span("_x", "_x2")).withColumn("_by", span("_y", "_y2"))
-        else:
-            placed = right.withColumns({"_bx": _bucket("_x", size), "_by": _bucket("_y", size)})
-        settled = staged(best(_met(_around(here, size), placed, [*on, "_bx", "_by"])).where(F.col("_best._d") <= size - margin), "nearest")
-        found.append(settled)
-        here = here.join(settled, keys, "left_anti")
-        if not here.head(1):
-            break
-        size *= 4
-    else:
-        found.append(best(_far(here, right, by, shape, margin)))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    ends = ["_x2", "_y2"] if shape == "segment" else []
+    names = [F.col(right_key).alias("_key"), F.col("x").alias("_x"), F.col("y").alias("_y"), *[F.col(e[1:]).alias(e) for e in ends]]
+    of_set = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    known = lambda *c: F.lit(True) if not c else F.col(c[0]).isNotNull() & known(*c[1:])
+    rows = right.where(known("x", "y", *([by] if by else []))).select(*names, *[F.col(p).alias(f"_p_{p}") for p in payload], of_set.alias("_set"))
+    told = ["_key", *[f"_p_{p}" for p in payload]]
+    places = ["_set", "_x", "_y", *ends]  # of rows at one place, the smallest key is the nearest
+    rows = rows.where(known("_x", "_y", *ends)).groupBy(*places).agg(F.min(F.struct(*told)).alias("_t")).select(*places, "_t.*")
+    rows = staged(rows, "nearest-rows")
+    here = left.where(known("x", "y", *([by] if by else []))).select(*keys, "x", "y", of_set.alias("_set"))
+    cuts, bounds = _cuts(rows, shape, half if shape == "cell" else 0.0)
+    boxed = rows.withColumn("_box", _box(rows, cuts))
+    looks = staged(_looks(here, bounds), "nearest-looks")
+    crowded = looks.groupBy("_set", "_box").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = looks.join(crowded, ["_set", "_box"], "left").withColumn("_s", F.pmod(F.xxhash64("x", "y"), parts).cast("int")).drop("_parts")
+    copies = boxed.join(crowded, ["_set", "_box"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    ship(left.sparkSession)
+    fields = [here.schema[k] for k in keys] + [T.StructField("_d", T.DoubleType())] + [rows.schema[c] for c in told]
+    on = ["_set", "_box", "_s"]
+    met = dealt.groupBy(*on).cogroup(copies.groupBy(*on)).applyInArrow(_best_in_box(keys, told, shape, half), T.StructType(fields))
+    best = met.groupBy(*keys).agg(F.min(F.struct("_d", *told)).alias("_best"))
     d = F.col("_best._d")
-    return left.select(*keys).join(every, keys, "left").select(*keys, *[F.col("_best")[c].alias(c) for c in (right_key, *payload)], (F.bround(d, digits) if digits is not None else d).alias("distance_m"))
-
-
-def _far(here: DataFrame, right: DataFrame, by: str | None, shape: str, margin: float) -> DataFrame:
-    """Open points with the right rows of the boxes that may hold their nearest one."""
-    x_to, y_to = (F.greatest("_x", "_x2"), F.greatest("_y", "_y2")) if shape == "segment" else (F.col("_x"), F.col("_y"))
-    x_from, y_from = (F.least("_x", "_x2"), F.least("_y", "_y2")) if shape == "segment" else (F.col("_x"), F.col("_y"))
-    x0, x1, y0, y1 = right.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
-    if x0 is None:
-        return here.join(right, [by] if by else F.lit(False))
-    wide, high = max((x1 - x0) / COARSE, 1e-9), max((y1 - y0) / COARSE, 1e-9)
-    box = _bucket(F.col("_x") - x0, wide) * (2 * COARSE) + _bucket(F.col("_y") - y0, high)
-    boxed = right.withColumns({"_box": box.cast("long"), "_set": F.col(by).cast("string") if by else F.lit("")})
-    sums = boxed.groupBy("_set", "_box").agg(F.min(x_from), F.max(x_to), F.min(y_from), F.max(y_to)).collect()
-    boxes = {s: (np.array([r[1] for r in sums if r[0] == s]), np.array([list(r[2:]) for r in sums if r[0] == s]) + np.array([-margin, margin, -margin, margin])) for s in {r[0] for r in sums}}
-    shared = here.sparkSession.sparkContext.broadcast(boxes)
+    out = left.select(*keys).join(best, keys, "left")
+    return out.select(*keys, F.col("_best._key").alias(right_key), *[F.col("_best")[f"_p_{p}"].alias(p) for p in payload], (F.bround(d, digits) if digits is not None else d).alias("distance_m"))
+
+
+SLABS = 48
+"""Right rows are looked for in SLABS x SLABS boxes of a set."""
+LEAF = 64
+"""A task cuts boxes of more rows up."""
+
+
+def _cuts(rows: DataFrame, shape: str, margin: float) -> tuple[dict, dict]:
+    """The cuts of each set (of x, and of y in each slab) and its boxes' bounds: {set: (x cuts, [y cuts])} and {set: (box ids, x0, x1, y0, y1)}."""
+    share = [i / SLABS for i in range(1, SLABS)]
+    across = {r._set: sorted(set(r.c)) for r in rows.groupBy("_set").agg(F.percentile_approx("_x", share, 10_000).alias("c")).collect()}
+    slab = F.floor(_box(rows, {s: (c, [[]] * SLABS) for s, c in across.items()}) / SLABS)
+    down = {(r._set, r._slab): sorted(set(r.c)) for r in rows.withColumn("_slab", slab).groupBy("_set", "_slab").agg(F.percentile_approx("_y", share, 10_000).alias("c")).collect()}
+    cuts = {s: (c, [down.get((s, i), []) for i in range(len(c) + 1)]) for s, c in across.items()}
+    to = ("_x2", "_y2") if shape == "segment" else ("_x", "_y")
+    sides = [F.min(F.least("_x", to[0])), F.max(F.greatest("_x", to[0])), F.min(F.least("_y", to[1])), F.max(F.greatest("_y", to[1]))] if shape == "segment" else [F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")]
+    bounds: dict[str, list] = {}
+    for r in rows.withColumn("_box", _box(rows, cuts)).groupBy("_set", "_box").agg(*sides).collect():
+        bounds.setdefault(r[0], []).append((r[1], r[2] - margin, r[3] + margin, r[4] - margin, r[5] + margin))
+    return cuts, {s: tuple(np.array(c) for c in zip(*sorted(b), strict=True)) for s, b in bounds.items()}
+
+
+def _box(rows: DataFrame, cuts: dict) -> Column:
+    """The number of a row's box in its set."""
+    shared = rows.sparkSession.sparkContext.broadcast({s: (np.array(c), [np.array(d) for d in down]) for s, (c, down) in cuts.items()})
+
+    def number(sets: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out, own = np.zeros(len(x), dtype=np.int64), sets.to_numpy()
+        for s in set(own):
+            c, down = shared.value[s]
+            mine = np.flatnonzero(own == s)
+            slab = np.searchsorted(c, x.to_numpy()[mine], side="right")
+            for i in np.unique(slab):
+                at = mine[slab == i]
+                out[at] = i * SLABS + np.searchsorted(down[i], y.to_numpy()[at], side="right")
+        return pd.Series(out)
+
+    ship(rows.sparkSession)
+    return F.pandas_udf(number, "long")("_set", "_x", "_y")
+
+
+def _apart(x: np.ndarray, y: np.ndarray, box: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of points from the near sides and the far corners of boxes (x0, x1, y0, y1): one row a point."""
+    x, y, (a, b, c, d) = x[:, None], y[:, None], box
+    near = np.hypot(np.maximum(np.maximum(a - x, x - b), 0), np.maximum(np.maximum(c - y, y - d), 0))
+    return near, np.hypot(np.maximum(np.abs(x - a), np.abs(x - b)), np.maximum(np.abs(y - c), np.abs(y - d)))
+
+
+SLACK = 1 + 1e-9
+"""Bounds are compared with room for rounding."""
+
+
+def _looks(here: DataFrame, bounds: dict) -> DataFrame:
+    """Points once for each box (_box) that may hold their nearest row."""
+    shared = here.sparkSession.sparkContext.broadcast(bounds)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                x, y = (batch.column(c).to_numpy()[:, None] for c in ("x", "y"))
-                sets, rows, ids = np.array(batch.column("_set").to_pylist()), [], []
+                x, y = (batch.column(c).to_numpy() for c in ("x", "y"))
+                sets, rows, ids = np.array(batch.column("_set").to_pylist()), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for s in set(sets.tolist()) & set(shared.value):
                     mine = np.flatnonzero(sets == s)
-                    box, (a, b, c, d) = shared.value[s][0], shared.value[s][1].T
-                    near = np.hypot(np.maximum(np.maximum(a - x[mine], x[mine] - b), 0), np.maximum(np.maximum(c - y[mine], y[mine] - d), 0))
-                    far = np.hypot(np.maximum(np.abs(x[mine] - a), np.abs(x[mine] - b)), np.maximum(np.abs(y[mine] - c), np.abs(y[mine] - d)))
-                    i, k = np.nonzero(near <= far.min(1)[:, None])
+                    box, *sides = shared.value[s]
+                    near, far = _apart(x[mine], y[mine], sides)
+                    i, k = np.nonzero(near <= far.min(1)[:, None] * SLACK)
                     rows.append(mine[i])
                     ids.append(box[k])
-                take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.take(take).columns, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64())], names=[*batch.schema.names, "_box"])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(np.concatenate(rows))).columns, pa.array(np.concatenate(ids))], names=[*batch.schema.names, "_box"])
 
     ship(here.sparkSession)
-    open_ = here.withColumn("_set", F.col(by).cast("string") if by else F.lit(""))
-    schema = T.StructType([*open_.schema.fields, T.StructField("_box", T.LongType())])
-    return open_.mapInArrow(look, schema).join(boxed.drop(by) if by else boxed, ["_set", "_box"])
+    return here.mapInArrow(look, T.StructType([*here.schema.fields, T.StructField("_box", T.LongType())]))
+
+
+def _best_in_box(keys: list[str], wanted: list[str], shape: str, half: float):
+    """A task's function: of points and rows of a box to each point's nearest row there."""
+
+    def best(points: pa.Table, rows: pa.Table) -> pa.Table:
+        if not points.num_rows or not rows.num_rows:
+            points, rows, at, d = points.slice(0, 0), rows.slice(0, 0), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            rows = rows.take(_in_order(rows.column("_key")))
+            sides = [rows.column(c).to_numpy() for c in ("_x", "_y", *(("_x2", "_y2") if shape == "segment" else ()))]
+            at, d = nearest_rows(points.column("x").to_numpy(), points.column("y").to_numpy(), sides, shape, half)
+        found = rows.select(wanted).take(pa.array(at))
+        return pa.table([*[points.column(k) for k in keys], pa.array(d), *found.columns], names=[*keys, "_d", *wanted])
+
+    return best
+
+
+def _in_order(key: pa.ChunkedArray) -> pa.Array:
+    """Places of keys from the smallest on; a struct is ordered by its fields."""
+    parts = pa.table({"k": key}).flatten() if pa.types.is_struct(key.type) else pa.table({"k": key})
+    return pc.sort_indices(parts, sort_keys=[(c, "ascending") for c in parts.column_names], null_placement="at_start")
+
+
+def nearest_rows(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], shape: str, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest row, its distance) of each point; of equals the first. Rows are cut into boxes of LEAF at most by x, then y."""
+    rx, ry, n = sides[0], sides[1], len(sides[0])
+    slabs = max(1, int(np.ceil(np.sqrt(n / LEAF))))
+    by_x = np.argsort(rx, kind="stable")
+    leaves = [own for slab in np.array_split(by_x, slabs) if len(slab) for own in np.array_split(slab[np.argsort(ry[slab], kind="stable")], max(1, -(-len(slab) // LEAF)))]
+    margin = half if shape == "cell" else 0.0
+    low = lambda k, own: min(sides[k][own].min(), sides[k + 2][own].min() if shape == "segment" else np.inf) - margin
+    high = lambda k, own: max(sides[k][own].max(), sides[k + 2][own].max() if shape == "segment" else -np.inf) + margin
+    box = tuple(np.array([f(k, own) for own in leaves]) for k in (0, 1) for f in (low, high))
+    at, best = np.full(len(x), n, dtype=np.int64), np.full(len(x), np.inf)
+    for begin in range(0, len(x), 1024):
+        px, py = x[begin : begin + 1024], y[begin : begin + 1024]
+        near, far = _apart(px, py, box)
+        look = near <= far.min(1)[:, None] * SLACK
+        for k, own in enumerate(leaves):
+            mine = np.flatnonzero(look[:, k])
+            if len(mine):
+                own = np.sort(own)
+                d = _distances(px[mine], py[mine], [c[own] for c in sides], shape, half)
+                first = d.argmin(1)
+                value, place = d[np.arange(len(mine)), first], own[first]
+                mine += begin
+                better = (value < best[mine]) | ((value == best[mine]) & (place < at[mine]))
+                best[mine[better]], at[mine[better]] = value[better], place[better]
+    return at, best
+
+
+def _distances(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], shape: str, half: float) -> np.ndarray:
+    """Distances of points from rows: their point, their square cell, or their segment."""
+    x, y = x[:, None], y[:, None]
+    x2, y2 = sides[0], sides[1]
+    dx, dy = x - x2, y - y2
+    if shape == "cell":
+        dx, dy = np.maximum(np.abs(dx) - half, 0.0), np.maximum(np.abs(dy) - half, 0.0)
+    if shape == "segment":
+        ex, ey = sides[2] - x2, sides[3] - y2
+        square = ex * ex + ey * ey
+        t = np.where(square > 0, np.clip((dx * ex + dy * ey) / np.where(square > 0, square, 1.0), 0.0, 1.0), 0.0)
+        dx, dy = x - (x2 + t * ex), y - (y2 + t * ey)
+    return np.sqrt(dx * dx + dy * dy)
 
 
 def within_radius(left: DataFrame, right: DataFrame, left_key: str, radii: dict[str, float], groups: dict[str, Column] | None = None) -> DataFrame:
@@ -168,11 +253,26 @@ def points_in_zones(points: DataFrame, zone_cells: DataFrame, key: str, cell: fl
     return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "zone", "zone_rank")
 
 
+def zone_sides(zone_cells: DataFrame) -> DataFrame:
+    """The cells of zones of which one of the four neighbours isn't of the same zone."""
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    near = zone_cells.select("zone", F.explode(steps).alias("_s"), "row", "col").select("zone", (F.col("row") + F.col("_s.dr")).cast("long").alias("row"), (F.col("col") + F.col("_s.dc")).cast("long").alias("col"))
+    around = near.groupBy("zone", "row", "col").agg(F.count("*").alias("_n")).where("_n = 4")
+    keys = ["zone", "row", "col"]
+    return zone_cells.join(around.select(*keys), keys, "left_anti")
+
+
 def nearest_zone(points: DataFrame, zone_cells: DataFrame, key: str, cell: float = 30.0) -> DataFrame:
-    """Key, nearest zone (ties to the smaller rank, then zone) and its distance, 0 inside. A zone is the set of its cells."""
-    right = cell_centres(zone_cells, cell).withColumn("_order", F.struct("zone_rank", "zone"))
-    near = nearest(points, right, key, "_order", shape="cell", half=cell / 2)
-    return near.select(key, F.col("_order.zone").alias("zone"), "distance_m")
+    """Key, nearest zone (ties to the smaller rank, then zone) and its distance, 0 inside.
+
+    A zone is the set of its cells: a point inside one finds it by its cell, and only cells at a zone's side can be nearest from outside.
+    """
+    order = F.struct("zone_rank", "zone")
+    right = cell_centres(zone_sides(zone_cells), cell).withColumn("_order", order)
+    near = nearest(points, right, key, "_order", digits=None, shape="cell", half=cell / 2)
+    inside = to_cell(points, cell).join(zone_cells.select("row", "col", order.alias("_order")), ["row", "col"]).select(key, "_order", F.lit(0.0).alias("distance_m"))
+    best = near.where(F.col("_order").isNotNull()).unionByName(inside).groupBy(key).agg(F.min(F.struct("distance_m", "_order")).alias("_b"))
+    return points.select(key).join(best, key, "left").select(key, F.col("_b._order.zone").alias("zone"), F.bround("_b.distance_m", 1).alias("distance_m"))
 
 
 def sample_cells(points: DataFrame, cells: DataFrame, layers: list[str], cell: float = 30.0) -> DataFrame:

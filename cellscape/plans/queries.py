@@ -86,11 +86,11 @@ def _(spark, d):
 _C2 = _C1 + f", rated AS (SELECT *, 0.6::DOUBLE * terrain AS ct, 0.4::DOUBLE * flood AS cf FROM hazard WHERE score >= {P.STEEP}), cellid AS (SELECT row, col, score, ct, cf, row * 2147483648 + col AS id FROM rated), {RECURSIVE['reach']}" + "".join(f", {n} AS ({FIXTURES[n]})" for n in ("zone_cells", "zone_stats", "kept_zone"))
 
 
-@query("C1_C2_zones_from_elevation", on_ground("SELECT rank, zone, pixel_count, area_m2, round(mean_score, 5) AS mean_score, round(mean_terrain, 5) AS mean_terrain, round(mean_flood, 5) AS mean_flood FROM kept_zone", "slope", "ptr", last=_C2))
+@query("C1_C2_zones_from_elevation", on_ground("SELECT rank, zone, pixel_count, area_m2, mean_score, mean_terrain, mean_flood FROM kept_zone", "slope", "ptr", last=_C2))
 def _(spark, d):
     """From elevation in degrees to ranked zones, each step on the one before."""
     kept, _ = P.zones_from_elevation(spark, d, P.STEEP)
-    return kept.select("rank", "zone", "pixel_count", "area_m2", *[F.round(c, 5).alias(c) for c in ("mean_score", "mean_terrain", "mean_flood")])
+    return kept.select("rank", "zone", "pixel_count", "area_m2", "mean_score", "mean_terrain", "mean_flood")
 
 
 @query("P3_warped_terrain", sql("SELECT row, col, round(elev, 5) AS elev FROM ground", "ground"))

@@ -148,6 +148,46 @@ def test_nearest_of_shapes_near_and_far(spark, shape):
     assert {r.l: (r.r, pytest.approx(r.distance_m)) for r in got.collect()} == {i: (r, d) for i, (d, r) in want.items()}
 
 
+def test_nearest_meets_few_rows_in_a_cluster_with_an_outlier(monkeypatch):
+    """A cluster of 100 m and one row at 10,000 km: what a point is compared with doesn't grow with the cluster."""
+    import numpy as np
+
+    rng, met = np.random.default_rng(2), []
+    plain = spatial._distances
+    monkeypatch.setattr(spatial, "_distances", lambda x, y, *rest: met.append(len(x) * len(rest[0][0])) or plain(x, y, *rest))
+    for n in (1_000, 4_000, 16_000):
+        met.clear()
+        rows, points = rng.uniform(0, 100, (2, n)), rng.uniform(0, 100, (2, 500))
+        rows[:, 0] = 1e7
+        at, d = spatial.nearest_rows(points[0], points[1], list(rows), "point", 0.0)
+        assert sum(met) <= 500 * 12 * spatial.LEAF
+        want = np.hypot(points[0][:, None] - rows[0], points[1][:, None] - rows[1])
+        assert np.array_equal(at, want.argmin(1)) and np.allclose(d, want.min(1))
+
+
+def test_nearest_of_a_cluster_goes_to_few_boxes(spark):
+    rows = spark.range(20_000).selectExpr("id AS b", "CASE WHEN id = 0 THEN 1e7D ELSE pmod(id * 7919, 10007) / 100.07D END AS x", "pmod(id * 104729, 10009) / 100.09D AS y")
+    staged = rows.selectExpr("b AS _key", "x AS _x", "y AS _y", "'' AS _set")
+    cuts, bounds = spatial._cuts(staged, "point", 0.0)
+    assert len(bounds[""][0]) > 1_500 and staged.withColumn("_box", spatial._box(staged, cuts)).groupBy("_box").count().agg({"count": "max"}).first()[0] <= 60
+    points = spark.range(300).selectExpr("id AS a", "pmod(id * 31, 100) + 0.3D AS x", "pmod(id * 17, 100) + 0.7D AS y", "'' AS _set")
+    assert spatial._looks(points, bounds).count() <= 300 * 12
+    left = points.drop("_set")
+    got = {r.a: (r.b, r.distance_m) for r in spatial.nearest(left, rows, "a", "b", digits=None).collect()}
+    right = [(r.x, r.y, r.b) for r in rows.collect()]
+    for p in left.where("a % 30 = 0").collect():
+        d, b = min((math.sqrt((p.x - x) ** 2 + (p.y - y) ** 2), b) for x, y, b in right)
+        assert got[p.a] == (b, pytest.approx(d))
+
+
+def test_nearest_zone_from_inside_and_outside(spark):
+    cells = [(r, c, 1, 2) for r in range(9) for c in range(9)] + [(r, c, 5, 1) for r in range(9) for c in (9, 10)]
+    zones = spark.createDataFrame(cells, "row long, col long, zone long, zone_rank long")
+    assert spatial.zone_sides(zones).count() == 32 + 18
+    points = spark.createDataFrame([(1, 130.0, -130.0), (2, 270.0, -100.0), (3, -60.0, -15.0), (4, 300.0, 40.0), (5, None, 0.0)], "k long, x double, y double")
+    assert {r.k: (r.zone, r.distance_m) for r in spatial.nearest_zone(points, zones, "k").collect()} == {1: (1, 0.0), 2: (5, 0.0), 3: (1, 60.0), 4: (5, 40.0), 5: (None, None)}
+
+
 def test_crowded_buckets_change_nothing(spark, monkeypatch):
     rng = random.Random(7)
     left = [(i, rng.uniform(0, 1500), rng.uniform(0, 1500)) for i in range(40)]
