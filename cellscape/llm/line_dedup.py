@@ -11,14 +11,15 @@ shared with any earlier document is made of runs that the document shares with t
 fill a task by themselves (at most `4 x spark.sql.shuffle.partitions` of them can) get their owner by a broadcast, others by a
 shuffled join.
 
-For each pair the anchors are aligned by patience diff (longest increasing chain); anchors that cross it are aligned again among
-themselves, so moved passages are found too. Anchors that continue each other by the same step in both documents are one block;
-blocks are deleted from the later document.
+For each pair the anchors are aligned by patience diff: their longest chain that runs forward in both documents is the alignment, and
+the common blocks on it are deleted from the later document. What crosses the chain is no part of the alignment; a block of it (lines
+that follow each other in both documents) is deleted as a moved passage only if it has `moved_words`, so short phrases that happen to
+recur elsewhere stay.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from cellscape.llm.common import arrow_map, shuffle_partitions, staged
 from cellscape.llm.textarrays import IS_SPACE, buffers, mix64, slices, span_hashes, word_bounds
 
-MIN_WORDS = 10
+MIN_WORDS, MOVED_WORDS = 10, 25
 _IS_NEWLINE = np.zeros(256, dtype=bool)
 _IS_NEWLINE[10] = True
 
@@ -44,8 +45,9 @@ def stripped_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return word_starts[low[some]], word_ends[high[some] - 1], (high - low)[some]
 
 
-def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first line, line after the last, row, position of the first line) of every shortest run of lines with min_words."""
+def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first line, line after the last, row, position of the first line, total) of every shortest run of lines with min_words;
+    total: the words of all lines before each line."""
     data, offsets = buffers(col)
     starts, ends, words = stripped_lines(data, offsets)
     hashes, n = span_hashes(data, starts, ends), len(starts)
@@ -67,16 +69,16 @@ def windows(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
     begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.zeros(0, dtype=np.int64)
     nth = np.empty(len(order), dtype=np.uint64)
     nth[order] = (np.arange(len(order)) - begin).astype(np.uint64)
-    return mix64(key + nth), first, after, row[first], first - np.searchsorted(row, row[first])
+    return mix64(key + nth), first, after, row[first], first - np.searchsorted(row, row[first]), total
 
 
 def longest_chain(values: list[int]) -> list[int]:
-    """Indexes of a longest increasing subsequence, by patience sorting."""
+    """Indexes of a longest subsequence that never falls, by patience sorting."""
     tops: list[int] = []
     heads: list[int] = []
     back = [-1] * len(values)
     for i, v in enumerate(values):
-        at = bisect_left(tops, v)
+        at = bisect_right(tops, v)
         if at == len(tops):
             tops.append(v)
             heads.append(i)
@@ -90,45 +92,40 @@ def longest_chain(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_blocks(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """A block number for each anchor (positions in the later document, ascending, and in the earlier one)."""
-    block = np.full(len(later), -1, dtype=np.int64)
-    rest, n = np.arange(len(later)), 0
-    while len(rest):
-        if (np.diff(earlier[rest]) > 0).all():
-            chain = rest
-        else:
-            chain = rest[longest_chain(earlier[rest].tolist())]
-        cut = np.ones(len(chain), dtype=bool)
-        cut[1:] = np.diff(later[chain]) != np.diff(earlier[chain])
-        block[chain] = n + np.cumsum(cut) - 1
-        n = block[chain[-1]] + 1
-        rest = np.setdiff1d(rest, chain, assume_unique=True)
-    return block
+def moved(position: np.ndarray, at: np.ndarray, size: np.ndarray, begin: np.ndarray, words: np.ndarray, moved_words: int) -> np.ndarray:
+    """Which anchors that cross their pair's chain are of a block with moved_words: anchors of one shift whose lines touch."""
+    order = np.lexsort((position, at - position))
+    shift, first, last = (at - position)[order], position[order], (position + size)[order]
+    lines = np.maximum.accumulate(last + (np.cumsum(np.diff(shift, prepend=shift[:1]) != 0) << 32))  # the furthest line of the same shift so far
+    cut = np.ones(len(order), dtype=bool)
+    cut[1:] = (shift[1:] != shift[:-1]) | (first[1:] > (lines[:-1] & ((1 << 32) - 1)))
+    starts, block = np.flatnonzero(cut), np.cumsum(cut) - 1
+    total = np.maximum.reduceat((begin + words)[order], starts) - np.minimum.reduceat(begin[order], starts)
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = total[block] >= moved_words
+    return out
 
 
-def aligned(ids: np.ndarray, owner: np.ndarray, position: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A block number for each anchor, for rows sorted by document, owner and position; equal numbers are one block."""
+def aligned(ids: np.ndarray, owner: np.ndarray, position: np.ndarray, at: np.ndarray, size: np.ndarray, begin: np.ndarray, words: np.ndarray, moved_words: int = MOVED_WORDS) -> np.ndarray:
+    """Which anchors are of common blocks that go, for rows sorted by document, owner and position."""
     run = np.ones(len(ids), dtype=bool)
     run[1:] = (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1])
-    cut = run.copy()
-    cut[1:] |= np.diff(position) != np.diff(at)
-    block = np.cumsum(cut)
     starts = np.flatnonzero(run)
+    stops = np.append(starts[1:], len(ids))
     falls = np.zeros(len(ids), dtype=bool)
     falls[1:] = (np.diff(at) < 0) & ~run[1:]
-    crossed = np.unique(np.searchsorted(starts, np.flatnonzero(falls), side="right") - 1)
-    stops = np.append(starts[1:], len(ids))
-    top = block[-1] + 1 if len(block) else 0
-    for r in crossed:  # only pairs whose anchors cross need the chains
-        i, j = starts[r], stops[r]
-        block[i:j] = top + aligned_blocks(position[i:j], at[i:j])
-        top = block[i:j].max() + 1
-    return block
+    gone = np.ones(len(ids), dtype=bool)
+    for r in np.unique(np.searchsorted(starts, np.flatnonzero(falls), side="right") - 1):  # other pairs run forward as a whole
+        own = slice(starts[r], stops[r])
+        crossing = np.ones(stops[r] - starts[r], dtype=bool)
+        crossing[longest_chain(at[own].tolist())] = False
+        off = starts[r] + np.flatnonzero(crossing)
+        gone[off] = moved(position[off], at[off], size[off], begin[off], words[off], moved_words)
+    return gone
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, firsts, lasts, blocks, keys: the blocks that go from each document that loses any, each named by its anchors.
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, moved_words: int = MOVED_WORDS) -> DataFrame:
+    """doc_id, firsts, lasts, keys: the blocks that go from each document that loses any, named by their anchors.
 
     An anchor is a run's first line, the line after its last and its key, by which a row of a repeated doc_id knows its own runs.
     """
@@ -136,20 +133,22 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                key, first, after, row, position = windows(part.column(1), min_words)
+                key, first, after, row, position, total = windows(part.column(1), min_words)
                 ids = part.column(0).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64)), pa.array(position.astype(np.int32)), pa.array((after - first).astype(np.int32))], names=["doc_id", "run", "position", "size"])
+                begin = total[first] - total[first - position]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (position, after - first, begin, total[after] - total[first])]], names=["doc_id", "run", "position", "size", "begin", "words"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
-            ids, owner, position, at, size, key = (rows.column(c).to_numpy() for c in ("doc_id", "owner", "position", "at", "size", "run"))
-            block = aligned(ids, owner, position, at)
+            ids, owner, position, at, size, begin, words, key = (rows.column(c).to_numpy() for c in ("doc_id", "owner", "position", "at", "size", "begin", "words", "run"))
+            gone = aligned(ids, owner, position, at, size, begin, words, moved_words)
+            ids, position, size, key = ids[gone], position[gone], size[gone], key[gone]
             first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else np.zeros(0, dtype=np.int64)
             bounds = pa.array(np.append(first, len(ids)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (position, position + size, block.astype(np.int64), key)]
-            return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], names=["doc_id", "firsts", "lasts", "blocks", "keys"])
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (position, position + size, key)]
+            return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], names=["doc_id", "firsts", "lasts", "keys"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -168,25 +167,25 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     partitions = shuffle_partitions(docs.sparkSession)
-    held = staged(arrow_map(docs, runs, "doc_id long, run long, position int, size int"), "line-runs")
+    held = staged(arrow_map(docs, runs, "doc_id long, run long, position int, size int, begin int, words int"), "line-runs")
     share = max(1, held.count() // (4 * partitions))
     first = held.groupBy("run").agg(F.min(F.struct("doc_id", "position")).alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where(F.col("top") > F.col("owner.doc_id"))
     first = staged(first.select("run", F.col("owner.doc_id").alias("owner"), F.col("owner.position").alias("at"), "n"), "line-owners")
     hot, cold = F.broadcast(first.where(F.col("n") > share)), first.where(F.col("n") <= share)
     owned = held.join(hot, "run").unionByName(held.join(hot.select("run"), "run", "left_anti").join(cold, "run"))
-    anchors = owned.where(F.col("doc_id") > F.col("owner")).select("doc_id", "owner", "position", "at", "size", "run")
-    dealt = anchors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id", "owner", "position")
-    return arrow_map(dealt, align, "doc_id long, firsts array<int>, lasts array<int>, blocks array<long>, keys array<long>")
+    anchors = owned.where(F.col("doc_id") > F.col("owner")).select("doc_id", "owner", "position", "at", "size", "begin", "words", "run")
+    dealt = anchors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id", "owner", "position", "size", "at")
+    return arrow_map(dealt, align, "doc_id long, firsts array<int>, lasts array<int>, keys array<long>")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, moved_words: int = MOVED_WORDS) -> DataFrame:
     """docs (doc_id, text and any others) with repeated blocks of lines cut from later documents, and n_removed, n_removed_chars.
 
     Later means a larger doc_id; rows of a null doc_id or text and empty texts stay as they are, repeated rows of one doc_id are
     one document and aren't compared with each other, and an empty table gives none. Every row stays, if with an empty text.
     A cut line goes with its line feed. Names: a column n_removed or n_removed_chars of docs would be replaced.
     """
-    gone = removals(docs, min_words).select(F.col("doc_id").alias("_id"), F.struct("firsts", "lasts", "keys").alias("gone"))
+    gone = removals(docs, min_words, moved_words).select(F.col("doc_id").alias("_id"), F.struct("firsts", "lasts", "keys").alias("gone"))
     kept = [c for c in docs.columns if c not in ("text", "n_removed", "n_removed_chars")]
     joined = docs.select(F.struct(*kept).alias("row"), "text", F.col("doc_id").cast("long").alias("_doc")).join(gone, F.col("_doc") == F.col("_id"), "left").select("row", "text", "gone")
 
@@ -213,7 +212,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def cut_runs(col: pa.Array, gone: list[dict], min_words: int) -> list[tuple[str, int]]:
     """(text left, lines cut) of each row; an anchor whose run isn't this row's is another row's of that doc_id and is left alone."""
-    key, _, _, row, position = windows(col, min_words)
+    key, _, _, row, position, _ = windows(col, min_words)
     key, bound = key.view(np.int64), np.searchsorted(row, np.arange(len(col) + 1))
     data, offsets = buffers(col)
     starts, ends, _ = stripped_lines(data, offsets)

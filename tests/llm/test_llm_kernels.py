@@ -79,7 +79,13 @@ def test_forward_backward_is_exact(monkeypatch):
 
 def test_patience_blocks():
     assert N.longest_chain([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
-    assert N.aligned_blocks(np.array([0, 1, 2, 5, 6]), np.array([10, 11, 12, 3, 4])).tolist() == [0, 0, 0, 1, 1]
+    position, at = np.array([0, 1, 2, 5, 6, 9]), np.array([10, 11, 12, 3, 4, 5])
+    ids, size, begin = np.zeros(6, dtype=int), np.array([1, 1, 1, 1, 1, 1]), np.array([0, 12, 24, 60, 72, 90])
+    words = np.full(6, 12)
+    assert N.aligned(ids, ids, position, at, size, begin, words, 24).all()  # the block off the chain has 36 words
+    assert N.aligned(ids, ids, position, at, size, begin, words, 37).tolist() == [False] * 3 + [True] * 3
+    assert N.moved(position[3:], at[3:], size[3:], begin[3:], words[3:], 24).tolist() == [True, True, False]
+    assert N.aligned(ids, np.arange(6), position, at, size, begin, words, 24).all()
 
 
 def test_wand_finds_what_a_full_scan_finds():

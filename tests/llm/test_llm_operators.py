@@ -78,7 +78,7 @@ def test_line_dedup(spark):
     p = " ".join(f"p{i}" for i in range(12))
     q = " ".join(f"q{i}" for i in range(12))
     rows = [(1, f"start\n{p}\nmid\n{q}", "a"), (2, f"{q}\nown line\n{p}", "a"), (3, "short\nmid", "a"), (4, None, "a"), (5, "", "a"), (None, p, "a"), (6, f"{p}\n{p}", "a")]
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(docs(spark, rows), moved_words=12).collect()}
     assert got[1][1] == 0 and got[2] == ("own line\n", 2) and got[3] == ("short\nmid", 0) and got[4] == (None, 0) and got[None] == (p, 0)
     assert got[6] == (p, 1)
     assert line_dedup(docs(spark, rows)).columns == [*docs(spark, rows).columns, "n_removed", "n_removed_chars"]

@@ -119,8 +119,9 @@ def test_op6_shares(spark, documents):
     assert all(abs(taken[s] - target[s]) <= 160 for s in names)  # a block of the quota, half of one and a short one of the selection
 
 
-def plain_line_dedup(rows, least=10):
-    """Every document against all earlier ones: the runs of lines that reach `least` words, the n-th of a text against their n-th."""
+def plain_line_dedup(rows, least=10, moved=25):
+    """A patience diff of every document with each first holder of its runs of lines that reach `least` words (the n-th of a text with
+    their n-th); what crosses the longest chain goes in blocks of `moved` words only."""
 
     def runs(text):
         lines = [(k, line.strip(" \t\n\r\x0b\x0c")) for k, line in enumerate((text or "").split("\n"))]
@@ -142,12 +143,44 @@ def plain_line_dedup(rows, least=10):
             seen[key] += 1
         return found
 
-    held, out = set(), {}
+    def chain(values):
+        length = []
+        for i, v in enumerate(values):
+            length.append(1 + max([length[j] for j in range(i) if values[j] <= v], default=0))
+        out, want = [], max(length)
+        for i in range(len(values) - 1, -1, -1):  # the last of each length
+            if length[i] == want and (not out or values[i] <= values[out[-1]]):
+                out.append(i)
+                want -= 1
+        return set(out)
+
+    owner, out = {}, {}
     for i, text in sorted(rows):
-        mine = runs(text)
-        gone = {k for key, ks in mine if key in held for k in ks}
+        mine, pairs, gone = runs(text), defaultdict(list), set()
+        words = {k: len(WORD.findall(line)) for k, line in enumerate((text or "").split("\n"))}
+        place = {k: n for n, k in enumerate(k for k in words if words[k])}
+        for key, ks in mine:
+            if key in owner:
+                pairs[owner[key][0]].append((place[ks[0]], owner[key][1], ks))
+            else:
+                owner[key] = (i, place[ks[0]])
+        for anchors in pairs.values():  # patience diff of the pair
+            anchors.sort(key=lambda a: (a[0], len(a[2]), a[1]))
+            forward = chain([a[1] for a in anchors])
+            gone |= {k for n in forward for k in anchors[n][2]}
+            blocks = defaultdict(set)
+            for n, (p, at, ks) in enumerate(anchors):
+                if n not in forward:
+                    blocks[at - p] |= set(ks)
+            for own in blocks.values():
+                own, block = sorted(own, key=place.get), []
+                for k in [*own, None]:
+                    if k is None or block and place[k] != place[block[-1]] + 1:
+                        if sum(words[x] for x in block) >= moved:
+                            gone |= set(block)
+                        block = []
+                    block.append(k)
         out[i] = (len(gone), "\n".join(line for k, line in enumerate((text or "").split("\n")) if k not in gone))
-        held |= {key for key, _ in mine}
     return out
 
 
@@ -163,6 +196,21 @@ def test_op7_against_all_earlier_documents(spark, documents):
     assert any(n for n, _ in plain_line_dedup(made).values())
 
 
+def test_op7_rests_on_the_alignment(spark, monkeypatch):
+    """What crosses the pair's chain stays if it is short and goes if it is long; without the alignment both would go."""
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    a, b, c, long = say("a", 12), say("b", 11), say("c", 13), [say(f"m{k}-", 9) for k in range(4)]
+    rows = [(1, "\n".join([a, b, c, *long])), (2, "\n".join([*long, "new", a, c, "more", b])), (3, "\n".join([c, "x", a, b])), (4, "\n".join([*long[:3], a, b, c]))]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: t.rstrip("\n") for i, t in got.items()} == {1: rows[0][1], 2: "\n".join(["new", a, c, "more", b]), 3: f"{c}\nx", 4: ""}
+    want = plain_line_dedup(rows)
+    assert {i: t.rstrip("\n") for i, t in got.items()} == {i: t.rstrip("\n") for i, (_, t) in want.items()}
+    everything = plain_line_dedup(rows, moved=0)
+    assert {i: n for i, (n, _) in everything.items()} != {i: n for i, (n, _) in want.items()}
+    low = {r.doc_id: r.n_removed for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), moved_words=0).collect()}
+    assert low == {i: n for i, (n, _) in everything.items()}
+
+
 def test_op8_links_every_page(spark):
     pages = duckdb.sql(f"SELECT count(*) FROM '{SF}/pages.parquet'").fetchall()[0][0]
     ids = {r.record_id for r in responses(spark.read.parquet(f"{SF}/pages.parquet")).select("record_id").collect()}
