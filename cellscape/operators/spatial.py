@@ -84,7 +84,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, pa
     return out.select(*keys, F.col("_best._key").alias(right_key), *[F.col("_best")[f"_p_{p}"].alias(p) for p in payload], (F.bround(d, digits) if digits is not None else d).alias("distance_m"))
 
 
-SLABS = 48
+SLABS = 32
 """Right rows are looked for in SLABS x SLABS boxes of a set."""
 LEAF = 64
 """A task cuts boxes of more rows up."""
