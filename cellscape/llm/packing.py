@@ -18,6 +18,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,19 @@ from cellscape.llm.textarrays import slices
 from cellscape.operators.ranking import row_numbers
 
 LIMIT, END_ID, LEAST_CUT = 4096, 2, 64
-MEMO_WORDS, SLICE_BYTES = 1 << 20, 2 << 20
+MEMO_WORDS, SLICE_BYTES = 3 << 19, 2 << 20
 """A worker that knows the ids of more words forgets the less used half of them."""
 # Fixed value: the pattern whose matches are encoded by themselves. None crosses white space, which is dropped.
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Numbers(dict):
+    """Numbers of words, -1 of unknown ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 _encoders: dict[bytes, Encoder] = {}
 
 
@@ -55,7 +63,7 @@ class Encoder:
     """
 
     model: bytes
-    at: dict[bytes, int] = field(default_factory=dict)
+    at: Numbers = field(default_factory=lambda: Numbers())
     pool: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint32))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
     uses: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
@@ -63,8 +71,13 @@ class Encoder:
     def __post_init__(self):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_buffer(self.model)
-        self.by_word = drops_space(json.loads(self.model))
+        self.library, spec = Tokenizer.from_buffer(self.model), json.loads(self.model)
+        self.by_word = drops_space(spec)
+        if self.by_word:  # the same model for words that the rules leave as they are
+            split = [{"type": "WhitespaceSplit"}, *spec["pre_tokenizer"]["pretokenizers"][1:]]
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": split}}))
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+            self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of text i are ids[bounds[i]:bounds[i + 1]]."""
@@ -73,41 +86,87 @@ class Encoder:
             return np.concatenate([*found, np.zeros(0, dtype=np.uint32)]), np.cumsum([0, *map(len, found)])
         raw = [t.encode() for t in texts]  # case is only kept where a special token, which has its own, may be meant
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        words = [w for own in split for w in own]
-        self._learn(set(words))
+        words = list(chain.from_iterable(split))
+        if len(self.at) > MEMO_WORDS:
+            self._forget()
         code = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        self.uses += np.bincount(code, minlength=len(self.uses))
+        new = np.flatnonzero(code < 0).tolist()
+        if new:
+            self._learn({words[i] for i in new})
+            code[new] = [self.at[words[i]] for i in new]
+        used = np.bincount(code)
+        self.uses[: len(used)] += used
+        ids, total = self._ids(code)
+        return ids, total[np.cumsum([0, *map(len, split)])]
+
+    def _ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their numbers, one after the other, and where each word's begin."""
         sizes = self.first[code + 1] - self.first[code]
         total = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.pool[np.repeat(self.first[code] - total[:-1], sizes) + np.arange(total[-1])]
-        return ids, total[np.cumsum([0, *map(len, split)])]
+        return self.pool[np.repeat(self.first[code] - total[:-1], sizes) + np.arange(total[-1])], total
 
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of words that aren't known yet: all at once as one text, told apart by their places in it."""
-        if len(self.at) > MEMO_WORDS:
-            self._forget()
-        new = sorted(words - self.at.keys())
-        if not new:
-            return
-        spelled = [w.decode() for w in new]
-        found = self.library.encode(" ".join(spelled), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in spelled])
-        own = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found)), side="right")
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.pool = np.concatenate([self.pool, np.array(found.ids, dtype=np.uint32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(own, minlength=len(new)))])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+        """Ids of words that aren't known yet. Marks behind a plain word are a part by themselves, so "word" and "word," are one to learn."""
+        cut, plain, other = {}, set(), set()
+        for w in words:
+            word = w.decode()
+            core = word.rstrip(MARKS)
+            if not is_plain(core):
+                other.add(w)
+                continue
+            plain.add(core.encode())
+            if len(core) < len(word):
+                cut[w] = (core.encode(), word[len(core) :].encode())
+                other.add(cut[w][1])
+        self._add_plain(sorted(plain - self.at.keys()))
+        self._add_texts(sorted(other - self.at.keys()))
+        if cut:
+            parts = np.array([self.at[p] for pair in cut.values() for p in pair])
+            ids, total = self._ids(parts)
+            self._add(list(cut), ids, np.diff(total[::2]))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+
+    def _add_plain(self, words: list[bytes]) -> None:
+        """Plain words, all at once as one text; the model's own mark of a word's end tells them apart."""
+        if words:
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(words):
+                raise ValueError("a word of the tokenizer's model has no end")
+            self._add(words, ids, np.diff(ends, prepend=0))
+
+    def _add_texts(self, words: list[bytes]) -> None:
+        """Other words by the whole tokenizer, all at once as one text, told apart by their places in it."""
+        if words:
+            spelled = [w.decode() for w in words]
+            found = self.library.encode(" ".join(spelled), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in spelled])
+            own = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found)), side="right")
+            self._add(words, np.array(found.ids, dtype=np.uint32), np.bincount(own, minlength=len(words)))
 
     def _forget(self) -> None:
         """Keep the more used half of the words."""
         kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
         words, sizes = list(self.at), np.diff(self.first)[kept]
-        self.at = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.at = Numbers((words[i], k) for k, i in enumerate(kept.tolist()))
         first = np.concatenate(([0], np.cumsum(sizes)))
         self.pool = self.pool[np.repeat(self.first[kept] - first[:-1], sizes) + np.arange(first[-1])]
         self.first, self.uses = first, self.uses[kept]
 
 
+MARKS = ".,;:!?"
+
+
+def is_plain(word: str) -> bool:
+    """Whether a word is of small Latin letters only: no rule changes or splits it."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250") and word == word.lower()
+
+
 def drops_space(spec: dict) -> bool:
     """Whether a tokenizer file's rules make the ids of words independent of each other."""
     before = (spec.get("normalizer") or {}).get("normalizers", [])

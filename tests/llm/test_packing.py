@@ -13,7 +13,7 @@ from cellscape.llm import packing as P
 from cellscape.llm import queries as Q
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "a", "Ａ ｂ", "é e ́x", "İSTANBUL ΟΔΟΣ Σ", "don't 's 'S we'll", "<|endoftext|>x <|startoftext|> <|endoftext|", "tab\tline\n\x0bvt\x0cff\rcr", "a b c　d\x85e\x1cf", "x" * 5_000, "½ ² 12 3٣", "̈́क़ क़", "🙂🙂 👨‍👩‍👧", "\x00 \x00", "word " * 9_000, "w " * 4_095, "w " * 4_096]
+ODD = ["", " ", "a", "Ａ ｂ", "é e ́x", "İSTANBUL ΟΔΟΣ Σ", "don't 's 'S we'll", "<|endoftext|>x <|startoftext|> <|endoftext|", "tab\tline\n\x0bvt\x0cff\rcr", "a b c　d\x85e\x1cf", "x" * 5_000, "½ ² 12 3٣", "̈́क़ क़", "🙂🙂 👨‍👩‍👧", "\x00 \x00", "word, word. word,. word.) Ünd ünd, straße. ǆ ǅ ŉ, ﬁ. ªº, ʼn i̇stan", "word " * 9_000, "w " * 4_095, "w " * 4_096]
 
 
 def test_words_have_the_ids_of_texts():
