@@ -126,10 +126,11 @@ class Encoder:
             self._add(list(cut), ids, np.diff(total[::2]))
 
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+        known, held = len(self.at), int(self.first[len(self.at)])
+        self.at.update(zip(words, range(known, known + len(words)), strict=True))
+        self.pool = _put(self.pool, held, ids)
+        self.first = _put(self.first, known + 1, held + np.cumsum(sizes))
+        self.uses = _put(self.uses, known, np.zeros(len(words), dtype=np.int64))
 
     def _add_plain(self, words: list[bytes]) -> None:
         """Plain words, all at once as one text; the model's own mark of a word's end tells them apart."""
@@ -151,7 +152,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the more used half of the words."""
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+        kept = np.sort(np.argsort(-self.uses[: len(self.at)], kind="stable")[: len(self.at) // 2])
         words, sizes = list(self.at), np.diff(self.first)[kept]
         self.at = Numbers((words[i], k) for k, i in enumerate(kept.tolist()))
         first = np.concatenate(([0], np.cumsum(sizes)))
@@ -159,6 +160,14 @@ class Encoder:
         self.first, self.uses = first, self.uses[kept]
 
 
+def _put(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """array with `more` from place `at` on, with room to grow: it is copied only when it doubles."""
+    if at + len(more) > len(array):
+        array = np.concatenate([array[:at], np.zeros(at + len(more), dtype=array.dtype)])
+    array[at : at + len(more)] = more
+    return array
+
+
 MARKS = ".,;:!?"
 
 
