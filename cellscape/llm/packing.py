@@ -118,8 +118,8 @@ class Encoder:
             if len(core) < len(word):
                 cut[w] = (core.encode(), word[len(core) :].encode())
                 other.add(cut[w][1])
-        self._add_plain(sorted(plain - self.at.keys()))
-        self._add_texts(sorted(other - self.at.keys()))
+        self._add_plain([w for w in plain if w not in self.at])
+        self._add_texts([w for w in other if w not in self.at])
         if cut:
             parts = np.array([self.at[p] for pair in cut.values() for p in pair])
             ids, total = self._ids(parts)
