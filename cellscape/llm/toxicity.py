@@ -1,8 +1,9 @@
 """Toxicity (operator 2): a linear-chain conditional random field over words.
 
-Labels come by document, the field wants them by token, so training first labels tokens: a word or a word's beginning whose
+Labels come by document, the field wants them by token, so training first labels tokens: a word or a longer word's beginning whose
 contexts (the words beside it) are found in toxic documents far more than chance allows, by a log likelihood ratio, marks the
 tokens that have it, in toxic documents only. Distinct contexts are counted, not documents, so copies of one text count once.
+A beginning may also stand in some other documents (MIN_RATE): stems of a language with few documents are met by chance in plain words.
 The field has two states and hashed features of each token (the word, its beginnings and ending, the words beside it), and is
 fitted on these sequences by gradient steps with exact forward-backward marginals.
 
@@ -37,10 +38,12 @@ STEPS = 20
 BLOCK = 256
 LAYER = 4
 CHUNK_CHARS = 1 << 20
-MIN_EVIDENCE = 40.0
+MIN_EVIDENCE, MIN_RATE = 25.0, 0.85
+"""A word or beginning is evidence from this log likelihood ratio (one in about 2 million by chance) and share of toxic contexts on."""
 _IS_GAP = np.ones(256, dtype=bool)
 _IS_GAP[[*range(97, 123), *range(128, 256)]] = False
-_KINDS = {"word": 1, "start4": 2, "start5": 3, "start6": 4, "end3": 5, "before": 6, "after": 7}
+_KINDS = {"word": 1, "start4": 2, "start5": 3, "start6": 4, "start7": 5, "end3": 6, "before": 7, "after": 8}
+_STEMS, _BEFORE, _AFTER = 5, 6, 7  # rows of features: so many are a word or a beginning; then those of the words beside it
 
 
 def letter_words(col: pa.Array) -> Words:
@@ -52,14 +55,14 @@ def letter_words(col: pa.Array) -> Words:
 
 
 def features(w: Words) -> np.ndarray:
-    """Table places of every token's features: one row a kind."""
-    start = lambda n: span_hashes(w.data, w.starts, np.minimum(w.starts + n, w.ends))
+    """Table places of every token's features: one row a kind; a beginning is one of a longer word, else 0."""
+    start = lambda n: np.where(w.ends - w.starts > n, span_hashes(w.data, w.starts, np.minimum(w.starts + n, w.ends)), np.uint64(0))
     before, after = np.zeros_like(w.hashes), np.zeros_like(w.hashes)
     if len(w.hashes):
         same = w.doc[1:] == w.doc[:-1]
         before[1:] = np.where(same, w.hashes[:-1], 0)
         after[:-1] = np.where(same, w.hashes[1:], 0)
-    values = (w.hashes, start(4), start(5), start(6), span_hashes(w.data, np.maximum(w.ends - 3, w.starts), w.ends), before, after)
+    values = (w.hashes, start(4), start(5), start(6), start(7), span_hashes(w.data, np.maximum(w.ends - 3, w.starts), w.ends), before, after)
     return np.stack([(mix64(v + np.uint64(k)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32) for v, k in zip(values, _KINDS.values(), strict=True)])
 
 
@@ -203,15 +206,15 @@ def token_labels(chunks: list[Chunk]) -> list[np.ndarray]:
     """For each chunk 1 for tokens of toxic documents that have a word or beginning of strong evidence, else 0."""
     is_toxic = [np.repeat(c.toxic, np.diff(c.first)) for c in chunks]
     labels = [np.zeros(len(t), dtype=bool) for t in is_toxic]
-    for kind in range(4):
-        keys = [mix64(mix64(c.places[5].astype(np.uint64) * np.uint64(TABLE) + c.places[6].astype(np.uint64)) + mix64(c.places[kind].astype(np.uint64) * np.uint64(2) + t.astype(np.uint64))) for c, t in zip(chunks, is_toxic, strict=True)]
+    for kind in range(_STEMS):
+        keys = [mix64(mix64(c.places[_BEFORE].astype(np.uint64) * np.uint64(TABLE) + c.places[_AFTER].astype(np.uint64)) + mix64(c.places[kind].astype(np.uint64) * np.uint64(2) + t.astype(np.uint64))) for c, t in zip(chunks, is_toxic, strict=True)]
         at = np.unique(np.concatenate(keys), return_index=True)[1]
         place, mark = np.concatenate([c.places[kind] for c in chunks])[at], np.concatenate(is_toxic)[at]
         a, b = (np.bincount(place[m], minlength=TABLE).astype(np.float64) for m in (mark, ~mark))
         share = a.sum() / max(1.0, a.sum() + b.sum())
         rate = a / np.maximum(a + b, 1)
         ratio = 2 * (a * np.log(np.maximum(rate, 1e-12) / max(share, 1e-12)) + b * np.log(np.maximum(1 - rate, 1e-12) / max(1 - share, 1e-12)))
-        strong = (rate > share) & (rate >= 0.95) & (ratio >= MIN_EVIDENCE)
+        strong = (rate > share) & (rate >= MIN_RATE) & (ratio >= MIN_EVIDENCE)
         for c, t, y in zip(chunks, is_toxic, labels, strict=True):
             y |= strong[c.places[kind]] & t
     return labels

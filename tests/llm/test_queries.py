@@ -42,6 +42,21 @@ def test_op2_labels_of_held_out_documents(spark, documents):
     assert set(got) == {d[0] for d in documents} and all(r.held_out == (fold(i, 5) == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for i, r in got.items())
 
 
+@pytest.mark.parametrize("sf, least_auc", [("sf0.01", 0.9), ("sf0.1", 0.95)])
+def test_op2_finds_toxic_documents_of_every_language(spark, sf, least_auc):
+    """Held-out labels: ranking, few clean documents marked, and recall by language among texts of 20 different words or more."""
+    path = SF.replace("sf0.001", sf)
+    labelled = duckdb.sql(f"SELECT doc_id, toxic, lang, text FROM '{path}/labels.parquet' JOIN '{path}/documents.parquet' USING (doc_id) WHERE toxic IS NOT NULL").fetchall()
+    got = {r.doc_id: (r.score, r.predicted) for r in Q.op2_toxicity(spark, path).select("doc_id", "score", "predicted").collect()}
+    held = [(*got[i], toxic, lang, text) for i, toxic, lang, text in labelled if fold(i, 5) == 0]
+    bad, good = [np.array([h[0] for h in held if h[2] == k]) for k in (1, 0)]
+    assert ((bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2) >= least_auc
+    assert sum(h[1] for h in held if h[2] == 0) <= 0.03 * len(good) + 1
+    for lang in {h[3] for h in held if h[2] == 1}:
+        found = [h[1] for h in held if h[2] == 1 and h[3] == lang and len(set(h[4].lower().split())) >= 20]
+        assert sum(found) >= 0.9 * len(found), lang
+
+
 def test_toxicity_learns_and_bounds_its_sample(spark):
     rng = np.random.default_rng(9)
     plain = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
