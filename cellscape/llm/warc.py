@@ -175,18 +175,22 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """page_id, record_type, warc: each record's bytes, named headers first; a derivative has the source's header lines and payload
-    digest among them, and a row of null fields leaves their headers out."""
-    names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    """page_id, record_type, warc: each record's bytes, named headers first; a derivative's payload is its block, so that its payload digest
+    is its own, and the source's header lines and payload digest have headers of their names. Null fields leave their headers out."""
+    names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "block"):
-                values = {n: part.column(n).to_pylist() for n in part.schema.names}
+                values = {n: part.column(n).to_pylist() for n in part.schema.names} | {"payload_digest": []}
                 out = []
                 for k in range(part.num_rows):
+                    derived = values["record_type"][k] != "response"
+                    values["payload_digest"].append(values["block_digest" if derived else "source_payload_digest"][k])
                     head = "".join(f"{name}: {values[c][k]}\r\n" for name, c in names if values[c][k] is not None)
-                    if values["record_type"][k] != "response":
+                    if derived:
+                        source = values["source_payload_digest"][k]
+                        head += f"WARC-Source-Payload-Digest: {source}\r\n" if source is not None else ""
                         head += "".join(f"WARC-Source-Header: {_clean(h)}\r\n" for h in (values["source_headers"][k] or "").splitlines())
                     out.append(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + (values["block"][k] or b"") + b"\r\n\r\n")
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("record_type"), pa.array(out, pa.binary())], names=["page_id", "record_type", "warc"])

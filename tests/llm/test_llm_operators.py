@@ -1,5 +1,7 @@
 """The operators on Spark: nulls, empty and repeated rows, ties, clashing columns, empty tables."""
 
+import base64
+import hashlib
 import itertools
 
 import numpy as np
@@ -225,6 +227,14 @@ def test_warc_links(spark):
     head = bytes(serialised(made).where("page_id = 1 AND record_type = 'conversion'").first().warc)
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: conversion\r\n") and head.endswith(b"\r\n\r\nx & y\r\n\r\n")
     assert b"WARC-Payload-Digest: sha1:" in head and b"WARC-Refers-To: <urn:uuid:" in head and b"WARC-Source-Header: HTTP/1.1 200 OK" in head
+    for kind, warc in ((r.record_type, bytes(r.warc)) for r in serialised(made.unionByName(responses(pages))).collect()):
+        named, _, rest = warc.partition(b"\r\n\r\n")
+        lines = dict(x.split(": ", 1) for x in named.decode().split("\r\n")[1:])
+        block = rest[: int(lines["Content-Length"])]
+        payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else block
+        digests = ["sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (block, payload)]
+        assert rest[len(block) :] == b"\r\n\r\n" and [lines["WARC-Block-Digest"], lines["WARC-Payload-Digest"]] == digests
+        assert (kind == "response") == ("WARC-Source-Payload-Digest" not in lines)
 
 
 def test_warc_of_repeated_and_empty_pages(spark):
