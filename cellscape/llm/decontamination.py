@@ -233,8 +233,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([*s.terms.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(s.held, s.items).astype(np.int64)), pa.array(np.append(np.zeros(len(s.terms)), len(w.hashes)).astype(np.int64))], names=["term", "held", "words"])
 
 
-def _parts(items: DataFrame, limit: int, threshold: float) -> Iterator[list[Index]]:
-    """Indexes of the items, dealt by a hash of the row into parts of about `limit` words."""
+def _parts(items: DataFrame, limit: int, threshold: float) -> Iterator[tuple[list[Index], bool]]:
+    """Indexes of the items, dealt by a hash of the row into parts of about `limit` words, and whether there are more parts than one."""
     answer = F.col("answer") if "answer" in items.columns else F.lit(None)
     sized = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", answer.cast("string").alias("answer"))
     whole = F.concat_ws("\n", "text", "answer")
@@ -253,7 +253,7 @@ def _parts(items: DataFrame, limit: int, threshold: float) -> Iterator[list[Inde
             term, held = found.column("term").to_numpy().view(np.uint64), found.column("held").to_numpy()
             order = np.argsort(term)
             known = Statistics(total["held"], total["words"] / max(1, total["held"]), term[order], held[order])
-        yield build_indexes([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], known, threshold)
+        yield build_indexes([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], known, threshold), parts > 1
 
 
 def _verified(indexes: list[Index], texts: pa.Array, threshold: float) -> Iterator[tuple[int, int | None, int, float, float, float]]:
@@ -267,16 +267,22 @@ def _verified(indexes: list[Index], texts: pa.Array, threshold: float) -> Iterat
 
 
 def marked(docs: DataFrame, items: DataFrame, name: str = "leaks", threshold: float = THRESHOLD, index_words: int = INDEX_WORDS) -> DataFrame:
-    """docs (text and any others) with the number of passages and items that match, row by row; a column of that name is replaced."""
+    """docs (text and any others) with the number of passages and items that match, row by row; a column of that name is replaced.
+
+    Of several parts each has a pass and a staged table of its own, so that one part's indexes are held at a time.
+    """
     out = docs.drop(name)
-    for k, indexes in enumerate(_parts(items, index_words, threshold)):
+    for k, (indexes, several) in enumerate(_parts(items, index_words, threshold)):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def count(texts: pa.Array, shared=shared) -> list[pa.Array]:
             rows = np.array([r for r, *_ in _verified(shared.value, texts, threshold)], dtype=np.int64)
             return [pa.array(np.bincount(rows, minlength=len(texts)).astype(np.int32))]
 
-        out = annotated(out, [(f"_{name}_{k}", "int")], count)
+        found = annotated(out, [(f"_{name}_{k}", "int")], count)
+        out = staged(found, "leaks", instead_of=out) if several else found
+        if several:
+            shared.destroy()
     parts = [c for c in out.columns if c not in docs.columns]
     return out.withColumn(name, sum((F.col(c) for c in parts), F.lit(0))).drop(*parts)
 
@@ -290,7 +296,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("item_id", T.LongType()), ("word_at", T.IntegerType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType()))])
     found = None
-    for indexes in _parts(items, index_words, threshold):
+    for indexes, several in _parts(items, index_words, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -302,6 +308,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=schema.names)
 
         one = arrow_map(docs.select("doc_id", "text"), run, schema)
+        if several:  # one part's indexes are held at a time
+            one = staged(one, "leaks")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     best = F.max(F.struct("score", (-F.col("word_at")).alias("before"), "question_overlap", "answer_overlap")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.before")).alias("word_at"), "best.score", "best.question_overlap", "best.answer_overlap")
