@@ -5,7 +5,7 @@ cue word; cue words are all words of the training phrases but function words, ho
 one has no feature and is no licence. That makes the search for cue words an exact filter: the classifier sees every paragraph that
 could score, and its weights judge the frequent words.
 
-The classifier is a multinomial logistic regression with sparse (L1) weights, fitted on phrases of each family, on phrases about
+The classifier is a multinomial logistic regression with sparse (L1) weights, fitted on phrases of each family, on names and phrases of
 licences of no known family (class `unknown`), and on ordinary uses of the same words and background paragraphs (class `none`).
 A temperature fitted on held-out phrases calibrates its probabilities. A family stands if its calibrated probability is at least
 `ACCEPT` and the words of one of its templates lie in the paragraph to `CONFIRM`; a paragraph that is no `none` but fails
@@ -46,10 +46,15 @@ TEMPLATES: dict[str, list[str]] = {
     "cc0": ["CC0 1.0 Universal", "dedicated to the public domain under CC0", "Creative Commons Zero license"],
     "proprietary": ["All rights reserved", "Unauthorized copying of this file is strictly prohibited", "proprietary and confidential, all rights reserved"],
 }
+# Names of other licences, which teach the class `unknown` what any licence's name looks like.
+UNKNOWN_NAMES = ["ISC License", "The Unlicense", "Eclipse Public License 2.0", "EPL-2.0 license", "EUPL-1.2", "Boost Software License 1.0", "zlib License", "Open Database License (ODbL) v1.0", "ODbL-1.0", "SIL Open Font License 1.1", "OFL-1.1 license", "Artistic License 2.0", "CDDL-1.0", "PostgreSQL License", "Python Software Foundation License", "Common Public License Version 1.0", "Microsoft Reciprocal License", "Open Government Licence v3.0"]
 FRAMES = ["{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}", "Distributed under the terms of the {}", "SPDX-License-Identifier: {}", "Copyright (c) 2020 the authors. {}.", "The code is available under the {}; see the LICENSE file.", "This project is released under {} terms"]
 OTHER = ["Licensed under the Example Vendor License.", "This software is subject to a custom licence agreement", "See the LICENSE file for details", "Released under the Garden Tools License", "Distributed under the terms of the Harbour Data Licence, version 1", "Use is governed by the end user license agreement", "Licensed under terms to be agreed", "This dataset is licensed under a research-only licence", "Copyright held by the authors", "SPDX-License-Identifier: LicenseRef-Custom"]
 ORDINARY = ["She renewed her driving license at the office", "the license plate of the car", "He was licensed as a doctor last year", "they released the new version of the film", "under the terms of the treaty", "the Apache helicopter landed", "students at MIT built a robot", "a general public meeting was held", "the public library is open", "creative work is common in schools", "a license fee must be paid for television", "permission was granted by the mayor", "all tickets were reserved", "the rights of workers are protected", "copyright law changed in the last century", "he attributed it to the commons", "the file is on the desk", "see the details of the project", "zero degrees in the universal scale", "version 2.0 of the report", "a clause in the contract"]
 
+ORDINARY_KINDS = ["driving", "driver's", "fishing", "hunting", "marriage", "pilot", "radio", "teaching"]
+ORDINARY_FRAMES = ["renewed the {} license at the office", "the {} license was taken away", "a {} license costs money", "he holds a {} licence"]
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -70,6 +75,8 @@ def grams(words: Column, cues: Column) -> Column:
 def training_phrases(spark: SparkSession) -> DataFrame:
     """label, text of the fixed phrases."""
     rows = [(family, frame.format(t)) for family, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
+    rows += [(UNKNOWN, frame.format(name)) for name in UNKNOWN_NAMES for frame in FRAMES]
+    rows += [(NONE, frame.format(kind)) for kind in ORDINARY_KINDS for frame in ORDINARY_FRAMES]
     rows += [(UNKNOWN, t) for t in OTHER] * 3 + [(NONE, t) for t in ORDINARY] * 3
     return spark.createDataFrame(rows, "label string, text string").coalesce(1)
 
@@ -79,7 +86,7 @@ def units(docs: DataFrame) -> DataFrame:
     clean = F.translate("text", "\x01\x02", "  ")
     marked = F.transform(F.split(clean, "\n"), lambda line, i: F.when(line.rlike(r"^\s*$"), F.lit("\x02")).otherwise(F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x01"), line)))
     cut = F.split(F.array_join(marked, "\n"), r"\x02|(?<=[.!?])\s+(?=(?:\x01\d+\x01)?\s*\p{Lu})")
-    wrapped = F.filter(F.transform(cut, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.contains("\n"))
+    wrapped = F.filter(F.transform(cut, lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x.contains("\n"))
     number = lambda x, at: F.element_at(F.split(x, "\x01"), at).cast("int")
     # a piece that starts inside a line has the number of the next line first
     sentences = F.transform(wrapped, lambda x: F.struct((number(x, 2) - F.when(x.startswith("\x01"), 0).otherwise(1)).alias("paragraph"), number(x, -2).alias("last"), F.regexp_replace(x, r"\n?\x01\d+\x01", " ").alias("text")))
@@ -141,7 +148,8 @@ def train(docs: DataFrame) -> Scanner:
     m = plain.where("marked AND last > paragraph").select(F.col("row").alias("in_row"), F.col("paragraph").alias("first_line"), F.col("last").alias("last_line"))
     within = (F.col("row") == F.col("in_row")) & (F.col("paragraph") >= F.col("first_line")) & (F.col("last") <= F.col("last_line"))
     unmarked = plain.where("NOT marked AND last = paragraph").join(m, within, "left_anti").select("label", "text", "words")
-    rows = phrases.unionByName(unmarked.limit(BACKGROUND_ROWS)).select(number.alias("label"), "text", grams(F.col("words"), F.array(*map(F.lit, cues))).alias("grams"))
+    chosen = unmarked.orderBy(F.xxhash64("text", F.lit("licence background")), F.md5("text")).limit(BACKGROUND_ROWS)  # whatever the partitioning
+    rows = phrases.unionByName(chosen).select(number.alias("label"), "text", grams(F.col("words"), F.array(*map(F.lit, cues))).alias("grams"))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5))).coalesce(2).cache()
     vectors = CountVectorizer(inputCol="grams", outputCol="features", minDF=2, binary=True, vocabSize=1 << 14).fit(rows)
     model = LogisticRegression(family="multinomial", regParam=2e-5, elasticNetParam=0.5, maxIter=100, standardization=False).fit(vectors.transform(rows.where("fold > 0")).select("label", "features"))
@@ -155,7 +163,7 @@ def train(docs: DataFrame) -> Scanner:
 
 def _names() -> list[str]:
     """Words that name a licence or stand in notices only; background paragraphs with one are not taken for ordinary ones."""
-    return ["license", "licence", "licensed", "licenses", "copyright", "reserved", "spdx", "apache", "gnu", "mit", "cc", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "affero", "bsd", "mpl", "mozilla", "cc0", "sharealike", "noncommercial", "redistribution", "redistributions", "hereby"]
+    return ["license", "licence", "licensed", "licenses", "copyright", "reserved", "spdx", "apache", "gnu", "mit", "cc", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "affero", "bsd", "mpl", "mozilla", "cc0", "sharealike", "noncommercial", "unlicense", "isc", "epl", "eupl", "zlib", "odbl", "ofl", "cddl", "redistribution", "redistributions", "hereby"]
 
 
 def _never() -> set[str]:
