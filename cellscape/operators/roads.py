@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellscape.components import LOCAL_EDGES as LOCAL_COMPONENT_EDGES
 from cellscape.components import components, staged
 from cellscape.functions import scores as S
 from cellscape.operators import spatial
+from cellscape.operators.parts import PART_NODES, paths_by_parts, spread
 from cellscape.shipping import ship
 
 # Speeds in km/h by class, classes left out, vehicular and arterial classes, limits.
@@ -25,7 +27,7 @@ VEHICULAR = ["trunk", "trunk_link", "primary", "primary_link", "secondary", "sec
 ARTERIAL = ["trunk", "trunk_link", "primary", "primary_link"]
 MAX_SNAP_M, WALKING_KMH = 3000.0, 4.0
 LOCAL_EDGES = 200_000
-"""Up to so many edges one task relaxes all of them in memory; beyond it rounds of joins do. Both give the same distances."""
+"""Up to so many edges one task walks the whole network; beyond it a task walks a part. Both give the same distances."""
 _SHIFT, _HALF = 1 << 31, 1 << 30
 
 
@@ -92,9 +94,9 @@ def network_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", node_x(F.col("node")).alias("x"), node_y(F.col("node")).alias("y"))
 
 
-def network_components(edges: DataFrame) -> DataFrame:
-    """(component, nodes) sizes of an edge table (u, v)."""
-    return components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).groupBy("component").agg(F.count("*").alias("nodes"))
+def network_components(edges: DataFrame, local_edges: int = LOCAL_COMPONENT_EDGES) -> DataFrame:
+    """(component, nodes) sizes of an edge table (u, v); local_edges is that of `components`."""
+    return components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), local_edges=local_edges).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
 def network_health(edges: DataFrame) -> DataFrame:
@@ -108,18 +110,6 @@ def terminal_nodes(edges: DataFrame) -> DataFrame:
     return edges.where("is_arterial").select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def _relaxed(u: np.ndarray, v: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Distances of all nodes 0..n from the starts (infinite where nothing leads), by rounds over all edges."""
-    dist = np.full(int(max(u.max(initial=-1), v.max(initial=-1), starts.max(initial=-1))) + 1, np.inf)
-    dist[starts] = 0.0
-    while True:
-        before = dist.copy()
-        np.minimum.at(dist, v, before[u] + w)
-        np.minimum.at(dist, u, before[v] + w)
-        if (dist == before).all():
-            return dist
-
-
 def _local_paths(edges: DataFrame, sources: DataFrame, weights: list[str]) -> DataFrame:
     """The paths of a small network in one task: its edges and starts in one group."""
     rows = edges.select("u", "v", F.array(*[F.col(w).cast("double") for w in weights]).alias("w"), F.lit(None).cast("string").alias("set"))
@@ -133,13 +123,15 @@ def _local_paths(edges: DataFrame, sources: DataFrame, weights: list[str]) -> Da
         edge = both.filter(both.column("v").is_valid())
         start = both.filter(both.column("v").is_null())
         u, v = edge.column("u").to_numpy(), edge.column("v").to_numpy()
-        w = edge.column("w").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
+        w = edge.column("w").combine_chunks().flatten().to_numpy().reshape(len(u), len(weights))
         at, names = start.column("u").to_numpy(), np.array(start.column("set").to_pylist(), dtype=object)
         nodes, code = np.unique(np.concatenate((u, v, at)), return_inverse=True)
         u, v, at = code[: len(u)], code[len(u) : 2 * len(u)], code[2 * len(u) :]
         for name in sorted(set(names)):
             for k, weight in enumerate(weights):
-                dist = _relaxed(u, v, w[:, k], at[names == name])
+                dist = np.full(len(nodes), np.inf)
+                dist[at[names == name]] = 0.0
+                dist = spread(np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((w[:, k], w[:, k])), dist)
                 hit = np.flatnonzero(np.isfinite(dist))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit)), pa.array([weight] * len(hit)), pa.array(nodes[hit]), pa.array(dist[hit])], names=["set", "weight", "node", "dist"])
 
@@ -147,54 +139,15 @@ def _local_paths(edges: DataFrame, sources: DataFrame, weights: list[str]) -> Da
     return rows.coalesce(1).mapInArrow(solve, "set string, weight string, node long, dist double")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weights: list[str], max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, weights: list[str], max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES, part_nodes: int = PART_NODES) -> DataFrame:
     """(set, weight, node, dist) from sources (set, node): the paths by every weight from every set at once.
 
-    A small network is relaxed by one task. Else rounds first double the reach: shortcut edges u-w of two edges join the graph's
-    degree-2 chains, so a chain of n edges takes about log2(n) contractions; then distances relax over what is left, and spread
-    back over the contracted nodes. Too many rounds are an error.
+    A small network is walked by one task, a larger one part by part (parts.paths_by_parts) with the same distances.
     """
     slim = staged(edges.select("u", "v", *weights), "paths-edges")
     if slim.count() <= local_edges:
         return staged(_local_paths(slim, sources.select("set", "node").distinct(), weights), "paths-dist")
-    names = [f"w{k}" for k in range(len(weights))]
-    mins = [F.min(n).alias(n) for n in names]
-    costs = [F.col(w).cast("double").alias(n) for w, n in zip(weights, names, strict=True)]
-    both = slim.select("u", "v", *costs).unionByName(slim.select(F.col("v").alias("u"), F.col("u").alias("v"), *costs))
-    graph = staged(both.where(F.col("u") != F.col("v")).groupBy("u", "v").agg(*mins), "paths-graph")
-    kept = sources.select("node").distinct()
-    back: list[DataFrame] = []
-    for _ in range(64):
-        degree = graph.groupBy("u").agg(F.count("*").alias("n"), F.min(F.struct("v", *names)).alias("a"), F.max(F.struct("v", *names)).alias("b"))
-        inner = degree.where(F.col("n") == 2).join(kept.withColumnRenamed("node", "u"), "u", "left_anti")
-        coin = F.xxhash64("u", F.lit(len(back)))
-        marked = inner.select(F.col("u").alias("v")).withColumn("h", F.xxhash64("v", F.lit(len(back))))
-        around = graph.join(marked, "v").groupBy("u").agg(F.max("h").alias("most"))
-        chosen = staged(inner.join(around, "u", "left").where(F.col("most").isNull() | (coin > F.col("most"))), "paths-chosen")  # no two neighbours
-        if not chosen.head(1):
-            break
-        back.append(chosen)
-        cut = graph.join(chosen.select("u"), "u", "left_anti").join(chosen.select(F.col("u").alias("v")), "v", "left_anti")
-        joined = chosen.select(F.col("a.v").alias("u"), F.col("b.v").alias("v"), *[(F.col(f"a.{n}") + F.col(f"b.{n}")).alias(n) for n in names])
-        joined = joined.unionByName(joined.select(F.col("v").alias("u"), F.col("u").alias("v"), *names))
-        graph = staged(cut.select("u", "v", *names).unionByName(joined).groupBy("u", "v").agg(*mins), "paths-graph", instead_of=graph)
-    by_weight = F.explode(F.array(*[F.lit(w) for w in weights]))
-    cost = lambda e="": F.element_at(F.create_map(*[x for w, n in zip(weights, names, strict=True) for x in (F.lit(w), F.col(f"{e}{n}"))]), F.col("weight"))
-    dist = staged(sources.select("set", by_weight.alias("weight"), "node", F.lit(0.0).alias("dist")).distinct(), "paths-dist")
-    front, keys = dist, ["set", "weight", "node"]
-    for _ in range(max_rounds):
-        reached = front.join(graph.withColumnRenamed("u", "node"), "node").groupBy("set", "weight", F.col("v").alias("node")).agg(F.min(F.col("dist") + cost()).alias("new"))
-        front = staged(reached.join(dist, keys, "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select(*keys, F.col("new").alias("dist")), "paths-front")
-        if not front.head(1):
-            break
-        dist = staged(dist.unionByName(front).groupBy(*keys).agg(F.min("dist").alias("dist")), "paths-dist", instead_of=dist)
-    else:
-        raise RuntimeError(f"paths not settled after {max_rounds} rounds")
-    for chosen in reversed(back):
-        ends = chosen.select("u", F.explode(F.array("a", "b")).alias("e")).select("u", F.col("e.v").alias("node"), *[F.col(f"e.{n}").alias(n) for n in names])
-        inside = ends.join(dist, "node").groupBy("set", "weight", "u").agg(F.min(F.col("dist") + cost()).alias("dist")).select("set", "weight", F.col("u").alias("node"), "dist")
-        dist = staged(dist.unionByName(inside), "paths-dist", instead_of=dist)  # else each level would run the ones before it twice
-    return dist
+    return paths_by_parts(slim, sources, weights, node_x(F.col("node")), node_y(F.col("node")), part_nodes, max_rounds)
 
 
 def pair_path(edges: DataFrame, a: int, b: int, weight: str = "length_m") -> DataFrame:

@@ -604,13 +604,28 @@ def _(spark, d):
 _SETS = "SELECT 'a' AS set, u AS node FROM mixed WHERE u % 211 = 0 UNION SELECT 'b', u FROM mixed WHERE u % 500 = 1 UNION SELECT 'c', u FROM mixed WHERE u = (SELECT min(u) FROM mixed)"
 
 
-@query("R5_shortest_paths", sql("SELECT set, weight, node, round(dist, 6) AS dist FROM paths", "mixed", last=paths("mixed", _SETS)))
-def _(spark, d):
+def _paths(spark: SparkSession, d: str, **how) -> DataFrame:
     edges = _mixed(spark, d)
     least = edges.agg(F.min("u").alias("node"))
     some = lambda name, c: edges.where(c).select(F.lit(name).alias("set"), F.col("u").alias("node"))
     starts = some("a", "u % 211 = 0").unionByName(some("b", "u % 500 = 1")).unionByName(least.select(F.lit("c").alias("set"), "node")).distinct()
-    return roads.shortest_paths(edges, starts, ["length_m", "minutes"]).select("set", "weight", "node", F.round("dist", 6).alias("dist"))
+    return roads.shortest_paths(edges, starts, ["length_m", "minutes"], **how).select("set", "weight", "node", F.round("dist", 6).alias("dist"))
+
+
+@query("R5_shortest_paths", sql("SELECT set, weight, node, round(dist, 6) AS dist FROM paths", "mixed", last=paths("mixed", _SETS)))
+def _(spark, d):
+    return _paths(spark, d)
+
+
+@query("R5_paths_by_parts", sql("SELECT set, weight, node, round(dist, 6) AS dist FROM paths", "mixed", last=paths("mixed", _SETS)))
+def _(spark, d):
+    """However small the network, cut into parts of 400 nodes."""
+    return _paths(spark, d, local_edges=0, part_nodes=400)
+
+
+@query("R3_components_by_joins", sql("SELECT root AS component, count(*) AS nodes FROM flood0 GROUP BY root", "vnet", last=_flood("vnet")))
+def _(spark, d):
+    return roads.network_components(roads.lines_to_edges(P.lines(spark, d), vehicular_only=True), local_edges=0)
 
 
 @query("R7_pair_path", sql("SELECT count(*) > 0 AS connected, round(min(dist), 6) AS dist FROM paths WHERE node = (SELECT max(v) FROM mixed)", "mixed", last=paths("mixed", "SELECT 'pair' AS set, (SELECT min(u) FROM mixed) AS node", ("length_m",))))

@@ -291,13 +291,13 @@ def test_lines_to_edges(spark):
     assert {(r.x, r.y) for r in roads.network_nodes(edges).collect()} == {(0.0, 0.0), (3.0, 4.0)}
 
 
-@pytest.mark.parametrize("local_edges", [0, 1000])
-def test_shortest_paths(spark, local_edges):
+@pytest.mark.parametrize(("local_edges", "part_nodes"), [(0, 7), (0, 1000), (1000, 1000)])
+def test_shortest_paths(spark, local_edges, part_nodes):
     rng = random.Random(5)
     edges = [(i, i + 1, rng.uniform(1, 9), rng.uniform(1, 9)) for i in range(60) if i % 20 != 19] + [(rng.randrange(60), rng.randrange(60), rng.uniform(5, 30), rng.uniform(5, 30)) for _ in range(12)] + [(900, 901, 1.0, 1.0)]
     edges = list({(min(u, v), max(u, v)): (u, v, a, b) for u, v, a, b in edges if u != v}.values())
-    starts = [("s", 0), ("s", 33), ("t", 5)]
-    got = roads.shortest_paths(spark.createDataFrame(edges, "u long, v long, length_m double, minutes double"), spark.createDataFrame(starts, "set string, node long"), ["length_m", "minutes"], local_edges=local_edges)
+    starts = [("s", 0), ("s", 33), ("t", 5), ("t", 5000)]  # the last has no edge
+    got = roads.shortest_paths(spark.createDataFrame(edges, "u long, v long, length_m double, minutes double"), spark.createDataFrame(starts, "set string, node long"), ["length_m", "minutes"], local_edges=local_edges, part_nodes=part_nodes)
     want = {}
     for s in "st":
         for k, w in ((2, "length_m"), (3, "minutes")):
@@ -311,6 +311,29 @@ def test_shortest_paths(spark, local_edges):
     assert {(r.set, r.weight, r.node): r.dist for r in got.collect()} == want
 
 
+def test_paths_of_a_lattice_take_few_rounds(spark):
+    """10,000 nodes in 9 parts: paths of over 200 edges settle in rounds that grow with the parts, at exactly one task's distances."""
+    side = 100
+    spot = lambda r, c: roads.node(c * 60.0, -r * 60.0)
+    cells = spark.range(side * side).select(F.floor(F.col("id") / side).cast("long").alias("r"), (F.col("id") % side).alias("c"))
+    steps = F.array(F.struct((F.col("r") + 1).alias("r2"), F.col("c").alias("c2")), F.struct(F.col("r").alias("r2"), (F.col("c") + 1).alias("c2")))
+    lattice = cells.select("r", "c", F.explode(steps).alias("s")).where((F.col("s.r2") < side) & (F.col("s.c2") < side))
+    edges = lattice.select(spot(F.col("r"), F.col("c")).alias("u"), spot(F.col("s.r2"), F.col("s.c2")).alias("v"), (1 + F.pmod(F.xxhash64("r", "c", "s"), F.lit(1000)) / 7).alias("length_m"))
+    starts = edges.agg(F.min("u").alias("node")).select(F.lit("a").alias("set"), "node")
+    far = roads.shortest_paths(edges, starts, ["length_m"], max_rounds=12, local_edges=0, part_nodes=1200).toPandas().set_index("node")["dist"]
+    one = roads.shortest_paths(edges, starts, ["length_m"]).toPandas().set_index("node")["dist"]
+    assert len(one) == side * side and (far.sort_index() == one.sort_index()).all()
+    with pytest.raises(RuntimeError):
+        roads.shortest_paths(edges, starts, ["length_m"], max_rounds=1, local_edges=0, part_nodes=1200)
+
+
+def test_paths_of_an_empty_network(spark):
+    edges = spark.createDataFrame([], "u long, v long, length_m double")
+    starts = spark.createDataFrame([("a", 3)], "set string, node long")
+    for local_edges in (-1, 10):
+        assert [tuple(r) for r in roads.shortest_paths(edges, starts, ["length_m"], local_edges=local_edges).collect()] == [("a", "length_m", 3, 0.0)]
+
+
 def test_utm(spark):
     x, y = S.to_utm(F.lit(81.0), F.lit(0.0))
     assert [round(v, 6) for v in spark.range(1).select(x, y).first()] == [500000.0, 0.0]
