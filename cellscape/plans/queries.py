@@ -14,7 +14,7 @@ from cellscape import fixtures as fx
 from cellscape.components import checkpoint_folder
 from cellscape.functions import scores as S
 from cellscape.operators import facilities as fac
-from cellscape.operators import georef, grid, quality, roads, spatial, summaries, tiles, views
+from cellscape.operators import georef, grid, polygons, quality, roads, spatial, summaries, tiles, views
 from cellscape.operators import tables as T
 from cellscape.plans import pipelines as P
 from cellscape.plans.oracle import BAND, CLASS, FIXTURES, FLAG_COUNT, FLAGS, RECURSIVE, TIER, on_ground, paths, sql, warped
@@ -308,6 +308,59 @@ def _(spark, d):
     return found.groupBy("zone").agg(F.sum(F.size("a")).alias("sides"), F.sum(shoelace).cast("long").alias("area_m2"))
 
 
+# Corners, holes and parts of zones by counting the cells about each grid corner (Euler's number), parts by recursion.
+_QUADS = """
+four(id, root) AS (
+    SELECT row * 2147483648 + col, row * 2147483648 + col FROM kept_cells
+    UNION
+    SELECT n.row * 2147483648 + n.col, f.root FROM four f, (VALUES (1), (-1), (2147483648), (-2147483648)) o(step), kept_cells n
+    WHERE n.row * 2147483648 + n.col = f.id + o.step AND f.root < n.row * 2147483648 + n.col
+),
+parts AS (
+    SELECT zone, count(DISTINCT root) AS polygons
+    FROM (SELECT id, min(root) AS root FROM four GROUP BY id) f JOIN kept_cells k ON k.row * 2147483648 + k.col = f.id GROUP BY zone
+),
+quads AS (
+    SELECT zone, sum(1 << (o.dr * 2 + o.dc)) AS mask
+    FROM kept_cells k, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc) GROUP BY zone, k.row + o.dr, k.col + o.dc
+),
+turns AS (
+    SELECT zone, count(*) FILTER (WHERE mask IN (1, 2, 4, 8)) AS q1, count(*) FILTER (WHERE mask IN (7, 11, 13, 14)) AS q3,
+           count(*) FILTER (WHERE mask IN (6, 9)) AS qd FROM quads GROUP BY zone
+),
+outlines AS (
+    SELECT t.zone, p.polygons, p.polygons - (q1 - q3 + 2 * qd) // 4 AS holes, q1 + q3 + 2 * qd AS corners,
+           (SELECT count(*) * 900.0::DOUBLE FROM kept_cells k WHERE k.zone = t.zone) AS area_m2
+    FROM turns t JOIN parts p USING (zone)
+)
+"""
+
+
+def _outlines(spark: SparkSession, d: str, **how) -> DataFrame:
+    return polygons.multipolygons(polygons.polygons(P.red_zones(spark, d)[1], **how))
+
+
+@query("G8_polygons", sql("SELECT * FROM outlines", "kept_cells", last=_QUADS))
+def _(spark, d):
+    return _outlines(spark, d).select("zone", F.size("polygons").alias("polygons"), "holes", "corners", "area_m2")
+
+
+@query("G8_polygons_by_joins", sql("SELECT * FROM outlines", "kept_cells", last=_QUADS))
+def _(spark, d):
+    return _outlines(spark, d, local_edges=0, local_nodes=0).select("zone", F.size("polygons").alias("polygons"), "holes", "corners", "area_m2")
+
+
+@query("K1_zone_features", sql("SELECT zone, polygons, holes, corners, area_m2 FROM outlines", "kept_cells", last=_QUADS))
+def _(spark, d):
+    """The zones as written features, counted and measured from what is read back."""
+    path = _folder(spark, "zones")
+    io.write_geojson(_outlines(spark, d), path, "MultiPolygon", "polygons", ["zone"])
+    back = io.read_geojson(spark, path, "MultiPolygon", "polygons", "zone bigint").withColumn("rings", F.flatten("polygons"))
+    total = lambda f, start: F.aggregate("rings", start, lambda t, r: t + f(r))
+    corners, area = total(lambda r: F.size(r) - 1, F.lit(0)), total(polygons.shoelace, F.lit(0.0))
+    return back.select("zone", F.size("polygons").alias("polygons"), (F.size("rings") - F.size("polygons")).alias("holes"), corners.alias("corners"), area.alias("area_m2"))
+
+
 @query("G11_majority", sql("SELECT zone, dominant_code FROM area_code", "area_code"))
 def _(spark, d):
     return grid.majority(P.area_cells(spark, d))
@@ -1016,6 +1069,24 @@ def _(spark, d):
     return moved.select("village_id", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
+_NESTED = """
+corner AS (
+    SELECT facility_id AS area_id, r, cx + dx * r AS x, cy + dy * r AS y
+    FROM (SELECT facility_id, x AS cx, y AS cy FROM facility), (VALUES (100.125), (40.125)) s(r), (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)) o(dx, dy)
+)
+"""
+
+
+@query("P2_nested_geometry", sql("SELECT area_id, count(*) AS corners, round(sum(79.0::DOUBLE + x / 1500), 6) AS lon, round(sum(30.0::DOUBLE - y / 4500), 6) AS lat FROM corner GROUP BY area_id", "facility", last=_NESTED))
+def _(spark, d):
+    """Polygons in degrees, sent to metres and back inside their arrays."""
+    degrees = lambda x, y: (79.0 + x / 1500, 30.0 - y / 4500)
+    rings = fx.protected(spark, d).groupBy("area_id").agg(F.collect_list("ring").alias("rings"))
+    back = polygons.projected(polygons.projected(polygons.projected(rings, degrees), S.to_utm), S.from_utm)
+    corners = back.select("area_id", F.explode("rings").alias("ring")).select("area_id", F.explode(F.slice("ring", 1, 4)).alias("p"))
+    return corners.groupBy("area_id").agg(F.count("*").alias("corners"), F.round(F.sum("p.x"), 6).alias("lon"), F.round(F.sum("p.y"), 6).alias("lat"))
+
+
 @query("S2_K1_geojson_round_trip", sql("SELECT facility_id, name, x, y FROM facility", "facility"))
 def _(spark, d):
     path = _folder(spark, "facilities")

@@ -23,6 +23,39 @@ def write_geojson_points(points: DataFrame, path: str, properties: list[str]) ->
     points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("value")).write.text(path)
 
 
+DEPTH = {"Point": 0, "LineString": 1, "Polygon": 2, "MultiPolygon": 3}
+"""How many arrays lie about a position of each kind of geometry."""
+
+
+def write_geojson(features: DataFrame, path: str, kind: str, geometry: str, properties: list[str]) -> None:
+    """K1: one feature a line. The column geometry holds (x, y) structs in as many arrays as the kind (DEPTH) has."""
+
+    def positions(value: Column, depth: int) -> Column:
+        return F.transform(value, lambda v: positions(v, depth - 1)) if depth else F.array(value["x"], value["y"])
+
+    shape = F.struct(F.lit(kind).alias("type"), positions(F.col(geometry), DEPTH[kind]).alias("coordinates"))
+    features.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("value")).write.text(path)
+
+
+def read_geojson(spark: SparkSession, path: str, kind: str, geometry: str, properties: str) -> DataFrame:
+    """The features of a kind, one a line or in collections, as properties (a DDL schema) and geometry: (x, y) structs in arrays.
+
+    Features of other kinds in the same files are left out, so a mixed file is read a kind at a time.
+    """
+    feature = f"struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>"
+    rows = spark.read.schema(f"type string, features array<{feature}>, properties struct<{properties}>, geometry struct<type: string, coordinates: string>").json(path)
+    one = F.array(F.struct("properties", "geometry"))
+    found = rows.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one)).alias("f")).where(F.col("f.geometry.type") == kind)
+
+    def points(value: Column, depth: int) -> Column:
+        if depth:
+            return F.transform(value, lambda v: points(v, depth - 1))
+        return F.struct(F.get(value, F.lit(0)).alias("x"), F.get(value, F.lit(1)).alias("y"))
+
+    nested = "array<" * (DEPTH[kind] + 1) + "double" + ">" * (DEPTH[kind] + 1)
+    return found.select("f.properties.*", points(F.from_json("f.geometry.coordinates", nested), DEPTH[kind]).alias(geometry))
+
+
 ELEMENT = "struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>, nodes: array<bigint>>"
 
 
