@@ -159,6 +159,15 @@ def record_errors(df: DataFrame, key: str, required: list[str], enums: dict[str,
     return df.select(key, F.array_compact(F.array(*says)).alias("errors")).where(F.size("errors") > 0)
 
 
+def duplicates_documented(merged: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Q20: every event that was merged (pairs: key and its leader) is told by its leader's row of merged, once and with its offset."""
+    told = merged.select(F.col(key).alias("leader"), F.explode("duplicates").alias("d")).select("leader", F.col("d.event").alias(key), F.col("d.spatial_offset_m").isNotNull().alias("_offset"))
+    gone = pairs.where(F.col("leader") != F.col(key)).select("leader", key, F.lit(True).alias("_gone"))
+    both = told.groupBy("leader", key).agg(F.count("*").alias("_n"), F.bool_and("_offset").alias("_offset")).join(gone, ["leader", key], "full")
+    bad = F.count_if(~F.coalesce((F.col("_n") == 1) & F.col("_offset") & F.col("_gone"), F.lit(False)))
+    return _row(both, "duplicates_documented", bad == 0, bad, "0")
+
+
 def demographics_known(df: DataFrame, expected_population: int) -> DataFrame:
     """Q21: the population comes from an exact code join, has no nulls and sums to the census; J7 takes it along only then."""
     coded, nulls, total = F.bool_and(F.col("join_method").contains("Exact code-based join")), F.count_if(F.col("tot_p").isNull()), F.sum("tot_p")

@@ -159,7 +159,30 @@ def pair_path(edges: DataFrame, a: int, b: int, weight: str = "length_m") -> Dat
 
 def nearest_road(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """Each point's nearest line (ties to the smaller seq) with its distance and attributes, defaults where they are missing."""
-    near = spatial.nearest(points, segments(lines), key, "seq", ["name", "ref", "highway", "surface", "is_vehicular"], shape="segment")
+    return _road_named(spatial.nearest(points, segments(lines), key, "seq", _ROAD, shape="segment"))
+
+
+def nearest_road_of_areas(cells: DataFrame, lines: DataFrame, key: str, cell: float = 30.0) -> DataFrame:
+    """The line nearest to each area, which is the squares of its cells (key, row, col), as nearest_road: 0 where one crosses it.
+
+    Only cells at an area's side are held against lines, but for a line that lies wholly inside, which no side cell would meet at 0.
+    """
+    zone = cells.select(F.col(key).alias("zone"), "row", "col")
+    squares = spatial.cell_centres(spatial.zone_sides(zone), cell).select(F.col("zone").alias(key), "x", "y")
+    parts = segments(lines)
+    near = spatial.nearest(squares, parts, key, "seq", _ROAD, digits=None, shape="segment", own=cell / 2).dropDuplicates([key])
+    inside = spatial.to_cell(parts, cell).join(zone, ["row", "col"]).select(F.col("zone").alias(key), "seq", *_ROAD, F.lit(0.0).alias("distance_m"))
+    told = F.struct("distance_m", "seq", *_ROAD)
+    best = near.unionByName(inside).where("seq IS NOT NULL").groupBy(key).agg(F.min(told).alias("b"))
+    all_ = zone.select(F.col("zone").alias(key)).distinct().join(best, key, "left")
+    return _road_named(all_.select(key, "b.seq", *[F.col(f"b.{c}") for c in _ROAD], F.bround("b.distance_m", 1).alias("distance_m")))
+
+
+_ROAD = ["name", "ref", "highway", "surface", "is_vehicular"]
+
+
+def _road_named(near: DataFrame) -> DataFrame:
+    """Attributes of the nearest line under the names of the report, defaults where they are missing."""
     defaults = {"name": "Unnamed Road", "ref": "None", "highway": "unknown", "surface": "unknown"}
     filled = near.fillna(defaults).fillna({"is_vehicular": False})
     names = {"distance_m": "dist_to_nearest_road_m", "name": "nearest_road_name", "ref": "nearest_road_ref", "highway": "nearest_road_highway_class", "surface": "nearest_road_surface", "is_vehicular": "nearest_road_is_vehicular"}
@@ -171,10 +194,11 @@ def snap(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return spatial.nearest(points, network_nodes(edges), key, "node", digits=None).withColumnRenamed("distance_m", "snap_m")
 
 
-def road_access(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+def road_access(points: DataFrame, lines: DataFrame, key: str, cells: DataFrame | None = None) -> DataFrame:
     """Points (key, x, y) with their nearest road, the way from the snapped node to the arterial network, category and isolation.
 
-    lines are roads with attributes (road_attributes); paths run over the vehicular ones.
+    lines are roads with attributes (road_attributes); paths run over the vehicular ones. Points that stand for areas come with these'
+    cells (key, row, col): the nearest road is then the area's, the way that from its point.
     """
     edges = staged(lines_to_edges(lines, vehicular_only=True), "road-edges")
     snapped = snap(points, edges, key)
@@ -185,7 +209,8 @@ def road_access(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     category = S.road_category(F.col("snap_m"), F.col("to_min"))
     out = met.select(key, F.bround("snap_m", 1).alias("road_snapping_distance_m"), F.coalesce(reached, F.lit(False)).alias("network_route_exists"), F.when(reached, F.col("to_m")).alias("network_distance_to_arterial_m"), F.when(reached, F.col("to_min")).alias("network_travel_time_to_arterial_min"), category.alias("road_accessibility_category"))
     out = out.withColumn("network_isolated_flag", S.road_isolated(F.col("road_accessibility_category")))
-    return nearest_road(points, lines, key).join(out, key)
+    near = nearest_road(points, lines, key) if cells is None else nearest_road_of_areas(cells, lines, key)
+    return near.join(out, key)
 
 
 def access_summary(access: DataFrame) -> DataFrame:

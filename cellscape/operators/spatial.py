@@ -44,12 +44,13 @@ def _met(around: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [*keys, "_s"])
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, payload: list[str] | None = None, digits: int | None = 1, by: str | None = None, shape: str = "point", half: float = 15.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, payload: list[str] | None = None, digits: int | None = 1, by: str | None = None, shape: str = "point", half: float = 15.0, own: float = 0.0) -> DataFrame:
     """Each left point's nearest right row: left_key, nearest right_key, distance_m and payload; ties to the smaller key.
 
     shape: right rows are points (x, y), square cells of `half` about x, y, or segments (x, y, x2, y2). by: a column of both sides
     (a set of right rows to look in) that has to be equal; the result has it too. Null coordinates find nothing. Distances are rounded
-    half to even to `digits`, after the choice.
+    half to even to `digits`, after the choice. own: left rows are squares of `own` about x, y, held against segments; a left key may
+    have several rows, of which the one nearest to its right row counts.
 
     The right rows of a set are cut into SLABS slabs of x, each into SLABS of y, at quantiles: boxes of about as many rows wherever
     these lie, crowded or alone. A point goes to the boxes whose near side is no further than the nearest box's far corner; points and
@@ -69,7 +70,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, pa
     here = left.where(known("x", "y", *([by] if by else []))).select(*keys, "x", "y", of_set.alias("_set"))
     cuts, bounds = _cuts(rows, shape, half if shape == "cell" else 0.0)
     boxed = rows.withColumn("_box", _box(rows, cuts))
-    looks = staged(_looks(here, bounds), "nearest-looks")
+    looks = staged(_looks(here, bounds, own * 2**0.5), "nearest-looks")
     crowded = looks.groupBy("_set", "_box").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("_parts")).where("_parts > 1")
     parts = F.coalesce("_parts", F.lit(1))
     dealt = looks.join(crowded, ["_set", "_box"], "left").withColumn("_s", F.pmod(F.xxhash64("x", "y"), parts).cast("int")).drop("_parts")
@@ -77,7 +78,7 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, pa
     ship(left.sparkSession)
     fields = [here.schema[k] for k in keys] + [T.StructField("_d", T.DoubleType())] + [rows.schema[c] for c in told]
     on = ["_set", "_box", "_s"]
-    met = dealt.groupBy(*on).cogroup(copies.groupBy(*on)).applyInArrow(_best_in_box(keys, told, shape, half), T.StructType(fields))
+    met = dealt.groupBy(*on).cogroup(copies.groupBy(*on)).applyInArrow(_best_in_box(keys, told, shape, half, own), T.StructType(fields))
     best = met.groupBy(*keys).agg(F.min(F.struct("_d", *told)).alias("_best"))
     d = F.col("_best._d")
     out = left.select(*keys).join(best, keys, "left")
@@ -135,8 +136,8 @@ SLACK = 1 + 1e-9
 """Bounds are compared with room for rounding."""
 
 
-def _looks(here: DataFrame, bounds: dict) -> DataFrame:
-    """Points once for each box (_box) that may hold their nearest row."""
+def _looks(here: DataFrame, bounds: dict, reach: float) -> DataFrame:
+    """Points, which reach so far about them, once for each box (_box) that may hold their nearest row."""
     shared = here.sparkSession.sparkContext.broadcast(bounds)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def _looks(here: DataFrame, bounds: dict) -> DataFrame:
                     mine = np.flatnonzero(sets == s)
                     box, *sides = shared.value[s]
                     near, far = _apart(x[mine], y[mine], sides)
-                    i, k = np.nonzero(near <= far.min(1)[:, None] * SLACK)
+                    i, k = np.nonzero(near - reach <= far.min(1)[:, None] * SLACK)
                     rows.append(mine[i])
                     ids.append(box[k])
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(np.concatenate(rows))).columns, pa.array(np.concatenate(ids))], names=[*batch.schema.names, "_box"])
@@ -158,7 +159,7 @@ def _looks(here: DataFrame, bounds: dict) -> DataFrame:
     return here.mapInArrow(look, T.StructType([*here.schema.fields, T.StructField("_box", T.LongType())]))
 
 
-def _best_in_box(keys: list[str], wanted: list[str], shape: str, half: float):
+def _best_in_box(keys: list[str], wanted: list[str], shape: str, half: float, own: float):
     """A task's function: of points and rows of a box to each point's nearest row there."""
 
     def best(points: pa.Table, rows: pa.Table) -> pa.Table:
@@ -167,7 +168,7 @@ def _best_in_box(keys: list[str], wanted: list[str], shape: str, half: float):
         else:
             rows = rows.take(_in_order(rows.column("_key")))
             sides = [rows.column(c).to_numpy() for c in ("_x", "_y", *(("_x2", "_y2") if shape == "segment" else ()))]
-            at, d = nearest_rows(points.column("x").to_numpy(), points.column("y").to_numpy(), sides, shape, half)
+            at, d = nearest_rows(points.column("x").to_numpy(), points.column("y").to_numpy(), sides, shape, half, own)
         found = rows.select(wanted).take(pa.array(at))
         return pa.table([*[points.column(k) for k in keys], pa.array(d), *found.columns], names=[*keys, "_d", *wanted])
 
@@ -180,7 +181,7 @@ def _in_order(key: pa.ChunkedArray) -> pa.Array:
     return pc.sort_indices(parts, sort_keys=[(c, "ascending") for c in parts.column_names], null_placement="at_start")
 
 
-def nearest_rows(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], shape: str, half: float) -> tuple[np.ndarray, np.ndarray]:
+def nearest_rows(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], shape: str, half: float, own: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(place of the nearest row, its distance) of each point; of equals the first. Rows are cut into boxes of LEAF at most by x, then y."""
     rx, ry, n = sides[0], sides[1], len(sides[0])
     slabs = max(1, int(np.ceil(np.sqrt(n / LEAF))))
@@ -194,14 +195,15 @@ def nearest_rows(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], shape: s
     for begin in range(0, len(x), 1024):
         px, py = x[begin : begin + 1024], y[begin : begin + 1024]
         near, far = _apart(px, py, box)
-        look = near <= far.min(1)[:, None] * SLACK
-        for k, own in enumerate(leaves):
+        look = near - own * 2**0.5 <= far.min(1)[:, None] * SLACK
+        for k, leaf in enumerate(leaves):
             mine = np.flatnonzero(look[:, k])
             if len(mine):
-                own = np.sort(own)
-                d = _distances(px[mine], py[mine], [c[own] for c in sides], shape, half)
+                leaf = np.sort(leaf)
+                some = [c[leaf] for c in sides]
+                d = _from_squares(px[mine], py[mine], some, own) if own else _distances(px[mine], py[mine], some, shape, half)
                 first = d.argmin(1)
-                value, place = d[np.arange(len(mine)), first], own[first]
+                value, place = d[np.arange(len(mine)), first], leaf[first]
                 mine += begin
                 better = (value < best[mine]) | ((value == best[mine]) & (place < at[mine]))
                 best[mine[better]], at[mine[better]] = value[better], place[better]
@@ -223,6 +225,20 @@ def _distances(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], shape: str
     return np.sqrt(dx * dx + dy * dy)
 
 
+def _from_squares(x: np.ndarray, y: np.ndarray, sides: list[np.ndarray], own: float) -> np.ndarray:
+    """Distances of squares of `own` about x, y from segments: 0 where one crosses, else an end or a corner is the nearest place."""
+    px, py = sides[0] - x[:, None], sides[1] - y[:, None]
+    ends = [np.hypot(np.maximum(np.abs(px + ex) - own, 0.0), np.maximum(np.abs(py + ey) - own, 0.0)) for ex, ey in ((0.0, 0.0), (sides[2] - sides[0], sides[3] - sides[1]))]
+    corners = [_distances(x + i, y + j, sides, "segment", 0.0) for i in (-own, own) for j in (-own, own)]
+    enter, leave = np.zeros(px.shape), np.ones(px.shape)
+    for p, e in ((px, sides[2] - sides[0]), (py, sides[3] - sides[1])):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a, b = (-own - p) / e, (own - p) / e
+        enter = np.maximum(enter, np.where(e == 0, np.where(np.abs(p) <= own, 0.0, 2.0), np.minimum(a, b)))
+        leave = np.minimum(leave, np.where(e == 0, 1.0, np.maximum(a, b)))
+    return np.where(enter <= leave, 0.0, np.minimum.reduce([*ends, *corners]))
+
+
 def within_radius(left: DataFrame, right: DataFrame, left_key: str, radii: dict[str, float], groups: dict[str, Column] | None = None) -> DataFrame:
     """Inclusive counts of right points about each left point, one column a radius (and group, a condition on right's columns)."""
     size = max(radii.values())

@@ -128,6 +128,27 @@ def band_shares(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
     return F.broadcast(legend).join(counts, "band", "left").fillna(0).withColumn("pct", pct(F.col("n"), F.sum("n").over(W.partitionBy()), 1))
 
 
+def distance_quantiles(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
+    """(measure, total, n, min, p25, median, p75, max) of each column's known values, rounded half to even: distances told to 0.1 have quartiles to 0.025."""
+    out = None
+    for c in columns:
+        ends = df.agg(F.count("*").alias("total"), F.count(c).alias("n"), F.bround(F.min(c), digits).alias("min"), F.bround(F.max(c), digits).alias("max"))
+        row = ends.join(T.percentiles(df, c, [25, 50, 75], 9)).select(F.lit(c).alias("measure"), "total", "n", "min", F.bround("p25", digits).alias("p25"), F.bround("p50", digits).alias("median"), F.bround("p75", digits).alias("p75"), "max")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+AREA_RECORD = [
+    "area_id", "area_hectares", "mean_slope", "slope_context", "terrain_context", "flood_context", "hazard_buffer_context", "area_scale_context", "hazard_distance_m", "nearest_village_name",
+    "nearest_village_pop", "estimated_household_capacity", "estimated_population_capacity", "dominant_land_cover", "road_accessibility_category",
+]
+
+
+def area_records(areas: DataFrame, access: DataFrame) -> DataFrame:
+    """A record an area of its contexts, capacity and road access, as rows rather than one list."""
+    return areas.join(access.select("area_id", "road_accessibility_category"), "area_id", "left").withColumn("area_hectares", F.bround(F.col("area_m2") / 10_000, 4)).select(*AREA_RECORD)
+
+
 def layer_profile(cells: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """One row of a layer's cells: NoData, NaN, infinite and valid ones, coverage, statistics, values out of a range."""
     v = F.col(value).cast("double")

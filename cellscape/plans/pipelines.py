@@ -9,7 +9,7 @@ from cellscape import fixtures as fx
 from cellscape.components import staged
 from cellscape.functions import scores as S
 from cellscape.operators import facilities as facility_ops
-from cellscape.operators import grid, roads, spatial, summaries, tiles, views
+from cellscape.operators import grid, quality, roads, spatial, summaries, tiles, views
 from cellscape.operators import tables as T
 from cellscape.operators.georef import GEOGRAPHIC, METRIC, Grid, Layer, co_registered, warp
 
@@ -126,15 +126,30 @@ def area_cells(spark: SparkSession, d: str) -> DataFrame:
     return staged(grid.zones(staged(open_, "area-mask"), keep=["slope", "terrain", "flood", "score", "code"]), "area-cells")
 
 
-def candidate_areas(spark: SparkSession, d: str) -> DataFrame:
-    """Areas of a mapping unit or more by size, with layer statistics, dominant land cover, nearest zone and nearest village."""
-    cells = area_cells(spark, d)
+CODED = "Exact code-based join"
+
+
+def population_known(at: DataFrame, census: DataFrame) -> bool:
+    """Q21: whether the villages' people may be told: they come by code, are never null and add up to those of the census rows meant."""
+    expected = census.agg(F.sum("tot_p")).first()[0] or 0
+    return quality.demographics_known(at, expected).first()["passed"]
+
+
+def candidate_areas(spark: SparkSession, d: str, cells: DataFrame | None = None, join_method: str = CODED) -> DataFrame:
+    """Areas of a mapping unit or more by size, with layer statistics, dominant land cover, nearest zone and nearest village.
+
+    The nearest village's people are told only if the demographics gate (Q21) lets them, else null.
+    """
+    cells = area_cells(spark, d) if cells is None else cells
     stats = grid.zone_summary(cells, CELL_M2, {"slope": "slope", "terrain": "terrain", "flood": "flood", "score": "score"}, digits=4)
     ranked = T.row_numbers(grid.kept_zones(stats, AREA_M2), [F.desc("area_m2"), F.col("zone")])
     areas = ranked.withColumn("area_id", F.format_string("CA-%04d", "rank")).join(grid.majority(cells), "zone", "left").withColumn("dominant_land_cover", T.land_cover_name(F.col("dominant_code")))
     areas = staged(spatial.cell_centres(areas.withColumnsRenamed({"mean_row": "row", "mean_col": "col"})).drop("row", "col"), "areas")
     near = spatial.nearest_zone(areas, red_zones(spark, d)[1], "area_id").select("area_id", F.col("zone").alias("nearest_zone"), F.col("distance_m").alias("hazard_distance_m"))
-    home = spatial.nearest(areas, villages(spark, d), "area_id", "village_id", ["name", "tot_p"])
+    at = staged(villages(spark, d), "area-villages")
+    placed = views.by_keys(fx.census(spark, d), {"level": "VILLAGE"}).join(fx.centroid(spark, d).select("village_id"), "village_id", "left_semi")
+    told = population_known(at.withColumn("join_method", F.lit(join_method)), placed)
+    home = spatial.nearest(areas, at if told else at.withColumn("tot_p", F.lit(None).cast(at.schema["tot_p"].dataType)), "area_id", "village_id", ["name", "tot_p"])
     home = home.select("area_id", F.col("village_id").alias("nearest_village"), F.col("name").alias("nearest_village_name"), F.col("tot_p").alias("nearest_village_pop"), F.col("distance_m").alias("nearest_village_m"))
     return areas.join(near, "area_id", "left").join(home, "area_id", "left")
 
@@ -158,6 +173,21 @@ def village_roads(spark: SparkSession, d: str) -> DataFrame:
     return roads.road_access(villages(spark, d), staged(lines(spark, d), "road-lines"), "village_id")
 
 
+def area_roads(spark: SparkSession, d: str, cells: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
+    """Candidate areas with the road nearest to their cells and the way from their centre to the arterial network."""
+    cells = area_cells(spark, d) if cells is None else cells
+    areas = staged(candidate_areas(spark, d, cells) if areas is None else areas, "road-areas")
+    own = cells.join(areas.select("zone", "area_id"), "zone").select("area_id", "row", "col")
+    return roads.road_access(areas, staged(lines(spark, d), "road-lines"), "area_id", staged(own, "road-area-cells"))
+
+
+def area_report(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate areas' records."""
+    cells = area_cells(spark, d)
+    areas = staged(area_context(candidate_areas(spark, d, cells)), "report-areas")
+    return summaries.area_records(areas, area_roads(spark, d, cells, areas))
+
+
 def mapped_facilities(spark: SparkSession, d: str) -> DataFrame:
     """Classified facilities with their ids."""
     return staged(facility_ops.facility_ids(facility_ops.classified(fx.tags(spark, d), "id"), "id"), "facility-ids")

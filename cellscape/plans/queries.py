@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellscape import fixtures as fx
-from cellscape.components import checkpoint_folder
+from cellscape.components import checkpoint_folder, staged
 from cellscape.functions import scores as S
 from cellscape.operators import facilities as fac
 from cellscape.operators import georef, grid, polygons, quality, roads, spatial, summaries, tiles, views
@@ -716,6 +716,48 @@ def _(spark, d):
     return P.village_roads(spark, d).select(*_ROAD_NAMES)
 
 
+_CELL_ROAD = """
+span AS (
+    SELECT c.area_id, s.x - (k.col + 0.5::DOUBLE) * 30 AS p, s.y + (k.row + 0.5::DOUBLE) * 30 AS q, s.x2 - s.x AS e, s.y2 - s.y AS f
+    FROM area_cells k JOIN cand c USING (zone) CROSS JOIN segs s
+),
+clip AS (
+    SELECT *, CASE WHEN e = 0 THEN CASE WHEN abs(p) <= 15 THEN 0 ELSE 2 END ELSE least((-15 - p) / e, (15 - p) / e) END AS x0,
+           CASE WHEN e = 0 THEN 1 ELSE greatest((-15 - p) / e, (15 - p) / e) END AS x1,
+           CASE WHEN f = 0 THEN CASE WHEN abs(q) <= 15 THEN 0 ELSE 2 END ELSE least((-15 - q) / f, (15 - q) / f) END AS y0,
+           CASE WHEN f = 0 THEN 1 ELSE greatest((-15 - q) / f, (15 - q) / f) END AS y1
+    FROM span
+),
+corner AS (SELECT *, unnest([-15, -15, 15, 15]) AS a, unnest([-15, 15, -15, 15]) AS b FROM clip),
+along AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((a - p) * e + (b - q) * f) / (e * e + f * f))) AS t FROM corner),
+area_road AS (
+    SELECT area_id, round_even(min(CASE WHEN greatest(0, x0, y0) <= least(1, x1, y1) THEN 0 ELSE least(
+        sqrt((a - p - t * e) * (a - p - t * e) + (b - q - t * f) * (b - q - t * f)),
+        sqrt(greatest(abs(p) - 15, 0) ** 2 + greatest(abs(q) - 15, 0) ** 2), sqrt(greatest(abs(p + e) - 15, 0) ** 2 + greatest(abs(q + f) - 15, 0) ** 2)) END), 1) AS dist_to_nearest_road_m
+    FROM along GROUP BY area_id
+)
+"""
+_AREA_ROADS = _ROADS.replace("village_id", "area_id").replace("FROM village v", "FROM cand v")
+
+
+@query("J8_C7_area_roads", sql("SELECT * FROM (" + _AREA_ROADS + ") JOIN area_road USING (area_id)", "cand", "segs", "vnet", "vnet_node", last=_ARTERIES + "," + _CELL_ROAD))
+def _(spark, d):
+    return P.area_roads(spark, d).select("area_id", *_ROAD_NAMES[1:], "dist_to_nearest_road_m")
+
+
+@query("A13_area_records", sql(f"SELECT area_id, round_even(area_m2 / 10000, 4) AS area_hectares, mean_slope, {_SLOPES} AS slope_context, hazard_distance_m, nearest_village_pop, estimated_household_capacity, r.road_accessibility_category FROM (SELECT *, {_CAP} FROM cand) JOIN cand_near USING (area_id) JOIN cand_home USING (area_id) JOIN ({_AREA_ROADS}) r USING (area_id)", "cand", "cand_near", "cand_home", "vnet", "vnet_node", last=_ARTERIES))
+def _(spark, d):
+    return P.area_report(spark, d).select("area_id", "area_hectares", "mean_slope", "slope_context", "hazard_distance_m", "nearest_village_pop", "estimated_household_capacity", "road_accessibility_category")
+
+
+_MEASURES = ["road_snapping_distance_m", "network_travel_time_to_arterial_min"]
+
+
+@query("A24_distance_quantiles", sql(" UNION ALL ".join(f"SELECT '{c}' AS measure, count(*) AS total, count({c}) AS n, round_even(min({c}), 3) AS min, round_even(quantile_cont({c}, 0.25), 3) AS p25, round_even(median({c}), 3) AS median, round_even(quantile_cont({c}, 0.75), 3) AS p75, round_even(max({c}), 3) AS max FROM ({_ROADS})" for c in _MEASURES), "village", "vnet", "vnet_node", last=_ARTERIES))
+def _(spark, d):
+    return summaries.distance_quantiles(staged(P.village_roads(spark, d), "village-roads"), _MEASURES)
+
+
 @query("A18_access_summary", sql("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE road_accessibility_category = '{c}') AS {c.lower()}" for c in S.ROAD_CATEGORIES) + f", round_even(avg(network_travel_time_to_arterial_min), 1) AS mean_travel_time_to_arterial_min, count(*) FILTER (WHERE road_accessibility_category IN ('ISOLATED_GRAPH_DISCONNECTED', 'SEVERELY_REMOTE')) AS isolated FROM ({_ROADS})", "village", "vnet", "vnet_node", last=_ARTERIES))
 def _(spark, d):
     return roads.access_summary(P.village_roads(spark, d)).drop("mean_dist_to_nearest_road_m")
@@ -1021,27 +1063,109 @@ def _(spark, d):
     return Q.suite(checks).select("check", "passed")
 
 
+def _rises(table: str, by: str, value: str) -> str:
+    return (
+        f"SELECT count(*) FILTER (WHERE lo < most - 1e-6) = 0 FROM (SELECT lo, max(hi) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most "
+        f"FROM (SELECT {by} AS k, min({value}) AS lo, max({value}) AS hi FROM {table} WHERE {by} IS NOT NULL AND {value} IS NOT NULL GROUP BY 1))"
+    )
+
+
+def _in_classes(by: str) -> str:
+    return (
+        f"SELECT coalesce(count(*) FILTER (WHERE lo < before) = 0, false) FROM (SELECT min(score) AS lo, lag(max(score)) OVER (ORDER BY c) AS before "
+        f"FROM (SELECT {_CLASS.format(by)} AS c, score FROM overlay) WHERE c IS NOT NULL GROUP BY c)"
+    )
+
+
+def _one_extent(shift: int) -> str:
+    extent = "SELECT min(row + {0}) AS a, max(row + {0}) AS b, min(col) AS c, max(col) AS d, count(*) AS n FROM {1}"
+    return f"SELECT count(*) = 1 FROM ({extent.format(0, 'g_dem')} UNION {extent.format(shift, 'g_lulc')})"
+
+
+def _ranked(score: str) -> str:
+    return (
+        "SELECT min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AND bool_and(s <= coalesce(before, s)) "
+        f"FROM (SELECT rank, {score} AS s, lag({score}) OVER (ORDER BY rank) AS before FROM kept_zone)"
+    )
+
+
+def _faces(turn: int) -> str:
+    aspect = f"CASE WHEN sqrt(gx * gx + gy * gy) < 1e-8 THEN -1.0 ELSE (90 - degrees(atan2(-gy, gx)) + 360) % 360 + {turn} END"
+    return (
+        "SELECT count(*) FILTER (WHERE NOT (a = -1 OR (a >= 0 AND a < 360)) OR (slope = 0 AND a <> -1)) = 0 "
+        f"FROM (SELECT {aspect} AS a, slope FROM grad JOIN slope USING (row, col) WHERE grad.elev IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL)"
+    )
+
+
+def _people(method: str, where: str) -> str:
+    return (
+        f"SELECT contains('{method}', 'Exact code-based join') AND count(*) FILTER (WHERE tot_p IS NULL) = 0 "
+        f"AND sum(tot_p) = (SELECT sum(tot_p) FROM census WHERE {where}) FROM village"
+    )
+
+
+_PLACED = "level = 'VILLAGE' AND village_id IN (SELECT village_id FROM centroid)"
 _LAYER_CHECKS = {
-    "monotone": "SELECT true", "classes_ordered": "SELECT true", "same_grid": "SELECT true", "all_classed": "SELECT true", "at_least": "SELECT min(area_m2) >= 5000 FROM kept_zone", "no_class_3": "SELECT count(*) FILTER (WHERE hazard_class = 3 AND excluded = 0) = 0 FROM screen",
-    "within_box": "SELECT bool_and(x BETWEEN 0 AND 3000 AND y BETWEEN -4500 AND 0) FROM village", "ranks_in_order": "SELECT true", "aspect_valid": "SELECT true", "demographics": "SELECT false", "network_connected": "SELECT max(n) * 100.0 / sum(n) >= 80 FROM (SELECT count(*) AS n FROM flood0 GROUP BY root)",
-}
+    "monotone": _rises("slope", "slope", "greatest(0.0::DOUBLE, least(1.0::DOUBLE, slope / 60.0::DOUBLE))"),
+    "monotone, another layer": _rises("overlay", "score", "ct"),
+    "classes_ordered": _in_classes("score"),
+    "classes_ordered, another layer": _in_classes("terrain"),
+    "same_grid": _one_extent(0),
+    "same_grid, a row off": _one_extent(1),
+    "all_classed": f"SELECT count(*) FILTER (WHERE score IS NOT NULL AND {_CLASS.format('score')} IS NULL) = 0 FROM overlay",
+    "all_classed, the highest left out": "SELECT count(*) FILTER (WHERE score >= 0.65) = 0 FROM overlay",
+    "at_least": "SELECT min(area_m2) >= 5000 FROM kept_zone",
+    "no_class_3": "SELECT count(*) FILTER (WHERE hazard_class = 3 AND excluded = 0) = 0 FROM screen",
+    "within_box": "SELECT bool_and(x BETWEEN 0 AND 3000 AND y BETWEEN -4500 AND 0) FROM village",
+    "ranks_in_order": _ranked("mean_score"),
+    "ranks_in_order, by area": _ranked("area_m2"),
+    "aspect_valid": _faces(0),
+    "aspect_valid, turned": _faces(200),
+    "demographics": _people("Exact code-based join", _PLACED),
+    "demographics, by name": _people("Name match", _PLACED),
+    "demographics, with towns": _people("Exact code-based join", "true"),
+    "network_connected": "SELECT max(n) * 100.0 / sum(n) >= 80 FROM (SELECT count(*) AS n FROM flood0 GROUP BY root)",
+}
 
 
 @query("Q_layers", sql(" UNION ALL ".join(f"SELECT '{k}' AS check, ({v}) AS passed" for k, v in _LAYER_CHECKS.items()), "kept_zone", "screen", "village", "vnet", last=_flood("vnet")))
 def _(spark, d):
+    """Every check on layers that it should pass, and (named so) on ones that it may not."""
     Q = quality
     dem, zones = fx.g_dem(spark, d), P.red_zones(spark, d)[0]
     o = _overlay(spark, d).withColumn("class", S.classify(F.col("score")))
-    sloped = grid.slope(dem).withColumn("terrain", S.linear_score(F.col("slope"), 0.0, 60.0))
+    sloped = grid.slope(dem).withColumn("linear", S.linear_score(F.col("slope"), 0.0, 60.0))
     faced = grid.aspect(dem).join(sloped.select("row", "col", "slope"), ["row", "col"])
     open_cells = P.screened(spark, d)[0].where("excluded = 0")
-    layer = lambda df, c: df.select("row", "col", F.col(c).alias("value"))
-    at = _villages(spark, d).withColumn("join_method", F.lit("Name match"))
-    checks = [Q.monotone(sloped, "slope", "terrain"), Q.classes_ordered(o, "class", "score"), Q.same_grid(spatial.aligned({"dem": layer(dem, "elev"), "cover": layer(fx.g_lulc(spark, d), "code")})), Q.all_classed(o, "score", "class"), Q.at_least(zones, "area_m2", P.ZONE_M2), Q.none_of(open_cells, F.col("hazard_class") == 3, "no_class_3")]
-    checks += [Q.within_box(at, (0.0, -4500.0, 3000.0, 0.0)), Q.ranks_in_order(zones, "rank", "mean_score"), Q.aspect_valid(faced), Q.demographics_known(at, 1), Q.network_connected(roads.network_health(roads.lines_to_edges(P.lines(spark, d), vehicular_only=True)))]
+    layer = lambda df, c, down=0: df.select((F.col("row") + down).alias("row"), "col", F.col(c).alias("value"))
+    cover = fx.g_lulc(spark, d)
+    census, at = fx.census(spark, d), _villages(spark, d).withColumn("join_method", F.lit(P.CODED))
+    people = lambda df: df.agg(F.sum("tot_p")).first()[0]
+    placed = people(census.where("level = 'VILLAGE'").join(fx.centroid(spark, d).select("village_id"), "village_id", "left_semi"))
+    named = lambda check, of: check.withColumn("check", F.concat("check", F.lit(f", {of}")))
+    checks = [Q.monotone(sloped, "slope", "linear"), named(Q.monotone(o, "score", "ct"), "another layer")]
+    checks += [Q.classes_ordered(o, "class", "score"), named(Q.classes_ordered(o.withColumn("class", S.classify(F.col("terrain"))), "class", "score"), "another layer")]
+    checks += [Q.same_grid(spatial.aligned({"dem": layer(dem, "elev"), "cover": layer(cover, "code")})), named(Q.same_grid(spatial.aligned({"dem": layer(dem, "elev"), "cover": layer(cover, "code", 1)})), "a row off")]
+    checks += [Q.all_classed(o, "score", "class"), named(Q.all_classed(o.withColumn("class", F.when(F.col("score") < 0.65, F.col("class"))), "score", "class"), "the highest left out")]
+    checks += [Q.at_least(zones, "area_m2", P.ZONE_M2), Q.none_of(open_cells, F.col("hazard_class") == 3, "no_class_3"), Q.within_box(at, (0.0, -4500.0, 3000.0, 0.0))]
+    checks += [Q.ranks_in_order(zones, "rank", "mean_score"), named(Q.ranks_in_order(zones, "rank", "area_m2"), "by area")]
+    checks += [Q.aspect_valid(faced), named(Q.aspect_valid(faced.withColumn("aspect", F.when(F.col("aspect") >= 0, F.col("aspect") + 200).otherwise(F.col("aspect")))), "turned")]
+    checks += [Q.demographics_known(at, placed), named(Q.demographics_known(at.withColumn("join_method", F.lit("Name match")), placed), "by name"), named(Q.demographics_known(at, people(census)), "with towns")]
+    checks += [Q.network_connected(roads.network_health(roads.lines_to_edges(P.lines(spark, d), vehicular_only=True)))]
     return Q.suite(checks).select("check", "passed")
 
 
+@query("Q20_duplicate_pairs", sql("SELECT o AS of, (SELECT count(*) = 0 FROM st WHERE leader <> id AND id % o = 0) AS passed FROM (VALUES (1000000000), (2)) v(o)", "incident", last=_DEDUP))
+def _(spark, d):
+    """Merged events against their leaders' rows: as they are, and with the even ones' rows lost."""
+    events = fx.incident(spark, d)
+    pairs = staged(spatial.dedup_events(events, "event_id", "hazard_type"), "pairs")
+    merged = spatial.merged_events(events, pairs, "event_id")
+    lost = merged.withColumn("duplicates", F.filter("duplicates", lambda e: e["event"] % 2 != 0))
+    checks = [quality.duplicates_documented(m, pairs, "event_id").select(F.lit(n).alias("of"), "passed") for n, m in ((1000000000, merged), (2, lost))]
+    return quality.suite(checks)
+
+
 @query("Q19_record_errors", sql("SELECT event_id, concat_ws('; ', CASE WHEN date IS NULL THEN 'missing required field: date' END, CASE WHEN fatalities IS NULL THEN 'missing required field: fatalities' END, CASE WHEN hazard_type NOT IN ('CLICK', 'VIEW', 'PURCHASE') THEN 'invalid hazard_type: ' || hazard_type END) AS errors FROM incident WHERE date IS NULL OR fatalities IS NULL OR hazard_type NOT IN ('CLICK', 'VIEW', 'PURCHASE')", "incident"))
 def _(spark, d):
     bad = quality.record_errors(fx.incident(spark, d), "event_id", ["date", "fatalities"], {"hazard_type": ["CLICK", "VIEW", "PURCHASE"]})

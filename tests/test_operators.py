@@ -5,6 +5,7 @@ import functools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +335,50 @@ def test_paths_of_an_empty_network(spark):
         assert [tuple(r) for r in roads.shortest_paths(edges, starts, ["length_m"], local_edges=local_edges).collect()] == [("a", "length_m", 3, 0.0)]
 
 
+def test_squares_from_segments():
+    """Against the least distance between many places of a segment and the square."""
+    rng = np.random.default_rng(2)
+    x, y, sides = rng.uniform(-60, 60, 40), rng.uniform(-60, 60, 40), [rng.uniform(-60, 60, 25) for _ in range(4)]
+    sides[2][:5], sides[3][5:10] = sides[0][:5], sides[1][5:10]  # upright and level ones
+    sides[2][10], sides[3][10] = sides[0][10], sides[1][10]  # and one that is a point
+    got = spatial._from_squares(x, y, sides, 15.0)
+    t = np.linspace(0, 1, 4001)[:, None, None]
+    px, py = sides[0] + t * (sides[2] - sides[0]) - x[:, None], sides[1] + t * (sides[3] - sides[1]) - y[:, None]
+    want = np.hypot(np.maximum(np.abs(px) - 15, 0), np.maximum(np.abs(py) - 15, 0)).min(0)
+    assert np.abs(got - want).max() < 0.05 and (got == 0).any() and (got > 10).any()
+
+
+def test_roads_of_areas(spark):
+    """A line inside an area, one that crosses another, one beside a third (the nearer of two), and a tie."""
+    cells = [("a", r, c) for r in range(5) for c in range(5)] + [("b", 20, 20)] + [("c", 40, c) for c in (1, 2, 3)] + [("d", 60, 10)]
+    line = lambda seq, *p: (seq, list(p), f"road {seq}", None, "track", None, True)
+    rows = [line(1, (70.0, -70.0), (80.0, -75.0)), line(2, (550.0, -615.0), (700.0, -615.0)), line(3, (140.0, -1240.0), (140.0, -1500.0)), line(4, (200.0, -1215.0), (300.0, -1215.0)), line(6, (350.0, -1815.0), (400.0, -1815.0)), line(5, (280.0, -1815.0), (100.0, -1815.0)), (7, None, None, None, None, None, None)]
+    lines = spark.createDataFrame(rows, "seq long, points array<struct<x: double, y: double>>, name string, ref string, highway string, surface string, is_vehicular boolean")
+    got = roads.nearest_road_of_areas(spark.createDataFrame(cells, "area_id string, row long, col long"), lines, "area_id")
+    assert {r.area_id: (r.nearest_road_name, r.dist_to_nearest_road_m, r.nearest_road_ref) for r in got.collect()} == {"a": ("road 1", 0.0, "None"), "b": ("road 2", 0.0, "None"), "c": ("road 3", 22.4, "None"), "d": ("road 5", 20.0, "None")}
+    none = roads.nearest_road_of_areas(spark.createDataFrame(cells[:3], "area_id string, row long, col long"), lines.where("seq = 7"), "area_id").first()
+    assert (none.dist_to_nearest_road_m, none.nearest_road_name, none.nearest_road_is_vehicular) == (None, "Unnamed Road", False)
+
+
+def test_duplicates_are_documented(spark):
+    merged = spark.createDataFrame([(1, [(2, 5.0), (3, 1.0)]), (4, None)], "event_id long, duplicates array<struct<event: long, spatial_offset_m: double>>")
+    pairs = [(1, 1), (2, 1), (3, 1), (4, 4)]
+    check = lambda m, p: Q.duplicates_documented(m, spark.createDataFrame(p, "event_id long, leader long"), "event_id").first()
+    assert check(merged, pairs).passed and check(merged.where("event_id = 4"), pairs[3:]).passed
+    assert (check(merged, [*pairs, (5, 4)]).observed, check(merged, pairs[:2]).observed) == ("1", "1"), "one untold, one told for nothing"
+    assert not check(merged.withColumn("duplicates", F.concat("duplicates", "duplicates")), pairs).passed
+
+
+def test_people_are_told_only_behind_the_gate(spark):
+    from cellscape.plans import pipelines as P
+
+    at = spark.createDataFrame([(1, 10), (2, 20)], "village_id long, tot_p long").withColumn("join_method", F.lit(P.CODED))
+    assert P.population_known(at, at) and not P.population_known(at, at.where("village_id = 1"))
+    assert not P.population_known(at.withColumn("join_method", F.lit("Name match")), at) and not P.population_known(at.limit(0), at.limit(0))
+    told, hidden = (P.candidate_areas(spark, "/root/testdata/sf0.001", join_method=m).agg(F.count("nearest_village"), F.count("nearest_village_pop")).first() for m in (P.CODED, "Name match"))
+    assert told[0] == told[1] == hidden[0] > 0 and hidden[1] == 0
+
+
 def test_utm(spark):
     x, y = S.to_utm(F.lit(81.0), F.lit(0.0))
     assert [round(v, 6) for v in spark.range(1).select(x, y).first()] == [500000.0, 0.0]
