@@ -136,7 +136,7 @@ SLACK = 1 + 1e-9
 """Bounds are compared with room for rounding."""
 
 
-def _looks(here: DataFrame, bounds: dict, reach: float) -> DataFrame:
+def _looks(here: DataFrame, bounds: dict, reach: float = 0.0) -> DataFrame:
     """Points, which reach so far about them, once for each box (_box) that may hold their nearest row."""
     shared = here.sparkSession.sparkContext.broadcast(bounds)
 
