@@ -538,6 +538,14 @@ def _(spark, d):
     return P.decision(spark, d).select("total_villages", n("tiers"), n("bands"), n("classes"), n("indicators"), F.col("areas")[0]["areas"].alias("areas"))
 
 
+@query("C11_decision_parts", sql("SELECT 'tier' AS part, priority_tier AS name, count(*) AS n, sum(tot_p)::BIGINT AS population FROM profile GROUP BY 2 UNION ALL SELECT 'band', band, count(*), sum(tot_p)::BIGINT FROM profile GROUP BY 2", "profile"))
+def _(spark, d):
+    """What the summary says of tiers and bands that have villages."""
+    made = staged(P.decision(spark, d), "decision")
+    part = lambda c, name, n: made.select(F.inline(c)).select(F.lit(c[:-1]).alias("part"), F.col(name).alias("name"), F.col(n).alias("n"), "population")
+    return part("tiers", "priority_tier", "villages").unionByName(part("bands", "band", "n")).where("n > 0")
+
+
 # Incidents
 
 
