@@ -97,9 +97,21 @@ def score_context(score: Column, what: str) -> Column:
 TERRAIN, FLOOD = "terrain susceptibility indicator", "terrain-derived flood exposure"
 
 
+def one_digit(value: Column) -> Column:
+    """A number of 2 or more with one digit, its exact binary value rounded half to even, as C and Python print it.
+
+    format_string rounds the shortest decimal form half up: 3.05, which is 3.04999..., would be 3.1. From 2 on a double is a multiple of 1 / 2**51.
+    """
+    whole = F.floor(value)
+    tenths = ((value - whole) * F.lit(float(1 << 51))).cast("long") * 10
+    down, rest, half = F.shiftright(tenths, 51), tenths.bitwiseAND(F.lit((1 << 51) - 1)), F.lit(1 << 50)
+    n = down + F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+    return F.when(value < float(1 << 52), F.concat((whole + F.when(n == 10, 1).otherwise(0)).cast("string"), F.lit("."), (n % 10).cast("string"))).otherwise(F.format_string("%.1f", value))
+
+
 def hazard_buffer_context(metres: Column) -> Column:
     """Distances closed above."""
-    far = F.format_string("Beyond 2km from nearest Candidate Red Zone (%.1fkm)", metres / 1000)
+    far = F.concat(F.lit("Beyond 2km from nearest Candidate Red Zone ("), one_digit(metres / 1000), F.lit("km)"))
     return _steps(metres, "Unknown", [(metres <= 500, "Within 500m of Candidate Red Zone boundary"), (metres <= 2000, "500m to 2km from nearest Candidate Red Zone")], far)
 
 

@@ -85,6 +85,14 @@ def test_capacity(spark):
     assert none.capacity_status == "NOT_ESTIMATED_REQUIRES_PLANNING_STANDARD" and none.capacity_viable is None
 
 
+def test_kilometres_are_rounded_from_their_exact_value(spark):
+    rng = random.Random(9)
+    metres = [3050.0, 4350.0, 2250.0, 2750.0, 2949.9999, 9950.0, 123456789.05, *[rng.randrange(200_001, 2_000_000) / 100 for _ in range(300)], *[50.0 * k for k in range(41, 400)]]
+    got = spark.createDataFrame([(m,) for m in metres], "m double").select("m", S.hazard_buffer_context(F.col("m")).alias("t")).collect()
+    assert {r.t for r in got if r.m == 3050.0} == {"Beyond 2km from nearest Candidate Red Zone (3.0km)"}
+    assert [r.t for r in got] == [f"Beyond 2km from nearest Candidate Red Zone ({r.m / 1000:.1f}km)" for r in got]
+
+
 def test_dedup_chain(spark):
     rows = [(1, "SLIDE", 0.0, 0.0, 2013), (2, "SLIDE", 400.0, 0.0, 2013), (3, "SLIDE", 800.0, 0.0, 2013)]
     events = spark.createDataFrame(rows, "id long, kind string, x double, y double, year int").withColumn("date", F.lit("2013-06-16").cast("date"))
