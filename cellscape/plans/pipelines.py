@@ -213,7 +213,7 @@ GROUPS = {"mass": ["CLICK", "VIEW"], "flood": ["PURCHASE"]}
 
 def village_incidents(spark: SparkSession, d: str, incidents: DataFrame) -> DataFrame:
     """Villages with their nearest incident and the incidents within 1 and 2 km."""
-    at = villages(spark, d)
+    at = staged(villages(spark, d), "incident-villages")
     near = spatial.nearest(at, incidents, "village_id", "event_id", ["hazard_type", "year"])
     counts = spatial.within_radius(at, incidents, "village_id", {"n_1km": 1000.0, "n_2km": 2000.0}, {k: F.col("hazard_type").isin(v) for k, v in GROUPS.items()})
     near = near.select("village_id", F.col("event_id").alias("nearest_incident"), F.col("hazard_type").alias("nearest_hazard_type"), F.col("year").alias("nearest_year"), F.col("distance_m").alias("nearest_incident_m"))

@@ -230,6 +230,62 @@ def test_crowded_buckets_change_nothing(spark, monkeypatch):
     assert near == {i: (min((math.dist((x, y), q[1:]), q[0]) for q in right)[1], sum(math.dist((x, y), q[1:]) <= 400 for q in right)) for i, x, y in left}
 
 
+def test_radius_counts_without_pairs(spark):
+    """Crowds on both sides: 4,000 points at 40 places about 60,000 points at 6,000, and no pair is a row."""
+    left = spark.range(4000).selectExpr("id AS l", "100.0D * (id % 8) + 0.25D AS x", "100.0D * (id div 8 % 5) + 0.25D AS y")
+    right = spark.range(60_000).selectExpr("id AS r", "(id * 7919 % 1000) + 0.25D AS x", "(id * 104729 % 6000) / 6 + 0.25D AS y", "id % 3 = 0 AS third")
+    out = spatial.within_radius(left, right, "l", {"near": 100.0, "far": 300.0}, {"third": F.col("third")})
+    got = {r.l: (r.near, r.far, r.near_third, r.far_third) for r in out.collect()}
+    assert len(got) == 4000
+    rx, ry, third = (np.array(c) for c in zip(*[(r.x, r.y, r.third) for r in right.collect()], strict=True))
+    for p in left.where("l < 40").collect():
+        d = np.sqrt((rx - p.x) ** 2 + (ry - p.y) ** 2)
+        assert got[p.l] == got[p.l + 3960] == tuple(int(((d <= r) & t).sum()) for t in (True, third) for r in (100.0, 300.0))
+    most = max(_rows_made(out))
+    assert most <= 100_000
+
+
+def _rows_made(df):
+    """The rows that each operator of an executed query has made."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        metric = node.metrics().get("numOutputRows")
+        found += [metric.get().value()] if metric.isDefined() else []
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_blocks_count_as_points_do():
+    rng = np.random.default_rng(3)
+    x, y, n = rng.integers(0, 60, 5000) + 0.25, rng.integers(0, 60, 5000) + 0.25, rng.integers(1, 4, (5000, 2))
+    px, py = rng.integers(-20, 80, 300) + 0.25, rng.integers(-20, 80, 300) + 0.25
+    d = np.sqrt((px[:, None] - x) ** 2 + (py[:, None] - y) ** 2)
+    for r in (0.0, 5.0, 25.0, 200.0):  # whole distances lie on the circle
+        assert (spatial.Blocks(x, y, n).within(px, py, r) == (d <= r).astype(int) @ n).all()
+    one = spatial.Blocks(x[:1], y[:1], n[:1])
+    assert (one.within(x[:2], y[:2], 0.0)[0] == n[0]).all()
+
+
+def test_points_at_one_place_are_looked_for_once(spark, monkeypatch):
+    asked = []
+    looks = spatial._looks
+    monkeypatch.setattr(spatial, "_looks", lambda here, *a: asked.append(here.count()) or looks(here, *a))
+    left = spark.range(3000).selectExpr("id AS l", "(id % 7) * 3.0D AS x", "(id % 7) * 1.0D AS y", "cast(id % 2 as string) AS s")
+    right = spark.range(50).selectExpr("id AS r", "id * 0.5D AS x", "0.0D AS y", "cast(id % 2 as string) AS s")
+    got = {r.l: (r.r, r.distance_m) for r in spatial.nearest(left, right, "l", "r", by="s", digits=None).collect()}
+    assert asked == [14] and len(got) == 3000
+    rows = [(r.r, r.x, r.y, r.s) for r in right.collect()]
+    for p in left.where("l % 100 < 14").collect():
+        d, r = min((math.sqrt((p.x - x) ** 2 + (p.y - y) ** 2), r) for r, x, y, s in rows if s == p.s)
+        assert got[p.l] == (r, pytest.approx(d))
+
+
 def test_rings_touch_and_have_holes(spark):
     cells = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(3, 3)]
     zone = spark.createDataFrame([(7, r, c) for r, c in cells], "zone long, row long, col long")
