@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellscape.components import staged
 from cellscape.operators.facilities import classify_facility
 
 
@@ -122,18 +123,35 @@ def read_layer(spark: SparkSession, path: str, value: str, nodata: float | None
     return spark.read.parquet(path).select("row", "col", F.when(known, v).alias(value))
 
 
+BLOCK = 1024
+"""Cells along the side of a folder's block of whole tiles; a tile of more cells is a block of its own."""
+
+
 def _tiled(cells: DataFrame, tile: int) -> DataFrame:
-    return cells.withColumn("tile", F.concat_ws("_", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))).repartition("tile")
+    side = tile * max(1, BLOCK // tile)
+    named = lambda size: F.concat_ws("_", F.floor(F.col("row") / size), F.floor(F.col("col") / size))
+    return cells.withColumns({"tile": named(tile), "block": named(side)})
+
+
+def _by_block(cells: DataFrame) -> DataFrame:
+    return cells.repartition("block")
 
 
 def write_cells(cells: DataFrame, path: str, tile: int = 1024) -> None:
-    """K2: cells partitioned by tile."""
-    _tiled(cells, tile).write.partitionBy("tile").parquet(path)
+    """K2: cells with their tile, a folder for each block of tiles: folders grow with the cells, however small the tiles are."""
+    _by_block(_tiled(cells, tile)).write.partitionBy("block").parquet(path)
 
 
 def refresh_cells(cells: DataFrame, path: str, tile: int = 1024) -> None:
-    """Replaces the tiles that cells (all cells of those tiles) belong to; other tiles stay as they are."""
-    _tiled(cells, tile).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(path)
+    """Replaces the tiles that cells (all cells of those tiles) belong to; other tiles stay as they are, and so do the files of
+    blocks without such a tile. The other tiles of a block with one are staged with the new ones, then the block is replaced."""
+    spark = cells.sparkSession
+    new = staged(_tiled(cells, tile), "refreshed-tiles")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        kept = spark.read.parquet(path).join(new.select("block").distinct(), "block", "left_semi").join(new.select("tile").distinct(), "tile", "left_anti")
+        new = staged(kept.unionByName(new), "refreshed-blocks")
+    _by_block(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(path)
 
 
 def long_summary(df: DataFrame, by: str, measures: list[str]) -> DataFrame:

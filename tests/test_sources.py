@@ -22,6 +22,20 @@ def test_cells_by_tile(spark, tmp_path):
     assert {r.tile for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"0_0", "1_2"}
 
 
+def test_small_tiles_share_folders_and_are_refreshed_alone(spark, tmp_path):
+    path = tmp_path / "t"
+    cells = spark.range(40_000).selectExpr("cast(id div 100 as int) AS row", "cast(id % 100 as int) AS col", "cast(id as double) AS v").unionByName(spark.createDataFrame([(3000, 5, 1.0)], "row int, col int, v double"))
+    io.write_cells(cells, str(path), 8)
+    folders = lambda: {f: sorted(x.name for x in f.glob("*.parquet")) for f in path.glob("*=*")}
+    before = folders()
+    assert len(before) == 2
+    io.refresh_cells(cells.where("row < 8 AND col < 8").selectExpr("row", "col", "-1.0D AS v"), str(path), 8)
+    changed = [f.name for f in before if before[f] != folders()[f]]
+    assert changed == ["block=0_0"] and len(folders()) == 2
+    got = {(r.row, r.col): r.v for r in spark.read.parquet(str(path)).collect()}
+    assert got == {(r.row, r.col): -1.0 if r.row < 8 and r.col < 8 else r.v for r in cells.collect()}
+
+
 def test_settlements(spark, tmp_path):
     node = lambda i, x, y, **tags: {"type": "node", "id": i, "lat": y, "lon": x, "tags": tags}
     document = {"elements": [node(1, 0.0, 0.0), node(2, 1.0, 0.0), node(3, 1.0, 1.0), node(9, 5.0, 5.0, place="village", name="P"), {"type": "way", "id": 10, "nodes": [1, 2, 3, 1], "tags": {"name": "Q"}}, {"type": "way", "id": 11, "nodes": [1, 2, 77], "tags": {}}, {"type": "way", "id": 12, "nodes": [1], "tags": {}}]}
