@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellscape.components import components
 from cellscape.functions import scores as S
-from cellscape.operators import grid, roads, spatial, views
+from cellscape.operators import grid, parts, roads, spatial, views
 from cellscape.operators import quality as Q
 from cellscape.operators import tables as T
 from cellscape.operators.ranking import row_numbers
@@ -415,6 +415,26 @@ def test_paths_of_a_lattice_take_few_rounds(spark):
         roads.shortest_paths(edges, starts, ["length_m"], max_rounds=1, local_edges=0, part_nodes=1200)
 
 
+def test_parts_of_a_long_network_are_cut_across(spark):
+    """A network 10 m wide and 4 km long: parts are stretches of it, so that each touches two others at most."""
+    nodes = spark.range(4000).selectExpr("id AS node", "(id % 10) * 1.0D AS x", "(id div 10) * 10.0D AS y")
+    made = parts.node_parts(nodes.select("node"), (F.col("node") % 10).cast("double"), F.floor(F.col("node") / 10) * 10.0, 100)
+    spans = nodes.join(made, "node").groupBy("part").agg(F.countDistinct("x").alias("wide"), (F.max("y") - F.min("y")).alias("high")).collect()
+    assert len(spans) == 40 and all(r.wide == 10 and r.high <= 100 for r in spans)
+
+
+@pytest.mark.parametrize("bundle", [40, 100_000])
+def test_parts_walked_in_bundles_give_the_same_ways(spark, monkeypatch, bundle):
+    rng = random.Random(5)
+    edges = [(min(a, b), max(a, b), float(rng.randint(1, 30))) for a, b in {tuple(sorted(rng.sample(range(300), 2))) for _ in range(700)}]
+    monkeypatch.setattr(parts, "PART_NODES", bundle)
+    tables = spark.createDataFrame(edges, "u long, v long, w double"), spark.createDataFrame([("a", 7), ("b", 8), ("b", 250), ("c", 999)], "set string, node long")
+    how = {"x": F.col("node").cast("double"), "y": F.lit(0.0)}
+    got = {(r.set, r.node): r.dist for r in parts.paths_by_parts(*tables, ["w"], **how, part_nodes=20).collect()}
+    whole = {(r.set, r.node): r.dist for r in roads.shortest_paths(*tables, ["w"]).collect()}
+    assert got == whole and len(got) > 500
+
+
 def test_paths_of_an_empty_network(spark):
     edges = spark.createDataFrame([], "u long, v long, length_m double")
     starts = spark.createDataFrame([("a", 3)], "set string, node long")
