@@ -46,6 +46,12 @@ def staged(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is made by a shuffle at any size. Spark goes by the files of a staged table, in which a key takes a few
+    bytes, leaves out that explode makes copies, and would broadcast through the driver what is many times larger in memory."""
+    return df.hint("merge")
+
+
 def labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it reaches) of edges a-b."""
     nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -87,10 +93,10 @@ def components(edges: DataFrame, max_rounds: int = 200, local_edges: int = LOCAL
         turned = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
         around = now.unionByName(turned)
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v"), F.col("m")).where(F.col("v") != F.col("m"))
+        large = around.join(shuffled(least), "u").where(F.col("v") > F.col("u")).select(F.col("v"), F.col("m")).where(F.col("v") != F.col("m"))
         large = large.select(F.least("v", "m").alias("u"), F.greatest("v", "m").alias("v")).distinct()
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_least, "v").select("v", "u", "m")
+        small = large.join(shuffled(small_least), "v").select("v", "u", "m")
         nxt = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.m").alias("u"), F.col("e.v").alias("v")).where(F.col("u") != F.col("v")).distinct()
         now = staged(nxt, "edges", instead_of=now)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.countDistinct("v")).first()

@@ -144,6 +144,28 @@ def test_dedup_makes_few_pairs_of_a_crowded_place(spark, monkeypatch):
     assert sum(made) < 20_000  # all matching pairs are 4,498,500
 
 
+def broadcast_joins(df):
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Broadcast" in line and "Join" in line]
+
+
+def test_dedup_broadcasts_no_events(spark, monkeypatch):
+    from cellscape import components
+
+    made, real = [], spatial.staged
+
+    def seen(df, *a, **k):
+        made.extend(broadcast_joins(df))
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(spatial, "staged", seen)
+    monkeypatch.setattr(components, "staged", seen)
+    events = spark.range(60).select("id", F.lit("A").alias("kind"), ((F.col("id") % 10) * 5000 + F.col("id") * 9.0).alias("x"), F.lit(0.0).alias("y"), F.lit(2013).alias("year"), F.lit("2013-06-16").cast("date").alias("date"))
+    out = spatial.dedup_events(events, "id", "kind", greedy_pairs=3, first_events=40)
+    components.components(out.select(F.col("id").alias("a"), F.col("leader").alias("b")), local_edges=0)
+    made += broadcast_joins(out)
+    assert made and all("_bx" in line and "LeftOuter" in line or "[component" in line for line in made)  # crowded buckets and large components alone
+
+
 def test_merged_events(spark):
     rows = [(1, "A", 0.0, 0.0, "p", 2, "2013-06-16"), (2, "A", 30.0, 40.0, "o", 9, "2013-06-17"), (3, "A", 9e5, 0.0, "q", None, None)]
     events = spark.createDataFrame(rows, "id long, kind string, x double, y double, provider string, fatalities long, d string").withColumns({"date": F.col("d").cast("date"), "year": F.lit(2013)})
