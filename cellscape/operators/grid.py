@@ -106,11 +106,19 @@ def wetness(acc: Column, slope_deg: Column, cell: float = 30.0) -> Column:
     return F.log(acc * cell / F.greatest(F.tan(F.radians(F.greatest(slope_deg, F.lit(0.1)))), F.lit(1e-4)))
 
 
+def mean(layer: str, digits: int) -> Column:
+    """The mean of a group, rounded half to even. Values count to six more decimals, so that their sum is exact: a sum of doubles depends
+    on the order in which rows arrive, and a mean half-way between two roundings, as of 16 scores of four decimals, would go up in one
+    run and down in the next. If some reach 1e9 or aren't finite, a group's values count as doubles."""
+    exact = F.bround(F.avg(F.col(layer).try_cast(f"decimal({digits + 15},{digits + 6})")), digits).cast("double")
+    return F.when(F.max(F.abs(layer)) < 1e9, exact).otherwise(F.bround(F.avg(layer), digits))
+
+
 def zone_summary(cells: DataFrame, cell_area: float, stats: dict[str, str], digits: int = 6) -> DataFrame:
     """Size, area, bounds, centroid and mean, max and min of layers by zone; stats maps layer to prefix."""
     aggs = [F.count("*").alias("pixel_count"), (F.count("*") * cell_area).alias("area_m2"), *[f(c).alias(f"{n}_{c}") for c in ("row", "col") for f, n in ((F.min, "min"), (F.max, "max"))], F.avg("row").alias("mean_row"), F.avg("col").alias("mean_col")]
     for layer, prefix in stats.items():
-        aggs += [F.bround(f(layer), digits).alias(f"{n}_{prefix}") for f, n in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"))]
+        aggs += [mean(layer, digits).alias(f"mean_{prefix}"), *[F.bround(f(layer), digits).alias(f"{n}_{prefix}") for f, n in ((F.max, "max"), (F.min, "min"))]]
     return cells.groupBy("zone").agg(*aggs)
 
 

@@ -4,6 +4,7 @@ import datetime
 import functools
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -93,6 +94,21 @@ def test_kilometres_are_rounded_from_their_exact_value(spark):
     assert [r.t for r in got] == [f"Beyond 2km from nearest Candidate Red Zone ({r.m / 1000:.1f}km)" for r in got]
 
 
+def test_zone_means_do_not_depend_on_the_order_of_cells(spark):
+    rng, rows, want = random.Random(6), [], {}
+    for zone in range(300):
+        parts = [(rng.randrange(650, 1001), rng.randrange(650, 1001)) for _ in range(16)]
+        if sum(6 * t + 4 * f for t, f in parts) % 4 != 2:
+            parts[0] = (parts[0][0] - 1, parts[0][1])  # the mean is half-way between two roundings
+        rows += [(zone, k // 4, k % 4, 0.6 * (t / 1000.0) + 0.4 * (f / 1000.0)) for k, (t, f) in enumerate(parts)]
+        want[zone] = float(round(Fraction(sum(6 * t + 4 * f for t, f in parts), 160_000) * 10**6) / Fraction(10**6))
+    rows += [(1000, 0, 0, float("nan")), (1000, 0, 1, 1.0), (1001, 0, 0, None), (1002, 0, 0, 3e30), (1002, 0, 1, 1e30)]
+    cells = spark.createDataFrame(rows, "zone long, row long, col long, score double")
+    for order in ("col", -F.col("col"), F.xxhash64("row", "col")):
+        got = {r.zone: r.mean_score for r in grid.zone_summary(cells.coalesce(1).sortWithinPartitions("zone", order), 900.0, {"score": "score"}).collect()}
+        assert math.isnan(got.pop(1000)) and got.pop(1001) is None and got.pop(1002) == 2e30 and got == want
+
+
 def test_dedup_chain(spark):
     rows = [(1, "SLIDE", 0.0, 0.0, 2013), (2, "SLIDE", 400.0, 0.0, 2013), (3, "SLIDE", 800.0, 0.0, 2013)]
     events = spark.createDataFrame(rows, "id long, kind string, x double, y double, year int").withColumn("date", F.lit("2013-06-16").cast("date"))
